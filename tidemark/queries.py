@@ -188,3 +188,137 @@ def _corr_sql(table_name: str, cols: list[str]) -> str:
 @register("correlation", _corr_sql("lineitem", _CORR_COLS))
 def correlation(spark, sf):
     return rounded(marts.correlation_mart(table(spark, sf, "lineitem"), _CORR_COLS))
+
+
+# ------------------------------------------------------------------ B1-B8
+def dirty_orders(spark, sf):
+    """Stand-in raw input: the whole orders table as untyped text, the way a CSV
+    export arrives. Some cells are dirtied (a word in a number column, blanks,
+    a bad date) and some rows appear twice. It only shapes input; all cleaning
+    work happens in ``tidemark.operators.cleaning``."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    raw = o.select(
+        k.cast("string").alias(" Order Key "),
+        F.col("o_custkey").cast("string").alias("Customer Key"),
+        F.col("o_orderstatus").alias("Order Status"),
+        F.when(k % 97 == 0, F.lit("oops")).when(k % 89 == 0, F.lit("  "))
+         .otherwise(F.format_string("%.2f", "o_totalprice")).alias("Total Price"),
+        F.when(k % 101 == 0, F.lit("not-a-date"))
+         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("Order Date"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Created At"),
+        F.when(k % 13 == 0, F.lit("")).otherwise(F.col("o_orderpriority")).alias("Order Priority"),
+    )
+    return raw.unionByName(raw.where(F.col(" Order Key ").cast("bigint") % 50 == 0))
+
+
+_DIRTY_ORDERS_SQL = """
+WITH src AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS c_key, CAST(o_custkey AS VARCHAR) AS c_cust,
+         o_orderstatus AS c_status,
+         CASE WHEN o_orderkey % 97 = 0 THEN 'oops' WHEN o_orderkey % 89 = 0 THEN '  '
+              ELSE printf('%.2f', o_totalprice) END AS c_price,
+         CASE WHEN o_orderkey % 101 = 0 THEN 'not-a-date'
+              ELSE strftime(o_orderdate, '%Y-%m-%d') END AS c_date,
+         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS c_created,
+         CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE o_orderpriority END AS c_priority
+  FROM orders),
+raw AS (SELECT * FROM src UNION ALL SELECT * FROM src WHERE CAST(c_key AS BIGINT) % 50 = 0),
+typed AS (
+  SELECT CAST(TRIM(c_key) AS BIGINT) AS order_key,
+         CAST(TRIM(c_cust) AS BIGINT) AS customer_key,
+         CASE WHEN regexp_matches(c_status, '^\\s*$') THEN NULL ELSE c_status END AS order_status,
+         TRY_CAST(CASE WHEN regexp_matches(c_price, '^\\s*$') THEN NULL ELSE TRIM(c_price) END AS DOUBLE) AS total_price,
+         CASE WHEN regexp_matches(c_date, '^\\s*$') THEN NULL ELSE c_date END AS order_date,
+         strptime(c_created, '%Y-%m-%d %H:%M:%S') AS created_at,
+         CASE WHEN regexp_matches(c_priority, '^\\s*$') THEN NULL ELSE c_priority END AS order_priority,
+         (c_price IS NOT NULL AND NOT regexp_matches(c_price, '^\\s*$')
+          AND TRY_CAST(TRIM(c_price) AS DOUBLE) IS NULL) AS type_issue,
+         (c_date IS NOT NULL AND NOT regexp_matches(c_date, '^\\s*$')
+          AND TRY_STRPTIME(c_date, '%Y-%m-%d') IS NULL) AS date_issue
+  FROM raw)
+"""
+
+
+@register("clean_table", _DIRTY_ORDERS_SQL + """
+SELECT order_key, customer_key, order_status, ROUND(total_price, 6) AS total_price, order_date,
+       created_at, order_priority,
+       (order_key IS NULL OR customer_key IS NULL OR order_status IS NULL OR total_price IS NULL
+        OR order_date IS NULL OR created_at IS NULL OR order_priority IS NULL) AS has_nulls,
+       bool_or(date_issue) AS invalid_date_parse, bool_or(type_issue) AS type_conversion_issue
+FROM typed
+GROUP BY order_key, customer_key, order_status, total_price, order_date, created_at, order_priority
+""")
+def clean_table(spark, sf):
+    """Names, blanks, numeric casts, date parsing, dedup, flags."""
+    from tidemark.operators.cleaning import clean
+    return rounded(clean(dirty_orders(spark, sf)).df)
+
+
+@register("cleaning_log", _DIRTY_ORDERS_SQL + """
+SELECT 'column_normalization' AS step, 'normalize_column_names' AS action,
+       ' Order Key ,Customer Key,Order Status,Total Price,Order Date,Created At,Order Priority' AS column_name,
+       CAST(NULL AS BIGINT) AS rows_affected
+UNION ALL
+SELECT 'missing_value_standardization', 'replace_blank_with_null', 'total_price',
+       COUNT(*) FROM raw WHERE regexp_matches(c_price, '^\\s*$')
+UNION ALL
+SELECT 'missing_value_standardization', 'replace_blank_with_null', 'order_priority',
+       COUNT(*) FROM raw WHERE regexp_matches(c_priority, '^\\s*$')
+UNION ALL SELECT 'type_enforcement', 'cast_to_numeric', 'order_key', NULL
+UNION ALL SELECT 'type_enforcement', 'cast_to_numeric', 'customer_key', NULL
+UNION ALL
+SELECT 'type_enforcement', 'cast_to_numeric', 'total_price', COUNT(*) FROM typed WHERE type_issue
+UNION ALL
+SELECT 'date_parsing', 'skip_date_parse', 'order_date', COUNT(*) FROM typed WHERE date_issue
+UNION ALL SELECT 'date_parsing', 'cast_to_datetime', 'created_at', NULL
+UNION ALL
+SELECT 'deduplication', 'remove_duplicate_rows', NULL,
+       (SELECT COUNT(*) FROM raw) - (SELECT COUNT(*) FROM (SELECT DISTINCT * EXCLUDE (type_issue, date_issue) FROM typed))
+""")
+def cleaning_log(spark, sf):
+    """The decision log as a table."""
+    from tidemark.operators.cleaning import clean
+    return clean(dirty_orders(spark, sf)).log.drop("details")
+
+
+@register("cleaning_summary", _DIRTY_ORDERS_SQL + """,
+staged AS (
+  SELECT order_key, customer_key, order_status, total_price, order_date, created_at, order_priority,
+         bool_or(date_issue) AS invalid_date_parse, bool_or(type_issue) AS type_conversion_issue
+  FROM typed
+  GROUP BY order_key, customer_key, order_status, total_price, order_date, created_at, order_priority)
+SELECT COUNT(*) AS row_count, CAST(7 AS BIGINT) AS column_count, CAST(7 AS BIGINT) AS input_column_count,
+       (SELECT COUNT(*) FROM raw) - COUNT(*) AS duplicate_row_count,
+       COUNT(*) FILTER (WHERE order_key IS NULL OR customer_key IS NULL OR order_status IS NULL
+                        OR total_price IS NULL OR order_date IS NULL OR created_at IS NULL
+                        OR order_priority IS NULL) AS rows_with_nulls,
+       COUNT(*) FILTER (WHERE invalid_date_parse) AS rows_with_invalid_date_parse,
+       COUNT(*) FILTER (WHERE type_conversion_issue) AS rows_with_type_conversion_issue
+FROM staged
+""")
+def cleaning_summary(spark, sf):
+    """One-row summary of the staging table."""
+    from tidemark.operators.cleaning import clean
+    return clean(dirty_orders(spark, sf)).summary()
+
+
+@register("cleaning_null_counts", _DIRTY_ORDERS_SQL + """,
+staged AS (
+  SELECT DISTINCT order_key, customer_key, order_status, total_price, order_date, created_at,
+         order_priority FROM typed)
+SELECT column_name, null_count FROM (
+  SELECT COUNT(*) FILTER (WHERE order_key IS NULL) AS order_key,
+         COUNT(*) FILTER (WHERE customer_key IS NULL) AS customer_key,
+         COUNT(*) FILTER (WHERE order_status IS NULL) AS order_status,
+         COUNT(*) FILTER (WHERE total_price IS NULL) AS total_price,
+         COUNT(*) FILTER (WHERE order_date IS NULL) AS order_date,
+         COUNT(*) FILTER (WHERE created_at IS NULL) AS created_at,
+         COUNT(*) FILTER (WHERE order_priority IS NULL) AS order_priority
+  FROM staged) UNPIVOT (null_count FOR column_name IN (order_key, customer_key, order_status,
+       total_price, order_date, created_at, order_priority))
+""")
+def cleaning_null_counts(spark, sf):
+    """NULL count per staged column."""
+    from tidemark.operators.cleaning import clean
+    return clean(dirty_orders(spark, sf)).null_counts()

@@ -322,3 +322,100 @@ def cleaning_null_counts(spark, sf):
     """NULL count per staged column."""
     from tidemark.operators.cleaning import clean
     return clean(dirty_orders(spark, sf)).null_counts()
+
+
+# ------------------------------------------ B10, B17, C18, D2-D6, C10, C12, C13
+def _yearly_inputs(spark, sf):
+    from tidemark.operators.integrate import standardize
+    orders = table(spark, sf, "orders").select(
+        F.year("o_orderdate").cast("bigint").alias("order_year"), "o_totalprice", "o_orderkey")
+    items = table(spark, sf, "lineitem").select(
+        F.year("l_shipdate").cast("bigint").alias("ship_year"), "l_extendedprice")
+    events = table(spark, sf, "events").select(
+        F.year("ts").cast("bigint").alias("event_year"), "value")
+    return [standardize(orders, "orders", "order_year", "o_totalprice"),
+            standardize(items, "lineitem", "ship_year", "l_extendedprice"),
+            standardize(events, "events", "event_year", "value")]
+
+
+def integrated_wide_table(spark, sf) -> DataFrame:
+    from tidemark.operators.integrate import integrate
+    return integrate(_yearly_inputs(spark, sf)).wide
+
+
+_LONG_SQL = """
+WITH long AS (
+  SELECT CAST(CAST(ROUND(CAST(year(o_orderdate) AS DOUBLE)) AS BIGINT) AS VARCHAR) AS year,
+         'orders' AS dataset_name, o_totalprice AS v FROM orders
+  UNION ALL SELECT CAST(CAST(year(l_shipdate) AS BIGINT) AS VARCHAR), 'lineitem', l_extendedprice FROM lineitem
+  UNION ALL SELECT CAST(CAST(year(ts) AS BIGINT) AS VARCHAR), 'events', value FROM events),
+wide AS (
+  SELECT year, AVG(v) FILTER (WHERE dataset_name = 'events') AS events,
+         AVG(v) FILTER (WHERE dataset_name = 'lineitem') AS lineitem,
+         AVG(v) FILTER (WHERE dataset_name = 'orders') AS orders
+  FROM long GROUP BY year)
+"""
+
+
+@register("integrated_wide", _LONG_SQL + """
+SELECT year, ROUND(events, 6) AS events, ROUND(lineitem, 6) AS lineitem, ROUND(orders, 6) AS orders
+FROM wide
+""")
+def integrated_wide(spark, sf):
+    return rounded(integrated_wide_table(spark, sf))
+
+
+@register("integrated_trend", _LONG_SQL + """
+SELECT year, COUNT(orders) AS record_count, ROUND(AVG(orders), 6) AS avg_orders
+FROM wide GROUP BY year HAVING COUNT(orders) > 0
+""")
+def integrated_trend(spark, sf):
+    return rounded(marts.integrated_trend_mart(integrated_wide_table(spark, sf), "orders", "average"))
+
+
+@register("ranked_periods", _LONG_SQL + """
+SELECT year, record_count, ROUND(total_lineitem, 6) AS total_lineitem FROM (
+  SELECT year, COUNT(lineitem) AS record_count, COALESCE(SUM(lineitem), 0) AS total_lineitem
+  FROM wide GROUP BY year ORDER BY total_lineitem DESC, year LIMIT 10)
+""")
+def ranked_periods(spark, sf):
+    return rounded(marts.ranked_periods_mart(integrated_wide_table(spark, sf), "lineitem", "sum"))
+
+
+@register("by_decade", _LONG_SQL + """
+SELECT CAST(FLOOR(CAST(TRY_CAST(year AS DOUBLE) AS BIGINT) / 10) * 10 AS BIGINT) AS decade,
+       COUNT(orders) AS record_count, ROUND(AVG(orders), 6) AS avg_orders
+FROM wide WHERE TRY_CAST(year AS DOUBLE) IS NOT NULL GROUP BY 1
+""")
+def by_decade(spark, sf):
+    return rounded(marts.decade_mart(integrated_wide_table(spark, sf), "orders", "average"))
+
+
+@register("integrated_correlation", _LONG_SQL + """
+SELECT left_metric, right_metric, ROUND(correlation, 6) AS correlation FROM (
+  SELECT 'lineitem' AS left_metric, 'orders' AS right_metric, CORR(lineitem, orders) AS correlation FROM wide)
+WHERE correlation IS NOT NULL AND NOT isnan(correlation)
+""")
+def integrated_correlation(spark, sf):
+    """C11 on the integrated table: 'events' has one year only, so its pairs
+    have no correlation and are dropped (S9)."""
+    wide = integrated_wide_table(spark, sf)
+    return rounded(marts.correlation_mart(wide, ["events", "lineitem", "orders"]))
+
+
+# ---------------------------------------------------------------------- F12
+@register("coverage", """
+SELECT 'orders' AS dataset, CAST(MIN(year(o_orderdate)) AS BIGINT) AS min_year,
+       CAST(MAX(year(o_orderdate)) AS BIGINT) AS max_year FROM orders
+UNION ALL
+SELECT 'events', CAST(MIN(year(ts)) AS BIGINT), CAST(MAX(year(ts)) AS BIGINT) FROM events
+UNION ALL
+SELECT 'lineitem_text', CAST(MIN(year(l_shipdate)) AS BIGINT), CAST(MAX(year(l_shipdate)) AS BIGINT) FROM lineitem
+""")
+def coverage(spark, sf):
+    from tidemark.operators.integrate import coverage as cov
+    orders = cov(table(spark, sf, "orders"), "o_orderdate").select(F.lit("orders").alias("dataset"), "*")
+    events = cov(table(spark, sf, "events"), "ts").select(F.lit("events").alias("dataset"), "*")
+    text = table(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship_text"))
+    items = cov(text, "ship_text").select(F.lit("lineitem_text").alias("dataset"), "*")
+    return orders.unionByName(events).unionByName(items)

@@ -419,3 +419,148 @@ def coverage(spark, sf):
     text = table(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship_text"))
     items = cov(text, "ship_text").select(F.lit("lineitem_text").alias("dataset"), "*")
     return orders.unionByName(events).unionByName(items)
+
+
+# -------------------------------------------------------------- A7, F1-F6
+_CUSTOMER_COLS = [("c_custkey", True), ("c_name", False), ("c_nationkey", True),
+                  ("c_acctbal", True), ("c_mktsegment", False)]
+
+
+@register("schema_summary", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS dtype, COUNT(*) FILTER (WHERE {c} IS NULL) > 0 AS nullable, "
+    f"COUNT(*) AS row_count, CAST(5 AS BIGINT) AS column_count FROM customer"
+    for c, t in [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+                 ("c_acctbal", "double"), ("c_mktsegment", "string")]))
+def schema_summary(spark, sf):
+    from tidemark.operators.quality import schema_summary as summary
+    return summary(table(spark, sf, "customer"))
+
+
+@register("profile", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, "
+    f"ROUND(CAST(COUNT(*) - COUNT({c}) AS DOUBLE) / COUNT(*) * 100, 2) AS null_percentage, "
+    f"COUNT(DISTINCT {c}) AS unique_count, "
+    + (f"ROUND(CAST(MIN({c}) AS DOUBLE), 6) AS min, ROUND(CAST(MAX({c}) AS DOUBLE), 6) AS max "
+       if num else "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max ")
+    + "FROM customer" for c, num in _CUSTOMER_COLS))
+def profile(spark, sf):
+    """F1 without the sample values (hash-chosen; checked in the tests)."""
+    from tidemark.operators.quality import profile as prof
+    return rounded(prof(table(spark, sf, "customer")).drop("sample_values", "dtype"))
+
+
+def _dq_sql(cols) -> str:
+    parts = []
+    for c, num in cols:
+        if num:
+            outlier = (f"(SELECT CASE WHEN COUNT({c}) >= 4 AND STDDEV_SAMP({c}) <> 0 THEN "
+                       f"(SELECT COUNT(*) FROM customer x, (SELECT AVG({c}) m, STDDEV_SAMP({c}) s FROM customer) p "
+                       f"WHERE abs(x.{c} - p.m) > 3 * p.s) / COUNT({c}) > 0.05 ELSE false END FROM customer)")
+        else:
+            outlier = "false"
+        parts.append(
+            f"SELECT '{c}' AS column_name, ROUND(CAST(COUNT({c}) AS DOUBLE) / COUNT(*) * 100, 1) AS completeness, "
+            f"CASE WHEN COUNT({c}) = 0 THEN 100.0 ELSE "
+            f"ROUND(CAST(COUNT(DISTINCT {c}) AS DOUBLE) / COUNT({c}) * 100, 1) END AS uniqueness, "
+            f"{outlier} AS outlier_flag, 100.0 AS format_score FROM customer")
+    return ("WITH s AS (" + " UNION ALL ".join(parts) + ") SELECT column_name, completeness, uniqueness, "
+            "outlier_flag, format_score, ROUND(completeness * 0.4 + uniqueness * 0.2 + format_score * 0.4, 1) "
+            "AS dq_score FROM s")
+
+
+@register("dq_score", _dq_sql(_CUSTOMER_COLS))
+def dq_score(spark, sf):
+    from tidemark.operators.quality import dq_scores
+    return dq_scores(table(spark, sf, "customer")).drop("dtype", "dominant_class_share")
+
+
+@register("dq_overall", "SELECT ROUND(AVG(dq_score), 1) AS overall_score, COUNT(*) AS column_count FROM ("
+          + _dq_sql(_CUSTOMER_COLS) + ")")
+def dq_overall(spark, sf):
+    from tidemark.operators.quality import dq_overall as overall, dq_scores
+    return overall(dq_scores(table(spark, sf, "customer")))
+
+
+# ------------------------------------------------------------------ F7-F11
+_ANOMALY_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                 "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _anomaly_rules_sql(cols, tbl="events") -> str:
+    stats = " UNION ALL ".join(
+        f"SELECT {i} AS pos, '{c}' AS col, COUNT({c}) AS n, QUANTILE_CONT({c}, 0.25) AS q1, "
+        f"QUANTILE_CONT({c}, 0.75) AS q3, AVG({c}) AS m, STDDEV_POP({c}) AS s FROM {tbl}"
+        for i, c in enumerate(cols))
+    counts = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, COUNT(*) FILTER (WHERE b.q3 - b.q1 <> 0 AND ({c} < b.lo OR {c} > b.hi)) AS iqr_n, "
+        f"COUNT(*) FILTER (WHERE b.s <> 0 AND abs(({c} - b.m) / b.s) > 3.0) AS z_n "
+        f"FROM {tbl}, b WHERE b.col = '{c}'" for c in cols)
+    return f"""
+WITH st AS ({stats}),
+b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM st WHERE n >= 4),
+cnt AS ({counts}),
+rules AS (
+  SELECT b.pos, b.col AS "column", b.lo, b.hi, b.m, b.s,
+         CASE WHEN cnt.iqr_n > 0 THEN 'iqr' WHEN cnt.z_n > 0 THEN 'zscore' END AS method,
+         CASE WHEN cnt.iqr_n > 0 THEN printf('%.4f to %.4f', b.lo, b.hi) ELSE '|z| > 3.0' END AS threshold,
+         CASE WHEN cnt.iqr_n > 0 THEN cnt.iqr_n ELSE cnt.z_n END AS anomaly_count
+  FROM b JOIN cnt ON cnt.col = b.col)
+"""
+
+
+_EVENT_COLS = ["event_id", "user_id", "value"]
+
+
+@register("anomaly_report", _anomaly_rules_sql(_EVENT_COLS)
+          + "SELECT \"column\", method, threshold, anomaly_count FROM rules WHERE method IS NOT NULL")
+def anomaly_report(spark, sf):
+    """F7, F8, F10 (examples are row-order dependent and checked in the tests)."""
+    from tidemark.operators.anomaly import detect_anomalies
+    return detect_anomalies(table(spark, sf, "events")).report.drop("example_values")
+
+
+@register("anomaly_report_lineitem", _anomaly_rules_sql(_ANOMALY_COLS, "lineitem")
+          + "SELECT \"column\", method, threshold, anomaly_count FROM rules WHERE method IS NOT NULL")
+def anomaly_report_lineitem(spark, sf):
+    """F7-F10 on eight numeric columns where neither rule fires (empty report)."""
+    from tidemark.operators.anomaly import detect_anomalies
+    return detect_anomalies(table(spark, sf, "lineitem")).report.drop("example_values")
+
+
+def _flag_sql(cols) -> str:
+    cases = []
+    for c in cols:
+        r = f"(SELECT * FROM rules WHERE \"column\" = '{c}' AND method IS NOT NULL)"
+        cases.append(
+            f"CASE WHEN EXISTS {r} AND ((SELECT method FROM rules WHERE \"column\" = '{c}') = 'iqr' AND "
+            f"({c} < (SELECT lo FROM rules WHERE \"column\" = '{c}') OR {c} > (SELECT hi FROM rules WHERE \"column\" = '{c}')) "
+            f"OR (SELECT method FROM rules WHERE \"column\" = '{c}') = 'zscore' AND "
+            f"abs(({c} - (SELECT m FROM rules WHERE \"column\" = '{c}')) / (SELECT s FROM rules WHERE \"column\" = '{c}')) > 3.0) "
+            f"THEN '{c}' END")
+    return "concat_ws(',', " + ", ".join(cases) + ")"
+
+
+@register("anomaly_rows", _anomaly_rules_sql(_EVENT_COLS)
+          + f", flagged AS (SELECT event_id, event_type, {_flag_sql(_EVENT_COLS)} AS anomaly_columns "
+          "FROM events) SELECT event_id, event_type, anomaly_columns, true AS has_anomaly "
+          "FROM flagged WHERE anomaly_columns <> ''")
+def anomaly_rows(spark, sf):
+    """the flagged rows with the list of flagged columns."""
+    from tidemark.operators.anomaly import detect_anomalies
+    res = detect_anomalies(table(spark, sf, "events"))
+    return res.flagged_rows.select("event_id", "event_type", "anomaly_columns", "has_anomaly")
+
+
+@register("anomaly_framing", _anomaly_rules_sql(_EVENT_COLS) + """
+, f AS (SELECT "column", method, threshold, anomaly_count,
+              CAST(anomaly_count AS DOUBLE) / (SELECT COUNT(*) FROM events) AS fr
+       FROM rules WHERE method IS NOT NULL)
+SELECT "column", method, threshold, anomaly_count, ROUND(fr, 4) AS frequency,
+       CASE WHEN fr >= 0.10 THEN 'high' WHEN fr >= 0.02 THEN 'medium' ELSE 'low' END AS impact
+FROM f
+""")
+def anomaly_framing(spark, sf):
+    """F11 per column (the action text is a fixed template of impact and method)."""
+    from tidemark.operators.anomaly import detect_anomalies, frame_anomalies
+    res = detect_anomalies(table(spark, sf, "events"))
+    return frame_anomalies(res.report, res.total_rows).drop("example_values", "suggested_action")

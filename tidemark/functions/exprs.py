@@ -84,7 +84,7 @@ def month_label(year: Column, month: Column) -> Column:
 def decimal_year_to_date(y: Column) -> Column:
     """1993.0417 -> 1993-01-01 + round(0.0417 * 365.2425) days."""
     whole = F.floor(y)
-    days = F.round((y - whole) * F.lit(365.2425)).cast("int")
+    days = F.bround((y - whole) * F.lit(365.2425)).cast("int")
     start = F.make_date(whole.cast("int"), F.lit(1), F.lit(1))
     return F.when(y.isNotNull(), F.date_add(start, days))
 

@@ -564,3 +564,190 @@ def anomaly_framing(spark, sf):
     from tidemark.operators.anomaly import detect_anomalies, frame_anomalies
     res = detect_anomalies(table(spark, sf, "events"))
     return frame_anomalies(res.report, res.total_rows).drop("example_values", "suggested_action")
+
+
+# ------------------------------------------------ A12-A18, B9, B11-B14, C19
+@register("yearly_sum", """
+SELECT CAST(year(o_orderdate) AS BIGINT) AS year, ROUND(SUM(o_totalprice), 6) AS total_price,
+       printf('%04d-01', CAST(year(o_orderdate) AS BIGINT)) AS date
+FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1997 GROUP BY 1
+""")
+def yearly_sum(spark, sf):
+    """A18 + B9: dates as text are coerced to years, windowed, summed."""
+    from tidemark.operators.series import yearly_series
+    orders = table(spark, sf, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_day"), "o_totalprice")
+    return rounded(yearly_series(orders, "total_price", "order_day", "sum", "o_totalprice",
+                                 min_year=1993, max_year=1997))
+
+
+@register("yearly_avg", """
+SELECT CAST(year(l_shipdate) AS BIGINT) AS year, ROUND(AVG(l_quantity), 6) AS avg_quantity,
+       printf('%04d-01', CAST(year(l_shipdate) AS BIGINT)) AS date
+FROM lineitem GROUP BY 1
+""")
+def yearly_avg(spark, sf):
+    """A18 + B9 numeric path: a fractional year is rounded half to even."""
+    from tidemark.operators.series import yearly_series
+    items = table(spark, sf, "lineitem").select(
+        (F.year("l_shipdate") + F.lit(0.3)).alias("ship_year"), "l_quantity")
+    return rounded(yearly_series(items, "avg_quantity", "ship_year", "average", "l_quantity"))
+
+
+@register("yearly_count", """
+SELECT CAST(year(o_orderdate) AS BIGINT) AS year, COUNT(o_totalprice) AS order_count,
+       printf('%04d-01', CAST(year(o_orderdate) AS BIGINT)) AS date
+FROM orders GROUP BY 1
+""")
+def yearly_count(spark, sf):
+    from tidemark.operators.series import yearly_series
+    return yearly_series(table(spark, sf, "orders"), "order_count", "o_orderdate", "count",
+                         "o_totalprice")
+
+
+@register("yearly_distinct", """
+SELECT CAST(year(o_orderdate) AS BIGINT) AS year, COUNT(DISTINCT item) AS distinct_labels,
+       printf('%04d-01', CAST(year(o_orderdate) AS BIGINT)) AS date
+FROM (SELECT o_orderdate, UNNEST([o_orderpriority, o_orderstatus]) AS item FROM orders)
+GROUP BY 1
+""")
+def yearly_distinct(spark, sf):
+    """A18 count_distinct + B13 list cells + C19: list literals in a text cell."""
+    from tidemark.operators.series import yearly_series
+    orders = table(spark, sf, "orders").select(
+        "o_orderdate",
+        F.format_string("['%s', '%s']", "o_orderpriority", "o_orderstatus").alias("labels"))
+    return yearly_series(orders, "distinct_labels", "o_orderdate", "count_distinct",
+                         entity_column="labels", list_cells=True)
+
+
+@register("entity_filter", """
+SELECT o_orderkey, o_orderstatus, CAST(year(o_orderdate) AS BIGINT) AS year, o_totalprice,
+       CAST(1 AS BIGINT) AS month, printf('%04d-01', CAST(year(o_orderdate) AS BIGINT)) AS date
+FROM orders WHERE o_orderstatus = 'F'
+""")
+def entity_filter(spark, sf):
+    """One entity's rows with a numeric year, month 1 and a label."""
+    from tidemark.operators.series import entity_series
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderstatus", F.year("o_orderdate").cast("double").alias("year"),
+        "o_totalprice", "o_orderpriority")
+    return entity_series(orders, "o_orderstatus", "F", "year",
+                         ["o_orderkey", "o_orderstatus", "year", "o_totalprice"])
+
+
+@register("indicator_series", """
+SELECT o_orderpriority AS country_name, o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS year,
+       o_totalprice AS urgent_price, printf('%04d-01', CAST(year(o_orderdate) AS BIGINT)) AS date
+FROM orders WHERE o_orderpriority = '1-URGENT'
+""")
+def indicator_series(spark, sf):
+    """Configurable country/year/value columns, text values cast."""
+    from tidemark.operators.series import indicator_series as ind
+    raw = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("Country Name"), "o_orderkey",
+        F.year("o_orderdate").cast("string").alias("Year"),
+        F.format_string("%.2f", "o_totalprice").alias("Value"))
+    return ind(raw, "urgent_price", country_value="1-URGENT")
+
+
+@register("json_records", """
+SELECT event_id, event_type AS "Country Name", 'U' || CAST(user_id AS VARCHAR) AS "Country Code",
+       'event value' AS "Indicator Name", 'EV' AS "Indicator Code",
+       strftime(ts, '%Y-%m-%d') AS "Year", value AS "Value"
+FROM events
+""")
+def json_records(spark, sf):
+    """A ``[meta, [records]]`` feed per event, with one non-object record
+    that is skipped."""
+    from tidemark.operators.series import json_feed_records
+    ev = table(spark, sf, "events")
+    feed = F.format_string(
+        '[{"page": 1, "pages": 1}, [{"country": {"id": "U%d", "value": "%s"}, '
+        '"indicator": {"id": "EV", "value": "event value"}, "date": "%s", "value": %s}, 7]]',
+        "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd"), F.col("value").cast("string"))
+    return json_feed_records(ev.select("event_id", feed.alias("value")))
+
+
+@register("decimal_year", """
+WITH d AS (SELECT l_orderkey, l_linenumber, year(l_shipdate) + l_discount AS y FROM lineitem),
+e AS (SELECT l_orderkey, l_linenumber,
+             make_date(CAST(floor(y) AS INTEGER), 1, 1)
+               + CAST(round_even((y - floor(y)) * 365.2425, 0) AS INTEGER) AS observed FROM d)
+SELECT l_orderkey, l_linenumber, CAST(year(observed) AS BIGINT) AS year,
+       CAST(month(observed) AS BIGINT) AS month, strftime(observed, '%Y-%m-%d') AS day
+FROM e
+""")
+def decimal_year(spark, sf):
+    """Decimal years to dates."""
+    from tidemark.functions.exprs import decimal_year_to_date
+    items = table(spark, sf, "lineitem")
+    d = decimal_year_to_date(F.year("l_shipdate") + F.col("l_discount"))
+    return items.select("l_orderkey", "l_linenumber", F.year(d).cast("bigint").alias("year"),
+                        F.month(d).cast("bigint").alias("month"),
+                        F.date_format(d, "yyyy-MM-dd").alias("day"))
+
+
+@register("monthly_extent", """
+SELECT CAST(year(l_shipdate) AS BIGINT) AS year, CAST(month(l_shipdate) AS BIGINT) AS month,
+       'lineitem' AS source_dataset, l_returnflag AS region, l_quantity AS ice_extent,
+       CASE WHEN l_discount = 0 THEN NULL ELSE l_extendedprice END AS area,
+       printf('%04d-%02d', year(l_shipdate), month(l_shipdate)) AS date
+FROM lineitem WHERE l_tax <> 0
+""")
+def monthly_extent(spark, sf):
+    """A15 + B14 + D3: several same-shape tables with messy headers unioned,
+    sentinels to NULL, rows without a value dropped."""
+    from tidemark.operators.series import monthly_extent as extent
+    items = table(spark, sf, "lineitem")
+    def frame(status):
+        part = items.where(F.col("l_linestatus") == status)
+        return part.select(
+            F.year("l_shipdate").cast("bigint").alias("year"),
+            F.month("l_shipdate").cast("bigint").alias(" mo"),
+            F.lit("lineitem").alias("source_dataset"), F.col("l_returnflag").alias(" region"),
+            F.when(F.col("l_tax") == 0, F.lit(-9999.0)).otherwise(F.col("l_quantity")).alias(" extent"),
+            F.when(F.col("l_discount") == 0, F.lit(-9999.0)).otherwise(F.col("l_extendedprice")).alias("   area"))
+    return extent([frame("O"), frame("F")])
+
+
+@register("text_series", """
+SELECT CAST(year(ts) AS BIGINT) AS year, CAST(month(ts) AS BIGINT) AS month,
+       value AS temperature_anomaly, CAST(user_id AS DOUBLE) AS monthly_uncertainty,
+       CAST(NULL AS DOUBLE) AS annual_temperature_anomaly, CAST(NULL AS DOUBLE) AS annual_uncertainty,
+       CAST(NULL AS DOUBLE) AS five_year_temperature_anomaly, CAST(NULL AS DOUBLE) AS five_year_uncertainty,
+       CAST(NULL AS DOUBLE) AS ten_year_temperature_anomaly, CAST(NULL AS DOUBLE) AS ten_year_uncertainty,
+       CAST(NULL AS DOUBLE) AS twenty_year_temperature_anomaly, CAST(NULL AS DOUBLE) AS twenty_year_uncertainty,
+       printf('%04d-%02d', year(ts), month(ts)) AS date, 'berkeley_earth' AS source
+FROM events WHERE event_type <> 'error'
+""")
+def text_series(spark, sf):
+    """Whitespace lines with % comment lines (error events become comments)."""
+    from tidemark.operators.series import whitespace_series
+    ev = table(spark, sf, "events")
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("% note "), F.col("props"))) \
+        .otherwise(F.format_string("  %d  %d  %s  %d", F.year("ts"), F.month("ts"),
+                                   F.col("value").cast("string"), F.col("user_id")))
+    return whitespace_series(ev.select(line.alias("value")))
+
+
+@register("page_arrays", """
+SELECT page_id, CAST(NULL AS DOUBLE) AS year_decimal, CAST(NULL AS BIGINT) AS year,
+       CAST(NULL AS BIGINT) AS month, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS DOUBLE) AS sea_level,
+       CAST(NULL AS VARCHAR) AS source, 'Could not find chart_x in the source page.' AS error
+FROM pages WHERE NOT regexp_matches(html, 'var chart_x = \\[')
+""")
+def page_arrays(spark, sf):
+    """A14 over the raw pages: none of them carries the chart arrays, so every
+    page yields its error row (the zip path is covered by the tests)."""
+    from tidemark.operators.series import page_arrays as arrays
+    return arrays(table(spark, sf, "pages"), key_columns=["page_id"])
+
+
+@register("sql_export")
+def sql_export(spark, sf):
+    """INSERT statements (<= 500 rows each) for the catalog mart; the
+    number of statements depends on task layout, so this is a rows-only check."""
+    from tidemark.sources.sinks import insert_statements
+    mart = marts.catalog_summary_mart(table(spark, sf, "part"), "p_brand", "p_retailprice")
+    return insert_statements(mart, "mart_catalog_summary").select("statement")

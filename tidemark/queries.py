@@ -751,3 +751,180 @@ def sql_export(spark, sf):
     from tidemark.sources.sinks import insert_statements
     mart = marts.catalog_summary_mart(table(spark, sf, "part"), "p_brand", "p_retailprice")
     return insert_statements(mart, "mart_catalog_summary").select("statement")
+
+
+# ------------------------------------------------------------ G6-G9, D7, F13
+@register("kpi_values", """
+SELECT 'avg_total_price' AS kpi, 'primary' AS role, ROUND(AVG(o_totalprice), 6) AS value FROM orders
+UNION ALL SELECT 'median_total_price', 'secondary', ROUND(QUANTILE_CONT(o_totalprice, 0.5), 6) FROM orders
+UNION ALL SELECT 'record_count', 'secondary', CAST(COUNT(*) AS DOUBLE) FROM orders
+""")
+def kpi_values(spark, sf):
+    from tidemark.operators.kpis import kpi_values as kv
+    from tidemark.plans.question import resolve
+    orders = readable(spark, sf, "orders")
+    q = "Which order priorities generate the highest average price?"
+    spec = resolve(orders, q)
+    return rounded(kv(orders, q, spec.metric, spec.dimension, spec.aggregation))
+
+
+@register("kpi_values_count", """
+SELECT 'record_count' AS kpi, 'primary' AS role, CAST(COUNT(*) AS DOUBLE) AS value FROM lineitem
+UNION ALL SELECT 'avg_records_per_group', 'secondary',
+       ROUND(CAST(COUNT(*) AS DOUBLE) / COUNT(DISTINCT l_returnflag), 6) FROM lineitem
+UNION ALL SELECT 'unique_record_count', 'secondary', CAST(COUNT(*) AS DOUBLE)
+       FROM (SELECT DISTINCT * FROM lineitem)
+""")
+def kpi_values_count(spark, sf):
+    from tidemark.operators.kpis import kpi_values as kv
+    from tidemark.plans.question import resolve
+    items = readable(spark, sf, "lineitem")
+    q = "Count the line items for each return flag"
+    spec = resolve(items, q)
+    return rounded(kv(items, q, spec.metric, spec.dimension, spec.aggregation))
+
+
+@register("kpi_panel", """
+SELECT 'total_value' AS kpi, 'panel' AS role, ROUND(COALESCE(SUM(value), 0), 6) AS value FROM events
+UNION ALL SELECT 'avg_value', 'panel', ROUND(AVG(value), 6) FROM events
+""")
+def kpi_panel(spark, sf):
+    from tidemark.operators.kpis import kpi_panel as panel
+    return rounded(panel(table(spark, sf, "events")))
+
+
+_CHART_Q = "How does the value change over time?"
+
+
+@register("chart_time_series", """
+SELECT strftime(ts, '%Y-%m-%d') AS ts, COUNT(*) AS record_count,
+       ROUND(COALESCE(SUM(value), 0), 6) AS total_value FROM events GROUP BY 1
+""")
+def chart_time_series(spark, sf):
+    from tidemark.operators.kpis import chart_feeds
+    return rounded(chart_feeds(table(spark, sf, "events"), _CHART_Q)["time_series"])
+
+
+@register("chart_category", """
+SELECT event_type, COUNT(*) AS record_count, ROUND(COALESCE(SUM(value), 0), 6) AS total_value
+FROM events GROUP BY 1
+""")
+def chart_category(spark, sf):
+    from tidemark.operators.kpis import chart_feeds
+    return rounded(chart_feeds(table(spark, sf, "events"), _CHART_Q)["category_comparison"])
+
+
+@register("chart_dual_metric", """
+SELECT strftime(ts, '%Y-%m-%d') AS ts, ROUND(COALESCE(SUM(value), 0), 6) AS total_value,
+       COALESCE(SUM(event_id), 0) AS total_event_id FROM events GROUP BY 1
+""")
+def chart_dual_metric(spark, sf):
+    from tidemark.operators.kpis import chart_feeds
+    return rounded(chart_feeds(table(spark, sf, "events"), _CHART_Q)["dual_metric"])
+
+
+@register("mart_measures", """
+WITH c AS (SELECT p_brand, COUNT(*) AS record_count, COALESCE(SUM(p_retailprice), 0) AS total_p_retailprice,
+                  AVG(p_retailprice) AS avg_p_retailprice FROM part GROUP BY p_brand),
+r AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS order_year, COUNT(o_totalprice) AS record_count,
+             COALESCE(SUM(o_totalprice), 0) AS total_o_totalprice, AVG(o_totalprice) AS avg_o_totalprice
+      FROM orders GROUP BY 1)
+SELECT 'mart_catalog_summary' AS table_name, 'Total total_p_retailprice' AS measure_name,
+       ROUND(SUM(total_p_retailprice), 6) AS value FROM c
+UNION ALL SELECT 'mart_catalog_summary', 'Avg total_p_retailprice', ROUND(AVG(total_p_retailprice), 6) FROM c
+UNION ALL SELECT 'mart_catalog_summary', 'Total avg_p_retailprice', ROUND(SUM(avg_p_retailprice), 6) FROM c
+UNION ALL SELECT 'mart_catalog_summary', 'Avg avg_p_retailprice', ROUND(AVG(avg_p_retailprice), 6) FROM c
+UNION ALL SELECT 'mart_release_impact', 'Total order_year', CAST(SUM(order_year) AS DOUBLE) FROM r
+UNION ALL SELECT 'mart_release_impact', 'Avg order_year', ROUND(AVG(order_year), 6) FROM r
+UNION ALL SELECT 'mart_release_impact', 'Total total_o_totalprice', ROUND(SUM(total_o_totalprice), 6) FROM r
+UNION ALL SELECT 'mart_release_impact', 'Avg total_o_totalprice', ROUND(AVG(total_o_totalprice), 6) FROM r
+UNION ALL SELECT 'mart_release_impact', 'Total avg_o_totalprice', ROUND(SUM(avg_o_totalprice), 6) FROM r
+UNION ALL SELECT 'mart_release_impact', 'Avg avg_o_totalprice', ROUND(AVG(avg_o_totalprice), 6) FROM r
+""")
+def mart_measures(spark, sf):
+    """Total and average of every numeric mart column but record_count."""
+    from tidemark.operators.kpis import mart_measures as measures
+    catalog = marts.catalog_summary_mart(table(spark, sf, "part"), "p_brand", "p_retailprice")
+    orders = table(spark, sf, "orders").select(
+        F.year("o_orderdate").cast("bigint").alias("order_year"), "o_totalprice")
+    release = marts.release_impact_mart(orders, "o_totalprice", "order_year")
+    return rounded(measures({"mart_catalog_summary": catalog, "mart_release_impact": release}))
+
+
+def _key_sql(pairs) -> str:
+    parts = []
+    for lt, lexpr, rt, rexpr, col in pairs:
+        parts.append(f"""
+SELECT '{lt}' AS from_table, '{col}' AS from_column, '{rt}' AS to_table, '{col}' AS to_column,
+  (SELECT COUNT(DISTINCT {lexpr}) FROM {lt}) AS from_keys,
+  (SELECT COUNT({lexpr}) FROM {lt}) AS from_rows,
+  (SELECT COUNT(*) FROM (SELECT {lexpr} FROM {lt} WHERE {lexpr} IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1)) AS from_duplicate_keys,
+  (SELECT COUNT(DISTINCT {rexpr}) FROM {rt}) AS to_keys,
+  (SELECT COUNT({rexpr}) FROM {rt}) AS to_rows,
+  (SELECT COUNT(*) FROM (SELECT {rexpr} FROM {rt} WHERE {rexpr} IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1)) AS to_duplicate_keys,
+  (SELECT COUNT(DISTINCT {lexpr}) FROM {lt} WHERE {lexpr} IS NOT NULL AND {lexpr} NOT IN (SELECT {rexpr} FROM {rt} WHERE {rexpr} IS NOT NULL)) AS from_keys_missing_in_to,
+  (SELECT COUNT(DISTINCT {rexpr}) FROM {rt} WHERE {rexpr} IS NOT NULL AND {rexpr} NOT IN (SELECT {lexpr} FROM {lt} WHERE {lexpr} IS NOT NULL)) AS to_keys_missing_in_from""")
+    body = " UNION ALL ".join(parts)
+    return (f"SELECT *, CASE WHEN from_duplicate_keys > 0 AND to_duplicate_keys > 0 THEN 'many-to-many' "
+            f"WHEN from_duplicate_keys > 0 THEN 'many-to-one' WHEN to_duplicate_keys > 0 THEN 'one-to-many' "
+            f"ELSE 'one-to-one' END AS cardinality FROM ({body})")
+
+
+@register("key_check", _key_sql([
+    ("customer", "c_custkey", "orders", "o_custkey", "customer_key"),
+    ("customer", "c_nationkey", "supplier", "s_nationkey", "nation_key"),
+    ("customer", "c_acctbal", "supplier", "s_acctbal", "account_balance"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey", "nation_key"),
+]))
+def key_check(spark, sf):
+    """Shared column names checked as join keys on the data."""
+    from tidemark.operators.audit import key_checks
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation_key"),
+                                               F.col("n_name").alias("nation_name"))
+    return key_checks({"customer": readable(spark, sf, "customer"),
+                       "orders": readable(spark, sf, "orders"),
+                       "supplier": readable(spark, sf, "supplier"),
+                       "nation": nation})
+
+
+@register("lineage_audit", _DIRTY_ORDERS_SQL + """
+SELECT 'raw:: Order Key ' AS from_node, 'staging::order_key' AS to_node, 'type_cast' AS edge_type,
+       CAST(0 AS BIGINT) AS blanks_nulled, CAST(0 AS BIGINT) AS cast_failures
+UNION ALL SELECT 'raw::Customer Key', 'staging::customer_key', 'type_cast', 0, 0
+UNION ALL SELECT 'raw::Order Status', 'staging::order_status', 'normalized', 0, 0
+UNION ALL SELECT 'raw::Total Price', 'staging::total_price', 'type_cast',
+       (SELECT COUNT(*) FROM raw WHERE regexp_matches(c_price, '^\\s*$')),
+       (SELECT COUNT(*) FROM typed WHERE type_issue)
+UNION ALL SELECT 'raw::Order Date', 'staging::order_date', 'normalized', 0, 0
+UNION ALL SELECT 'raw::Created At', 'staging::created_at', 'type_cast', 0, 0
+UNION ALL SELECT 'raw::Order Priority', 'staging::order_priority', 'normalized',
+       (SELECT COUNT(*) FROM raw WHERE regexp_matches(c_priority, '^\\s*$')), 0
+UNION ALL SELECT 'staging::order_priority', 'mart::mart_question_answer::order_priority', 'passthrough', 0, 0
+UNION ALL SELECT 'staging::total_price', 'mart::mart_question_answer::avg_total_price', 'aggregated', 0, 0
+""")
+def lineage_audit(spark, sf):
+    """raw -> staging -> mart edges with measured changes."""
+    from tidemark.operators.audit import lineage_edges
+    from tidemark.operators.cleaning import clean
+    res = clean(dirty_orders(spark, sf))
+    mart = marts.question_answer_mart(res.df, "order_priority", "total_price", "average")
+    return lineage_edges(res, {"mart_question_answer": mart})
+
+
+@register("reconciliation", _DIRTY_ORDERS_SQL + """,
+staged AS (SELECT DISTINCT order_key, customer_key, order_status, total_price, order_date, created_at,
+                  order_priority FROM typed)
+SELECT 'record_count' AS "check", CAST(COUNT(*) AS DOUBLE) AS mart_value,
+       CAST(COUNT(*) AS DOUBLE) AS staging_value, true AS matches FROM staged
+UNION ALL
+SELECT 'metric_total', ROUND(SUM(total_price), 2), ROUND(SUM(total_price), 2), true FROM staged
+""")
+def reconciliation(spark, sf):
+    """the catalog mart's totals reconcile with the staging table."""
+    from tidemark.operators.audit import reconcile
+    from tidemark.operators.cleaning import clean
+    staging = clean(dirty_orders(spark, sf)).df
+    mart = marts.catalog_summary_mart(staging, "order_priority", "total_price")
+    out = reconcile(staging, mart, "total_price")
+    return out.select("check", F.round("mart_value", 2).alias("mart_value"),
+                      F.round("staging_value", 2).alias("staging_value"), "matches")

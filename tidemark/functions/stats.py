@@ -96,57 +96,73 @@ def _ranks_for(n: int, probs: list[float]) -> list[int]:
     return sorted(ranks)
 
 
+def _bracket(col: Column, lo, hi) -> Column:
+    inside = F.lit(True)
+    if lo is not None:
+        inside = inside & (col >= F.lit(lo))
+    if hi is not None:
+        inside = inside & (col <= F.lit(hi))
+    return inside
+
+
 def _values_at_ranks(x: DataFrame, n: int, ranks: list[int]) -> dict[int, float]:
     """Exact values at 0-based ranks of column ``x`` (non-null doubles).
 
-    State per rank: bracket [lo, hi] (inclusive, None = open) and rows below lo.
+    State per rank: a value bracket [lo, hi] (inclusive, None = open). Each
+    pass is one aggregate over all pending ranks that returns, per bracket,
+    the rows below it, the rows inside, rows equal to either end, an
+    approximate distinct count and an approximate quantile grid. The grid's
+    rank error (1/GRID_ACCURACY) is far below one grid step, so the next
+    bracket one step either side of the target still holds it; a target that
+    falls on a bracket end is answered at once, so a hot value cannot stall
+    the search. A bracket with few distinct values is read exactly.
     """
     col = F.col("x")
     state = {r: [None, None] for r in ranks}
     result: dict[int, float] = {}
-    for _ in range(12):
+    for _ in range(64):
         active = [r for r in ranks if r not in result]
         if not active:
             break
         aggs = []
         for i, r in enumerate(active):
             lo, hi = state[r]
-            inside = F.lit(True)
-            if lo is not None:
-                inside = inside & (col >= F.lit(lo))
-            if hi is not None:
-                inside = inside & (col <= F.lit(hi))
-            below = (col < F.lit(lo)) if lo is not None else F.lit(False)
+            inside = _bracket(col, lo, hi)
             aggs += [
-                F.count_if(below).alias(f"below_{i}"),
+                F.count_if(col < F.lit(lo) if lo is not None else F.lit(False)).alias(f"below_{i}"),
                 F.count_if(inside).alias(f"in_{i}"),
+                F.count_if(col == F.lit(lo) if lo is not None else F.lit(False)).alias(f"eqlo_{i}"),
+                F.count_if(col == F.lit(hi) if hi is not None else F.lit(False)).alias(f"eqhi_{i}"),
                 F.approx_count_distinct(F.when(inside, col)).alias(f"nd_{i}"),
-                F.percentile_approx(F.when(inside, col),
-                                    [k / GRID for k in range(GRID + 1)],
+                F.percentile_approx(F.when(inside, col), [k / GRID for k in range(GRID + 1)],
                                     GRID_ACCURACY).alias(f"grid_{i}"),
             ]
         row = x.agg(*aggs).collect()[0]
         readable = []
         for i, r in enumerate(active):
+            lo, hi = state[r]
             below, inside_n, nd, grid = row[f"below_{i}"], row[f"in_{i}"], row[f"nd_{i}"], row[f"grid_{i}"]
             t = r - below
             if not (0 <= t < inside_n):
                 state[r] = [None, None]           # bracket lost: restart from the full range
                 continue
+            if lo is not None and t < row[f"eqlo_{i}"]:
+                result[r] = lo
+                continue
+            if hi is not None and t >= inside_n - row[f"eqhi_{i}"]:
+                result[r] = hi
+                continue
             if nd <= BRACKET_READ_LIMIT or grid[0] == grid[-1]:
                 readable.append((r, below))
                 continue
-            phi = t / inside_n
-            k = phi * GRID
-            state[r] = [grid[max(0, math.floor(k) - 3)], grid[min(GRID, math.ceil(k) + 3)]]
+            k = t / inside_n * GRID
+            new = [grid[max(0, math.floor(k) - 1)], grid[min(GRID, math.ceil(k) + 1)]]
+            if new == [lo, hi]:                    # no progress: the target is strictly inside
+                new = [math.nextafter(lo, math.inf), math.nextafter(hi, -math.inf)]
+            state[r] = new
         for r, below in readable:
             lo, hi = state[r]
-            cond = F.lit(True)
-            if lo is not None:
-                cond = cond & (col >= F.lit(lo))
-            if hi is not None:
-                cond = cond & (col <= F.lit(hi))
-            pairs = x.where(cond).groupBy("x").count().collect()
+            pairs = x.where(_bracket(col, lo, hi)).groupBy("x").count().collect()
             seen = below
             for v, c in sorted((p["x"], p["count"]) for p in pairs):
                 if r < seen + c:

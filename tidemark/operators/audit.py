@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS
 from tidemark.functions.semantic import parse_metric_name
 
-CHECK_MEASURES = ("from_keys", "from_rows", "from_duplicate_keys", "to_keys", "to_rows",
-                  "to_duplicate_keys", "from_keys_missing_in_to", "to_keys_missing_in_from")
-
-
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -37,41 +33,40 @@ def candidate_pairs(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
     return pairs
 
 
-def _key_stats(df: DataFrame, col: str, side: str) -> tuple[DataFrame, DataFrame]:
-    keys = df.where(_c(col).isNotNull()).groupBy(_c(col).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    stats = keys.agg(F.count(F.lit(1)).alias(f"{side}_keys"), F.sum("n").alias(f"{side}_rows"),
-                     F.count_if(F.col("n") > 1).alias(f"{side}_duplicate_keys"))
-    return keys.select("k"), stats
+def _key_counts(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Distinct non-null keys with their row counts (map-side combined)."""
+    return df.where(_c(col).isNotNull()).groupBy(_c(col).alias("k")).agg(F.count(F.lit(1)).alias(name))
 
 
 def key_checks(tables: dict[str, DataFrame]) -> DataFrame:
     """Per candidate pair, keys, rows and duplicate keys per side, keys of
-    one side missing on the other (``left_anti`` on the distinct keys) and
-    the measured cardinality. Distinct keys are unique, so the anti joins see
-    no key skew even when one key holds a third of the rows."""
+    one side missing on the other and the measured cardinality.
+
+    Each side is reduced to its distinct keys with counts; one full outer join
+    of the two key sets feeds one aggregate. The joined keys are unique per
+    side, so the join sees no key skew even when a key holds a third of the
+    rows."""
     rows = []
-    for pid, (left, right, col) in enumerate(candidate_pairs(tables)):
-        lk, ls = _key_stats(tables[left], col, "from")
-        rk, rs = _key_stats(tables[right], col, "to")
-        parts = [ls, rs,
-                 lk.join(rk, "k", "left_anti").agg(F.count(F.lit(1)).alias("from_keys_missing_in_to")),
-                 rk.join(lk, "k", "left_anti").agg(F.count(F.lit(1)).alias("to_keys_missing_in_from"))]
-        longs = [p.select(F.inline(F.array(*[
-            F.struct(F.lit(m).alias("measure"), F.col(m).cast("bigint").alias("value"))
-            for m in p.columns]))) for p in parts]
-        rows.append(reduce(lambda a, b: a.unionByName(b), longs).select(
-            F.lit(pid).alias("pair"), F.lit(left).alias("from_table"), F.lit(col).alias("from_column"),
-            F.lit(right).alias("to_table"), F.lit(col).alias("to_column"), "measure", "value"))
+    for left, right, col in candidate_pairs(tables):
+        joined = _key_counts(tables[left], col, "nl").join(
+            _key_counts(tables[right], col, "nr"), "k", "full_outer")
+        rows.append(joined.agg(
+            F.lit(left).alias("from_table"), F.lit(col).alias("from_column"),
+            F.lit(right).alias("to_table"), F.lit(col).alias("to_column"),
+            F.count("nl").alias("from_keys"), F.coalesce(F.sum("nl"), F.lit(0)).alias("from_rows"),
+            F.count_if(F.col("nl") > 1).alias("from_duplicate_keys"),
+            F.count("nr").alias("to_keys"), F.coalesce(F.sum("nr"), F.lit(0)).alias("to_rows"),
+            F.count_if(F.col("nr") > 1).alias("to_duplicate_keys"),
+            F.count_if(F.col("nr").isNull()).alias("from_keys_missing_in_to"),
+            F.count_if(F.col("nl").isNull()).alias("to_keys_missing_in_from")))
     if not rows:
         raise ValueError("No shared column names across the tables.")
-    long = reduce(lambda a, b: a.unionByName(b), rows)
-    wide = long.groupBy("pair", "from_table", "from_column", "to_table", "to_column") \
-        .pivot("measure", list(CHECK_MEASURES)).agg(F.first("value"))
+    out = reduce(lambda a, b: a.unionByName(b), rows)
     many_from = F.col("from_duplicate_keys") > 0
     many_to = F.col("to_duplicate_keys") > 0
     card = (F.when(many_from & many_to, "many-to-many").when(many_from, "many-to-one")
              .when(many_to, "one-to-many").otherwise("one-to-one"))
-    return wide.withColumn("cardinality", card).drop("pair")
+    return out.withColumn("cardinality", card)
 
 
 def lineage_edges(result, mart_tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,11 +1,12 @@
 """Cleaning to a staging table.
 
-Two passes over the source:
+Passes over the source:
 
+0. for date-named text columns only, their first non-blank value (row order)
+   picks the date format (S11);
 1. one global aggregate over the raw columns counts, per text column, blanks,
-   values a numeric parser accepts, integer-looking values, and for
-   date-named columns the parse failures of every candidate format plus the
-   first non-null value (by row order). The decisions are exact (no sample).
+   values a numeric parser accepts, integer-looking values, and parse
+   failures of the chosen date format. The decisions are exact (no sample).
 2. a lazy projection applies the decisions (blank -> NULL, casts, row flags),
    then duplicates are removed with a ``groupBy`` over all data columns that
    keeps the flags of the first row (``min_by`` on the row id, S13). The
@@ -56,8 +57,9 @@ def looks_like_date_column(name: str) -> bool:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """A row-order key. File sources should add theirs at read time
-    (``tidemark.sources.readers``); otherwise the id follows partition order."""
+    """A row-order key (a long). The readers add it right after the file
+    scan, where it follows file and offset order; otherwise it follows the
+    partition order of the input. It is deterministic on recomputation."""
     if ROW_ID in df.columns:
         return df
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
@@ -113,7 +115,28 @@ class CleanResult:
             for i, c in enumerate(data_cols)])))
 
 
-def _stats_pass(df: DataFrame, text_cols: list[str], date_cols: list[str]) -> dict:
+def _text_value(c: str) -> Column:
+    return F.when(~_c(c).rlike(BLANK_TEXT), _c(c))
+
+
+def _first_value_formats(df: DataFrame, date_cols: list[str]) -> dict[str, int | None]:
+    """Index of the first format that reads each date-named column's
+    first non-blank value (row order); one job reading only those columns."""
+    if not date_cols:
+        return {}
+    firsts = df.agg(*[F.min_by(_text_value(c), F.when(_text_value(c).isNotNull(), F.col(ROW_ID)))
+                      .alias(f"f{i}") for i, c in enumerate(date_cols)])
+    row = firsts.select(*[F.try_to_timestamp(F.col(f"f{i}"), F.lit(fmt)).isNotNull().alias(f"ok_{i}_{k}")
+                          for i in range(len(date_cols)) for k, fmt in enumerate(DATE_FORMATS)]).collect()[0]
+    out = {}
+    for i, c in enumerate(date_cols):
+        out[c] = next((k for k in range(len(DATE_FORMATS)) if row[f"ok_{i}_{k}"]), None)
+    return out
+
+
+def _stats_pass(df: DataFrame, text_cols: list[str], date_formats: dict[str, list[int]]) -> dict:
+    """One aggregate: per text column blanks, values, numeric and integer
+    counts, and parse failures for the candidate date formats."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(text_cols):
         raw = _c(c)
@@ -127,27 +150,13 @@ def _stats_pass(df: DataFrame, text_cols: list[str], date_cols: list[str]) -> di
             F.count_if(number.isNotNull() & is_integer_text(value)
                        & F.trim(value).try_cast("bigint").isNotNull()).alias(f"int_{i}"),
         ]
-        if c in date_cols:
-            aggs.append(F.min_by(value, F.when(value.isNotNull(), F.col(ROW_ID))).alias(f"first_{i}"))
-            for k, fmt in enumerate(DATE_FORMATS):
-                aggs.append(F.count_if(value.isNotNull()
-                                       & F.try_to_timestamp(value, F.lit(fmt)).isNull())
-                            .alias(f"dfail_{i}_{k}"))
+        for k in date_formats.get(c, []):
+            aggs.append(F.count_if(value.isNotNull()
+                                   & F.try_to_timestamp(value, F.lit(DATE_FORMATS[k])).isNull())
+                        .alias(f"dfail_{i}_{k}"))
     return df.agg(*aggs).collect()[0].asDict()
 
 
-def _first_value_format(first: str | None, spark) -> int | None:
-    if first is None:
-        return None
-    row = spark.range(1).select(*[
-        F.try_to_timestamp(F.lit(first), F.lit(fmt)).isNotNull().alias(f"f{k}")
-        for k, fmt in enumerate(DATE_FORMATS)]).collect()[0]
-    for k in range(len(DATE_FORMATS)):
-        if row[f"f{k}"]:
-            return k
-    return None
-
-
 def clean(df: DataFrame) -> CleanResult:
     """Clean a table; returns the lazy staging DataFrame and the decision log."""
     spark = df.sparkSession
@@ -160,7 +169,12 @@ def clean(df: DataFrame) -> CleanResult:
     columns = [mapping[raw] for raw in original]
     text_cols = [c for c in columns if isinstance(types[c], T.StringType)]
     date_cols = [c for c in text_cols if looks_like_date_column(c)]
-    stats = _stats_pass(base, text_cols, date_cols)
+    # The format is the first one that reads the column's first value;
+    # only when none does, every format is counted and the best one taken.
+    chosen = _first_value_formats(base, date_cols)
+    candidates = {c: ([k] if k is not None else list(range(len(DATE_FORMATS))))
+                  for c, k in chosen.items()}
+    stats = _stats_pass(base, text_cols, candidates)
 
     decisions: list[ColumnDecision] = []
     projected: list[Column] = []
@@ -191,7 +205,7 @@ def clean(df: DataFrame) -> CleanResult:
             projected.append(out.alias(c))
             type_issues.append(value.isNotNull() & number.isNull())
         elif c in date_cols and d.non_null > 0:
-            k = _first_value_format(stats[f"first_{i}"], spark)
+            k = chosen[c]
             if k is None:   # first value matches no format: the format failing least
                 k = min(range(len(DATE_FORMATS)), key=lambda j: stats[f"dfail_{i}_{j}"])
             d.date_format = DATE_FORMATS[k]
@@ -214,16 +228,19 @@ def clean(df: DataFrame) -> CleanResult:
                         any_of(type_issues).alias("type_conversion_issue"),
                         any_of(date_issues).alias("invalid_date_parse"),
                         F.col(ROW_ID))
-    first = F.min_by(F.struct("invalid_date_parse", "type_conversion_issue"), F.col(ROW_ID))
+    # The first row's flags, packed in an int so the aggregation buffer is
+    # fixed-width and the dedup plans as a HashAggregate (a struct value
+    # would force a sort-based aggregate over all the key columns).
+    packed = F.col("type_conversion_issue").cast("int") + F.col("invalid_date_parse").cast("int") * 2
     deduped = typed.groupBy(*[_c(c) for c in columns]).agg(
-        first.alias("_flags"), F.min(ROW_ID).alias(ROW_ID))
+        F.min_by(packed, F.col(ROW_ID)).alias("_flags"), F.min(ROW_ID).alias(ROW_ID))
     has_nulls = F.greatest(*[_c(c).isNull() for c in columns]) if len(columns) > 1 \
         else _c(columns[0]).isNull()
     staged = deduped.select(
         *[_c(c) for c in columns],
         has_nulls.alias("has_nulls"),
-        F.col("_flags.invalid_date_parse").alias("invalid_date_parse"),
-        F.col("_flags.type_conversion_issue").alias("type_conversion_issue"),
+        (F.col("_flags").bitwiseAND(2) > 0).alias("invalid_date_parse"),
+        (F.col("_flags").bitwiseAND(1) > 0).alias("type_conversion_issue"),
         F.col(ROW_ID))
     result = CleanResult(df=staged.drop(ROW_ID), df_with_row_id=staged, decisions=decisions,
                          renamed=renamed, input_rows=stats["__rows"], original_columns=original)

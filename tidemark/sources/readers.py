@@ -3,9 +3,8 @@
 Any Hadoop-FS URI works (local paths, ``file://``, object stores); the format
 comes from the extension or an override. CSV is read as text and typed in
 one aggregate: a column becomes bigint / double / boolean only when every
-non-null value parses. Every reader adds ``_row_id``, a row-order key built
-from file metadata (Parquet row index; CSV block start + position), so
-"first row" rules stay deterministic without a global sort.
+non-null value parses. Every reader adds ``_row_id``, a long row-order key taken right after the
+scan, so "first row" rules stay deterministic without a global sort.
 """
 
 from __future__ import annotations
@@ -64,16 +63,13 @@ def _check_location(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"Source file not found: {path}")
 
 
-def _parquet_row_id() -> Column:
-    return F.struct(F.col("_metadata.file_path").alias("file"),
-                    F.lit(0).cast("bigint").alias("block"),
-                    F.col("_metadata.row_index").alias("pos"))
-
-
-def _csv_row_id() -> Column:
-    return F.struct(F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("pos"))
+def _row_id() -> Column:
+    """Row-order key taken directly after the scan: ``monotonically_increasing_id``
+    keeps the task index in the high bits and the position in the low bits.
+    File splits are assigned to tasks in file and offset order, so the key
+    follows the file order; it is a long so aggregates keyed on it stay
+    hash-based."""
+    return F.monotonically_increasing_id()
 
 
 def _na_to_null(c: Column) -> Column:
@@ -124,14 +120,14 @@ def read_csv(spark: SparkSession, path: str, options: dict | None = None,
         reader = reader.option(k, v)
     raw = reader.csv(path)
     df = raw.select(*[_na_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns],
-                    _csv_row_id().alias(ROW_ID))
+                    _row_id().alias(ROW_ID))
     return type_text_columns(df) if typed else df
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """A2: Parquet (Catalyst prunes columns and pushes filters into the scan)."""
     df = spark.read.parquet(path)
-    return df.select("*", _parquet_row_id().alias(ROW_ID))
+    return df.select("*", _row_id().alias(ROW_ID))
 
 
 def read_source(spark: SparkSession, path: str, source_format: str | None = None,

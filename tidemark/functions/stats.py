@@ -32,6 +32,17 @@ GRID = 1000
 GRID_ACCURACY = 100_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to the default parallelism, only when the input
+    has fewer partitions than that (small inputs: a few file splits, so the
+    shuffle is bounded by those splits). Large inputs already have at least
+    as many partitions as cores and are returned unchanged."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def value_text(c: Column, dtype: T.DataType) -> Column:
     """Stable text of a value for distinct counting of mixed-type columns."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -80,6 +91,40 @@ def column_counts(df: DataFrame, columns: list[str] | None = None,
     }
 
 
+def cardinality_counts(df: DataFrame, columns: list[str], count_marks=(1, 24, 100, 500),
+                       ratio_marks=(0.5, 0.9), margin: float = 0.10) -> dict:
+    """Non-null and distinct counts for threshold rules (question resolution).
+
+    One pass takes exact non-null counts and a 1%-error distinct sketch per
+    column. A column whose sketch lies within ``margin`` (about ten standard
+    errors) of a count or ratio threshold gets an exact distinct count; the
+    others keep the sketch, which is on the right side of every threshold. So
+    high-cardinality keys are never shuffled just to learn they are large.
+    """
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(columns):
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"nn_{i}"),
+                 F.approx_count_distinct(F.col(f"`{c}`"), 0.01).alias(f"ad_{i}")]
+    row = df.agg(*aggs).collect()[0]
+    non_null = {c: row[f"nn_{i}"] for i, c in enumerate(columns)}
+    approx = {c: row[f"ad_{i}"] for i, c in enumerate(columns)}
+
+    def near(c):
+        d, n = approx[c], non_null[c]
+        if any(abs(d - m) <= margin * m + 1 for m in count_marks):
+            return True
+        return n > 0 and any(abs(d / n - r) <= margin * r for r in ratio_marks)
+
+    exact_cols = [c for c in columns if near(c)]
+    distinct = dict(approx)
+    if exact_cols:
+        exact = {r["column_name"]: int(r["distinct_count"])
+                 for r in distinct_counts_df(df, exact_cols).collect()}
+        distinct.update({c: exact.get(c, 0) for c in exact_cols})
+    return {"rows": row["__rows"], "non_null": non_null, "distinct": distinct,
+            "exact": set(exact_cols)}
+
+
 def _interpolate(values_at: dict[int, float], n: int, p: float) -> float:
     pos = p * (n - 1)
     lo, hi = math.floor(pos), math.ceil(pos)

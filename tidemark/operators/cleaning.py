@@ -16,6 +16,7 @@ Passes over the source:
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from tidemark.functions.exprs import (
     BLANK_TEXT, NUMERIC_CONVERSION_THRESHOLD, is_integer_text, nan_to_null, parse_number)
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS, normalized_names
+from tidemark.functions.stats import spread
 
 ROW_ID = "_row_id"
 
@@ -51,6 +53,40 @@ DATE_FORMATS = (
 )
 
 
+def format_shape(fmt: str) -> str:
+    """A regex that every string the strict parser accepts for ``fmt`` matches
+    (a superset: numeric fields are any digit run). Strings outside it cannot
+    parse, so they are counted as failures without running the parser."""
+    out, i = ["^\\s*"], 0
+    while i < len(fmt):
+        ch = fmt[i]
+        if ch == "'":
+            j = fmt.index("'", i + 1)
+            out.append(re.escape(fmt[i + 1:j]))
+            i = j + 1
+            continue
+        j = i
+        while j < len(fmt) and fmt[j] == ch:
+            j += 1
+        if ch in "yMdHhmsS":
+            out.append("\\d+")
+        elif ch == "X":
+            out.append("(Z|[+-]\\d{1,2}(:?\\d{2})?)")
+        elif ch.isalpha():
+            out.append("\\S+")
+        else:
+            out.append(re.escape(fmt[i:j]))
+        i = j
+    out.append("\\s*$")
+    return "".join(out)
+
+
+def parses_as(value: Column, fmt: str) -> Column:
+    """True when ``value`` parses with ``fmt`` (shape-guarded, so text of
+    another shape never reaches the parser)."""
+    return value.rlike(format_shape(fmt)) & F.try_to_timestamp(value, F.lit(fmt)).isNotNull()
+
+
 def looks_like_date_column(name: str) -> bool:
     lowered = name.lower()
     return any(h in lowered for h in DATE_COLUMN_HINTS)
@@ -151,8 +187,7 @@ def _stats_pass(df: DataFrame, text_cols: list[str], date_formats: dict[str, lis
                        & F.trim(value).try_cast("bigint").isNotNull()).alias(f"int_{i}"),
         ]
         for k in date_formats.get(c, []):
-            aggs.append(F.count_if(value.isNotNull()
-                                   & F.try_to_timestamp(value, F.lit(DATE_FORMATS[k])).isNull())
+            aggs.append(F.count_if(value.isNotNull() & ~parses_as(value, DATE_FORMATS[k]))
                         .alias(f"dfail_{i}_{k}"))
     return df.agg(*aggs).collect()[0].asDict()
 
@@ -163,8 +198,8 @@ def clean(df: DataFrame) -> CleanResult:
     original = [c for c in df.columns if c != ROW_ID]
     mapping = normalized_names(original)
     renamed = {raw: new for raw, new in mapping.items() if raw != new}
-    base = with_row_id(df).select(
-        *[_c(raw).alias(mapping[raw]) for raw in original], F.col(ROW_ID))
+    base = spread(with_row_id(df).select(
+        *[_c(raw).alias(mapping[raw]) for raw in original], F.col(ROW_ID)))
     types = {f.name: f.dataType for f in base.schema.fields}
     columns = [mapping[raw] for raw in original]
     text_cols = [c for c in columns if isinstance(types[c], T.StringType)]
@@ -210,7 +245,8 @@ def clean(df: DataFrame) -> CleanResult:
                 k = min(range(len(DATE_FORMATS)), key=lambda j: stats[f"dfail_{i}_{j}"])
             d.date_format = DATE_FORMATS[k]
             d.failed = stats[f"dfail_{i}_{k}"]
-            parsed = F.try_to_timestamp(value, F.lit(d.date_format))
+            parsed = F.when(value.rlike(format_shape(d.date_format)),
+                            F.try_to_timestamp(value, F.lit(d.date_format)))
             if d.failed == 0:
                 d.kind, d.target_type = "datetime", "timestamp"
                 projected.append(parsed.alias(c))

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analytics this library rebuilds only ever read finite files and tables;
+there is no stream source, watermark, window or state to carry over, so no
+Structured Streaming operator is provided (see README, "Not built").
+"""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import is_numeric_type
-from tidemark.functions.stats import PERCENTILE_MAP_LIMIT, exact_quantiles
+from tidemark.functions.stats import PERCENTILE_MAP_LIMIT, exact_quantiles, spread
 
 ROW_ID = "_row_id"
 
@@ -74,6 +74,7 @@ def _quantile_table(df: DataFrame, cols: list[str], sizes: dict[str, tuple[int,
 
 def detect_anomalies(df: DataFrame, columns: list[str] | None = None) -> AnomalyResult:
     data = df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    data = spread(data)
     cols = columns or numeric_columns(df)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, is_numeric_type
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS
-from tidemark.functions.stats import distinct_counts_df, unpivot_values
+from tidemark.functions.stats import distinct_counts_df, spread, unpivot_values
 
 ROW_ID = "_row_id"
 
@@ -58,6 +58,7 @@ def profile(df: DataFrame, sample_size: int = 5, seed: int = 0) -> DataFrame:
     the shuffle, so each column sends at most ``sample_size`` values per task.
     """
     data = df.withColumn(ROW_ID, F.monotonically_increasing_id()) if ROW_ID not in df.columns else df
+    data = spread(data)
     cols = [c for c in df.columns if c != ROW_ID]
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -120,6 +121,7 @@ def dq_scores(df: DataFrame) -> DataFrame:
     """
     cols = [c for c in df.columns if c not in QUALITY_FLAG_COLUMNS and c != ROW_ID]
     types = {f.name: f.dataType for f in df.schema.fields}
+    df = spread(df)
     numeric = [c for c in cols if is_numeric_type(types[c])]
     text = [c for c in cols if isinstance(types[c], T.StringType)]
     aggs = [F.count(F.lit(1)).alias("_rows")]

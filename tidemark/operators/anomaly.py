@@ -56,14 +56,25 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _quantile_table(df: DataFrame, cols: list[str], sizes: dict[str, tuple[int, int]]) -> dict[str, tuple]:
-    """Q1/Q3 per column: one ``percentile`` aggregate for every column whose
-    distinct count is bounded; bracket refinement for the others."""
+    """Q1/Q3 per column. Columns whose distinct counts are bounded share
+    ``percentile`` aggregates, batched so the value maps one task merges
+    stay under ``PERCENTILE_MAP_LIMIT`` entries in total; the others use
+    bracket refinement."""
     small = [c for c in cols if sizes[c][1] <= PERCENTILE_MAP_LIMIT]
+    batches, current, held = [], [], 0
+    for c in small:
+        if current and held + sizes[c][1] > PERCENTILE_MAP_LIMIT:
+            batches.append(current)
+            current, held = [], 0
+        current.append(c)
+        held += sizes[c][1]
+    if current:
+        batches.append(current)
     out = {}
-    if small:
+    for batch in batches:
         row = df.agg(*[F.percentile(_c(c).cast("double"), [0.25, 0.75]).alias(f"q{i}")
-                       for i, c in enumerate(small)]).collect()[0]
-        for i, c in enumerate(small):
+                       for i, c in enumerate(batch)]).collect()[0]
+        for i, c in enumerate(batch):
             out[c] = tuple(row[f"q{i}"]) if row[f"q{i}"] is not None else (None, None)
     for c in cols:
         if c not in out:

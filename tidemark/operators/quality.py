@@ -48,7 +48,8 @@ def _numeric_like(dtype: T.DataType) -> bool:
     return is_numeric_type(dtype) or isinstance(dtype, T.BooleanType)
 
 
-def profile(df: DataFrame, sample_size: int = 5, seed: int = 0) -> DataFrame:
+def profile(df: DataFrame, sample_size: int = 5, seed: int = 0,
+            approx_distinct: bool = False) -> DataFrame:
     """per column dtype, null % (2 decimals), distinct count, samples, and
     min/max for numeric (and boolean) columns.
 
@@ -56,6 +57,8 @@ def profile(df: DataFrame, sample_size: int = 5, seed: int = 0) -> DataFrame:
     ``xxhash64(value, row id, seed)``: deterministic, and computed with a
     ``row_number`` filter that Spark turns into a per-task group limit before
     the shuffle, so each column sends at most ``sample_size`` values per task.
+    ``approx_distinct`` swaps the exact distinct counts (a shuffle of every
+    distinct value) for HyperLogLog sketches on very large tables.
     """
     data = df.withColumn(ROW_ID, F.monotonically_increasing_id()) if ROW_ID not in df.columns else df
     data = spread(data)
@@ -75,7 +78,8 @@ def profile(df: DataFrame, sample_size: int = 5, seed: int = 0) -> DataFrame:
         ("min", F.col(f"mn{i}") if _numeric_like(types[c]) else F.lit(None).cast("double")),
         ("max", F.col(f"mx{i}") if _numeric_like(types[c]) else F.lit(None).cast("double")),
     ]) for i, c in enumerate(cols)])
-    distinct = distinct_counts_df(data, cols).withColumnRenamed("distinct_count", "unique_count")
+    distinct = distinct_counts_df(data, cols, approx_distinct).withColumnRenamed(
+        "distinct_count", "unique_count")
     samples = sample_values(data, cols, sample_size, seed)
     out = (per_col.join(distinct, "column_name", "left").join(samples, "column_name", "left")
                   .withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
@@ -112,7 +116,7 @@ _VALUE_CLASSES = (
 )
 
 
-def dq_scores(df: DataFrame) -> DataFrame:
+def dq_scores(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Completeness, uniqueness, outlier flag, format score, weighted score.
 
     A Spark text column holds only text, so its format score is 100; the extra
@@ -145,7 +149,7 @@ def dq_scores(df: DataFrame) -> DataFrame:
         for name, rule in _VALUE_CLASSES:
             aggs2.append(F.count_if(rule(t)).alias(f"cls_{name}_{i}"))
     counts = df.agg(*aggs2)
-    distinct = distinct_counts_df(df, cols)
+    distinct = distinct_counts_df(df, cols, approx_distinct)
     rows, fields = moments["_rows"], []
     for i, c in enumerate(cols):
         nn = moments[f"nn{i}"]

@@ -91,20 +91,26 @@ def column_counts(df: DataFrame, columns: list[str] | None = None,
     }
 
 
+# Above this many distinct values a ratio threshold is judged from the sketch.
+EXACT_RATIO_LIMIT = 1_000_000
+
+
 def cardinality_counts(df: DataFrame, columns: list[str], count_marks=(1, 24, 100, 500),
-                       ratio_marks=(0.5, 0.9), margin: float = 0.10) -> dict:
+                       ratio_marks=(0.5, 0.9), margin: float = 0.25) -> dict:
     """Non-null and distinct counts for threshold rules (question resolution).
 
-    One pass takes exact non-null counts and a 1%-error distinct sketch per
-    column. A column whose sketch lies within ``margin`` (about ten standard
-    errors) of a count or ratio threshold gets an exact distinct count; the
-    others keep the sketch, which is on the right side of every threshold. So
-    high-cardinality keys are never shuffled just to learn they are large.
+    One pass takes exact non-null counts and a HyperLogLog sketch (5%
+    standard error) per column. Columns whose sketch is within ``margin``
+    (about five standard errors) of a count threshold get an exact distinct
+    count; these are low-cardinality columns, so the exact count is cheap.
+    Near a ratio threshold the count is made exact up to ``EXACT_RATIO_LIMIT``
+    distinct values; beyond it the sketch decides, so a key column with
+    billions of values is never shuffled just to learn that it is large.
     """
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(columns):
         aggs += [F.count(F.col(f"`{c}`")).alias(f"nn_{i}"),
-                 F.approx_count_distinct(F.col(f"`{c}`"), 0.01).alias(f"ad_{i}")]
+                 F.approx_count_distinct(F.col(f"`{c}`")).alias(f"ad_{i}")]
     row = df.agg(*aggs).collect()[0]
     non_null = {c: row[f"nn_{i}"] for i, c in enumerate(columns)}
     approx = {c: row[f"ad_{i}"] for i, c in enumerate(columns)}
@@ -113,7 +119,8 @@ def cardinality_counts(df: DataFrame, columns: list[str], count_marks=(1, 24, 10
         d, n = approx[c], non_null[c]
         if any(abs(d - m) <= margin * m + 1 for m in count_marks):
             return True
-        return n > 0 and any(abs(d / n - r) <= margin * r for r in ratio_marks)
+        return (n > 0 and d <= EXACT_RATIO_LIMIT
+                and any(abs(d / n - r) <= margin * r for r in ratio_marks))
 
     exact_cols = [c for c in columns if near(c)]
     distinct = dict(approx)

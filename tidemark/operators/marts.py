@@ -105,7 +105,7 @@ def top_entities_mart(df: DataFrame, dimension: str, metric: str, aggregation: s
     ascending = ordering == "lowest"
     sort_col = "record_count" if metric == "record_count" else metric_name(metric, aggregation)
     w = Window.orderBy(_order(_c(sort_col), ascending), _c(dimension).asc_nulls_last())
-    out = ranked.withColumn("rank", F.row_number().over(w))
+    out = ranked.withColumn("rank", F.row_number().over(w).cast("bigint"))
     return out.select("rank", *[c for c in ranked.columns])
 
 
@@ -213,15 +213,22 @@ def distribution_mart(df: DataFrame, metric: str, bins: int = 10) -> DataFrame:
 SUMMARY_PROBS = (0.5, 0.05, 0.25, 0.75, 0.95)
 
 
-def summary_stats_mart(df: DataFrame, metric: str) -> DataFrame:
+def summary_stats_mart(df: DataFrame, metric: str, approx_accuracy: int | None = None) -> DataFrame:
     """One row of min, max, mean, median, std (ddof 1, 0 for one value),
-    p05/p25/p75/p95 (exact, linear interpolation)."""
+    p05/p25/p75/p95 (exact, linear interpolation; or, when
+    ``approx_accuracy`` is given, Spark's ``percentile_approx`` in one pass)."""
     require_columns(df, [metric])
     x = _c(metric).cast("double")
-    base = df.agg(F.count(x).alias("n"), F.approx_count_distinct(x).alias("d")).collect()[0]
+    if approx_accuracy:
+        base = df.agg(F.count(x).alias("n"), F.percentile_approx(
+            x, list(SUMMARY_PROBS), approx_accuracy).alias("q")).collect()[0]
+        q = [float(v) for v in base["q"]] if base["q"] is not None else None
+    else:
+        base = df.agg(F.count(x).alias("n"), F.approx_count_distinct(x).alias("d")).collect()[0]
     if base["n"] == 0:
         raise ValueError("Cannot build summary statistics from an empty metric.")
-    q = exact_quantiles(df, metric, list(SUMMARY_PROBS), n=base["n"], distinct=base["d"])
+    if not approx_accuracy:
+        q = exact_quantiles(df, metric, list(SUMMARY_PROBS), n=base["n"], distinct=base["d"])
     named = lambda e, agg: _named(e, metric, agg)
     return df.agg(
         F.lit(metric).alias("source_metric_column"),

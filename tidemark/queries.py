@@ -460,9 +460,9 @@ def _dq_sql(cols) -> str:
             outlier = "false"
         parts.append(
             f"SELECT '{c}' AS column_name, ROUND(CAST(COUNT({c}) AS DOUBLE) / COUNT(*) * 100, 1) AS completeness, "
-            f"CASE WHEN COUNT({c}) = 0 THEN 100.0 ELSE "
+            f"CASE WHEN COUNT({c}) = 0 THEN CAST(100.0 AS DOUBLE) ELSE "
             f"ROUND(CAST(COUNT(DISTINCT {c}) AS DOUBLE) / COUNT({c}) * 100, 1) END AS uniqueness, "
-            f"{outlier} AS outlier_flag, 100.0 AS format_score FROM customer")
+            f"{outlier} AS outlier_flag, CAST(100.0 AS DOUBLE) AS format_score FROM customer")
     return ("WITH s AS (" + " UNION ALL ".join(parts) + ") SELECT column_name, completeness, uniqueness, "
             "outlier_flag, format_score, ROUND(completeness * 0.4 + uniqueness * 0.2 + format_score * 0.4, 1) "
             "AS dq_score FROM s")
@@ -816,7 +816,7 @@ def chart_category(spark, sf):
 
 @register("chart_dual_metric", """
 SELECT strftime(ts, '%Y-%m-%d') AS ts, ROUND(COALESCE(SUM(value), 0), 6) AS total_value,
-       COALESCE(SUM(event_id), 0) AS total_event_id FROM events GROUP BY 1
+       CAST(COALESCE(SUM(event_id), 0) AS BIGINT) AS total_event_id FROM events GROUP BY 1
 """)
 def chart_dual_metric(spark, sf):
     from tidemark.operators.kpis import chart_feeds

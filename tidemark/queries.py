@@ -928,3 +928,35 @@ def reconciliation(spark, sf):
     out = reconcile(staging, mart, "total_price")
     return out.select("check", F.round("mart_value", 2).alias("mart_value"),
                       F.round("staging_value", 2).alias("staging_value"), "matches")
+
+
+def dirty_customers(spark, sf):
+    """Stand-in raw input: the whole customer table as text. The balance
+    column has a word in every third row (below the 80% numeric rule), the
+    keys are integer text, and the signup dates all parse."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        k.cast("string").alias("Customer Key"),
+        F.col("c_nationkey").cast("string").alias("Nation Key"),
+        F.when(k % 3 == 0, F.lit("n/a")).otherwise(F.format_string("%.2f", "c_acctbal")).alias("Account Balance"),
+        F.format_string("%.1f", F.col("c_nationkey") / 2).alias("Half Nation"),
+        F.col("c_mktsegment").alias("Market Segment"),
+        F.date_format(F.date_add(F.make_date(F.lit(2020), F.lit(1), F.lit(1)), (k % 365).cast("int")),
+                      "yyyy-MM-dd").alias("Signup Date"),
+    )
+
+
+@register("clean_customer", """
+SELECT CAST(c_custkey AS BIGINT) AS customer_key, CAST(c_nationkey AS BIGINT) AS nation_key,
+       CASE WHEN c_custkey % 3 = 0 THEN 'n/a' ELSE printf('%.2f', c_acctbal) END AS account_balance,
+       ROUND(CAST(printf('%.1f', c_nationkey / 2) AS DOUBLE), 6) AS half_nation,
+       c_mktsegment AS market_segment,
+       CAST(make_date(2020, 1, 1) + CAST(c_custkey % 365 AS INTEGER) AS TIMESTAMP) AS signup_date,
+       false AS has_nulls, false AS invalid_date_parse, false AS type_conversion_issue
+FROM customer
+""")
+def clean_customer(spark, sf):
+    """B3 below the threshold (text kept), bigint vs double, B4 all dates parse."""
+    from tidemark.operators.cleaning import clean
+    return rounded(clean(dirty_customers(spark, sf)).df)

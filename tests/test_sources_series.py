@@ -134,6 +134,12 @@ def test_yearly_aggregate_and_lists(spark, tmp_path):
                                        "metric_column": "avg_rating", "aggregation": "average",
                                        "value_column": "rating"})
     assert [(r["year"], r["avg_rating"]) for r in avg.collect()] == [(1999, 5.0), (2001, 3.5)]
+    with pytest.raises(ValueError):
+        loaders.load_dataset(spark, {"loader": "aggregated_time_series", "path": str(p),
+                                     "metric_column": "m", "aggregation": "sum",
+                                     "value_column": "rating", "min_year": 2050})
+    with pytest.raises(ValueError):
+        loaders.load_dataset(spark, {"loader": "nope", "path": str(p)})
 
 
 def test_coerce_year_rules(spark):

@@ -71,10 +71,14 @@ def load_indicator(spark: SparkSession, path: str, config: dict) -> DataFrame:
         raw = series.json_feed_records(spark.read.text(path, wholetext=True))
     else:
         raw = read_csv(spark, path).drop("_row_id")
-    return series.indicator_series(raw, metric, config.get("country_column", "Country Name"),
-                                   config.get("year_column", "Year"),
-                                   config.get("value_column", "Value"),
-                                   config.get("country_value", "World"))
+    out = series.indicator_series(raw, metric, config.get("country_column", "Country Name"),
+                                  config.get("year_column", "Year"),
+                                  config.get("value_column", "Value"),
+                                  config.get("country_value", "World"))
+    if out.isEmpty():
+        raise ValueError("world_indicator_series source does not contain "
+                         f"{config.get('country_value', 'World')!r} rows with values.")
+    return out
 
 
 def load_yearly_aggregate(spark: SparkSession, path: str, config: dict) -> DataFrame:
@@ -83,11 +87,14 @@ def load_yearly_aggregate(spark: SparkSession, path: str, config: dict) -> DataF
     if not metric:
         raise ValueError("aggregated_time_series loader requires metric_column in config.")
     df = read_csv(spark, path)
-    return series.yearly_series(df, metric, config.get("time_source_column", "year"),
-                                str(config.get("aggregation", "sum")).lower(),
-                                config.get("value_column"), config.get("entity_column"),
-                                str(config.get("entity_parser", "")).lower() == "python_list",
-                                config.get("min_year"), config.get("max_year"))
+    out = series.yearly_series(df, metric, config.get("time_source_column", "year"),
+                               str(config.get("aggregation", "sum")).lower(),
+                               config.get("value_column"), config.get("entity_column"),
+                               str(config.get("entity_parser", "")).lower() == "python_list",
+                               config.get("min_year"), config.get("max_year"))
+    if out.isEmpty():
+        raise ValueError("aggregated_time_series source did not contain usable year and value rows.")
+    return out
 
 
 LOADERS = {

@@ -198,7 +198,9 @@ def dirty_orders(spark, sf):
     work happens in ``tidemark.operators.cleaning``."""
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
-    raw = o.select(
+    # every 50th order appears twice: a per-row repeat count, one scan, no filter
+    copies = F.explode(F.array_repeat(F.lit(1), F.when(k % 50 == 0, 2).otherwise(1)))
+    raw = o.select(copies.alias("_copy"), "*").select(
         k.cast("string").alias(" Order Key "),
         F.col("o_custkey").cast("string").alias("Customer Key"),
         F.col("o_orderstatus").alias("Order Status"),
@@ -209,7 +211,7 @@ def dirty_orders(spark, sf):
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Created At"),
         F.when(k % 13 == 0, F.lit("")).otherwise(F.col("o_orderpriority")).alias("Order Priority"),
     )
-    return raw.unionByName(raw.where(F.col(" Order Key ").cast("bigint") % 50 == 0))
+    return raw
 
 
 _DIRTY_ORDERS_SQL = """

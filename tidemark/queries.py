@@ -702,15 +702,16 @@ def monthly_extent(spark, sf):
     sentinels to NULL, rows without a value dropped."""
     from tidemark.operators.series import monthly_extent as extent
     items = table(spark, sf, "lineitem")
-    def frame(status):
-        part = items.where(F.col("l_linestatus") == status)
+    is_open = F.col("l_linestatus").eqNullSafe(F.lit("O"))
+    def frame(open_rows):
+        part = items.where(is_open if open_rows else ~is_open)
         return part.select(
             F.year("l_shipdate").cast("bigint").alias("year"),
             F.month("l_shipdate").cast("bigint").alias(" mo"),
             F.lit("lineitem").alias("source_dataset"), F.col("l_returnflag").alias(" region"),
             F.when(F.col("l_tax") == 0, F.lit(-9999.0)).otherwise(F.col("l_quantity")).alias(" extent"),
             F.when(F.col("l_discount") == 0, F.lit(-9999.0)).otherwise(F.col("l_extendedprice")).alias("   area"))
-    return extent([frame("O"), frame("F")])
+    return extent([frame(True), frame(False)])
 
 
 @register("text_series", """

@@ -147,3 +147,29 @@ def test_integrated_marts(spark):
     dec = [(r["decade"], r["record_count"]) for r in marts.decade_mart(df, "cost").collect()]
     assert dec == [(1990, 1), (2020, 2)]
     assert marts.integrated_metric_columns(df) == ["revenue", "cost"]
+
+
+def test_histogram_edges_match_pandas_cut():
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        scale = 10.0 ** int(rng.integers(-4, 7))
+        vals = pd.Series(rng.normal(0, 1, 40) * scale + rng.normal() * scale)
+        n = min(10, vals.nunique())
+        cats = pd.cut(vals, bins=n)
+        iv = cats.cat.categories
+        edges, labels = marts.histogram_edges(float(vals.min()), float(vals.max()), n)
+        assert labels == [float(iv[0].left)] + [float(i.right) for i in iv]
+        a = vals.to_numpy()
+        assert [int(((a > edges[i]) & (a <= edges[i + 1])).sum()) for i in range(n)] == \
+            cats.value_counts(sort=False).tolist()
+
+
+def test_numeric_text_rule_matches_pandas():
+    import re
+    import pandas as pd
+    from tidemark.functions.exprs import NUMERIC_TEXT
+    for t in ["1", " 2 ", "1e3", "1E-2", "+5", "-7.5", ".5", "5.", "inf", "-inf", "Infinity", "nan",
+              "NaN", "1,000", "1_000", "0x10", "1d", "1f", "abc", "1.2.3", "--1", "1e", "e3", "1 000"]:
+        p = pd.to_numeric(pd.Series([t.strip()], dtype="string"), errors="coerce").iloc[0]
+        assert (not pd.isna(p)) == (re.match(NUMERIC_TEXT, t.strip()) is not None), t

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, parse_number
+from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, drop_nan, parse_number
 from tidemark.functions.names import normalize_name
 
 ROW_ID = "_row_id"
@@ -126,7 +126,7 @@ def read_csv(spark: SparkSession, path: str, options: dict | None = None,
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """A2: Parquet (Catalyst prunes columns and pushes filters into the scan)."""
-    df = spark.read.parquet(path)
+    df = drop_nan(spark.read.parquet(path))       # S15: floating NaN is missing
     return df.select("*", _row_id().alias(ROW_ID))
 
 

@@ -173,3 +173,14 @@ def test_numeric_text_rule_matches_pandas():
               "NaN", "1,000", "1_000", "0x10", "1d", "1f", "abc", "1.2.3", "--1", "1e", "e3", "1 000"]:
         p = pd.to_numeric(pd.Series([t.strip()], dtype="string"), errors="coerce").iloc[0]
         assert (not pd.isna(p)) == (re.match(NUMERIC_TEXT, t.strip()) is not None), t
+
+
+def test_correlation_batches(spark, monkeypatch):
+    monkeypatch.setattr(marts, "PAIRS_PER_PASS", 2)
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(30, 4))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "a double, b double, c double, d double")
+    out = {(r["left_metric"], r["right_metric"]): r["correlation"]
+           for r in marts.correlation_mart(df, ["a", "b", "c", "d"]).collect()}
+    assert len(out) == 6
+    assert out[("b", "d")] == pytest.approx(np.corrcoef(data[:, 1], data[:, 3])[0, 1])

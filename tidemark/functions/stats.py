@@ -75,6 +75,12 @@ def distinct_counts_df(df: DataFrame, columns: list[str], approx: bool = False)
                 .groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count")))
 
 
+def non_null_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Non-null count per column in one aggregate (no distinct counting)."""
+    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).collect()[0]
+    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
+
+
 def column_counts(df: DataFrame, columns: list[str] | None = None,
                   approx_distinct: bool = False) -> dict:
     """Rows plus per-column non-null and distinct counts (two jobs, small results)."""

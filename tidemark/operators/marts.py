@@ -332,9 +332,12 @@ def correlation_mart(df: DataFrame, columns: list[str]) -> DataFrame:
     if len(available) < 2:
         raise ValueError("At least two integrated dataset columns are required for correlation.")
     names = sorted(available)
-    aggs, structs = [], []
-    for i, a in enumerate(names):
-        for b in names[i + 1:]:
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    parts = []
+    # pairs are computed in batches so one generated aggregate stays compact
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        aggs, structs = [], []
+        for a, b in pairs[start:start + PAIRS_PER_PASS]:
             both = _c(a).isNotNull() & _c(b).isNotNull()
             xa = F.when(both, _c(a).cast("double"))
             xb = F.when(both, _c(b).cast("double"))
@@ -343,10 +346,15 @@ def correlation_mart(df: DataFrame, columns: list[str]) -> DataFrame:
                                      F.stddev_samp(xa) * F.stddev_samp(xb)).alias(key))
             structs.append(F.struct(F.lit(a).alias("left_metric"), F.lit(b).alias("right_metric"),
                                     F.col(key).alias("correlation")))
-    out = df.agg(*aggs).select(F.inline(F.array(*structs)))
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
 
 
+PAIRS_PER_PASS = 64
+
 # The four named climate columns of the specialised mart set.
 CLIMATE_COLUMNS = ("temperature", "co2", "sea_level", "ice_extent")
 

@@ -32,14 +32,20 @@ GRID = 1000
 GRID_ACCURACY = 100_000
 
 
+SPREAD_FACTOR = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the default parallelism, only when the input
-    has fewer partitions than that (small inputs: a few file splits, so the
-    shuffle is bounded by those splits). Large inputs already have at least
-    as many partitions as cores and are returned unchanged."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    """Round-robin repartition of a small input so CPU-heavy per-row work uses
+    the cores: only when the input has fewer partitions than the default
+    parallelism (a few file splits, so the shuffle is bounded by them), and
+    to at most ``SPREAD_FACTOR`` partitions per input partition, so a single
+    split is never scattered over thousands of tasks on a big cluster. Large
+    inputs already have enough partitions and are returned unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    current = df.rdd.getNumPartitions()
+    if current < cores:
+        return df.repartition(min(cores, current * SPREAD_FACTOR))
     return df
 
 

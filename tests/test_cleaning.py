@@ -90,12 +90,13 @@ def test_dedup_keeps_null_keys_together(spark):
 
 def test_dedup_keeps_first_rows_flags(spark):
     # 'oops' (cast failure) and '  ' (blank) both become NULL: one group, first row wins
-    first_bad = spark.createDataFrame([("A", "oops"), ("A", "  "), ("B", "1"), ("B", "2"), ("C", "3")],
+    nums = [("B", "1"), ("B", "2"), ("C", "3"), ("D", "4"), ("E", "5")]
+    first_bad = spark.createDataFrame([("A", "oops"), ("A", "  ")] + nums,
                                       "k string, n string").coalesce(1)
     res = clean(first_bad)
     row = [r for r in res.df.collect() if r["k"] == "A"]
     assert len(row) == 1 and row[0]["n"] is None and row[0]["type_conversion_issue"] is True
-    first_blank = spark.createDataFrame([("A", "  "), ("A", "oops"), ("B", "1"), ("B", "2"), ("C", "3")],
+    first_blank = spark.createDataFrame([("A", "  "), ("A", "oops")] + nums,
                                         "k string, n string").coalesce(1)
     row = [r for r in clean(first_blank).df.collect() if r["k"] == "A"]
     assert len(row) == 1 and row[0]["type_conversion_issue"] is False

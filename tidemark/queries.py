@@ -553,19 +553,56 @@ def anomaly_rows(spark, sf):
     return res.flagged_rows.select("event_id", "event_type", "anomaly_columns", "has_anomaly")
 
 
-@register("anomaly_framing", _anomaly_rules_sql(_EVENT_COLS) + """
-, f AS (SELECT "column", method, threshold, anomaly_count,
+_ACTION_SQL = """CASE impact
+  WHEN 'high' THEN printf('Column `%s` has a high concentration of %s-detected outliers. Review the distribution before aggregating — consider capping extreme values or investigating the upstream data source for collection errors.', "column", method)
+  WHEN 'medium' THEN printf('Column `%s` contains a moderate number of %s-detected outliers. Verify whether these are valid edge cases or data quality issues before including them in summary statistics or KPI calculations.', "column", method)
+  ELSE printf('Column `%s` has isolated %s-detected outliers (low frequency). These are unlikely to materially affect aggregated metrics; monitor over time and re-evaluate if the dataset grows.', "column", method) END"""
+
+_FRAMED_SQL = _anomaly_rules_sql(_EVENT_COLS) + """
+, f AS (SELECT pos, "column", method, threshold, anomaly_count,
               CAST(anomaly_count AS DOUBLE) / (SELECT COUNT(*) FROM events) AS fr
-       FROM rules WHERE method IS NOT NULL)
-SELECT "column", method, threshold, anomaly_count, ROUND(fr, 4) AS frequency,
-       CASE WHEN fr >= 0.10 THEN 'high' WHEN fr >= 0.02 THEN 'medium' ELSE 'low' END AS impact
-FROM f
+       FROM rules WHERE method IS NOT NULL),
+framed AS (SELECT pos, "column", method, threshold, anomaly_count, ROUND(fr, 4) AS frequency,
+                  CASE WHEN fr >= 0.10 THEN 'high' WHEN fr >= 0.02 THEN 'medium' ELSE 'low' END AS impact
+           FROM f)
+"""
+
+
+@register("anomaly_framing", _FRAMED_SQL + f"""
+SELECT "column", method, threshold, anomaly_count, frequency, impact, {_ACTION_SQL} AS suggested_action
+FROM framed
 """)
 def anomaly_framing(spark, sf):
-    """F11 per column (the action text is a fixed template of impact and method)."""
+    """F11 per column: frequency, impact tier and the suggested action."""
     from tidemark.operators.anomaly import detect_anomalies, frame_anomalies
     res = detect_anomalies(table(spark, sf, "events"))
-    return frame_anomalies(res.report, res.total_rows).drop("example_values", "suggested_action")
+    return frame_anomalies(res.report, res.total_rows).drop("example_values")
+
+
+@register("anomaly_summary", _FRAMED_SQL + f""",
+flagged AS (SELECT {_flag_sql(_EVENT_COLS)} AS anomaly_columns FROM events),
+counts AS (SELECT COUNT(*) FILTER (WHERE anomaly_columns <> '') AS a, COUNT(*) AS t FROM flagged),
+tiers AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE impact = 'high') AS high,
+                 COUNT(*) FILTER (WHERE impact = 'medium') AS medium,
+                 string_agg(CASE WHEN impact = 'high' THEN '`' || "column" || '`' END, ', ' ORDER BY pos) AS high_cols,
+                 string_agg(CASE WHEN impact = 'medium' THEN '`' || "column" || '`' END, ', ' ORDER BY pos) AS medium_cols
+          FROM framed)
+SELECT a AS anomaly_row_count, t AS total_row_count,
+       CASE WHEN n = 0 OR a = 0 THEN 'No anomalies were detected in this dataset.'
+            WHEN high > 0 THEN printf('%d rows (%s%%) contain anomalies; high-impact columns requiring immediate attention: %s.',
+                                      a, CAST(ROUND(100.0 * a / t, 1) AS VARCHAR), high_cols)
+            WHEN medium > 0 THEN printf('%d rows (%s%%) contain anomalies; medium-impact columns to review before publishing metrics: %s.',
+                                        a, CAST(ROUND(100.0 * a / t, 1) AS VARCHAR), medium_cols)
+            ELSE printf('%d rows (%s%%) contain low-frequency anomalies across %d column(s) — no immediate action required.',
+                        a, CAST(ROUND(100.0 * a / t, 1) AS VARCHAR), n) END AS business_summary
+FROM counts, tiers
+""")
+def anomaly_summary(spark, sf):
+    """the one-sentence summary over the framed report."""
+    from tidemark.operators.anomaly import business_summary, detect_anomalies, frame_anomalies
+    res = detect_anomalies(table(spark, sf, "events"))
+    framed = frame_anomalies(res.report, res.total_rows)
+    return business_summary(framed, res.anomaly_row_count(), res.total_rows)
 
 
 # ------------------------------------------------ A12-A18, B9, B11-B14, C19

@@ -1,7 +1,8 @@
 import pytest
 
 from tidemark.functions.semantic import metric_name, parse_metric_name
-from tidemark.operators.kpis import chart_feeds, chart_measures, kpi_panel, kpi_values, mart_measures, primary_measure
+from tidemark.operators.kpis import (
+    chart_feeds, chart_measures, kpi_panel, kpi_values, mart_measures, primary_measure, rank_dimensions)
 
 
 @pytest.fixture()
@@ -14,6 +15,7 @@ def x19(spark):
 def test_kpi_values_follow_question(x19):
     q = "Which release years generate the strongest average streams by provider?"
     assert primary_measure(x19, q) == "streams"
+    assert rank_dimensions(x19, q)[:2] == ["release_year", "provider"]
     rows = [(r["kpi"], r["role"], r["value"]) for r in kpi_values(x19, q).collect()]
     assert rows == [("avg_streams", "primary", 1500.0), ("median_streams", "secondary", 1500.0),
                     ("record_count", "secondary", 3.0)]

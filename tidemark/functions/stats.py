@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,17 +36,22 @@ GRID_ACCURACY = 100_000
 SPREAD_FACTOR = 32
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, reused: bool = False) -> DataFrame:
     """Round-robin repartition of a small input so CPU-heavy per-row work uses
     the cores: only when the input has fewer partitions than the default
     parallelism (a few file splits, so the shuffle is bounded by them), and
     to at most ``SPREAD_FACTOR`` partitions per input partition, so a single
     split is never scattered over thousands of tasks on a big cluster. Large
-    inputs already have enough partitions and are returned unchanged."""
+    inputs already have enough partitions and are returned unchanged.
+
+    ``reused``: the caller runs several passes over the result, so a spread
+    (hence small, bounded) input is persisted (memory, spilling to disk) and
+    the file is not re-read and re-shuffled for every pass."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     current = df.rdd.getNumPartitions()
     if current < cores:
-        return df.repartition(min(cores, current * SPREAD_FACTOR))
+        out = df.repartition(min(cores, current * SPREAD_FACTOR))
+        return out.persist(StorageLevel.MEMORY_AND_DISK) if reused else out
     return df
 
 

@@ -85,7 +85,7 @@ def _quantile_table(df: DataFrame, cols: list[str], sizes: dict[str, tuple[int,
 
 def detect_anomalies(df: DataFrame, columns: list[str] | None = None) -> AnomalyResult:
     data = df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    data = spread(data)
+    data = spread(data, reused=True)
     cols = columns or numeric_columns(df)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):

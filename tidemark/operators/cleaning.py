@@ -199,7 +199,7 @@ def clean(df: DataFrame) -> CleanResult:
     mapping = normalized_names(original)
     renamed = {raw: new for raw, new in mapping.items() if raw != new}
     base = spread(with_row_id(df).select(
-        *[_c(raw).alias(mapping[raw]) for raw in original], F.col(ROW_ID)))
+        *[_c(raw).alias(mapping[raw]) for raw in original], F.col(ROW_ID)), reused=True)
     types = {f.name: f.dataType for f in base.schema.fields}
     columns = [mapping[raw] for raw in original]
     text_cols = [c for c in columns if isinstance(types[c], T.StringType)]

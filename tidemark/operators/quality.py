@@ -61,7 +61,7 @@ def profile(df: DataFrame, sample_size: int = 5, seed: int = 0,
     distinct value) for HyperLogLog sketches on very large tables.
     """
     data = df.withColumn(ROW_ID, F.monotonically_increasing_id()) if ROW_ID not in df.columns else df
-    data = spread(data)
+    data = spread(data, reused=True)
     cols = [c for c in df.columns if c != ROW_ID]
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -125,7 +125,7 @@ def dq_scores(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """
     cols = [c for c in df.columns if c not in QUALITY_FLAG_COLUMNS and c != ROW_ID]
     types = {f.name: f.dataType for f in df.schema.fields}
-    df = spread(df)
+    df = spread(df, reused=True)
     numeric = [c for c in cols if is_numeric_type(types[c])]
     text = [c for c in cols if isinstance(types[c], T.StringType)]
     aggs = [F.count(F.lit(1)).alias("_rows")]

@@ -4,12 +4,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import series
 from tidemark.sources.readers import path_exists, read_csv
 
+LOG = logging.getLogger(__name__)
+
 
 def load_whitespace_temperature(spark: SparkSession, path: str, config: dict) -> DataFrame:
     """Whitespace text feed with ``%`` comments."""
@@ -56,7 +60,11 @@ def monthly_paths(spark: SparkSession, folder: str, version: str = "4.0",
 
 def load_monthly_extent(spark: SparkSession, folder: str, config: dict) -> DataFrame:
     """Union of the available monthly files, cleaned."""
-    used, _, _ = monthly_paths(spark, folder, str(config.get("version", "4.0")))
+    used, fallbacks, skipped = monthly_paths(spark, folder, str(config.get("version", "4.0")))
+    if fallbacks:
+        LOG.warning("Some monthly files required a fallback version: %s", ", ".join(fallbacks))
+    if skipped:
+        LOG.warning("Missing monthly files were skipped: %s", ", ".join(skipped))
     frames = [spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
               .csv(p) for p in used]
     return series.monthly_extent(frames)

@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.anomaly import business_summary, detect_anomalies, frame_anomalies
-from tidemark.operators.audit import lineage_edges
+from tidemark.operators.audit import key_checks, lineage_edges
+from tidemark.operators.kpis import chart_feeds, kpi_panel, kpi_values, mart_measures, rank_dimensions
 from tidemark.operators.cleaning import clean
 from tidemark.operators.integrate import coverage, integrate, standardize
 from tidemark.operators.quality import dq_overall, dq_scores, profile
@@ -55,7 +56,17 @@ def run_question(spark: SparkSession, source: str, question: str, root: str,
         "anomaly_summary": business_summary(framed, anomalies.anomaly_row_count(), anomalies.total_rows),
         "flagged_rows": anomalies.flagged_rows, "dq_scores": scores, "dq_overall": dq_overall(scores),
         "lineage": lineage_edges(cleaned, written),
+        "kpis": kpi_values(staged, question, spec.metric, spec.dimension, spec.aggregation),
+        "suggested_dimensions": rank_dimensions(staged, question),
+        "kpi_panel": kpi_panel(staged),
+        "chart_feeds": chart_feeds(staged, question),
+        "mart_measures": mart_measures(written),
     }
+    shared = {name: df for name, df in written.items() if name != "mart_top_entities"}
+    try:
+        out["mart_key_checks"] = key_checks(shared)
+    except ValueError:            # no column shared between marts
+        out["mart_key_checks"] = None
     if export_sql:
         out["sql_export"] = sinks.export_sql_text(written, f"{root.rstrip('/')}/sql")
     return out

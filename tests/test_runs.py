@@ -18,7 +18,7 @@ def test_run_question_end_to_end(spark, tmp_path):
     assert set(out["sql_export"]) == set(out["marts"])
     kpis = {r["kpi"]: r["value"] for r in out["kpis"].collect()}
     assert kpis["total_streams"] == 1470.0  # after the duplicate row is removed
-    assert set(out["chart_feeds"]) == {"time_series", "category_comparison", "dual_metric"}
+    assert set(out["chart_feeds"]) == {"time_series", "category_comparison"}  # one measure only
     assert out["mart_measures"].count() > 0
     assert out["mart_key_checks"].count() > 0
 

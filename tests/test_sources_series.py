@@ -148,3 +148,18 @@ def test_coerce_year_rules(spark):
     assert got == [2020, 1999, 2021]
     nums = spark.createDataFrame([(2020.5,), (2021.4,), (None,)], "t double")
     assert [r[0] for r in nums.select(series.coerce_year(nums, "t")).collect()][:2] == [2020, 2021]
+
+
+def test_sql_literal_rendering(spark, tmp_path):
+    import datetime as dt
+    df = spark.createDataFrame(
+        [(True, dt.datetime(2024, 1, 2, 3, 4, 5), "a'b", None), (False, None, None, 2.5)],
+        "flag boolean, ts timestamp, name string, v double")
+    text = "".join(r["statement"] for r in sinks.insert_statements(df, "t").collect())
+    assert "(TRUE, '2024-01-02 03:04:05.000000+00', 'a''b', NULL)" in text
+    assert "(FALSE, NULL, NULL, 2.5)" in text
+    ddl = sinks.create_table_sql(df, "t")
+    assert '"flag" BOOLEAN' in ddl and '"ts" TIMESTAMPTZ' in ddl and '"name" TEXT' in ddl
+    written = sinks.export_sql_text({"Mart A": df, "empty": df.limit(0)}, str(tmp_path / "sql"))
+    assert list(written) == ["Mart A"]
+    assert spark.read.text(written["Mart A"] + "/schema").count() > 0

@@ -85,7 +85,10 @@ def run_datasets(spark: SparkSession, datasets: list[dict], root: str,
             raise ValueError(f"Dataset {cfg.get('name')!r} needs a time_column.")
         df = load_dataset(spark, cfg) if cfg.get("loader") else read_source(
             spark, cfg["path"], cfg.get("source_format"), cfg.get("read_options"))
-        cleaned = clean(df).df
+        # staging is written once and re-read: the stats pass, the coverage and
+        # the integration then read Parquet instead of recomputing the dedup
+        staging_path = sinks.write_staging(clean(df).df, root, cfg["name"])
+        cleaned = spark.read.parquet(staging_path)
         std = standardize(cleaned, cfg["name"], cfg["time_column"], cfg.get("metric_column"))
         coverages[std.dataset_name] = coverage(cleaned, std.time_column)
         aggregations[std.dataset_name] = cfg.get("trend_aggregation", "average")

@@ -85,8 +85,11 @@ def _quantile_table(df: DataFrame, cols: list[str], sizes: dict[str, tuple[int,
 
 def detect_anomalies(df: DataFrame, columns: list[str] | None = None) -> AnomalyResult:
     data = df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    data = spread(data, reused=True)
     cols = columns or numeric_columns(df)
+    # the statistics passes read only the numeric columns (spread and kept
+    # for reuse when the input is small); flagged rows come from the full input
+    full = data
+    data = spread(data.select(*[_c(c) for c in cols], F.col(ROW_ID)), reused=True)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
         x = _c(c).cast("double")
@@ -120,7 +123,7 @@ def detect_anomalies(df: DataFrame, columns: list[str] | None = None) -> Anomaly
             rules.append(ColumnRule(c, "iqr", iqr_flag[1], F.coalesce(iqr_flag[0], F.lit(False)), counts[f"iqr{i}"]))
         elif z_flag and counts[f"z{i}"] > 0:
             rules.append(ColumnRule(c, "zscore", z_flag[1], F.coalesce(z_flag[0], F.lit(False)), counts[f"z{i}"]))
-    return AnomalyResult(_report(data, rules), _flagged(data, rules), rules, stats["_rows"])
+    return AnomalyResult(_report(data, rules), _flagged(full, rules), rules, stats["_rows"])
 
 
 def _report(data: DataFrame, rules: list[ColumnRule]) -> DataFrame:

@@ -127,6 +127,14 @@ class CleanResult:
     input_rows: int
     original_columns: list[str]
     log: DataFrame = field(repr=False, default=None)
+    base: DataFrame = field(repr=False, default=None)
+
+    def release(self) -> None:
+        """Drop the persisted copy of a small (spread) input once the staging
+        table has been written; large inputs are never persisted."""
+        if self.base is not None and (self.base.storageLevel.useMemory
+                                      or self.base.storageLevel.useDisk):
+            self.base.unpersist()
 
     def summary(self) -> DataFrame:
         """One-row summary of the staging table."""
@@ -281,6 +289,7 @@ def clean(df: DataFrame) -> CleanResult:
     result = CleanResult(df=staged.drop(ROW_ID), df_with_row_id=staged, decisions=decisions,
                          renamed=renamed, input_rows=stats["__rows"], original_columns=original)
     result.log = _decision_log(result)
+    result.base = base
     return result
 
 

@@ -41,6 +41,7 @@ def run_question(spark: SparkSession, source: str, question: str, root: str,
     cleaned = clean(raw)
     staging_path = sinks.write_staging(cleaned.df, root, source_name)
     staged = spark.read.parquet(staging_path)
+    log_table, summary_table = cleaned.log, cleaned.summary()
     spec = resolve(staged, question, metric, dimension)
     built, skipped = available_marts(staged, spec)
     written = {name: sinks.write_mart(df, root, name)[1] for name, df in built.items()}
@@ -50,7 +51,7 @@ def run_question(spark: SparkSession, source: str, question: str, root: str,
     scores = dq_scores(staged)
     out = {
         "manifest": manifest, "profile": profiled, "staging_path": staging_path,
-        "staging": staged, "cleaning_log": cleaned.log, "cleaning_summary": cleaned.summary(),
+        "staging": staged, "cleaning_log": log_table, "cleaning_summary": summary_table,
         "spec": spec, "marts": written, "skipped_marts": skipped, "primary_mart": lead,
         "anomaly_report": framed,
         "anomaly_summary": business_summary(framed, anomalies.anomaly_row_count(), anomalies.total_rows),
@@ -87,7 +88,9 @@ def run_datasets(spark: SparkSession, datasets: list[dict], root: str,
             spark, cfg["path"], cfg.get("source_format"), cfg.get("read_options"))
         # staging is written once and re-read: the stats pass, the coverage and
         # the integration then read Parquet instead of recomputing the dedup
-        staging_path = sinks.write_staging(clean(df).df, root, cfg["name"])
+        result = clean(df)
+        staging_path = sinks.write_staging(result.df, root, cfg["name"])
+        result.release()
         cleaned = spark.read.parquet(staging_path)
         std = standardize(cleaned, cfg["name"], cfg["time_column"], cfg.get("metric_column"))
         coverages[std.dataset_name] = coverage(cleaned, std.time_column)

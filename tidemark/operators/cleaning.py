@@ -12,6 +12,10 @@ Passes over the source:
    keeps the flags of the first row (``min_by`` on the row id, S13). The
    ``groupBy`` aggregates map-side first, so a duplicated row held by a third
    of the input collapses before the shuffle.
+
+A small input (fewer partitions than cores) is spread over the cores and
+kept for the three passes (``CleanResult.release`` drops it); a large one is
+read by each pass with column pruning.
 """
 
 from __future__ import annotations

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.ann import nearest
+from tidemark.llm.embedding_dedup import embedding_components
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.url_filter import judge_urls, rule_table
 
@@ -58,3 +60,16 @@ FROM judged j LEFT JOIN rules r ON j.rule = r.rule_host || r.rule_path
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document (3-word shingles, 3 bits)."""
     return simhash_components(_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+@_query("op3_embedding_dedup")
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors within their label at a cosine of 0.98 or more."""
+    return embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@_query("op5_ann")
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    table = _table(spark, sf_dir, "embeddings")
+    return nearest(table, table.vec_id % 20 == 0, k=20)

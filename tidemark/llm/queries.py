@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.ann import nearest
 from tidemark.llm.embedding_dedup import embedding_components
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.sharding import shard_rows
+from tidemark.llm.shared import shared_path
 from tidemark.llm.simhash import simhash_components
+from tidemark.llm.training_order import write_training_order
 from tidemark.llm.url_filter import judge_urls, rule_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +78,22 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     table = _table(spark, sf_dir, "embeddings")
     return nearest(table, table.vec_id % 20 == 0, k=20)
+
+
+@_query("op4_sharding")
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among 16 shards."""
+    return shard_rows(_table(spark, sf_dir, "documents"), shards=16)
+
+
+@_query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces, packed into sequences of at most 2048 tokens."""
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+@_query("op8_training_order")
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token sequences of all documents written in training order; the place of each in the shard files."""
+    return write_training_order(_table(spark, sf_dir, "documents"), shared_path(spark, "training-order"),
+                                public_tokenizers.path("word_bpe_49k.json"))

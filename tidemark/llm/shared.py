@@ -34,14 +34,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema) -> DataFrame:
-    """``mapInArrow`` whose workers also look for this package where the driver
-    found it (local mode and shared installs; otherwise ship it with --py-files)."""
+def ready_workers(spark: SparkSession) -> None:
+    """Let Python workers look for this package where the driver found it
+    (local mode and shared installs; otherwise ship it with --py-files)."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = df.sparkSession.sparkContext.environment
+    known = spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH", ""), root]))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                schema) -> DataFrame:
+    """``mapInArrow`` on workers that find this package."""
+    ready_workers(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import bpe
 from tidemark.llm.ann import nearest
 from tidemark.llm.embedding_dedup import embedding_components
 from tidemark.llm.packing import pack_documents
@@ -97,3 +99,14 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token sequences of all documents written in training order; the place of each in the shard files."""
     return write_training_order(_table(spark, sf_dir, "documents"), shared_path(spark, "training-order"),
                                 public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op9_byte_bpe")
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and the text they decode to, as digests."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(ids, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

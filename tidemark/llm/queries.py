@@ -12,9 +12,11 @@ from tidemark.llm import bpe
 from tidemark.llm.ann import nearest
 from tidemark.llm.embedding_dedup import embedding_components
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import fit_quality, quality_scores
 from tidemark.llm.sharding import shard_rows
 from tidemark.llm.shared import shared_path
 from tidemark.llm.simhash import simhash_components
+from tidemark.llm.toxicity import fit_toxicity, toxicity_scores
 from tidemark.llm.training_order import write_training_order
 from tidemark.llm.url_filter import judge_urls, rule_table
 
@@ -110,3 +112,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a rule ensemble learned from the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a field learned from the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"))).drop("spans")

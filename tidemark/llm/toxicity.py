@@ -1,9 +1,9 @@
 """Toxicity: a linear-chain conditional random field over the words of a text.
 
 Documents are labelled, words are not. Words are first labelled from a bounded
-sample: cues (a word, or the first letters of words) that occur in toxic
-documents and hardly in others are chosen greedily until they explain the toxic
-ones, and the words of toxic documents that show a cue are the toxic ones. The
+sample: cues are words, or first letters of words, that occur in toxic documents
+and hardly in others, and the words of toxic documents that show a cue are the
+toxic ones. The
 field learns to tag them from each word's own features and its neighbours'
 tags. Scoring computes every word's exact marginal by forward and backward
 passes; a document's score is a logistic function of its largest marginal and
@@ -32,8 +32,8 @@ REMEMBERED = 1_000_000       # words a worker remembers at most
 _WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5)
 _CHUNK = 64
-_LEAST_DOCS = 12             # documents a cue must occur in
-_LEAST_NEW = 5               # toxic documents that only a further cue explains
+_LEAST_SHARE = 0.025         # of the toxic documents that a cue must occur in
+_LEAST_RATIO = 50            # times as large a share of the toxic documents as of the others that have it
 
 
 def _features(word: str) -> list[str]:
@@ -124,22 +124,17 @@ def marginals(emission: np.ndarray, starts: np.ndarray, change: np.ndarray) -> t
 
 
 def _cues(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Word and prefix features that mark toxic documents, chosen greedily."""
+    """Word and prefix features that mark toxic documents."""
     where: dict[str, list[set[int]]] = defaultdict(lambda: [set(), set()])
     for i, words in enumerate(docs):
         for f in {f for w in set(words) for f in _features(w)[:-1]}:
             where[f][int(toxic[i])].add(i)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    able = {f: hit for f, (miss, hit) in where.items()
-            if len(hit) >= _LEAST_DOCS and len(hit) / n1 >= 50 * len(miss) / n0}
-    chosen, left = set(), set(np.flatnonzero(toxic).tolist())
-    while able:
-        best = max(able, key=lambda f: (len(able[f] & left), f))
-        if len(able[best] & left) < _LEAST_NEW:
-            break
-        chosen.add(best)
-        left -= able.pop(best)
-    return chosen
+    # fewer documents than this can share one of so many features by chance
+    chance = np.log(0.01 / max(2, len(where))) / np.log(n1 / (n1 + n0))
+    least = max(_LEAST_SHARE * n1, chance)
+    return {f for f, (miss, hit) in where.items()
+            if len(hit) >= least and len(hit) / n1 >= _LEAST_RATIO * len(miss) / n0}
 
 
 def fit_crf(texts: list[str], toxic: np.ndarray) -> CrfModel:

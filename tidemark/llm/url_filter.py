@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import column, materialize, shuffle_tasks
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_AFTER = F.lit(b"\xff")              # no UTF-8 text holds this byte: it sorts behind every continuation
+_AFTER = b"\xff"                     # no UTF-8 text holds this byte: it sorts behind every continuation
 _URL = r"://([^/?#]*)([^?#]*)"
 
 
@@ -68,7 +68,7 @@ def _sweep(points: DataFrame, bounds: DataFrame) -> DataFrame:
 def _interval(frame: DataFrame, inside: str, outside: str) -> DataFrame:
     """The two bounds of each interval: its start carries ``inside``, its end ``outside``."""
     return frame.select("zone", "key", F.col(inside).alias("state")).unionByName(
-        frame.select("zone", F.concat("key", _AFTER).alias("key"), F.col(outside).alias("state")))
+        frame.select("zone", F.concat("key", F.lit(_AFTER)).alias("key"), F.col(outside).alias("state")))
 
 
 def _host_bounds(rules: DataFrame) -> DataFrame:

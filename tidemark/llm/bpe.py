@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.shared import batches, column, map_batches
 
-REMEMBERED = 1_000_000       # words a worker remembers at most
+REMEMBERED = 400_000         # words a worker remembers at most
+_ROWS_AT_ONCE = 256          # documents of one output batch of decoding
 _WORDS_AT_ONCE = 8_192       # words of one matrix
 _LONG = 64                   # bytes of a word that is folded alone and not remembered
 _IDS = 1 << 16               # ids are below this, so a pair of ids fits one long
@@ -203,10 +204,13 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
             for piece, rank in table.items():
                 _pieces[ranks][rank] = piece
         pieces = _pieces[ranks]
-        for batch in stream:
-            texts = [None if x is None else b"".join([pieces[i] for i in x]) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())],
-                                             [*batch.schema.names, "decoded"])
+        for whole in stream:
+            for start in range(0, whole.num_rows, _ROWS_AT_ONCE):
+                batch = whole.slice(start, _ROWS_AT_ONCE)
+                lists = batch.column(at)
+                texts = [b"".join([pieces[i] for i in x.values.to_pylist()]) if x.is_valid else None for x in lists]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())],
+                                                 [*batch.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return map_batches(encoded, run, f"{kinds}, decoded binary")

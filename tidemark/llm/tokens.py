@@ -9,13 +9,39 @@ lower-cased first, as the tokenizer does itself.
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+from collections.abc import Iterator
+
 from tokenizers import Tokenizer
 
-REMEMBERED = 1_000_000       # chunks a worker remembers at most
+REMEMBERED = 600_000         # chunks a worker remembers at most
 _LONG = 64                   # bytes of a chunk that is not worth remembering
+_POINTS = (b".", b",")
+
+_loaded: dict[str, tuple[Tokenizer, set[int], dict[bytes, bytes]]] = {}
+
 
-_loaded: dict[str, tuple[Tokenizer, dict[bytes, bytes]]] = {}
+def _encoded(tokenizer: Tokenizer, word_end: set[int], chunks: set[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+    """The ids of each chunk. Chunks of letters alone are one word each; they are
+    encoded many at a time, as one text, and cut where a word ends. Should the
+    tokenizer see more words than chunks, they are encoded one by one."""
+    letters, others = [], []
+    for chunk in chunks:
+        text = chunk.decode("utf-8", "replace")
+        (letters if text.isalpha() else others).append((chunk, text))
+    for at in range(0, len(letters), 1000):
+        few = letters[at:at + 1000]
+        ids = tokenizer.encode(" ".join([t for _, t in few]), add_special_tokens=False).ids
+        ends = [i + 1 for i, x in enumerate(ids) if x in word_end]
+        if len(ends) == len(few) and ends[-1] == len(ids):
+            for (chunk, _), s, e in zip(few, [0, *ends], ends):
+                yield chunk, ids[s:e]
+        else:
+            others += few
+    for at in range(0, len(others), 20_000):
+        few = others[at:at + 20_000]
+        encoded = tokenizer.encode_batch_fast([t for _, t in few], add_special_tokens=False)
+        yield from ((chunk, e.ids) for (chunk, _), e in zip(few, encoded))
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
@@ -24,18 +50,22 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     if path not in _loaded:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _loaded[path] = tokenizer, {}
-    tokenizer, known = _loaded[path]
+        word_end = {i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")}
+        _loaded[path] = tokenizer, word_end, {}
+    tokenizer, word_end, known = _loaded[path]
     chunks = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
     if len(known) > REMEMBERED:
         known.clear()
-    extra: dict[bytes, bytes] = {}
-    missing = list({c for words in chunks for c in words if c not in known})
-    for at in range(0, len(missing), 20_000):
-        few = missing[at:at + 20_000]
-        encoded = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in few], add_special_tokens=False)
-        for chunk, ids in zip(few, encoded):
-            (known if len(chunk) <= _LONG else extra)[chunk] = np.array(ids.ids, "<u4").tobytes()
-    if extra:
-        return [b"".join([known[c] if c in known else extra[c] for c in words]) for words in chunks]
-    return [b"".join([known[c] for c in words]) for words in chunks]
+    alone: dict[bytes, bytes] = {}
+    # a full stop or comma behind ASCII letters is a word of its own
+    pointed = [c for c in set().union(*chunks).difference(known) if c[-1:] in _POINTS and c[:-1].isalpha()]
+    plain = {c[:-1] for c in pointed}.union(_POINTS, *chunks).difference(known, pointed)
+    for chunk, ids in _encoded(tokenizer, word_end, plain):
+        (known if len(chunk) <= _LONG else alone)[chunk] = array("I", ids).tobytes()
+    for chunk in pointed:
+        base = chunk[:-1]
+        (known if len(chunk) <= _LONG else alone)[chunk] = (known if len(base) <= _LONG else alone)[base] \
+            + known[chunk[-1:]]
+    if alone:
+        return [b"".join([alone[c] if c in alone else known[c] for c in words]) for words in chunks]
+    return [b"".join(map(known.__getitem__, words)) for words in chunks]

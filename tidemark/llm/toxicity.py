@@ -28,7 +28,7 @@ from tidemark.llm.shared import batches, column, held_out, map_batches
 MAX_FIT_DOCS = 2_000         # labelled documents of each class a model is fitted on at most
 MAX_FIT_BYTES = 20_000       # longer documents are not used for fitting (all are scored whole)
 THRESHOLD = 0.5
-REMEMBERED = 1_000_000       # words a worker remembers at most
+REMEMBERED = 500_000         # words a worker remembers at most
 _WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5)
 _CHUNK = 64

@@ -100,11 +100,3 @@ def test_dedup_keeps_first_rows_flags(spark):
                                         "k string, n string").coalesce(1)
     row = [r for r in clean(first_blank).df.collect() if r["k"] == "A"]
     assert len(row) == 1 and row[0]["type_conversion_issue"] is False
-
-
-def test_release_drops_persisted_input(spark):
-    df = spark.createDataFrame([("1", "a"), ("2", "b")], "n string, s string").coalesce(1)
-    res = clean(df)
-    assert res.df.count() == 2
-    res.release()
-    assert not res.base.storageLevel.useMemory and not res.base.storageLevel.useDisk

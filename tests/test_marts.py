@@ -105,24 +105,29 @@ def test_summary_stats_values(spark):
     assert marts.summary_stats_mart(single, "x").collect()[0]["std_x"] == 0.0
 
 
-def test_quantile_bracket_refinement_matches_numpy(spark, monkeypatch):
-    monkeypatch.setattr(stats, "PERCENTILE_MAP_LIMIT", 10)
-    monkeypatch.setattr(stats, "BRACKET_READ_LIMIT", 50)
-    monkeypatch.setattr(stats, "GRID", 20)
-    monkeypatch.setattr(stats, "GRID_ACCURACY", 2000)
+@pytest.mark.parametrize("buckets", [64, 1024])
+def test_quantile_refinement_matches_numpy(spark, monkeypatch, buckets):
+    monkeypatch.setattr(stats, "BUCKETS", buckets)
     rng = np.random.default_rng(7)
-    vals = np.concatenate([rng.lognormal(3, 1, 3000), np.full(2000, 42.0)])  # one hot value
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(6)
-    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
-    got = stats.exact_quantiles(df, "x", probs)
-    assert got == pytest.approx(list(np.quantile(vals, probs)), rel=1e-12)
-    # two hot values around a thin middle, target ranks inside the middle
-    mid = rng.uniform(10, 20, 120)
-    vals2 = np.concatenate([np.full(2000, 10.0), mid, np.full(2000, 20.0)])
-    df2 = spark.createDataFrame([(float(v),) for v in vals2], "x double").repartition(5)
-    probs2 = [0.49, 0.5, 0.51, 0.2, 0.9]
-    got2 = stats.exact_quantiles(df2, "x", probs2)
-    assert got2 == pytest.approx(list(np.quantile(vals2, probs2)), rel=1e-12)
+    hot = np.concatenate([rng.lognormal(3, 1, 600), np.full(400, 42.0)])          # one hot value
+    mid = np.concatenate([np.full(450, 10.0), rng.uniform(10, 20, 100), np.full(450, 20.0)])
+    wide = rng.choice([-1.7e308, 1.7e308, -1.0, 1e-300, 0.0, 5e-324, 1e17], 1000)
+    rows = [(float(a), float(b), float(c), None, 3 if i % 2 else None) for i, (a, b, c) in enumerate(zip(hot, mid, wide))]
+    df = spark.createDataFrame(rows + [(float("nan"), None, None, None, None)],
+                               "hot double, mid double, `wi.de` double, none double, few int").repartition(6)
+    probs = [0.05, 0.25, 0.49, 0.5, 0.95, 0.0, 1.0]
+    got = stats.quantiles(df, {c: probs for c in df.columns})
+    for name, values in (("hot", hot), ("mid", mid)):
+        assert got[name] == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
+    ordered = np.sort(wide)
+    assert got["wi.de"][-1] == ordered[-1] and got["wi.de"][-2] == ordered[0]
+    assert got["none"] == [None] * len(probs) and got["few"] == [3.0] * len(probs)
+
+
+def test_quantiles_with_infinities(spark):
+    values = [float("-inf"), 1.0, 2.0, 1.7e308, float("inf"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert stats.quantiles(df, {"x": [0.2, 0.4, 1.0]})["x"] == [1.0, 2.0, float("inf")]
 
 
 def test_correlation_pairwise_and_constant(spark):

@@ -3,7 +3,7 @@ contain the operators that break at scale."""
 
 import pytest
 
-import __spark_entry__ as E
+from tidemark.queries import QUERIES
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "SortAggregate",
              "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas")
@@ -29,20 +29,27 @@ def _contains(node, names):
     return any(_contains(seq.apply(i), names) for i in range(seq.size()))
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+def _gathered_quantile(node):
+    """A percentile aggregate without grouping keys merges all tasks' values in one."""
+    text = node.toString()
+    return any("percentile" in line and "keys=[]" in line for line in text.split("\n"))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_plan_shape(spark, name):
-    df = E.queries()[name](spark, "/root/testdata/sf0.001")
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().sparkPlan()
     nodes = list(_nodes(plan))
     names = {n for n, _, _ in nodes}
     for op in FORBIDDEN:
         assert op not in names, f"{name}: {op} in plan"
+    assert not _gathered_quantile(plan), f"{name}: a quantile's values meet in one task"
     for node_name, empty_partition, has_top_k in nodes:
         if empty_partition:
             assert has_top_k, f"{name}: window without partition keys over unbounded rows"
 
 
 def test_lint_sees_top_k_window(spark):
-    df = E.queries()["top_entities"](spark, "/root/testdata/sf0.001")
+    df = QUERIES["top_entities"](spark, "/root/testdata/sf0.001")
     nodes = list(_nodes(df._jdf.queryExecution().sparkPlan()))
     assert any(empty for _, empty, _ in nodes)

@@ -86,13 +86,3 @@ def test_profile_and_schema(spark):
     sch = {r["column_name"]: r.asDict() for r in schema_summary(df).collect()}
     assert sch["sales"]["nullable"] is True and sch["order_id"]["nullable"] is False
     assert sch["order_id"]["row_count"] == 4
-
-
-def test_percentile_batches_respect_map_limit(spark, monkeypatch):
-    from tidemark.operators import anomaly
-    monkeypatch.setattr(anomaly, "PERCENTILE_MAP_LIMIT", 150)
-    rows = [(float(i), float(i % 100), float(i % 7)) for i in range(200)] + [(5000.0, 1e6, 3.0)]
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    res = detect_anomalies(df)
-    report = {r["column"]: r["anomaly_count"] for r in res.report.collect()}
-    assert report.get("b") == 1 and report.get("a") == 1

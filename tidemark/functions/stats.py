@@ -5,54 +5,25 @@
   ``(column, value)`` followed by a two-level ``groupBy`` for distinct counts.
   The first ``groupBy`` runs a map-side partial aggregation, so a value held by
   a third of all rows is collapsed before the shuffle.
-* :func:`exact_quantiles` - exact linear-interpolation quantiles of one
-  column. When the column has few distinct values Spark's ``percentile``
-  (a value->count map per task) is used. Otherwise the value at each needed
-  rank is found by bracket refinement: every pass is one global aggregate that
-  counts rows below the bracket and takes an approximate quantile grid inside
-  it; once a bracket holds few distinct values, its (value, count) pairs are
-  grouped and read. Nothing is sorted globally and no unbounded group is
-  collected.
+* :func:`quantiles` - exact linear-interpolation quantiles of many columns at
+  once by bucket refinement, one algorithm for every size: a pass counts rows
+  per value bucket of each open bracket (hash-distributed, combined map-side,
+  at most ``BUCKETS`` rows per bracket), and a rank's bracket shrinks to the
+  smallest and largest value of its bucket until both are equal. No task ever
+  holds the values themselves.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Above this many distinct values the percentile map is not trusted to fit in
-# one task's memory and the bracket refinement takes over.
-PERCENTILE_MAP_LIMIT = 1_000_000
-# A bracket is read exactly once it holds at most this many distinct values.
-BRACKET_READ_LIMIT = 100_000
-GRID = 1000
-GRID_ACCURACY = 100_000
-
-
-SPREAD_FACTOR = 32
-
-
-def spread(df: DataFrame, reused: bool = False) -> DataFrame:
-    """Round-robin repartition of a small input so CPU-heavy per-row work uses
-    the cores: only when the input has fewer partitions than the default
-    parallelism (a few file splits, so the shuffle is bounded by them), and
-    to at most ``SPREAD_FACTOR`` partitions per input partition, so a single
-    split is never scattered over thousands of tasks on a big cluster. Large
-    inputs already have enough partitions and are returned unchanged.
-
-    ``reused``: the caller runs several passes over the result, so a spread
-    (hence small, bounded) input is persisted (memory, spilling to disk) and
-    the file is not re-read and re-shuffled for every pass."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    current = df.rdd.getNumPartitions()
-    if current < cores:
-        out = df.repartition(min(cores, current * SPREAD_FACTOR))
-        return out.persist(StorageLevel.MEMORY_AND_DISK) if reused else out
-    return df
+# Value buckets per open bracket and pass.
+BUCKETS = 1024
 
 
 def value_text(c: Column, dtype: T.DataType) -> Column:
@@ -109,47 +80,6 @@ def column_counts(df: DataFrame, columns: list[str] | None = None,
     }
 
 
-# Above this many distinct values a ratio threshold is judged from the sketch.
-EXACT_RATIO_LIMIT = 1_000_000
-
-
-def cardinality_counts(df: DataFrame, columns: list[str], count_marks=(1, 24, 100, 500),
-                       ratio_marks=(0.5, 0.9), margin: float = 0.25) -> dict:
-    """Non-null and distinct counts for threshold rules (question resolution).
-
-    One pass takes exact non-null counts and a HyperLogLog sketch (5%
-    standard error) per column. Columns whose sketch is within ``margin``
-    (about five standard errors) of a count threshold get an exact distinct
-    count; these are low-cardinality columns, so the exact count is cheap.
-    Near a ratio threshold the count is made exact up to ``EXACT_RATIO_LIMIT``
-    distinct values; beyond it the sketch decides, so a key column with
-    billions of values is never shuffled just to learn that it is large.
-    """
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(columns):
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"nn_{i}"),
-                 F.approx_count_distinct(F.col(f"`{c}`")).alias(f"ad_{i}")]
-    row = df.agg(*aggs).collect()[0]
-    non_null = {c: row[f"nn_{i}"] for i, c in enumerate(columns)}
-    approx = {c: row[f"ad_{i}"] for i, c in enumerate(columns)}
-
-    def near(c):
-        d, n = approx[c], non_null[c]
-        if any(abs(d - m) <= margin * m + 1 for m in count_marks):
-            return True
-        return (n > 0 and d <= EXACT_RATIO_LIMIT
-                and any(abs(d / n - r) <= margin * r for r in ratio_marks))
-
-    exact_cols = [c for c in columns if near(c)]
-    distinct = dict(approx)
-    if exact_cols:
-        exact = {r["column_name"]: int(r["distinct_count"])
-                 for r in distinct_counts_df(df, exact_cols).collect()}
-        distinct.update({c: exact.get(c, 0) for c in exact_cols})
-    return {"rows": row["__rows"], "non_null": non_null, "distinct": distinct,
-            "exact": set(exact_cols)}
-
-
 def _interpolate(values_at: dict[int, float], n: int, p: float) -> float:
     pos = p * (n - 1)
     lo, hi = math.floor(pos), math.ceil(pos)
@@ -166,101 +96,87 @@ def _ranks_for(n: int, probs: list[float]) -> list[int]:
     return sorted(ranks)
 
 
-def _bracket(col: Column, lo, hi) -> Column:
-    inside = F.lit(True)
-    if lo is not None:
-        inside = inside & (col >= F.lit(lo))
-    if hi is not None:
-        inside = inside & (col <= F.lit(hi))
-    return inside
-
-
-def _values_at_ranks(x: DataFrame, n: int, ranks: list[int]) -> dict[int, float]:
-    """Exact values at 0-based ranks of column ``x`` (non-null doubles).
-
-    State per rank: a value bracket [lo, hi] (inclusive, None = open). Each
-    pass is one aggregate over all pending ranks that returns, per bracket,
-    the rows below it, the rows inside, rows equal to either end, an
-    approximate distinct count and an approximate quantile grid. The grid's
-    rank error (1/GRID_ACCURACY) is far below one grid step, so the next
-    bracket one step either side of the target still holds it; a target that
-    falls on a bracket end is answered at once, so a hot value cannot stall
-    the search. A bracket with few distinct values is read exactly.
-    """
-    col = F.col("x")
-    state = {r: [None, None] for r in ranks}
-    result: dict[int, float] = {}
-    for _ in range(64):
-        active = [r for r in ranks if r not in result]
-        if not active:
+def _on_log_scale(x: Column) -> Column:
+    """A monotone map of all doubles that spreads their magnitudes evenly (Java's
+    logarithm never falls where its argument rises)."""
+    size = F.log(F.abs(x)) + F.lit(746.0)             # above 0 for every double but 0
+    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0.0))
+
+
+def _log_of(x: float) -> float:
+    return math.copysign(math.log(abs(x)) + 746.0, x) if x else 0.0
+
+
+def _bucket(x: Column, lo: float, hi: float, by_size: bool) -> Column:
+    """Which of ``BUCKETS`` parts of [lo, hi] a value is in: equal parts of the
+    range, or of its logarithmic scale. Infinities have a bucket of their own
+    at either end, values outside have none."""
+    low, high = max(lo, -_LARGEST), min(hi, _LARGEST)
+    if by_size:
+        start, width, at = _log_of(low), _log_of(high) - _log_of(low), _on_log_scale(x)
+    else:
+        start, width, at = low / 2, high / 2 - low / 2, x / 2     # halves: the whole may not be a double
+    share = (at - F.lit(start)) / F.lit(width) if width > 0 else F.lit(0.0)
+    part = F.least(F.greatest(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+    part = F.when(x == float("inf"), F.lit(BUCKETS)).when(x == float("-inf"), F.lit(-1)).otherwise(part)
+    return F.when(x.between(F.lit(lo), F.lit(hi)), part)
+
+
+_LARGEST = 1.7976931348623157e308
+
+
+def _number(column: str) -> Column:
+    x = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def numeric_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
+    """(count, min, max) of each column's values (NaN is missing), in one aggregate."""
+    aggs = [e for i, c in enumerate(columns) for e in (
+        F.count(_number(c)).alias(f"n{i}"), F.min(_number(c)).alias(f"lo{i}"), F.max(_number(c)).alias(f"hi{i}"))]
+    row = df.agg(*aggs).collect()[0]
+    return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+
+
+def quantiles(df: DataFrame, wanted: dict[str, list[float]],
+              bounds: dict[str, tuple[int, float, float]] | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles (pandas ``quantile`` semantics) of
+    several columns; all columns and ranks share each pass over the table.
+
+    ``bounds`` may hold (count, min, max) per column when a pass before has
+    them. A pass over equal parts strictly narrows every open bracket, because
+    its smallest and largest value fall into different buckets; every third pass
+    takes parts of the logarithmic scale, which narrows ranges of many
+    magnitudes. The driver reads at most ``BUCKETS + 2`` rows per open bracket
+    and pass."""
+    bounds = bounds or numeric_bounds(df, list(wanted))
+    found: dict[tuple[str, int], float] = {}
+    open_ranks: dict[tuple[str, float, float, int], set[int]] = {}      # (column, lo, hi, rows below) -> ranks
+    for c, probs in wanted.items():
+        n, lo, hi = bounds[c]
+        if n:
+            open_ranks[c, lo, hi, 0] = set(_ranks_for(n, probs))
+    for turn in itertools.count(1):
+        for (c, lo, hi, below), ranks in list(open_ranks.items()):
+            if lo == hi:
+                found.update({(c, r): lo for r in ranks})
+                del open_ranks[c, lo, hi, below]
+        if not open_ranks:
             break
-        aggs = []
-        for i, r in enumerate(active):
-            lo, hi = state[r]
-            inside = _bracket(col, lo, hi)
-            aggs += [
-                F.count_if(col < F.lit(lo) if lo is not None else F.lit(False)).alias(f"below_{i}"),
-                F.count_if(inside).alias(f"in_{i}"),
-                F.count_if(col == F.lit(lo) if lo is not None else F.lit(False)).alias(f"eqlo_{i}"),
-                F.count_if(col == F.lit(hi) if hi is not None else F.lit(False)).alias(f"eqhi_{i}"),
-                F.approx_count_distinct(F.when(inside, col)).alias(f"nd_{i}"),
-                F.percentile_approx(F.when(inside, col), [k / GRID for k in range(GRID + 1)],
-                                    GRID_ACCURACY).alias(f"grid_{i}"),
-            ]
-        row = x.agg(*aggs).collect()[0]
-        readable = []
-        for i, r in enumerate(active):
-            lo, hi = state[r]
-            below, inside_n, nd, grid = row[f"below_{i}"], row[f"in_{i}"], row[f"nd_{i}"], row[f"grid_{i}"]
-            t = r - below
-            if not (0 <= t < inside_n):
-                state[r] = [None, None]           # bracket lost: restart from the full range
-                continue
-            if lo is not None and t < row[f"eqlo_{i}"]:
-                result[r] = lo
-                continue
-            if hi is not None and t >= inside_n - row[f"eqhi_{i}"]:
-                result[r] = hi
-                continue
-            if nd <= BRACKET_READ_LIMIT or grid[0] == grid[-1]:
-                readable.append((r, below))
-                continue
-            k = t / inside_n * GRID
-            new = [grid[max(0, math.floor(k) - 1)], grid[min(GRID, math.ceil(k) + 1)]]
-            if new == [lo, hi]:                    # no progress: the target is strictly inside
-                new = [math.nextafter(lo, math.inf), math.nextafter(hi, -math.inf)]
-            state[r] = new
-        for r, below in readable:
-            lo, hi = state[r]
-            pairs = x.where(_bracket(col, lo, hi)).groupBy("x").count().collect()
-            seen = below
-            for v, c in sorted((p["x"], p["count"]) for p in pairs):
-                if r < seen + c:
-                    result[r] = v
-                    break
-                seen += c
-    missing = [r for r in ranks if r not in result]
-    if missing:
-        raise RuntimeError(f"quantile refinement did not converge for ranks {missing}")
-    return result
-
-
-def exact_quantiles(df: DataFrame, column: str, probs: list[float],
-                    n: int | None = None, distinct: int | None = None) -> list[float | None]:
-    """Exact linear-interpolation quantiles (pandas ``quantile`` semantics).
-
-    ``n`` / ``distinct`` may be passed when already known from a shared pass.
-    """
-    x = df.select(F.col(f"`{column}`").cast("double").alias("x")).where(
-        F.col("x").isNotNull() & ~F.isnan("x"))
-    if n is None or distinct is None:
-        row = x.agg(F.count(F.lit(1)).alias("n"),
-                    F.approx_count_distinct("x").alias("d")).collect()[0]
-        n, distinct = row["n"], row["d"]
-    if n == 0:
-        return [None for _ in probs]
-    if distinct <= PERCENTILE_MAP_LIMIT:
-        row = x.agg(F.percentile("x", list(probs)).alias("q")).collect()[0]
-        return list(row["q"])
-    values = _values_at_ranks(x, n, _ranks_for(n, probs))
-    return [_interpolate(values, n, p) for p in probs]
+        brackets = list(open_ranks)
+        parts = F.array(*[F.struct(F.lit(i).alias("bracket"), _bucket(_number(c), lo, hi, turn % 3 == 0).alias("part"),
+                                   _number(c).alias("x")) for i, (c, lo, hi, _) in enumerate(brackets)])
+        counted = df.select(F.inline(parts)).where("part is not null").groupBy("bracket", "part").agg(
+            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        narrowed: dict[tuple[str, float, float, int], set[int]] = {}
+        seen: dict[int, int] = {}
+        for row in sorted(counted, key=lambda r: (r["bracket"], r["part"])):
+            c, _, _, below = brackets[row["bracket"]]
+            start = seen.get(row["bracket"], below)
+            seen[row["bracket"]] = start + row["n"]
+            inside = {r for r in open_ranks[brackets[row["bracket"]]] if start <= r < start + row["n"]}
+            if inside:
+                narrowed[c, row["lo"], row["hi"], start] = inside
+        open_ranks = narrowed
+    return {c: [_interpolate({r: found[c, r] for r in _ranks_for(bounds[c][0], [p])}, bounds[c][0], p)
+                if bounds[c][0] else None for p in probs] for c, probs in wanted.items()}

@@ -2,9 +2,8 @@
 
 Per numeric (non-bool) column with at least 4 values: IQR fences at 1.5 x IQR
 (exact linear quantiles); when they flag nothing, |z| > 3 with the population
-standard deviation. Three passes over the table regardless of the number of
-columns: moments, quantiles (one ``percentile`` aggregate for all columns
-whose distinct count is bounded, bracket refinement otherwise), then one
+standard deviation. The passes over the table do not grow with the number of
+columns: moments and bounds, the shared passes of ``stats.quantiles``, then one
 aggregate that counts both rules' flags for every column.
 """
 
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import is_numeric_type
-from tidemark.functions.stats import PERCENTILE_MAP_LIMIT, exact_quantiles, spread
+from tidemark.functions.stats import quantiles
 
 ROW_ID = "_row_id"
 
@@ -55,56 +54,27 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.name != ROW_ID and is_numeric_type(f.dataType)]
 
 
-def _quantile_table(df: DataFrame, cols: list[str], sizes: dict[str, tuple[int, int]]) -> dict[str, tuple]:
-    """Q1/Q3 per column. Columns whose distinct counts are bounded share
-    ``percentile`` aggregates, batched so the value maps one task merges
-    stay under ``PERCENTILE_MAP_LIMIT`` entries in total; the others use
-    bracket refinement."""
-    small = [c for c in cols if sizes[c][1] <= PERCENTILE_MAP_LIMIT]
-    batches, current, held = [], [], 0
-    for c in small:
-        if current and held + sizes[c][1] > PERCENTILE_MAP_LIMIT:
-            batches.append(current)
-            current, held = [], 0
-        current.append(c)
-        held += sizes[c][1]
-    if current:
-        batches.append(current)
-    out = {}
-    for batch in batches:
-        row = df.agg(*[F.percentile(_c(c).cast("double"), [0.25, 0.75]).alias(f"q{i}")
-                       for i, c in enumerate(batch)]).collect()[0]
-        for i, c in enumerate(batch):
-            out[c] = tuple(row[f"q{i}"]) if row[f"q{i}"] is not None else (None, None)
-    for c in cols:
-        if c not in out:
-            n, d = sizes[c]
-            out[c] = tuple(exact_quantiles(df, c, [0.25, 0.75], n=n, distinct=d))
-    return out
-
-
 def detect_anomalies(df: DataFrame, columns: list[str] | None = None) -> AnomalyResult:
     data = df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
     cols = columns or numeric_columns(df)
-    # the statistics passes read only the numeric columns (spread and kept
-    # for reuse when the input is small); flagged rows come from the full input
+    # the statistics passes read only the numeric columns; flagged rows come from the full input
     full = data
-    data = spread(data.select(*[_c(c) for c in cols], F.col(ROW_ID)), reused=True)
+    data = data.select(*[_c(c) for c in cols], F.col(ROW_ID))
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
         x = _c(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_pop(x).alias(f"s{i}"), F.approx_count_distinct(x).alias(f"d{i}")]
+                 F.stddev_pop(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     stats = data.agg(*aggs).collect()[0]
     eligible = [c for i, c in enumerate(cols) if stats[f"n{i}"] >= MIN_VALUES_FOR_ANALYSIS]
-    sizes = {c: (stats[f"n{cols.index(c)}"], stats[f"d{cols.index(c)}"]) for c in eligible}
-    quantiles = _quantile_table(data, eligible, sizes) if eligible else {}
+    bounds = {c: tuple(stats[f"{k}{cols.index(c)}"] for k in ("n", "lo", "hi")) for c in eligible}
+    fences = quantiles(data, {c: [0.25, 0.75] for c in eligible}, bounds) if eligible else {}
     candidates = []
     count_aggs = [F.lit(1).alias("_one")]
     for c in eligible:
         i = cols.index(c)
         x = _c(c).cast("double")
-        q1, q3 = quantiles[c]
+        q1, q3 = fences[c]
         iqr_flag = z_flag = None
         if q1 is not None and not math.isclose(q3 - q1, 0.0, abs_tol=0.0):
             lo, hi = q1 - IQR_MULTIPLIER * (q3 - q1), q3 + IQR_MULTIPLIER * (q3 - q1)

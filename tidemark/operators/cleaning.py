@@ -13,9 +13,7 @@ Passes over the source:
    ``groupBy`` aggregates map-side first, so a duplicated row held by a third
    of the input collapses before the shuffle.
 
-A small input (fewer partitions than cores) is spread over the cores and
-kept for the three passes (``CleanResult.release`` drops it); a large one is
-read by each pass with column pruning.
+Each pass reads the source with column pruning; nothing is cached.
 """
 
 from __future__ import annotations
@@ -30,7 +28,6 @@ from pyspark.sql import types as T
 from tidemark.functions.exprs import (
     BLANK_TEXT, NUMERIC_CONVERSION_THRESHOLD, is_integer_text, nan_to_null, parse_number)
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS, normalized_names
-from tidemark.functions.stats import spread
 
 ROW_ID = "_row_id"
 
@@ -131,14 +128,6 @@ class CleanResult:
     input_rows: int
     original_columns: list[str]
     log: DataFrame = field(repr=False, default=None)
-    base: DataFrame = field(repr=False, default=None)
-
-    def release(self) -> None:
-        """Drop the persisted copy of a small (spread) input once the staging
-        table has been written; large inputs are never persisted."""
-        if self.base is not None and (self.base.storageLevel.useMemory
-                                      or self.base.storageLevel.useDisk):
-            self.base.unpersist()
 
     def summary(self) -> DataFrame:
         """One-row summary of the staging table."""
@@ -210,8 +199,7 @@ def clean(df: DataFrame) -> CleanResult:
     original = [c for c in df.columns if c != ROW_ID]
     mapping = normalized_names(original)
     renamed = {raw: new for raw, new in mapping.items() if raw != new}
-    base = spread(with_row_id(df).select(
-        *[_c(raw).alias(mapping[raw]) for raw in original], F.col(ROW_ID)), reused=True)
+    base = with_row_id(df).select(*[_c(raw).alias(mapping[raw]) for raw in original], F.col(ROW_ID))
     types = {f.name: f.dataType for f in base.schema.fields}
     columns = [mapping[raw] for raw in original]
     text_cols = [c for c in columns if isinstance(types[c], T.StringType)]
@@ -293,7 +281,6 @@ def clean(df: DataFrame) -> CleanResult:
     result = CleanResult(df=staged.drop(ROW_ID), df_with_row_id=staged, decisions=decisions,
                          renamed=renamed, input_rows=stats["__rows"], original_columns=original)
     result.log = _decision_log(result)
-    result.base = base
     return result
 
 

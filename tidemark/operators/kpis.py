@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import day_label, is_numeric_type, is_time_type
-from tidemark.functions.stats import exact_quantiles
+from tidemark.functions.stats import quantiles
 from tidemark.operators.marts import aggregate_by_dimension
 
 # Measure- and dimension-name hints of the KPI rules.
@@ -101,16 +101,16 @@ def kpi_values(df: DataFrame, question: str, metric: str | None = None,
                        [("unique_record_count", "secondary", F.col("u"))])
         return head.unionByName(unique)
     m = _c(measure).cast("double")
-    median = exact_quantiles(df, measure, [0.5])[0]
-    prefix = {"average": "avg", "sum": "total", "median": "median"}.get(intent, "avg")
-    values = {"avg": F.col("a"), "total": F.col("s"), "median": F.lit(median)}
-    items = [(f"{prefix}_{measure}", "primary", values[prefix])]
-    for name, expr in ((f"avg_{measure}", F.col("a")), (f"median_{measure}", F.lit(median)),
-                       ("record_count", F.col("n"))):
-        if name != items[0][0]:
-            items.append((name, "secondary", expr))
-    return _long(df.agg(F.avg(m).alias("a"), F.coalesce(F.sum(m), F.lit(0.0)).alias("s"),
-                        F.count(F.lit(1)).alias("n")), items)
+    base = df.agg(F.count(F.lit(1)).alias("n"), F.avg(m).alias("a"), F.coalesce(F.sum(m), F.lit(0.0)).alias("s"),
+                  F.count(m).alias("some"), F.min(m).alias("lo"), F.max(m).alias("hi")).collect()[0]
+    median = quantiles(df, {measure: [0.5]}, {measure: (base["some"], base["lo"], base["hi"])})[measure][0]
+    values = {"avg": base["a"], "total": base["s"], "median": median}
+    lead = {"average": "avg", "sum": "total", "median": "median"}.get(intent, "avg")
+    items = [(f"{lead}_{measure}", "primary", values[lead])]
+    items += [(f"{k}_{measure}", "secondary", values[k]) for k in ("avg", "median") if k != lead]
+    items.append(("record_count", "secondary", float(base["n"])))
+    return df.sparkSession.createDataFrame(
+        [(name, role, None if v is None else float(v)) for name, role, v in items], "kpi string, role string, value double")
 
 
 def kpi_panel(df: DataFrame, limit: int = 6) -> DataFrame:

@@ -18,7 +18,7 @@ from tidemark.functions.exprs import (
     day_label, decade_of, field_types, is_numeric_type, is_time_type)
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS
 from tidemark.functions.semantic import metric_metadata, metric_name
-from tidemark.functions.stats import exact_quantiles
+from tidemark.functions.stats import quantiles
 
 TIME_COLUMN_HINTS = ("date", "time", "timestamp", "year", "month", "week")
 AGGREGATIONS = ("average", "sum", "count")
@@ -178,22 +178,19 @@ def histogram_edges(lo: float, hi: float, bins: int) -> tuple[list[float], list[
 def distribution_mart(df: DataFrame, metric: str, bins: int = 10) -> DataFrame:
     """Histogram with n = min(bins, distinct values) equal-width bins.
 
-    Pass 1 (one global aggregate): min, max, non-null count and an approximate
-    distinct count; when the sketch is close to ``bins`` the distinct count is
-    made exact by grouping (few values by then). Pass 2 is one more global
+    Pass 1 (one global aggregate): min, max, non-null count. The distinct values
+    are counted up to ``bins`` only (a limit per task and in all: no more are
+    needed to know n). Pass 2 is one more global
     aggregate with one ``count_if`` per bin, unpivoted to rows, so empty bins
     appear with 0 and no join or shuffle of rows is needed.
     """
     require_columns(df, [metric])
     x = _c(metric).cast("double")
-    stats = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
-                   F.approx_count_distinct(x).alias("d")).collect()[0]
+    stats = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).collect()[0]
     if stats["n"] == 0:
         raise ValueError("Cannot build a distribution mart from an empty metric.")
     lo, hi = stats["lo"], stats["hi"]
-    distinct = stats["d"]
-    if distinct <= 4 * bins:
-        distinct = df.select(x.alias("x")).where(F.col("x").isNotNull()).distinct().count()
+    distinct = df.select(x.alias("x")).where(F.col("x").isNotNull()).distinct().limit(bins).count()
     spark = df.sparkSession
     if lo == hi or distinct <= 1:
         return df.agg(F.lit(lo).alias("bin_start"), F.lit(hi).alias("bin_end"),
@@ -219,29 +216,20 @@ def summary_stats_mart(df: DataFrame, metric: str, approx_accuracy: int | None =
     ``approx_accuracy`` is given, Spark's ``percentile_approx`` in one pass)."""
     require_columns(df, [metric])
     x = _c(metric).cast("double")
+    aggs = [F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("std")]
     if approx_accuracy:
-        base = df.agg(F.count(x).alias("n"), F.percentile_approx(
-            x, list(SUMMARY_PROBS), approx_accuracy).alias("q")).collect()[0]
-        q = [float(v) for v in base["q"]] if base["q"] is not None else None
-    else:
-        base = df.agg(F.count(x).alias("n"), F.approx_count_distinct(x).alias("d")).collect()[0]
+        aggs.append(F.percentile_approx(x, list(SUMMARY_PROBS), approx_accuracy).alias("q"))
+    base = df.agg(*aggs).collect()[0]
     if base["n"] == 0:
-        raise ValueError("Cannot build summary statistics from an empty metric.")
-    if not approx_accuracy:
-        q = exact_quantiles(df, metric, list(SUMMARY_PROBS), n=base["n"], distinct=base["d"])
-    named = lambda e, agg: _named(e, metric, agg)
-    return df.agg(
-        F.lit(metric).alias("source_metric_column"),
-        named(F.min(x), "min"),
-        named(F.max(x), "max"),
-        named(F.avg(x), "average"),
-        named(F.lit(q[0]).cast("double"), "median"),
-        named(F.coalesce(F.stddev_samp(x), F.lit(0.0)), "std"),
-        named(F.lit(q[1]).cast("double"), "p05"),
-        named(F.lit(q[2]).cast("double"), "p25"),
-        named(F.lit(q[3]).cast("double"), "p75"),
-        named(F.lit(q[4]).cast("double"), "p95"),
-    )
+        raise ValueError(f"Column {metric} holds no values to summarise.")
+    q = [float(v) for v in base["q"]] if approx_accuracy else \
+        quantiles(df, {metric: list(SUMMARY_PROBS)}, {metric: (base["n"], base["lo"], base["hi"])})[metric]
+    figures = {"min": base["lo"], "max": base["hi"], "average": base["mean"], "median": q[0],
+               "std": base["std"] if base["n"] > 1 else 0.0, "p05": q[1], "p25": q[2], "p75": q[3], "p95": q[4]}
+    one = df.sparkSession.createDataFrame([(metric,)], "source_metric_column string")
+    return one.select("source_metric_column",
+                      *[_named(F.lit(v).cast("double"), metric, agg) for agg, v in figures.items()])
 
 
 # ------------------------------------------------------------------ C9 and G10

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.stats import spread
 from tidemark.functions.exprs import (
     decimal_year_to_date, is_numeric_type, is_time_type, list_cell_items, month_label,
     parse_number, sentinel_to_null)
@@ -173,7 +172,6 @@ def page_arrays(pages: DataFrame, html_column: str = "html", x_name: str = "char
     ``error`` set instead of values (the reference raises for such a page).
     """
     keys = key_columns or [c for c in pages.columns if c != html_column]
-    pages = spread(pages)
     def arr(name):
         body = F.regexp_extract(_c(html_column), rf"(?s)var {name} = \[(.*?)\]\s*var ", 1)
         items = F.filter(F.transform(F.split(body, ","), lambda s: F.trim(s)), lambda s: s != "")
@@ -240,7 +238,6 @@ def json_feed_records(feeds: DataFrame, text_column: str = "value") -> DataFrame
     """``[meta, [records...]]`` JSON text -> one flat row per object
     record; records that are not objects are skipped."""
     keys = [c for c in feeds.columns if c != text_column]
-    feeds = spread(feeds)
     records = F.get(F.from_json(_c(text_column), T.ArrayType(T.StringType())), 1)
     items = F.from_json(records, T.ArrayType(T.StringType()))
     exploded = feeds.select(*[_c(k) for k in keys], F.explode(items).alias("_r"))

@@ -90,7 +90,6 @@ def run_datasets(spark: SparkSession, datasets: list[dict], root: str,
         # the integration then read Parquet instead of recomputing the dedup
         result = clean(df)
         staging_path = sinks.write_staging(result.df, root, cfg["name"])
-        result.release()
         cleaned = spark.read.parquet(staging_path)
         std = standardize(cleaned, cfg["name"], cfg["time_column"], cfg.get("metric_column"))
         coverages[std.dataset_name] = coverage(cleaned, std.time_column)

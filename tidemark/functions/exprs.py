@@ -18,7 +18,11 @@ NUMERIC_CONVERSION_THRESHOLD = 0.8
 # thousands separators and 'nan' (which is missing, not a number).
 NUMERIC_TEXT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 INTEGER_TEXT = r"^[+-]?\d+$"
-BLANK_TEXT = r"^\s*$"
+# Everything Unicode counts as white space (fixed values).
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+               "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+_DICT_CELL = r"""^\{\s*('[^']*'|"[^"]*"|[^,'"]*)\s*:"""
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
                  T.FloatType, T.DoubleType, T.DecimalType)
@@ -38,19 +42,29 @@ def field_types(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 
 
-def blank_to_null(c: Column) -> Column:
-    """B2: whitespace-only text becomes NULL."""
-    return F.when(c.rlike(BLANK_TEXT), F.lit(None)).otherwise(c)
+def strip(text: Column) -> Column:
+    """The text without white space at either end."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def is_blank(text: Column) -> Column:
+    """B2: true for text of white space only (NULL stays NULL)."""
+    return strip(text) == F.lit("")
+
+
+def quoted(name: str) -> Column:
+    """A top-level column by its exact name (dots and back-ticks included)."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def parse_number(text: Column) -> Column:
     """Pandas-compatible text -> double; anything else (incl. 'nan') -> NULL."""
-    t = F.trim(text)
+    t = strip(text)
     return F.when(t.rlike(NUMERIC_TEXT), t.try_cast("double"))
 
 
 def is_integer_text(text: Column) -> Column:
-    return F.trim(text).rlike(INTEGER_TEXT)
+    return strip(text).rlike(INTEGER_TEXT)
 
 
 def nan_to_null(c: Column) -> Column:
@@ -63,9 +77,9 @@ def drop_nan(df: DataFrame) -> DataFrame:
     exprs = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            exprs.append(nan_to_null(F.col(f.name)).cast(f.dataType).alias(f.name))
+            exprs.append(nan_to_null(quoted(f.name)).cast(f.dataType).alias(f.name))
         else:
-            exprs.append(F.col(f.name))
+            exprs.append(quoted(f.name))
     return df.select(*exprs)
 
 
@@ -107,13 +121,21 @@ def sentinel_to_null(c: Column, sentinel=-9999) -> Column:
 def list_cell_items(text: Column) -> Column:
     """A list literal in a text cell -> array of trimmed non-blank items.
 
-    ``['a', 'b']`` parses as JSON (single quotes accepted); anything that does
-    not parse is one single item.
+    Lists, tuples and sets count alike; ``None``, ``True`` and ``False`` stand
+    for themselves (None is no item), and a nested list is one item. Anything
+    that does not parse is one single item.
     """
-    parsed = F.from_json(text, T.ArrayType(T.StringType()),
-                         {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
+    t = strip(text)
+    closed = (t.startswith("[") & t.endswith("]")) | (t.startswith("(") & t.endswith(")")) \
+        | (t.startswith("{") & t.endswith("}") & ~t.rlike(_DICT_CELL))
+    inner = F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r",\s*$", "")
+    for word, json_word in (("None", "null"), ("True", '"True"'), ("False", '"False"')):
+        # outside quotes only: the word stands between separators
+        inner = F.regexp_replace(inner, rf"(^|,)\s*{word}\s*(?=,|$)", f"$1{json_word}")
+    as_json = F.when(closed, F.concat(F.lit("["), inner, F.lit("]"))).otherwise(t)
+    parsed = F.from_json(as_json, T.ArrayType(T.StringType()), {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
     items = F.coalesce(parsed, F.array(text))
-    trimmed = F.transform(items, lambda x: F.trim(x))
+    trimmed = F.transform(items, lambda x: strip(x))
     return F.filter(trimmed, lambda x: x.isNotNull() & (x != F.lit("")))
 
 
@@ -122,7 +144,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     exprs = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            exprs.append(F.round(F.col(f.name), digits).alias(f.name))
+            exprs.append(F.round(quoted(f.name), digits).alias(f.name))
         else:
-            exprs.append(F.col(f.name))
+            exprs.append(quoted(f.name))
     return df.select(*exprs)

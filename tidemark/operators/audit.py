@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS
 from tidemark.functions.semantic import parse_metric_name
@@ -33,35 +34,54 @@ def candidate_pairs(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
     return pairs
 
 
-def _key_counts(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Distinct non-null keys with their row counts (map-side combined)."""
-    return df.where(_c(col).isNotNull()).groupBy(_c(col).alias("k")).agg(F.count(F.lit(1)).alias(name))
+def _key_text(df: DataFrame, col: str) -> Column:
+    """A key as text; whole numbers of any numeric type read alike."""
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        whole = _c(col).try_cast("bigint")
+        return F.when(whole.cast("double") == _c(col), whole.cast("string")).otherwise(_c(col).cast("string"))
+    return _c(col).cast("string")
 
 
 def key_checks(tables: dict[str, DataFrame]) -> DataFrame:
     """Per candidate pair, keys, rows and duplicate keys per side, keys of
     one side missing on the other and the measured cardinality.
 
-    Each side is reduced to its distinct keys with counts; one full outer join
-    of the two key sets feeds one aggregate. The joined keys are unique per
-    side, so the join sees no key skew even when a key holds a third of the
-    rows."""
-    rows = []
-    for left, right, col in candidate_pairs(tables):
-        joined = _key_counts(tables[left], col, "nl").join(
-            _key_counts(tables[right], col, "nr"), "k", "full_outer")
-        rows.append(joined.agg(
+    Each table is read once and gives one row per shared column; all keys of a
+    column are counted per table in one grouping by (column, key), which is
+    combined map-side, so a key with a third of the rows is no skew. There is
+    no join. Keys are compared as text (their numbers' text where numeric)."""
+    pairs = candidate_pairs(tables)
+    if not pairs:
+        raise ValueError("the tables share no column name")
+    owners = list(dict.fromkeys(name for pair in pairs for name in pair[:2]))
+    columns = list(dict.fromkeys(col for _, _, col in pairs))
+    long = reduce(DataFrame.unionByName, [
+        tables[name].select(F.lit(i).alias("t"), F.inline(F.array(*[
+            F.struct(F.lit(columns.index(c)).alias("c"), _key_text(tables[name], c).alias("k"))
+            for c in columns if c in tables[name].columns])))
+        for i, name in enumerate(owners)]).where(F.col("k").isNotNull())
+    per_key = long.groupBy("c", "k").agg(*[F.count_if(F.col("t") == i).alias(f"n{i}") for i in range(len(owners))])
+    def side(name):
+        n = F.col(f"n{owners.index(name)}")
+        return F.when(n > 0, n)
+    figures, described = [], []
+    for p, (left, right, col) in enumerate(pairs):
+        here, nl, nr = F.col("c") == columns.index(col), side(left), side(right)
+        figures += [F.count(F.when(here, nl)).alias(f"a{p}"), F.sum(F.when(here, nl)).alias(f"b{p}"),
+                    F.count_if(here & (nl > 1)).alias(f"c{p}"),
+                    F.count(F.when(here, nr)).alias(f"d{p}"), F.sum(F.when(here, nr)).alias(f"e{p}"),
+                    F.count_if(here & (nr > 1)).alias(f"f{p}"),
+                    F.count_if(here & nl.isNotNull() & nr.isNull()).alias(f"g{p}"),
+                    F.count_if(here & nr.isNotNull() & nl.isNull()).alias(f"h{p}")]
+        zero = lambda name: F.coalesce(F.col(name), F.lit(0).cast("bigint"))
+        described.append(F.struct(
             F.lit(left).alias("from_table"), F.lit(col).alias("from_column"),
             F.lit(right).alias("to_table"), F.lit(col).alias("to_column"),
-            F.count("nl").alias("from_keys"), F.coalesce(F.sum("nl"), F.lit(0)).alias("from_rows"),
-            F.count_if(F.col("nl") > 1).alias("from_duplicate_keys"),
-            F.count("nr").alias("to_keys"), F.coalesce(F.sum("nr"), F.lit(0)).alias("to_rows"),
-            F.count_if(F.col("nr") > 1).alias("to_duplicate_keys"),
-            F.count_if(F.col("nr").isNull()).alias("from_keys_missing_in_to"),
-            F.count_if(F.col("nl").isNull()).alias("to_keys_missing_in_from")))
-    if not rows:
-        raise ValueError("No shared column names across the tables.")
-    out = reduce(lambda a, b: a.unionByName(b), rows)
+            F.col(f"a{p}").alias("from_keys"), zero(f"b{p}").alias("from_rows"), F.col(f"c{p}").alias("from_duplicate_keys"),
+            F.col(f"d{p}").alias("to_keys"), zero(f"e{p}").alias("to_rows"), F.col(f"f{p}").alias("to_duplicate_keys"),
+            F.col(f"g{p}").alias("from_keys_missing_in_to"), F.col(f"h{p}").alias("to_keys_missing_in_from")))
+    out = per_key.agg(*figures).select(F.inline(F.array(*described)))
     many_from = F.col("from_duplicate_keys") > 0
     many_to = F.col("to_duplicate_keys") > 0
     card = (F.when(many_from & many_to, "many-to-many").when(many_from, "many-to-one")
@@ -71,7 +91,9 @@ def key_checks(tables: dict[str, DataFrame]) -> DataFrame:
 
 def lineage_edges(result, mart_tables: dict[str, DataFrame]) -> DataFrame:
     """raw -> staging edges (passthrough / normalized / type_cast) with
-    the measured cells nulled by blank handling and failed casts, and staging
+    the measured cells nulled by blank handling, the values that failed a numeric
+    or date cast (text of a date column stays as it was) and the rows whose cell
+    was not nulled (before duplicates go), and staging
     -> mart edges (passthrough, or aggregated from the metric named in the
     mart column). ``result`` is a ``CleanResult``."""
     spark = result.df.sparkSession
@@ -80,20 +102,21 @@ def lineage_edges(result, mart_tables: dict[str, DataFrame]) -> DataFrame:
     for d in result.decisions:
         kind = ("type_cast" if d.kind in ("numeric", "datetime")
                 else "normalized" if d.raw_name != d.column else "passthrough")
-        failed = d.failed if d.kind in ("numeric",) else 0
-        rows.append((f"raw::{d.raw_name}", f"staging::{d.column}", kind, d.blanks, failed))
+        rows.append((f"raw::{d.raw_name}", f"staging::{d.column}", kind, d.blanks, d.failed,
+                     result.input_rows - d.blanks - (d.failed if d.kind == "numeric" else 0)))
     for mart, df in mart_tables.items():
         for c in df.columns:
             if c in QUALITY_FLAG_COLUMNS:
                 continue
             if c in staging_cols:
-                rows.append((f"staging::{c}", f"mart::{mart}::{c}", "passthrough", 0, 0))
+                rows.append((f"staging::{c}", f"mart::{mart}::{c}", "passthrough", 0, 0, None))
                 continue
             meta = parse_metric_name(c)
             source = meta and meta.get("source_column")
             if source in staging_cols:
-                rows.append((f"staging::{source}", f"mart::{mart}::{c}", "aggregated", 0, 0))
-    schema = "from_node string, to_node string, edge_type string, blanks_nulled bigint, cast_failures bigint"
+                rows.append((f"staging::{source}", f"mart::{mart}::{c}", "aggregated", 0, 0, None))
+    schema = ("from_node string, to_node string, edge_type string, blanks_nulled bigint, cast_failures bigint, "
+              "rows_unchanged bigint")
     return spark.createDataFrame(rows, schema)
 
 

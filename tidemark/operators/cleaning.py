@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.exprs import (
-    BLANK_TEXT, NUMERIC_CONVERSION_THRESHOLD, is_integer_text, nan_to_null, parse_number)
+    NUMERIC_CONVERSION_THRESHOLD, is_blank, is_integer_text, nan_to_null, parse_number, strip)
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS, normalized_names
 
 ROW_ID = "_row_id"
@@ -36,7 +36,7 @@ DATE_COLUMN_HINTS = ("date", "datetime", "timestamp", "created_at", "updated_at"
 
 # Candidate formats, tried against the first non-null value of a column.
 DATE_FORMATS = (
-    "yyyy-MM-dd",
+    "yyyy-M-d",
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd HH:mm:ss.SSSSSS",
@@ -45,11 +45,23 @@ DATE_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd'T'HH:mm",
-    "yyyy/MM/dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "dd.MM.yyyy",
+    "yyyy/M/d",
+    "yyyy/M/d H:mm:ss",
+    "M/d/yyyy",
+    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy h:mm a",
+    "M/d/yyyy h:mm:ss a",
+    "d/M/yyyy",                # read when the first value's first number is no month
+    "d/M/yyyy H:mm:ss",
+    "d/M/yyyy H:mm",
+    "d.M.yyyy",
+    "d-MMM-yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "MMM d yyyy",
     "yyyy-MM",
 )
 
@@ -58,7 +70,7 @@ def format_shape(fmt: str) -> str:
     """A regex that every string the strict parser accepts for ``fmt`` matches
     (a superset: numeric fields are any digit run). Strings outside it cannot
     parse, so they are counted as failures without running the parser."""
-    out, i = ["^\\s*"], 0
+    out, i = ["^"], 0
     while i < len(fmt):
         ch = fmt[i]
         if ch == "'":
@@ -69,7 +81,7 @@ def format_shape(fmt: str) -> str:
         j = i
         while j < len(fmt) and fmt[j] == ch:
             j += 1
-        if ch in "yMdHhmsS":
+        if ch in "yMdHhmsS" and not (ch == "M" and j - i > 2):
             out.append("\\d+")
         elif ch == "X":
             out.append("(Z|[+-]\\d{1,2}(:?\\d{2})?)")
@@ -78,14 +90,14 @@ def format_shape(fmt: str) -> str:
         else:
             out.append(re.escape(fmt[i:j]))
         i = j
-    out.append("\\s*$")
+    out.append("$")
     return "".join(out)
 
 
 def parses_as(value: Column, fmt: str) -> Column:
     """True when ``value`` parses with ``fmt`` (shape-guarded, so text of
     another shape never reaches the parser)."""
-    return value.rlike(format_shape(fmt)) & F.try_to_timestamp(value, F.lit(fmt)).isNotNull()
+    return strip(value).rlike(format_shape(fmt)) & F.try_to_timestamp(strip(value), F.lit(fmt)).isNotNull()
 
 
 def looks_like_date_column(name: str) -> bool:
@@ -153,7 +165,7 @@ class CleanResult:
 
 
 def _text_value(c: str) -> Column:
-    return F.when(~_c(c).rlike(BLANK_TEXT), _c(c))
+    return F.when(~is_blank(_c(c)), _c(c))
 
 
 def _first_value_formats(df: DataFrame, date_cols: list[str]) -> dict[str, int | None]:
@@ -163,7 +175,7 @@ def _first_value_formats(df: DataFrame, date_cols: list[str]) -> dict[str, int |
         return {}
     firsts = df.agg(*[F.min_by(_text_value(c), F.when(_text_value(c).isNotNull(), F.col(ROW_ID)))
                       .alias(f"f{i}") for i, c in enumerate(date_cols)])
-    row = firsts.select(*[F.try_to_timestamp(F.col(f"f{i}"), F.lit(fmt)).isNotNull().alias(f"ok_{i}_{k}")
+    row = firsts.select(*[F.try_to_timestamp(strip(F.col(f"f{i}")), F.lit(fmt)).isNotNull().alias(f"ok_{i}_{k}")
                           for i in range(len(date_cols)) for k, fmt in enumerate(DATE_FORMATS)]).collect()[0]
     out = {}
     for i, c in enumerate(date_cols):
@@ -177,7 +189,7 @@ def _stats_pass(df: DataFrame, text_cols: list[str], date_formats: dict[str, lis
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(text_cols):
         raw = _c(c)
-        blank = raw.rlike(BLANK_TEXT)
+        blank = is_blank(raw)
         value = F.when(~blank, raw)
         number = parse_number(value)
         aggs += [
@@ -185,7 +197,7 @@ def _stats_pass(df: DataFrame, text_cols: list[str], date_formats: dict[str, lis
             F.count(value).alias(f"nn_{i}"),
             F.count(number).alias(f"num_{i}"),
             F.count_if(number.isNotNull() & is_integer_text(value)
-                       & F.trim(value).try_cast("bigint").isNotNull()).alias(f"int_{i}"),
+                       & strip(value).try_cast("bigint").isNotNull()).alias(f"int_{i}"),
         ]
         for k in date_formats.get(c, []):
             aggs.append(F.count_if(value.isNotNull() & ~parses_as(value, DATE_FORMATS[k]))
@@ -225,13 +237,13 @@ def clean(df: DataFrame) -> CleanResult:
             decisions.append(d)
             continue
         i = text_cols.index(c)
-        value = F.when(~_c(c).rlike(BLANK_TEXT), _c(c))
+        value = F.when(~is_blank(_c(c)), _c(c))
         d.blanks, d.non_null, d.numeric_ok = stats[f"blank_{i}"], stats[f"nn_{i}"], stats[f"num_{i}"]
         if d.non_null > 0 and d.numeric_ok / d.non_null >= NUMERIC_CONVERSION_THRESHOLD:
             number = parse_number(value)
             if stats[f"int_{i}"] == d.numeric_ok:
                 d.target_type = "bigint"
-                out = F.when(number.isNotNull(), F.trim(value).try_cast("bigint"))
+                out = F.when(number.isNotNull(), strip(value).try_cast("bigint"))
             else:
                 d.target_type = "double"
                 out = number
@@ -245,8 +257,8 @@ def clean(df: DataFrame) -> CleanResult:
                 k = min(range(len(DATE_FORMATS)), key=lambda j: stats[f"dfail_{i}_{j}"])
             d.date_format = DATE_FORMATS[k]
             d.failed = stats[f"dfail_{i}_{k}"]
-            parsed = F.when(value.rlike(format_shape(d.date_format)),
-                            F.try_to_timestamp(value, F.lit(d.date_format)))
+            parsed = F.when(strip(value).rlike(format_shape(d.date_format)),
+                            F.try_to_timestamp(strip(value), F.lit(d.date_format)))
             if d.failed == 0:
                 d.kind, d.target_type = "datetime", "timestamp"
                 projected.append(parsed.alias(c))
@@ -254,6 +266,9 @@ def clean(df: DataFrame) -> CleanResult:
                 d.kind = "date_skipped"
                 projected.append(value.alias(c))
                 date_issues.append(value.isNotNull() & parsed.isNull())
+        elif c in date_cols:                       # a date column without a value
+            d.kind, d.target_type = "datetime", "timestamp"
+            projected.append(F.lit(None).cast("timestamp").alias(c))
         else:
             projected.append(value.alias(c))
         decisions.append(d)
@@ -311,7 +326,8 @@ def _decision_log(result: CleanResult) -> DataFrame:
                          f"{d.failed} value(s) do not parse as {d.date_format}"))
         elif d.kind == "datetime":
             rows.append(("date_parsing", "cast_to_datetime", d.column, None,
-                         f"cast to timestamp (UTC) with {d.date_format}"))
+                         f"cast to timestamp (UTC) with {d.date_format}" if d.date_format
+                         else "cast to timestamp (UTC): no value"))
     decided = spark.createDataFrame(rows, LOG_SCHEMA)
     dedup = result.df.agg((F.lit(result.input_rows) - F.count(F.lit(1))).alias("rows_affected")) \
         .where(F.col("rows_affected") > 0).select(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, is_numeric_type
+from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, is_numeric_type, strip
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS
 from tidemark.functions.stats import distinct_counts_df, unpivot_values
 
@@ -143,7 +143,7 @@ def dq_scores(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
             aggs2.append(F.count_if(dev > F.lit(OUTLIER_SIGMA * sd)).alias(f"out_{i}"))
     for c in text:
         i = cols.index(c)
-        t = F.trim(_c(c))
+        t = strip(_c(c))
         for name, rule in _VALUE_CLASSES:
             aggs2.append(F.count_if(rule(t)).alias(f"cls_{name}_{i}"))
     counts = df.agg(*aggs2)

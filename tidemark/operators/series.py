@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.exprs import (
     decimal_year_to_date, is_numeric_type, is_time_type, list_cell_items, month_label,
-    parse_number, sentinel_to_null)
+    parse_number, sentinel_to_null, strip)
 
 YEAR_NUMERIC_THRESHOLD = 0.8
 
@@ -68,7 +68,7 @@ def yearly_series(df: DataFrame, metric_column: str, time_column: str = "year",
     without a value first. Output: year, <metric_column>, date (``yyyy-01``).
     """
     if time_column not in df.columns:
-        raise ValueError(f"aggregated_time_series source is missing time column: {time_column}")
+        raise ValueError(f"a yearly series needs its time column {time_column}")
     year = coerce_year(df, time_column)
     working = df.withColumn("__year", year).where(F.col("__year").isNotNull())
     if min_year is not None:
@@ -77,24 +77,24 @@ def yearly_series(df: DataFrame, metric_column: str, time_column: str = "year",
         working = working.where(F.col("__year") <= int(max_year))
     if aggregation == "count_distinct":
         if not entity_column:
-            raise ValueError("count_distinct requires an entity column.")
+            raise ValueError("a distinct count needs an entity column")
         if entity_column not in df.columns:
-            raise ValueError(f"aggregated_time_series source is missing entity column: {entity_column}")
+            raise ValueError(f"a yearly series needs its entity column {entity_column}")
         raw = _c(entity_column).cast("string")
         items = list_cell_items(raw) if list_cells else F.filter(
-            F.array(F.trim(raw)), lambda x: x.isNotNull() & (x != F.lit("")))
+            F.array(strip(raw)), lambda x: x.isNotNull() & (x != F.lit("")))
         exploded = working.select("__year", F.explode(items).alias("__item"))
         out = exploded.groupBy("__year").agg(F.count_distinct("__item").alias(metric_column))
     else:
         if not value_column:
-            raise ValueError("numeric aggregations require a value column.")
+            raise ValueError("a numeric yearly series needs a value column")
         if value_column not in df.columns:
-            raise ValueError(f"aggregated_time_series source is missing value column: {value_column}")
+            raise ValueError(f"a yearly series needs its value column {value_column}")
         value = _as_number(_c(value_column), df.schema[value_column].dataType)
         vals = working.select("__year", value.alias("__v")).where(F.col("__v").isNotNull())
         fn = {"average": F.avg, "sum": F.sum, "count": F.count}.get(aggregation)
         if fn is None:
-            raise ValueError(f"Unsupported aggregated_time_series aggregation: {aggregation}")
+            raise ValueError(f"a yearly series cannot be aggregated by {aggregation}")
         out = vals.groupBy("__year").agg(fn("__v").alias(metric_column))
     return (out.select(F.col("__year").alias("year"), _c(metric_column),
                        year_label(F.col("__year")).alias("date"))
@@ -151,7 +151,7 @@ def whitespace_series(lines: DataFrame, names=TEMPERATURE_COLUMNS, comment: str
     """Whitespace-separated text (``value`` column, as ``spark.read.text``
     gives it) with ``%`` comments -> typed columns, all-empty rows dropped,
     ``yyyy-MM`` label and a source tag."""
-    text = F.trim(F.regexp_replace("value", F.lit(f"{comment}.*$"), F.lit("")))
+    text = strip(F.regexp_replace("value", F.lit(f"{comment}.*$"), F.lit("")))
     parts = lines.select(F.split(text, r"\s+").alias("_p"), text.alias("_t")).where(F.col("_t") != "")
     typed = parts.select(*[parse_number(F.get(F.col("_p"), i)).alias(n) for i, n in enumerate(names)])
     typed = typed.na.drop(how="all")
@@ -168,19 +168,23 @@ def page_arrays(pages: DataFrame, html_column: str = "html", x_name: str = "char
     """Numeric JS arrays ``var <x> = [...]`` / ``var <y> = [...]`` of each
     page zipped into rows; decimal years become dates (B11).
 
-    A page whose arrays are missing or of different lengths yields one row with
-    ``error`` set instead of values (the reference raises for such a page).
+    A page whose arrays are missing, of different lengths or not all numbers
+    yields one row with ``error`` set instead of values.
     """
     keys = key_columns or [c for c in pages.columns if c != html_column]
     def arr(name):
-        body = F.regexp_extract(_c(html_column), rf"(?s)var {name} = \[(.*?)\]\s*var ", 1)
-        items = F.filter(F.transform(F.split(body, ","), lambda s: F.trim(s)), lambda s: s != "")
-        return F.when(body != "", F.transform(items, lambda s: s.try_cast("double")))
+        body = F.regexp_extract(_c(html_column), rf"(?s)var {name} = \[(.*?)\]\s*;?\s*var ", 1)
+        return F.when(body != "", F.filter(F.transform(F.split(body, ","), lambda s: strip(s)), lambda s: s != ""))
+    def unread(name):
+        return F.exists(name, lambda s: parse_number(s).isNull())
     staged = pages.select(*[_c(k) for k in keys], arr(x_name).alias("_x"), arr(y_name).alias("_y"))
-    error = (F.when(F.col("_x").isNull(), F.lit(f"Could not find {x_name} in the source page."))
-              .when(F.col("_y").isNull(), F.lit(f"Could not find {y_name} in the source page."))
-              .when(F.size("_x") != F.size("_y"), F.lit("Mismatched chart arrays.")))
+    error = (F.when(F.col("_x").isNull(), F.lit(f"page has no array {x_name}"))
+              .when(F.col("_y").isNull(), F.lit(f"page has no array {y_name}"))
+              .when(F.size("_x") != F.size("_y"), F.lit("arrays differ in length"))
+              .when(unread("_x") | unread("_y"), F.lit("an array item is not a number")))
     staged = staged.withColumn("error", error)
+    for name in ("_x", "_y"):
+        staged = staged.withColumn(name, F.transform(name, lambda s: parse_number(s)))
     pairs = F.when(F.col("error").isNull(), F.arrays_zip(F.col("_x").alias("x"), F.col("_y").alias("y"))) \
              .otherwise(F.array(F.struct(F.lit(None).cast("double").alias("x"),
                                          F.lit(None).cast("double").alias("y"))))
@@ -202,7 +206,7 @@ def monthly_extent(frames: list[DataFrame], sentinel: float = -9999) -> DataFram
     snake names, ``mo``->``month``, ``extent``->``ice_extent``, numeric casts,
     sentinel -> NULL (B14), rows without an extent dropped, ``yyyy-MM`` label."""
     if not frames:
-        raise ValueError("No monthly ice extent files were available for the configured source.")
+        raise ValueError("a monthly extent needs at least one monthly table")
     def tidy(df):
         names = [c.strip().lower().replace(" ", "_") for c in df.columns]
         names = ["month" if n == "mo" else "ice_extent" if n == "extent" else n for n in names]
@@ -230,7 +234,7 @@ RECORD_SCHEMA = T.StructType([
     T.StructField("indicator", T.StructType([T.StructField("id", T.StringType()),
                                              T.StructField("value", T.StringType())])),
     T.StructField("date", T.StringType()),
-    T.StructField("value", T.DoubleType()),
+    T.StructField("value", T.StringType()),          # a number, or a number as text
 ])
 
 
@@ -241,7 +245,7 @@ def json_feed_records(feeds: DataFrame, text_column: str = "value") -> DataFrame
     records = F.get(F.from_json(_c(text_column), T.ArrayType(T.StringType())), 1)
     items = F.from_json(records, T.ArrayType(T.StringType()))
     exploded = feeds.select(*[_c(k) for k in keys], F.explode(items).alias("_r"))
-    objects = exploded.where(F.trim("_r").startswith("{"))
+    objects = exploded.where(strip(F.col("_r")).startswith("{"))
     rec = F.from_json("_r", RECORD_SCHEMA)
     return objects.select(*[_c(k) for k in keys],
                           rec["country"]["value"].alias("Country Name"),
@@ -249,4 +253,4 @@ def json_feed_records(feeds: DataFrame, text_column: str = "value") -> DataFrame
                           rec["indicator"]["value"].alias("Indicator Name"),
                           rec["indicator"]["id"].alias("Indicator Code"),
                           rec["date"].alias("Year"),
-                          rec["value"].alias("Value"))
+                          parse_number(rec["value"]).alias("Value"))

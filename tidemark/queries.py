@@ -772,25 +772,208 @@ def text_series(spark, sf):
 
 
 @register("page_arrays", """
-SELECT page_id, CAST(NULL AS DOUBLE) AS year_decimal, CAST(NULL AS BIGINT) AS year,
-       CAST(NULL AS BIGINT) AS month, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS DOUBLE) AS sea_level,
-       CAST(NULL AS VARCHAR) AS source, 'Could not find chart_x in the source page.' AS error
-FROM pages WHERE NOT regexp_matches(html, 'var chart_x = \\[')
+WITH pages AS (SELECT l_orderkey, l_linenumber, 1990 + l_orderkey % 30 AS y, l_quantity AS q, l_extendedprice AS p,
+                      l_partkey % 7 = 0 AS bad, l_partkey % 7 = 1 AS uneven FROM lineitem),
+points AS (SELECT l_orderkey, l_linenumber, CAST(y AS DOUBLE) AS year_decimal, make_date(CAST(y AS INTEGER), 1, 1) AS d,
+                  q AS sea_level FROM pages WHERE NOT bad AND NOT uneven
+           UNION ALL SELECT l_orderkey, l_linenumber, y + 0.5, make_date(CAST(y AS INTEGER), 1, 1) + 183, p
+           FROM pages WHERE NOT bad AND NOT uneven)
+SELECT l_orderkey, l_linenumber, year_decimal, CAST(year(d) AS BIGINT) AS year, CAST(month(d) AS BIGINT) AS month,
+       strftime(d, '%Y-%m') AS date, sea_level, 'nasa_satellite_altimetry' AS source, CAST(NULL AS VARCHAR) AS error
+FROM points
+UNION ALL
+SELECT l_orderkey, l_linenumber, NULL, NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN uneven THEN 'arrays differ in length' ELSE 'an array item is not a number' END
+FROM pages WHERE bad OR uneven
 """)
 def page_arrays(spark, sf):
-    """A14 over the raw pages: none of them carries the chart arrays, so every
-    page yields its error row (the zip path is covered by the tests)."""
+    """One page of several lines per line item, its two arrays zipped; pages
+    with an item that is no number or with uneven arrays give an error row."""
     from tidemark.operators.series import page_arrays as arrays
-    return arrays(table(spark, sf, "pages"), key_columns=["page_id"])
+    items = table(spark, sf, "lineitem")
+    year = (1990 + F.col("l_orderkey") % 30).cast("string")
+    html = F.concat(
+        F.lit("<script>\nvar chart_x = [\n\t"), year, F.lit(".0,\n\u00a0"), year, F.lit(".5,\n];\nvar chart_y = [\n"),
+        F.when(F.col("l_partkey") % 7 == 0, F.lit("oops")).otherwise(F.col("l_quantity").cast("string")),
+        F.when(F.col("l_partkey") % 7 == 1, F.lit("")).otherwise(
+            F.concat(F.lit(",\r\n"), F.col("l_extendedprice").cast("string"))),
+        F.lit("\n];\nvar chart_z = 1;</script>"))
+    return arrays(items.select("l_orderkey", "l_linenumber", html.alias("html")))
+
+
+@register("sql_export", """
+SELECT printf('(%d, ''%s'', %d)', n_nationkey, replace(n_name, chr(39), chr(39) || chr(39)), n_regionkey) AS row_sql
+FROM nation
+UNION ALL
+SELECT printf('(%d, ''%s'', %s, ''%s'')', o_orderkey, o_orderstatus,
+              CASE WHEN o_orderkey % 3 = 1 THEN chr(39) || 'Infinity' || chr(39) ELSE 'NULL' END,
+              strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '.000000+00') FROM orders
+""")
+def sql_export(spark, sf):
+    """Every row as an SQL ``VALUES`` tuple: text, numbers, NaN, infinity, NULL and timestamps."""
+    from tidemark.sources.sinks import value_tuples
+    nation = table(spark, sf, "nation")
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderstatus",
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).when(F.col("o_orderkey") % 3 == 1, F.lit(float("inf")))
+        .alias("x"), "o_orderdate")
+    return nation.select(value_tuples(nation).alias("row_sql")).unionByName(
+        orders.select(value_tuples(orders).alias("row_sql")))
+
+
+# --------------------------------------------------- raw input as it arrives
+@register("clean_whitespace", """
+SELECT DISTINCT o_orderkey AS order_key, o_totalprice AS total_price,
+       CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS priority,
+       o_orderkey % 5 = 0 AS has_nulls, false AS invalid_date_parse, false AS type_conversion_issue
+FROM orders
+""")
+def clean_whitespace(spark, sf):
+    """Numbers between tabs, no-break spaces and line ends; blanks of other white space."""
+    from tidemark.operators.cleaning import clean
+    orders = table(spark, sf, "orders")
+    edge = F.element_at(F.array(*[F.lit(x) for x in ("\t", "\u00a0", " ", "\u2003\n", "")]),
+                        (F.col("o_orderkey") % 5 + 1).cast("int"))
+    raw = orders.select(
+        F.concat(edge, F.col("o_orderkey").cast("string"), edge).alias("Order Key"),
+        F.concat(F.lit("\u3000"), F.col("o_totalprice").cast("string"), F.lit("\r\n")).alias("Total Price"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("\u00a0\t")).otherwise(F.col("o_orderpriority")).alias("Priority"))
+    return clean(raw).df
+
+
+@register("clean_dates", """
+SELECT DISTINCT o_orderkey AS order_key, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS order_date,
+       CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS named_date,
+       CAST(date_trunc('minute', o_orderdate) AS TIMESTAMP) AS clock_timestamp, CAST(NULL AS TIMESTAMP) AS empty_date,
+       true AS has_nulls, false AS invalid_date_parse, false AS type_conversion_issue
+FROM orders
+""")
+def clean_dates(spark, sf):
+    """Unpadded dates, month names, twelve-hour clocks and a date column without a value."""
+    from tidemark.operators.cleaning import clean
+    orders = table(spark, sf, "orders")
+    raw = orders.select(
+        F.col("o_orderkey").alias("Order Key"),
+        F.date_format("o_orderdate", "M/d/yyyy").alias("Order Date"),
+        F.concat(F.lit(" "), F.date_format("o_orderdate", "d-MMM-yyyy")).alias("Named Date"),
+        F.date_format("o_orderdate", "M/d/yyyy h:mm a").alias("Clock Timestamp"),
+        F.lit("  ").alias("Empty Date"))
+    return clean(raw).df
+
+
+@register("typed_text", """
+SELECT s_suppkey AS k, s_acctbal AS balance, s_suppkey % 2 = 0 AS flag, 'n' || s_nationkey AS label FROM supplier
+""")
+def typed_text(spark, sf):
+    """A1: text columns get the type that all their values have."""
+    from tidemark.sources.readers import type_text_columns
+    s = table(spark, sf, "supplier")
+    return type_text_columns(s.select(
+        F.concat(F.lit("\t"), F.col("s_suppkey").cast("string")).alias("k"), F.col("s_acctbal").cast("string").alias("balance"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.lit(" TRUE")).otherwise(F.lit("false")).alias("flag"),
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("label")))
+
+
+@register("list_cells", """
+WITH cells AS (SELECT p_partkey, unnest(CASE p_partkey % 5 WHEN 0 THEN [p_brand, p_name] WHEN 1 THEN [p_brand, 'True', '7']
+                                        WHEN 2 THEN [p_brand] WHEN 3 THEN [p_name] ELSE CAST([] AS VARCHAR[]) END) AS item FROM part)
+SELECT item, COUNT(*) AS parts FROM cells GROUP BY item
+""")
+def list_cells(spark, sf):
+    """List, tuple and set cells with None, bare words and trailing commas; a plain text is one item."""
+    from tidemark.functions.exprs import list_cell_items
+    part = table(spark, sf, "part")
+    brand, name = F.col("p_brand"), F.col("p_name")
+    cell = (F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("['"), brand, F.lit("', None, \""), name, F.lit("\"]")))
+             .when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("('"), brand, F.lit("', True, 7, ' ')")))
+             .when(F.col("p_partkey") % 5 == 2, F.concat(F.lit(" {'"), brand, F.lit("',}")))
+             .when(F.col("p_partkey") % 5 == 3, F.concat(F.lit("\t"), name)).otherwise(F.lit("[]")))
+    return part.select(F.explode(list_cell_items(cell)).alias("item")).groupBy("item").agg(F.count("*").alias("parts"))
+
+
+@register("half_years", """
+SELECT CAST(CAST(round_even(1990 + (event_id % 60) / 2.0, 0) AS BIGINT) AS VARCHAR) AS year,
+       COUNT(*) AS row_count, ROUND(SUM(value), 6) AS total
+FROM events GROUP BY 1
+""")
+def half_years(spark, sf):
+    """Year numbers at the half go to the even year."""
+    from tidemark.operators.integrate import standardize
+    ev = table(spark, sf, "events").select((1990 + (F.col("event_id") % 60) / 2).alias("t"), "value")
+    std = standardize(ev, "events", "t", "value").df
+    return std.groupBy("year").agg(F.count("*").alias("row_count"), F.round(F.sum("source_metric_value"), 6).alias("total"))
 
 
-@register("sql_export")
-def sql_export(spark, sf):
-    """INSERT statements (<= 500 rows each) for the catalog mart; the
-    number of statements depends on task layout, so this is a rows-only check."""
-    from tidemark.sources.sinks import insert_statements
-    mart = marts.catalog_summary_mart(table(spark, sf, "part"), "p_brand", "p_retailprice")
-    return insert_statements(mart, "mart_catalog_summary").select("statement")
+@register("json_text_values", """
+SELECT event_id, user_id % 3 = 2 OR value IS NULL AS missing, CASE WHEN user_id % 3 < 2 THEN value END AS "Value" FROM events
+""")
+def json_text_values(spark, sf):
+    """Values given as numbers, as text with white space, and as a word."""
+    from tidemark.operators.series import json_feed_records
+    ev = table(spark, sf, "events")
+    number = F.col("value").cast("string")
+    given = F.when(F.col("user_id") % 3 == 0, number).when(
+        F.col("user_id") % 3 == 1, F.concat(F.lit('" '), number, F.lit('\\t"'))).otherwise(F.lit('"n/a"'))
+    feed = F.concat(F.lit('[{"page": 1}, [{"country": {"id": "a", "value": "b"}, "date": "2020", "value": '), given, F.lit("}]]"))
+    out = json_feed_records(ev.select("event_id", feed.alias("value")))
+    return out.select("event_id", F.col("Value").isNull().alias("missing"), "Value")
+
+
+# ---------------------------------------------------------------- marts over input with NULLs
+def _sparse_customers(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select(
+        F.when(F.col("c_nationkey") % 5 != 0, F.col("c_mktsegment")).alias("segment"),
+        F.when((F.col("c_custkey") % 3 != 0) & (F.col("c_mktsegment") != "BUILDING"), F.col("c_acctbal")).alias("balance"))
+
+
+_SPARSE_SQL = """
+WITH c AS (SELECT CASE WHEN c_nationkey % 5 <> 0 THEN c_mktsegment END AS segment,
+                  CASE WHEN c_custkey % 3 <> 0 AND c_mktsegment <> 'BUILDING' THEN c_acctbal END AS balance FROM customer)
+"""
+
+
+@register("sparse_catalog", _SPARSE_SQL + """
+SELECT segment, COUNT(*) AS record_count, ROUND(COALESCE(SUM(balance), 0), 6) AS total_balance,
+       ROUND(AVG(balance), 6) AS avg_balance FROM c GROUP BY segment
+""")
+def sparse_catalog(spark, sf):
+    """C6 over NULL keys, NULL values and a group without a value: rows are counted."""
+    return rounded(marts.catalog_summary_mart(_sparse_customers(spark, sf), "segment", "balance"))
+
+
+@register("sparse_provider", _SPARSE_SQL + """
+SELECT segment, COUNT(balance) AS record_count, ROUND(COALESCE(SUM(balance), 0), 6) AS total_balance,
+       ROUND(AVG(balance), 6) AS avg_balance FROM c GROUP BY segment
+""")
+def sparse_provider(spark, sf):
+    """C5 over the same input: values are counted."""
+    return rounded(marts.provider_performance_mart(_sparse_customers(spark, sf), "balance", provider_column="segment"))
+
+
+@register("sparse_schema", _SPARSE_SQL + """
+SELECT 'segment' AS column_name, 'string' AS dtype, COUNT(segment) < COUNT(*) AS nullable, COUNT(*) AS row_count,
+       CAST(2 AS BIGINT) AS column_count FROM c
+UNION ALL SELECT 'balance', 'double', COUNT(balance) < COUNT(*), COUNT(*), 2 FROM c
+""")
+def sparse_schema(spark, sf):
+    """Nullability as observed."""
+    from tidemark.operators.quality import schema_summary as summary
+    return summary(_sparse_customers(spark, sf))
+
+
+@register("anomaly_zscore", """
+WITH v AS (SELECT CASE WHEN l_orderkey % 101 = 0 AND l_linenumber = 1 THEN l_quantity * 1000 ELSE 5.0 END AS x FROM lineitem),
+s AS (SELECT AVG(x) AS m, STDDEV_POP(x) AS sd FROM v)
+SELECT 'x' AS "column", 'zscore' AS method, '|z| > 3.0' AS threshold,
+       (SELECT COUNT(*) FROM v, s WHERE ABS((x - m) / sd) > 3) AS anomaly_count
+""")
+def anomaly_zscore(spark, sf):
+    """F8: a column whose quartiles are equal is judged by its z-scores."""
+    from tidemark.operators.anomaly import detect_anomalies
+    items = table(spark, sf, "lineitem")
+    x = F.when((F.col("l_orderkey") % 101 == 0) & (F.col("l_linenumber") == 1), F.col("l_quantity") * 1000).otherwise(5.0)
+    return detect_anomalies(items.select(x.alias("x"))).report.drop("example_values")
 
 
 # ------------------------------------------------------------ G6-G9, D7, F13
@@ -929,18 +1112,23 @@ def key_check(spark, sf):
 
 @register("lineage_audit", _DIRTY_ORDERS_SQL + """
 SELECT 'raw:: Order Key ' AS from_node, 'staging::order_key' AS to_node, 'type_cast' AS edge_type,
-       CAST(0 AS BIGINT) AS blanks_nulled, CAST(0 AS BIGINT) AS cast_failures
-UNION ALL SELECT 'raw::Customer Key', 'staging::customer_key', 'type_cast', 0, 0
-UNION ALL SELECT 'raw::Order Status', 'staging::order_status', 'normalized', 0, 0
+       CAST(0 AS BIGINT) AS blanks_nulled, CAST(0 AS BIGINT) AS cast_failures,
+       (SELECT COUNT(*) FROM raw) AS rows_unchanged
+UNION ALL SELECT 'raw::Customer Key', 'staging::customer_key', 'type_cast', 0, 0, (SELECT COUNT(*) FROM raw)
+UNION ALL SELECT 'raw::Order Status', 'staging::order_status', 'normalized', 0, 0, (SELECT COUNT(*) FROM raw)
 UNION ALL SELECT 'raw::Total Price', 'staging::total_price', 'type_cast',
        (SELECT COUNT(*) FROM raw WHERE regexp_matches(c_price, '^\\s*$')),
-       (SELECT COUNT(*) FROM typed WHERE type_issue)
-UNION ALL SELECT 'raw::Order Date', 'staging::order_date', 'normalized', 0, 0
-UNION ALL SELECT 'raw::Created At', 'staging::created_at', 'type_cast', 0, 0
+       (SELECT COUNT(*) FROM typed WHERE type_issue),
+       (SELECT COUNT(*) FROM raw WHERE NOT regexp_matches(c_price, '^\\s*$'))
+         - (SELECT COUNT(*) FROM typed WHERE type_issue)
+UNION ALL SELECT 'raw::Order Date', 'staging::order_date', 'normalized', 0,
+       (SELECT COUNT(*) FROM typed WHERE date_issue), (SELECT COUNT(*) FROM raw)
+UNION ALL SELECT 'raw::Created At', 'staging::created_at', 'type_cast', 0, 0, (SELECT COUNT(*) FROM raw)
 UNION ALL SELECT 'raw::Order Priority', 'staging::order_priority', 'normalized',
-       (SELECT COUNT(*) FROM raw WHERE regexp_matches(c_priority, '^\\s*$')), 0
-UNION ALL SELECT 'staging::order_priority', 'mart::mart_question_answer::order_priority', 'passthrough', 0, 0
-UNION ALL SELECT 'staging::total_price', 'mart::mart_question_answer::avg_total_price', 'aggregated', 0, 0
+       (SELECT COUNT(*) FROM raw WHERE regexp_matches(c_priority, '^\\s*$')), 0,
+       (SELECT COUNT(*) FROM raw WHERE NOT regexp_matches(c_priority, '^\\s*$'))
+UNION ALL SELECT 'staging::order_priority', 'mart::mart_question_answer::order_priority', 'passthrough', 0, 0, NULL
+UNION ALL SELECT 'staging::total_price', 'mart::mart_question_answer::avg_total_price', 'aggregated', 0, 0, NULL
 """)
 def lineage_audit(spark, sf):
     """raw -> staging -> mart edges with measured changes."""

@@ -41,13 +41,6 @@ def get_spark(master: str | None = None, app_name: str = "tidemark",
     return spark
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Timestamps are read and written as UTC wall clock (the cleaning casts
-    text to UTC instants); pin the session zone when it is something else."""
-    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, drop_nan, parse_number
+from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, drop_nan, parse_number, strip
 from tidemark.functions.names import normalize_name
 
 ROW_ID = "_row_id"
@@ -86,7 +86,7 @@ def type_text_columns(df: DataFrame, columns: list[str] | None = None) -> DataFr
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`")
-        t = F.trim(v)
+        t = strip(v)
         aggs += [F.count(v).alias(f"n{i}"),
                  F.count_if(t.rlike(INTEGER_TEXT) & t.try_cast("bigint").isNotNull()).alias(f"i{i}"),
                  F.count_if(t.rlike(NUMERIC_TEXT)).alias(f"d{i}"),
@@ -101,11 +101,11 @@ def type_text_columns(df: DataFrame, columns: list[str] | None = None) -> DataFr
         n = row[f"n{i}"]
         v = F.col(f"`{c}`")
         if n > 0 and row[f"i{i}"] == n:
-            exprs.append(F.trim(v).try_cast("bigint").alias(c))
+            exprs.append(strip(v).try_cast("bigint").alias(c))
         elif n > 0 and row[f"d{i}"] == n:
             exprs.append(parse_number(v).alias(c))
         elif n > 0 and row[f"b{i}"] == n:
-            exprs.append((F.lower(F.trim(v)) == "true").alias(c))
+            exprs.append((F.lower(strip(v)) == "true").alias(c))
         else:
             exprs.append(v)
     return df.select(*exprs)

@@ -11,10 +11,11 @@ import json
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.exprs import quoted
 from tidemark.functions.names import normalize_name
 
 ROW_ID = "_row_id"
@@ -114,8 +115,11 @@ def pg_type(dtype: T.DataType) -> str:
 def _sql_literal(c, dtype: T.DataType):
     if isinstance(dtype, T.BooleanType):
         v = F.when(c, F.lit("TRUE")).otherwise(F.lit("FALSE"))
-    elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
-                            T.FloatType, T.DoubleType, T.DecimalType)):
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        infinite = F.abs(c) == float("inf")
+        v = F.when(infinite, F.concat(F.lit("'"), c.cast("string"), F.lit("'"))).otherwise(c.cast("string"))
+        return F.when(c.isNull() | F.isnan(c), F.lit("NULL")).otherwise(v)
+    elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
         v = c.cast("string")
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         v = F.concat(F.lit("'"), F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00'"))
@@ -129,6 +133,13 @@ def create_table_sql(df: DataFrame, table_name: str) -> str:
     return f'DROP TABLE IF EXISTS "{table_name}";\nCREATE TABLE "{table_name}" (\n{cols}\n);'
 
 
+def value_tuples(df: DataFrame) -> Column:
+    """A row as the text of one SQL ``VALUES`` tuple. NaN is NULL, infinities are quoted."""
+    fields = [f for f in df.schema.fields if f.name != ROW_ID]
+    return F.concat(F.lit("("), F.concat_ws(", ", *[_sql_literal(quoted(f.name), f.dataType) for f in fields]),
+                    F.lit(")"))
+
+
 def insert_statements(df: DataFrame, table_name: str, batch_size: int = 500) -> DataFrame:
     """``INSERT`` statements of at most ``batch_size`` rows each.
 
@@ -138,8 +149,7 @@ def insert_statements(df: DataFrame, table_name: str, batch_size: int = 500) ->
     """
     fields = [f for f in df.schema.fields if f.name != ROW_ID]
     cols = ", ".join(f'"{f.name}"' for f in fields)
-    values = F.concat(F.lit("("), F.concat_ws(", ", *[_sql_literal(F.col(f"`{f.name}`"), f.dataType)
-                                                       for f in fields]), F.lit(")"))
+    values = value_tuples(df)
     mid = F.monotonically_increasing_id()
     pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     staged = df.select(values.alias("_v"), mid.alias("_mid")).withColumns(
@@ -171,7 +181,15 @@ def export_sql_text(marts: dict[str, DataFrame], folder: str, batch_size: int =
 
 def export_jdbc(df: DataFrame, url: str, table_name: str, properties: dict | None = None,
                 batch_size: int = 500) -> None:
-    """Write through JDBC in batches (Spark's dialect maps the column
-    types as ``pg_type`` does). Needs a reachable database and its driver."""
+    """Write through JDBC in batches, with the column types of ``pg_type``.
+    Needs a reachable database and its driver."""
     props = {"batchsize": str(batch_size), **(properties or {})}
-    df.write.mode("overwrite").jdbc(url, table_name, properties=props)
+    df.write.mode("overwrite").option("createTableColumnTypes", jdbc_column_types(df)) \
+        .jdbc(url, table_name, properties=props)
+
+
+def jdbc_column_types(df: DataFrame) -> str:
+    """The types as the writer's ``createTableColumnTypes`` takes them (Spark type names)."""
+    names = {"BIGINT": "BIGINT", "DOUBLE PRECISION": "DOUBLE", "TIMESTAMPTZ": "TIMESTAMP", "BOOLEAN": "BOOLEAN",
+             "TEXT": "STRING"}
+    return ", ".join(f"`{f.name}` {names[pg_type(f.dataType)]}" for f in df.schema.fields)

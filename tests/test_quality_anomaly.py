@@ -24,7 +24,7 @@ def test_anomalies_iqr_and_flagged_rows(spark):
     assert framed["streams"]["frequency"] == 0.2
     assert framed["streams"]["impact"] == "high"
     summary = business_summary(frame_anomalies(res.report, 5), 1, 5).collect()[0]["business_summary"]
-    assert summary.startswith("1 rows (20.0%) contain anomalies; high-impact columns")
+    assert summary.startswith("1 rows (20.0%) hold anomalies; high-impact columns")
     assert "`streams`, `track_count`" in summary
 
 
@@ -49,7 +49,7 @@ def test_no_anomalies_summary(spark):
     res = detect_anomalies(df)
     assert res.report.count() == 0
     text = business_summary(frame_anomalies(res.report, 5), 0, 5).collect()[0]["business_summary"]
-    assert text == "No anomalies were detected in this dataset."
+    assert text == "No anomalies were detected."
 
 
 def test_dq_scores(spark):

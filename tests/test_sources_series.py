@@ -104,7 +104,7 @@ def test_page_arrays(spark):
     assert [r["sea_level"] for r in good] == [1.0, 2.0, 3.5]
     assert good[0]["date"] == "1993-01" and good[1]["date"] == "1993-02"
     bad = [r for r in rows if r["page_id"] == 2]
-    assert len(bad) == 1 and bad[0]["error"].startswith("Could not find chart_x")
+    assert len(bad) == 1 and bad[0]["error"] == "page has no array chart_x"
 
 
 def test_monthly_extent(spark, tmp_path):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import day_label, is_numeric_type, is_time_type
 from tidemark.functions.stats import quantiles
+from tidemark.functions.wording import best_first, plain_words
 from tidemark.operators.marts import aggregate_by_dimension
 
 # Measure- and dimension-name hints of the KPI rules.
@@ -30,11 +31,6 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _words(text: str) -> set[str]:
-    raw = re.findall(r"[a-z0-9]+", text.lower().replace("_", " "))
-    return set(raw) | {t[:-1] for t in raw if t.endswith("s") and len(t) > 1}
-
-
 def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
 
@@ -45,40 +41,30 @@ def _long(one_row: DataFrame, items: list[tuple[str, str, Column]]) -> DataFrame
         for name, role, expr in items])))
 
 
+def _fit(name: str, asked: frozenset[str], hints: tuple[str, ...]) -> tuple[int, int]:
+    """How well a column name suits a question: shared words, then hints in the name."""
+    return len(plain_words(name) & asked), sum(hint in name.lower() for hint in hints)
+
+
 def primary_measure(df: DataFrame, question: str) -> str | None:
-    """Numeric column with the most question words, then metric hints in its name."""
-    q = _words(question)
-    cols = _numeric(df)
-    if not cols:
-        return None
-    score = lambda c: (len(_words(c) & q), sum(1 for h in KPI_METRIC_HINTS if h in c.lower()))
-    return max(cols, key=score)
+    """The numeric column that suits the question best."""
+    asked = plain_words(question)
+    return next(iter(best_first(_numeric(df), lambda c: _fit(c, asked, KPI_METRIC_HINTS))), None)
 
 
 def rank_dimensions(df: DataFrame, question: str, limit: int = 3) -> list[str]:
-    """G6 (schema only): non-numeric columns and columns whose name carries a
-    dimension hint, ranked by question words then hints (stable)."""
-    q = _words(question)
-    ranked = []
-    for f in df.schema.fields:
-        hints = sum(1 for h in KPI_DIMENSION_HINTS if h in f.name.lower())
-        if not is_numeric_type(f.dataType) or hints > 0:
-            ranked.append(((len(_words(f.name) & q), hints), f.name))
-    ranked.sort(key=lambda r: r[0], reverse=True)
-    return [name for _, name in ranked][:limit]
+    """G6 (schema only): columns that are no numbers or carry a dimension hint, best first."""
+    asked = plain_words(question)
+    fits = {f.name: _fit(f.name, asked, KPI_DIMENSION_HINTS) for f in df.schema.fields}
+    able = [f.name for f in df.schema.fields if fits[f.name][1] or not is_numeric_type(f.dataType)]
+    return best_first(able, fits.get)[:limit]
 
 
 def _intent(question: str) -> str:
-    q = _words(question)
-    if COUNT_WORDS & q:
-        return "count"
-    if AVERAGE_WORDS & q:
-        return "average"
-    if SUM_WORDS & q:
-        return "sum"
-    if "median" in q:
-        return "median"
-    return "average"
+    """The first of these that the question has a word of; average if none."""
+    asked = plain_words(question)
+    meant = {"count": COUNT_WORDS, "average": AVERAGE_WORDS, "sum": SUM_WORDS, "median": {"median"}}
+    return next((intent for intent, words in meant.items() if words & asked), "average")
 
 
 def kpi_values(df: DataFrame, question: str, metric: str | None = None,
@@ -93,6 +79,10 @@ def kpi_values(df: DataFrame, question: str, metric: str | None = None,
     measure = metric or primary_measure(df, question)
     intent = aggregation or _intent(question)
     if measure is None or measure == "record_count" or intent == "count":
+        if measure is None and not dimension:                       # nothing to average over
+            head = _long(df.agg(F.count(F.lit(1)).alias("n")), [("record_count", "primary", F.col("n"))])
+            return head.unionByName(_long(df.distinct().agg(F.count(F.lit(1)).alias("u")),
+                                          [("unique_record_count", "secondary", F.col("u"))]))
         groups = F.count_distinct(_c(dimension)) if dimension else F.lit(1)
         head = _long(df.agg(F.count(F.lit(1)).alias("n"), groups.alias("g")),
                      [("record_count", "primary", F.col("n")),
@@ -129,14 +119,19 @@ def kpi_panel(df: DataFrame, limit: int = 6) -> DataFrame:
 
 
 def chart_measures(df: DataFrame, question: str | None = None) -> list[str]:
+    """Numbers that tell no time; with a question, those it names come first:
+    by words of the name that it has, then by where the whole name stands."""
     measures = [c for c in _numeric(df) if not any(t in c.lower() for t in TIME_TOKENS)]
     if question is None:
         return measures
-    words = set(re.sub(r"[^0-9a-z\s]", " ", question.lower().replace("_", " ")).split())
-    def score(c):
-        pos = question.lower().find(c.replace("_", " ").lower())
-        return (len(set(c.lower().replace("_", " ").split()) & words), -pos if pos >= 0 else -10_000)
-    return sorted(measures, key=score, reverse=True)
+    asked = frozenset(re.findall("[0-9a-z]+", question.lower().replace("_", " ")))
+
+    def named(column: str) -> tuple[int, bool, int]:
+        phrase = column.lower().replace("_", " ")
+        at = question.lower().find(phrase)
+        return len(asked.intersection(phrase.split())), at >= 0, -at
+
+    return best_first(measures, named)
 
 
 def chart_feeds(df: DataFrame, question: str | None = None,

@@ -188,7 +188,7 @@ def distribution_mart(df: DataFrame, metric: str, bins: int = 10) -> DataFrame:
     x = _c(metric).cast("double")
     stats = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).collect()[0]
     if stats["n"] == 0:
-        raise ValueError("Cannot build a distribution mart from an empty metric.")
+        raise ValueError(f"Column {metric} holds no values to bin.")
     lo, hi = stats["lo"], stats["hi"]
     distinct = df.select(x.alias("x")).where(F.col("x").isNotNull()).distinct().limit(bins).count()
     spark = df.sparkSession
@@ -252,7 +252,7 @@ def time_trend_mart(df: DataFrame, metric: str, aggregation: str, ordering: str
     """C1 over the day label of the time column; sorted by the metric."""
     column = time_column or find_time_column(df)
     if column is None:
-        raise ValueError("No time-like column is available for a trend mart.")
+        raise ValueError("the table has no time column for a trend")
     dtype = field_types(df)[column]
     period = day_label(_c(column)) if is_time_type(dtype) else _c(column)
     needed = [metric] if metric != "record_count" and metric in df.columns else []
@@ -318,7 +318,7 @@ def correlation_mart(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     available = [c for c in columns if c in df.columns]
     if len(available) < 2:
-        raise ValueError("At least two integrated dataset columns are required for correlation.")
+        raise ValueError("a correlation needs two columns at least")
     names = sorted(available)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     parts = []

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import rounded
 from tidemark.operators import marts
+from tidemark.operators.anomaly import ADVICE
 from tidemark.plans.question import answer
 from tidemark.sources.tables import readable, table
 
@@ -553,10 +554,8 @@ def anomaly_rows(spark, sf):
     return res.flagged_rows.select("event_id", "event_type", "anomaly_columns", "has_anomaly")
 
 
-_ACTION_SQL = """CASE impact
-  WHEN 'high' THEN printf('Column `%s` has a high concentration of %s-detected outliers. Review the distribution before aggregating — consider capping extreme values or investigating the upstream data source for collection errors.', "column", method)
-  WHEN 'medium' THEN printf('Column `%s` contains a moderate number of %s-detected outliers. Verify whether these are valid edge cases or data quality issues before including them in summary statistics or KPI calculations.', "column", method)
-  ELSE printf('Column `%s` has isolated %s-detected outliers (low frequency). These are unlikely to materially affect aggregated metrics; monitor over time and re-evaluate if the dataset grows.', "column", method) END"""
+_ACTION_SQL = "CASE impact " + " ".join(
+    f"WHEN '{tier}' THEN printf('{text}', \"column\", method)" for tier, text in ADVICE.items()) + " END"
 
 _FRAMED_SQL = _anomaly_rules_sql(_EVENT_COLS) + """
 , f AS (SELECT pos, "column", method, threshold, anomaly_count,
@@ -588,13 +587,11 @@ tiers AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE impact = 'high') AS high,
                  string_agg(CASE WHEN impact = 'medium' THEN '`' || "column" || '`' END, ', ' ORDER BY pos) AS medium_cols
           FROM framed)
 SELECT a AS anomaly_row_count, t AS total_row_count,
-       CASE WHEN n = 0 OR a = 0 THEN 'No anomalies were detected in this dataset.'
-            WHEN high > 0 THEN printf('%d rows (%s%%) contain anomalies; high-impact columns requiring immediate attention: %s.',
-                                      a, CAST(ROUND(100.0 * a / t, 1) AS VARCHAR), high_cols)
-            WHEN medium > 0 THEN printf('%d rows (%s%%) contain anomalies; medium-impact columns to review before publishing metrics: %s.',
-                                        a, CAST(ROUND(100.0 * a / t, 1) AS VARCHAR), medium_cols)
-            ELSE printf('%d rows (%s%%) contain low-frequency anomalies across %d column(s) — no immediate action required.',
-                        a, CAST(ROUND(100.0 * a / t, 1) AS VARCHAR), n) END AS business_summary
+       CASE WHEN n = 0 OR a = 0 THEN 'No anomalies were detected.'
+            ELSE printf('%d rows (%s%%) hold anomalies; ', a, CAST(ROUND(100.0 * a / t, 1) AS VARCHAR))
+                 || CASE WHEN high > 0 THEN 'high-impact columns: ' || high_cols
+                         WHEN medium > 0 THEN 'medium-impact columns: ' || medium_cols
+                         ELSE printf('low-frequency in %d column(s)', n) END END AS business_summary
 FROM counts, tiers
 """)
 def anomaly_summary(spark, sf):

@@ -29,7 +29,7 @@ def load_entity_co2(spark: SparkSession, path: str, config: dict) -> DataFrame:
     out = series.entity_series(df, config.get("entity_column", "country"),
                                config.get("entity_value", "World"), "year", columns)
     if out.isEmpty():
-        raise ValueError("The source does not contain the requested entity series.")
+        raise ValueError("the requested entity has no rows in the source")
     return out
 
 
@@ -74,7 +74,7 @@ def load_indicator(spark: SparkSession, path: str, config: dict) -> DataFrame:
     """One country's indicator from CSV or a ``[meta, [records]]`` JSON feed."""
     metric = str(config.get("metric_column") or "").strip()
     if not metric:
-        raise ValueError("world_indicator_series loader requires metric_column in config.")
+        raise ValueError("an indicator series needs metric_column")
     if str(config.get("source_format", "")).lower() == "json" or path.lower().endswith(".json"):
         raw = series.json_feed_records(spark.read.text(path, wholetext=True))
     else:
@@ -84,8 +84,8 @@ def load_indicator(spark: SparkSession, path: str, config: dict) -> DataFrame:
                                   config.get("value_column", "Value"),
                                   config.get("country_value", "World"))
     if out.isEmpty():
-        raise ValueError("world_indicator_series source does not contain "
-                         f"{config.get('country_value', 'World')!r} rows with values.")
+        raise ValueError("the source has no values for "
+                         f"{config.get('country_value', 'World')!r}")
     return out
 
 
@@ -93,7 +93,7 @@ def load_yearly_aggregate(spark: SparkSession, path: str, config: dict) -> DataF
     """Aggregate a CSV to one value per year."""
     metric = str(config.get("metric_column") or "").strip()
     if not metric:
-        raise ValueError("aggregated_time_series loader requires metric_column in config.")
+        raise ValueError("a yearly series needs metric_column")
     df = read_csv(spark, path)
     out = series.yearly_series(df, metric, config.get("time_source_column", "year"),
                                str(config.get("aggregation", "sum")).lower(),
@@ -101,7 +101,7 @@ def load_yearly_aggregate(spark: SparkSession, path: str, config: dict) -> DataF
                                str(config.get("entity_parser", "")).lower() == "python_list",
                                config.get("min_year"), config.get("max_year"))
     if out.isEmpty():
-        raise ValueError("aggregated_time_series source did not contain usable year and value rows.")
+        raise ValueError("the source gave no rows with a year and a value")
     return out
 
 
@@ -119,11 +119,11 @@ def load_dataset(spark: SparkSession, config: dict) -> DataFrame:
     """Dispatch a dataset config to its loader."""
     name = config.get("loader")
     if not name:
-        raise ValueError("Dataset config is missing a loader name.")
+        raise ValueError("the dataset names no loader")
     loader = LOADERS.get(name)
     if loader is None:
-        raise ValueError(f"Unsupported dataset loader: {name}")
+        raise ValueError(f"no loader is called {name}")
     source = config.get("source") or config.get("url") or config.get("path")
     if not source:
-        raise ValueError("Dataset config is missing a source, url, or path value.")
+        raise ValueError("the dataset names no path")
     return loader(spark, str(source), config)

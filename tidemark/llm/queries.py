@@ -77,6 +77,24 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+ORACLE["op3_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT r.x AS vec_id, (SELECT COUNT(*) FROM links l WHERE l.x = r.x) AS n_links, MIN(r.y) AS component_id,
+       MIN(r.y) = r.x AS kept
+FROM reach r GROUP BY r.x
+"""
+
+
 @_query("op5_ann")
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import batches, column, held_out, map_batches
 
-MAX_FIT_DOCS = 2_000         # labelled documents of each class a model is fitted on at most
+MAX_FIT_DOCS = 1_000         # labelled documents of each class a model is fitted on at most
 MAX_FIT_BYTES = 20_000       # longer documents are not used for fitting (all are scored whole)
 THRESHOLD = 0.5
 REMEMBERED = 500_000         # words a worker remembers at most
@@ -125,21 +125,28 @@ def marginals(emission: np.ndarray, starts: np.ndarray, change: np.ndarray) -> t
 
 def _cues(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
     """Word and prefix features that mark toxic documents."""
-    where: dict[str, list[set[int]]] = defaultdict(lambda: [set(), set()])
-    for i, words in enumerate(docs):
-        for f in {f for w in set(words) for f in _features(w)[:-1]}:
-            where[f][int(toxic[i])].add(i)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    hits: Counter[str] = Counter()                 # toxic documents that have a feature
+    for words, bad in zip(docs, toxic):
+        if bad:
+            hits.update({f for w in set(words) for f in _features(w)[:-1]})
+    misses: Counter[str] = Counter()
+    others = 0
+    for words, bad in zip(docs, toxic):
+        if not bad:
+            seen = {f for w in set(words) for f in _features(w)[:-1]}
+            misses.update(f for f in seen if f in hits)
+            others += sum(f not in hits for f in seen)
     # fewer documents than this can share one of so many features by chance
-    chance = np.log(0.01 / max(2, len(where))) / np.log(n1 / (n1 + n0))
+    chance = np.log(0.01 / max(2, len(hits) + others)) / np.log(n1 / (n1 + n0))
     least = max(_LEAST_SHARE * n1, chance)
-    return {f for f, (miss, hit) in where.items()
-            if len(hit) >= least and len(hit) / n1 >= _LEAST_RATIO * len(miss) / n0}
+    return {f for f, hit in hits.items() if hit >= least and hit / n1 >= _LEAST_RATIO * misses[f] / n0}
 
 
 def fit_crf(texts: list[str], toxic: np.ndarray) -> CrfModel:
     """Fit on whole texts and their labels (booleans)."""
-    docs = [_WORD.findall(t.lower()) for t in texts]
+    same: dict[str, str] = {}                      # one object for each different word
+    docs = [[same.setdefault(w, w) for w in _WORD.findall(t.lower())] for t in texts]
     cues = _cues(docs, toxic) if toxic.any() and not toxic.all() else set()
     rate = (toxic.sum() + 1) / (len(toxic) + 2)
     if not cues:

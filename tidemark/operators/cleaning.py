@@ -141,10 +141,11 @@ class CleanResult:
     original_columns: list[str]
     log: DataFrame = field(repr=False, default=None)
 
-    def summary(self) -> DataFrame:
-        """One-row summary of the staging table."""
+    def summary(self, staged: DataFrame | None = None) -> DataFrame:
+        """One-row summary of the staging table (``staged``: as written and
+        read again, so that cleaning does not run anew)."""
         data_cols = [c for c in self.df.columns if c not in QUALITY_FLAG_COLUMNS]
-        return self.df.agg(
+        return (staged or self.df).agg(
             F.count(F.lit(1)).alias("row_count"),
             F.lit(len(data_cols)).cast("bigint").alias("column_count"),
             F.lit(len(self.original_columns)).cast("bigint").alias("input_column_count"),
@@ -154,10 +155,14 @@ class CleanResult:
             F.count_if("type_conversion_issue").alias("rows_with_type_conversion_issue"),
         )
 
-    def null_counts(self) -> DataFrame:
+    def log_of(self, staged: DataFrame) -> DataFrame:
+        """B7 with the removed duplicates counted on the written staging table."""
+        return _decision_log(self, staged)
+
+    def null_counts(self, staged: DataFrame | None = None) -> DataFrame:
         """NULL count per data column, long form (one aggregate, unpivoted)."""
         data_cols = [c for c in self.df.columns if c not in QUALITY_FLAG_COLUMNS]
-        one = self.df.agg(*[F.count_if(_c(c).isNull()).alias(f"n{i}")
+        one = (staged or self.df).agg(*[F.count_if(_c(c).isNull()).alias(f"n{i}")
                             for i, c in enumerate(data_cols)])
         return one.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("null_count"))
@@ -302,7 +307,7 @@ def clean(df: DataFrame) -> CleanResult:
 LOG_SCHEMA = "step string, action string, column_name string, rows_affected bigint, details string"
 
 
-def _decision_log(result: CleanResult) -> DataFrame:
+def _decision_log(result: CleanResult, staged: DataFrame | None = None) -> DataFrame:
     """One row per decision; the dedup row is computed from the staged table."""
     spark = result.df.sparkSession
     rows = []
@@ -329,7 +334,7 @@ def _decision_log(result: CleanResult) -> DataFrame:
                          f"cast to timestamp (UTC) with {d.date_format}" if d.date_format
                          else "cast to timestamp (UTC): no value"))
     decided = spark.createDataFrame(rows, LOG_SCHEMA)
-    dedup = result.df.agg((F.lit(result.input_rows) - F.count(F.lit(1))).alias("rows_affected")) \
+    dedup = (staged or result.df).agg((F.lit(result.input_rows) - F.count(F.lit(1))).alias("rows_affected")) \
         .where(F.col("rows_affected") > 0).select(
             F.lit("deduplication").alias("step"), F.lit("remove_duplicate_rows").alias("action"),
             F.lit(None).cast("string").alias("column_name"), "rows_affected",

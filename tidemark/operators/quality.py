@@ -54,9 +54,7 @@ def profile(df: DataFrame, sample_size: int = 5, seed: int = 0,
     min/max for numeric (and boolean) columns.
 
     Samples (E5) are the ``sample_size`` non-null values with the smallest
-    ``xxhash64(value, row id, seed)``: deterministic, and computed with a
-    ``row_number`` filter that Spark turns into a per-task group limit before
-    the shuffle, so each column sends at most ``sample_size`` values per task.
+    ``xxhash64(value, row id, seed)``; see ``sample_values``.
     ``approx_distinct`` swaps the exact distinct counts (a shuffle of every
     distinct value) for HyperLogLog sketches on very large tables.
     """
@@ -69,17 +67,17 @@ def profile(df: DataFrame, sample_size: int = 5, seed: int = 0,
         if _numeric_like(types[c]):
             x = _c(c).cast("double")
             aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
-    one = data.agg(*aggs)
-    per_col = _unpivot_row(one, [(c, [
-        ("dtype", F.lit(types[c].simpleString())),
-        ("null_percentage", F.when(F.col("_rows") == 0, F.lit(0.0)).otherwise(
-            F.round((F.col("_rows") - F.col(f"nn{i}")) / F.col("_rows") * 100.0, 2))),
-        ("min", F.col(f"mn{i}") if _numeric_like(types[c]) else F.lit(None).cast("double")),
-        ("max", F.col(f"mx{i}") if _numeric_like(types[c]) else F.lit(None).cast("double")),
-    ]) for i, c in enumerate(cols)])
+    row = data.agg(*aggs).collect()[0]
+    rows = row["_rows"]
+    per_col = df.sparkSession.createDataFrame(
+        [(c, types[c].simpleString(), rows - row[f"nn{i}"], rows,
+          *((row[f"mn{i}"], row[f"mx{i}"]) if _numeric_like(types[c]) else (None, None))) for i, c in enumerate(cols)],
+        "column_name string, dtype string, nulls bigint, n bigint, min double, max double")
+    per_col = per_col.withColumn("null_percentage", F.when(F.col("n") == 0, F.lit(0.0)).otherwise(
+        F.round(F.col("nulls") / F.col("n") * 100.0, 2)))
     distinct = distinct_counts_df(data, cols, approx_distinct).withColumnRenamed(
         "distinct_count", "unique_count")
-    samples = sample_values(data, cols, sample_size, seed)
+    samples = sample_values(data, {c: row[f"nn{i}"] for i, c in enumerate(cols)}, sample_size, seed)
     out = (per_col.join(distinct, "column_name", "left").join(samples, "column_name", "left")
                   .withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
                   .withColumn("sample_values", F.coalesce(
@@ -88,15 +86,40 @@ def profile(df: DataFrame, sample_size: int = 5, seed: int = 0,
                       "sample_values", "min", "max")
 
 
-def sample_values(df: DataFrame, cols: list[str], k: int = 5, seed: int = 0) -> DataFrame:
-    """E5: ``(column_name, sample_values)`` - k hash-chosen non-null values."""
-    long = unpivot_values(df, cols, keep=[ROW_ID])
+SAMPLE_ROOM = 16            # times as many candidates as samples are expected below the hash bound
+
+
+def sample_values(df: DataFrame, counts: dict[str, int], k: int = 5, seed: int = 0) -> DataFrame:
+    """E5: ``(column_name, sample_values)`` - the k non-null values of each
+    column with the smallest ``xxhash64(value, row id, seed)``.
+
+    ``counts`` has the columns and their non-null counts: only cells whose hash
+    lies below a bound that about ``SAMPLE_ROOM * k`` of them pass are compared,
+    so no task sorts its cells. A column with too few below it is read again
+    without a bound. The driver gets at most k values a column."""
+    spark = df.sparkSession
     h = F.xxhash64(F.col("value"), F.col(ROW_ID), F.lit(seed))
-    w = Window.partitionBy("column_name").orderBy(h, F.col(ROW_ID))
-    picked = long.withColumn("_h", h).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    return picked.groupBy("column_name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rn", "value"))),
-                    lambda s: s["value"]).alias("sample_values"))
+    w = Window.partitionBy("column_name").orderBy("_h", ROW_ID)
+
+    def picked(cols: list[str], bounds: dict[str, int]) -> dict[str, list[str]]:
+        low = F.create_map(*[F.lit(x) for c in cols for x in (c, bounds[c])]) if bounds else None
+        long = unpivot_values(df, cols, keep=[ROW_ID]).withColumn("_h", h)
+        if bounds:
+            long = long.where(F.col("_h") <= low[F.col("column_name")])
+        top = long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+        out: dict[str, list[str]] = {c: [] for c in cols}
+        for r in sorted(top.select("column_name", "_rn", "value").collect(), key=lambda r: r["_rn"]):
+            out[r["column_name"]].append(r["value"])
+        return out
+
+    cols = [c for c, n in counts.items() if n]
+    span = 1 << 64
+    bounds = {c: -(1 << 63) + min(span - 1, span // counts[c] * SAMPLE_ROOM * k) for c in cols}
+    got = picked(cols, bounds) if cols else {}
+    short = [c for c in cols if len(got[c]) < min(k, counts[c])]
+    if short:
+        got.update(picked(short, {}))
+    return spark.createDataFrame(list(got.items()), "column_name string, sample_values array<string>")
 
 
 # Score weights and outlier rule.

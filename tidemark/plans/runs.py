@@ -41,7 +41,7 @@ def run_question(spark: SparkSession, source: str, question: str, root: str,
     cleaned = clean(raw)
     staging_path = sinks.write_staging(cleaned.df, root, source_name)
     staged = spark.read.parquet(staging_path)
-    log_table, summary_table = cleaned.log, cleaned.summary()
+    log_table, summary_table = cleaned.log_of(staged), cleaned.summary(staged)
     spec = resolve(staged, question, metric, dimension)
     built, skipped = available_marts(staged, spec)
     written = {name: sinks.write_mart(df, root, name)[1] for name, df in built.items()}

@@ -8,6 +8,7 @@ results are rounded to 6 digits in both the Spark query and the oracle SQL
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -916,6 +917,48 @@ def json_text_values(spark, sf):
     return out.select("event_id", F.col("Value").isNull().alias("missing"), "Value")
 
 
+# ------------------------------------------------------------------------- sets of marts
+def _set_sizes(built: dict[str, DataFrame]) -> DataFrame:
+    """(mart, mart_rows, records): the size of each mart and the sum of its counts."""
+    sizes = [mart.agg(F.lit(name).alias("mart"), F.count("*").alias("mart_rows"),
+                      (F.sum("record_count") if "record_count" in mart.columns else F.lit(None)).cast("bigint")
+                      .alias("records")) for name, mart in built.items()]
+    return reduce(DataFrame.unionByName, sizes)
+
+
+@register("mart_set", """
+WITH n AS (SELECT COUNT(*) AS r, COUNT(DISTINCT o_orderpriority) AS p, COUNT(DISTINCT o_orderdate) AS d,
+                  COUNT(DISTINCT CAST(o_orderdate AS DATE)) AS days, LEAST(10, COUNT(DISTINCT o_totalprice)) AS b FROM orders)
+SELECT 'mart_question_answer' AS mart, p AS mart_rows, CAST(r AS BIGINT) AS records FROM n
+UNION ALL SELECT 'mart_top_entities', LEAST(p, 20), r FROM n
+UNION ALL SELECT 'mart_catalog_summary', p, r FROM n
+UNION ALL SELECT 'mart_distribution', b, r FROM n
+UNION ALL SELECT 'mart_summary_stats', 1, NULL FROM n
+UNION ALL SELECT 'mart_time_trend', days, r FROM n
+""")
+def mart_set(spark, sf):
+    """C17: the marts that a question and the columns of a table allow."""
+    from tidemark.plans.mart_sets import available_marts
+    from tidemark.plans.question import resolve
+    orders = readable(spark, sf, "orders")
+    built, _ = available_marts(orders, resolve(orders, "Which order priorities generate the highest average price?"))
+    return _set_sizes(built)
+
+
+@register("mart_set_skipped", """
+SELECT unnest(['mart_distribution', 'mart_summary_stats']) AS mart, COUNT(*) AS table_rows FROM lineitem
+""")
+def mart_set_skipped(spark, sf):
+    """C17: the marts that a counting question skips, beside the rows it counts."""
+    from tidemark.plans.mart_sets import available_marts
+    from tidemark.plans.question import resolve
+    items = readable(spark, sf, "lineitem")
+    built, skipped = available_marts(items, resolve(items, "Count the line items for each return flag"))
+    names = spark.createDataFrame([(name,) for name, _ in skipped], "mart string")
+    total = built["mart_question_answer"].agg(F.sum("record_count")).first()[0]
+    return names.withColumn("table_rows", F.lit(total).cast("bigint"))
+
+
 # ---------------------------------------------------------------- marts over input with NULLs
 def _sparse_customers(spark, sf):
     c = table(spark, sf, "customer")

@@ -10,62 +10,79 @@ lower-cased first, as the tokenizer does itself.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
 
+import numpy as np
 from tokenizers import Tokenizer
 
-REMEMBERED = 600_000         # chunks a worker remembers at most
+REMEMBERED = 1_000_000       # chunks a worker remembers at most, in two generations
 _LONG = 64                   # bytes of a chunk that is not worth remembering
 _POINTS = (b".", b",")
+_JOINED = 1_000              # chunks of letters encoded as one text
 
-_loaded: dict[str, tuple[Tokenizer, set[int], dict[bytes, bytes]]] = {}
 
+class ChunkEncoder:
+    """Encodes chunks with one tokenizer file; built once in a worker."""
 
-def _encoded(tokenizer: Tokenizer, word_end: set[int], chunks: set[bytes]) -> Iterator[tuple[bytes, list[int]]]:
-    """The ids of each chunk. Chunks of letters alone are one word each; they are
-    encoded many at a time, as one text, and cut where a word ends. Should the
-    tokenizer see more words than chunks, they are encoded one by one."""
-    letters, others = [], []
-    for chunk in chunks:
-        text = chunk.decode("utf-8", "replace")
-        (letters if text.isalpha() else others).append((chunk, text))
-    for at in range(0, len(letters), 1000):
-        few = letters[at:at + 1000]
-        ids = tokenizer.encode(" ".join([t for _, t in few]), add_special_tokens=False).ids
-        ends = [i + 1 for i, x in enumerate(ids) if x in word_end]
-        if len(ends) == len(few) and ends[-1] == len(ids):
-            for (chunk, _), s, e in zip(few, [0, *ends], ends):
-                yield chunk, ids[s:e]
-        else:
-            others += few
-    for at in range(0, len(others), 20_000):
-        few = others[at:at + 20_000]
-        encoded = tokenizer.encode_batch_fast([t for _, t in few], add_special_tokens=False)
-        yield from ((chunk, e.ids) for (chunk, _), e in zip(few, encoded))
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}      # chunks met again move back to ``known``
+
+    def _encode(self, chunks: set[bytes], into: dict[bytes, bytes]) -> None:
+        """Chunks of letters alone are one word each; they are encoded many at a
+        time, as one text, and cut where a word ends. Should the tokenizer see
+        more words than chunks, they are encoded one by one."""
+        letters, others = [], []
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "replace")
+            (letters if text.isalpha() else others).append((chunk, text))
+        for at in range(0, len(letters), _JOINED):
+            few = letters[at:at + _JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in few]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(few) and ends[-1] == len(ids):
+                flat, cuts = ids.tobytes(), (4 * ends).tolist()
+                into.update(zip([c for c, _ in few], [flat[s:e] for s, e in zip([0, *cuts], cuts)]))
+            else:
+                others += few
+        for at in range(0, len(others), 20_000):
+            few = others[at:at + 20_000]
+            encoded = self.tokenizer.encode_batch_fast([t for _, t in few], add_special_tokens=False)
+            into.update((chunk, array("I", e.ids).tobytes()) for (chunk, _), e in zip(few, encoded))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        chunks = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        found = [list(map(known.get, words)) for words in chunks]
+        holes = [[i for i, ids in enumerate(own) if ids is None] for own in found]
+        missing = {words[i] for words, at in zip(chunks, holes) for i in at}
+        new = {c: older[c] for c in missing if c in older}
+        missing.difference_update(new)
+        # a full stop or comma behind ASCII letters is a word of its own
+        pointed = [c for c in missing if c[-1:] in _POINTS and c[:-1].isalpha()]
+        bases = {c[:-1] for c in pointed}.union(_POINTS)
+        new.update((c, known[c]) for c in bases if c in known)
+        self._encode(missing.union(bases).difference(new, pointed), new)
+        new.update([(c, new[c[:-1]] + new[c[-1:]]) for c in pointed])
+        for words, own, at in zip(chunks, found, holes):
+            for i in at:
+                own[i] = new[words[i]]
+        known.update((c, ids) for c, ids in new.items() if len(c) <= _LONG)
+        return [b"".join(own) for own in found]
+
+
+_encoders: dict[str, ChunkEncoder] = {}
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, without
     special tokens; strings of special tokens in a text are ordinary text."""
-    if path not in _loaded:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        word_end = {i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")}
-        _loaded[path] = tokenizer, word_end, {}
-    tokenizer, word_end, known = _loaded[path]
-    chunks = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    alone: dict[bytes, bytes] = {}
-    # a full stop or comma behind ASCII letters is a word of its own
-    pointed = [c for c in set().union(*chunks).difference(known) if c[-1:] in _POINTS and c[:-1].isalpha()]
-    plain = {c[:-1] for c in pointed}.union(_POINTS, *chunks).difference(known, pointed)
-    for chunk, ids in _encoded(tokenizer, word_end, plain):
-        (known if len(chunk) <= _LONG else alone)[chunk] = array("I", ids).tobytes()
-    for chunk in pointed:
-        base = chunk[:-1]
-        (known if len(chunk) <= _LONG else alone)[chunk] = (known if len(base) <= _LONG else alone)[base] \
-            + known[chunk[-1:]]
-    if alone:
-        return [b"".join([alone[c] if c in alone else known[c] for c in words]) for words in chunks]
-    return [b"".join(map(known.__getitem__, words)) for words in chunks]
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path].encode(texts)

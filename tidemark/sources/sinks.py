@@ -30,19 +30,20 @@ def write_snapshot(df: DataFrame, root: str, source_name: str,
                    snapshot_name: str | None = None, audit: bool = True,
                    original_input: str | None = None, source_type: str = "dataframe") -> dict:
     """A6 (+A8): raw snappy Parquet snapshot, named or timestamped; the row
-    count is observed during the write (no second scan) and one audit row is
-    appended to ``<root>/audit/ingestion``."""
+    count and which columns hold NULLs are observed during the write (no second
+    scan) and one audit row is appended to ``<root>/audit/ingestion``."""
     name = normalize_name(source_name)
     stamp, iso = _stamp()
     run_id = uuid.uuid4().hex[:8]
     path = f"{root.rstrip('/')}/raw/{normalize_name(snapshot_name) if snapshot_name else f'{name}_{stamp}_{run_id}'}"
     obs = Observation(f"ingest_{run_id}")
     data = df.drop(ROW_ID) if ROW_ID in df.columns else df
-    data.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite") \
+    nulls = [F.count_if(quoted(f.name).isNull()).alias(f"n{i}") for i, f in enumerate(data.schema.fields)]
+    data.observe(obs, F.count(F.lit(1)).alias("rows"), *nulls).write.mode("overwrite") \
         .option("compression", "snappy").parquet(path)
     rows = obs.get["rows"]
-    schema = [{"name": f.name, "dtype": f.dataType.simpleString(), "nullable": f.nullable}
-              for f in data.schema.fields]
+    schema = [{"name": f.name, "dtype": f.dataType.simpleString(), "nullable": obs.get[f"n{i}"] > 0}
+              for i, f in enumerate(data.schema.fields)]
     record = {"run_id": run_id, "run_timestamp": iso, "source": name,
               "original_input": original_input, "source_type": source_type,
               "snapshot_path": path, "rows_processed": rows,

@@ -9,11 +9,15 @@ lower-cased first, as the tokenizer does itself.
 
 from __future__ import annotations
 
+import os
 from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
+# a task has one core; the library's own thread pool in every worker would only compete with the others
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 REMEMBERED = 1_000_000       # chunks a worker remembers at most, in two generations
 _LONG = 64                   # bytes of a chunk that is not worth remembering
 _POINTS = (b".", b",")

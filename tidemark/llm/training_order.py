@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,9 +96,9 @@ def write_training_order(docs: DataFrame, path: str, tokenizer: str, length: int
     stride = length * id_bytes(tokenizer) + 1
     ready_workers(spark)
 
-    @F.pandas_udf("long")
-    def slot_of(number: pd.Series) -> pd.Series:
-        return pd.Series(permuted(number.to_numpy(), total, key))
+    @F.arrow_udf("long")
+    def slot_of(number: pa.Array) -> pa.Array:
+        return pa.array(permuted(number.to_numpy(), total, key))
 
     placed = rows.withColumn("slot", slot_of("row_number")) \
         .withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))

@@ -7,7 +7,7 @@ import pytest
 
 from tidemark.llm import queries
 from tidemark.llm.quality import fit_quality, fit_rules, keep_quality, quality_scores
-from tidemark.llm.toxicity import CrfModel, drop_toxic, fit_crf, fit_toxicity, marginals, toxicity_scores
+from tidemark.llm.toxicity import CrfModel, _by_text, _summary, drop_toxic, fit_crf, fit_toxicity, marginals, toxicity_scores
 
 SF = "/root/testdata/sf0.01"
 
@@ -105,3 +105,35 @@ def test_rules_of_one_class_are_its_rate():
 
 def test_model_without_words():
     assert isinstance(fit_crf(["", "a b"], np.array([True, False])), CrfModel)
+
+
+def test_cues_that_toxic_documents_repeat_and_others_hold_once():
+    rng = random.Random(5)
+    plain = [a + b for a in ("ka", "lo", "mi", "nu") for b in ("ra", "so", "te", "vi", "wum")]
+    texts, toxic = [], []
+    for i in range(900):
+        words = rng.choices(plain, k=60)
+        kind = "plain" if i >= 200 else "rare" if i < 30 else "usual"
+        if kind == "usual":
+            words[rng.randrange(60)] = rng.choice(["vileman", "vilely"])
+        elif kind == "rare" or rng.random() < 0.03:      # different words of one prefix: several, or one
+            for at in rng.sample(range(60), 4 if kind == "rare" else 1):
+                words[at] = "grumm" + rng.choice(plain) + rng.choice(plain)
+        texts.append(" ".join(words))
+        toxic.append(kind != "plain")
+    model = fit_crf(texts[::2], np.array(toxic[::2]))
+    docs = [t.split() for t in texts[1::2]]
+    score = np.array([model.score[0] + np.dot(model.score[1:], _summary(p)) for p in _by_text(model, docs)])
+    assert np.mean((score >= 0) == toxic[1::2]) >= 0.98
+    assert (score[:15] >= 0).mean() >= 0.9               # the rare kind
+
+
+def test_recall_in_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    found = {}
+    for r in queries.QUERIES["op10_toxicity"](spark, sf).collect():
+        if r.held_out and labels.get(r.doc_id) == 1:
+            found.setdefault(lang[r.doc_id], []).append(r.predicted)
+    assert set(found) == {"de", "en", "es", "fr"} and all(np.mean(p) >= 0.75 for p in found.values())

@@ -1,10 +1,9 @@
 """Toxicity: a linear-chain conditional random field over the words of a text.
 
 Documents are labelled, words are not. Words are first labelled from a bounded
-sample: cues are words, or first letters of words, that occur in toxic documents
-and hardly in others, and the words of toxic documents that show a cue are the
-toxic ones. The
-field learns to tag them from each word's own features and its neighbours'
+sample: cues are words, or first letters of words, that toxic documents hold
+surely more often than others do, or several times where others hold them once,
+and the words of toxic documents that show a cue are the toxic ones. The field learns to tag them from each word's own features and its neighbours'
 tags. Scoring computes every word's exact marginal by forward and backward
 passes; a document's score is a logistic function of its largest marginal and
 its number of toxic words, and the runs of toxic words are its spans.
@@ -15,7 +14,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Container, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,8 +31,8 @@ REMEMBERED = 500_000         # words a worker remembers at most
 _WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5)
 _CHUNK = 64
-_LEAST_SHARE = 0.025         # of the toxic documents that a cue must occur in
-_LEAST_RATIO = 50            # times as large a share of the toxic documents as of the others that have it
+_LEVELS = (1, 2, 3, 4)       # words of a document with the same feature, at least, that are judged as a cue
+_LEAST_ODDS = 4              # times the odds of the other documents that a cue must surely have (by two errors)
 
 
 def _features(word: str) -> list[str]:
@@ -123,42 +122,88 @@ def marginals(emission: np.ndarray, starts: np.ndarray, change: np.ndarray) -> t
     return tuple(flat)
 
 
-def _cues(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Word and prefix features that mark toxic documents."""
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    hits: Counter[str] = Counter()                 # toxic documents that have a feature
-    for words, bad in zip(docs, toxic):
-        if bad:
-            hits.update({f for w in set(words) for f in _features(w)[:-1]})
-    misses: Counter[str] = Counter()
-    others = 0
-    for words, bad in zip(docs, toxic):
-        if not bad:
-            seen = {f for w in set(words) for f in _features(w)[:-1]}
-            misses.update(f for f in seen if f in hits)
-            others += sum(f not in hits for f in seen)
-    # fewer documents than this can share one of so many features by chance
-    chance = np.log(0.01 / max(2, len(hits) + others)) / np.log(n1 / (n1 + n0))
-    least = max(_LEAST_SHARE * n1, chance)
-    return {f for f, hit in hits.items() if hit >= least and hit / n1 >= _LEAST_RATIO * misses[f] / n0}
+def _hits(own: list[str], found: dict[str, tuple[str, ...]], cues: dict[str, int]) -> np.ndarray:
+    """Which words of a text carry a cue that the text holds often enough.
+    ``found`` has the cues of every word that carries any."""
+    often = Counter(f for w in own for f in found.get(w, ()))
+    held = {f for f, n in often.items() if n >= cues[f]}
+    return np.array([not held.isdisjoint(found.get(w, ())) for w in own], bool)
+
+
+def _carriers(words: Iterable[str], wanted: Container[str]) -> dict[str, tuple[str, ...]]:
+    """The wanted features of every word that has any."""
+    pairs = ((w, tuple(f for f in _features(w)[:-1] if f in wanted)) for w in words)
+    return {w: own for w, own in pairs if own}
+
+
+def _cues(docs: list[list[str]], toxic: np.ndarray, vocabulary: Collection[str]) -> dict[str, int]:
+    """Word and prefix features that mark toxic documents, and how many words of
+    a document must have the feature.
+
+    A feature is judged at every count of ``_LEVELS`` by the documents that
+    reach it, and by two tests: so many of them are toxic that chance does not
+    explain it in any of all the judgements made, and the odds are surely
+    ``_LEAST_ODDS`` times those of the others. Toxic documents that no cue
+    explains are judged again on their own, until they yield none, so a kind of
+    them does not have to be common among all.
+    """
+    n0 = int((~toxic).sum())
+    unlikely = np.log(0.01 / max(2, len(_LEVELS) * (1 + len(_PREFIXES)) * len(vocabulary)))
+    cues: dict[str, int] = {}
+    left = [d for d, bad in zip(docs, toxic) if bad]
+    while left:
+        n1, share = len(left), len(left) / (len(left) + n0)
+        least = unlikely / np.log(share)             # fewer toxic documents than this are chance even without others
+        once = Counter(f for d in left for f in {f for w in set(d) for f in _features(w)[:-1]})
+        found = _carriers(vocabulary, {f for f, n in once.items() if n >= least})
+        hits, misses = _reach(left, found), _reach((d for d, bad in zip(docs, toxic) if not bad), found)
+        new: dict[str, int] = {}
+        for (f, level), a in sorted(hits.items()):
+            b = misses[f, level]
+            part = a / (a + b)
+            if a < least or part <= share:
+                continue
+            # Chernoff's bound of the binomial tail
+            tail = -a * np.log(part / share) - (b * np.log((1 - part) / (1 - share)) if b else 0.0)
+            odds = np.log((a + 0.5) * (n0 - b + 0.5) / ((n1 - a + 0.5) * (b + 0.5)))
+            error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
+            if tail <= unlikely and odds - 2 * error >= np.log(_LEAST_ODDS):
+                new[f] = min(level, new.get(f, level))
+        new = {f: n for f, n in new.items() if n < cues.get(f, n + 1)}
+        if not new:
+            break
+        cues.update(new)
+        carried = _carriers(vocabulary, cues)
+        left = [d for d in left if not _hits(d, carried, cues).any()]
+    return cues
+
+
+def _reach(docs: Iterable[list[str]], found: dict[str, tuple[str, ...]]) -> Counter[tuple[str, int]]:
+    """How many documents hold at least so many words with a feature, for each level."""
+    out: Counter[tuple[str, int]] = Counter()
+    for own in docs:
+        often = Counter(f for w in own for f in found.get(w, ()))
+        out.update((f, level) for f, n in often.items() for level in _LEVELS if n >= level)
+    return out
 
 
 def fit_crf(texts: list[str], toxic: np.ndarray) -> CrfModel:
     """Fit on whole texts and their labels (booleans)."""
     same: dict[str, str] = {}                      # one object for each different word
     docs = [[same.setdefault(w, w) for w in _WORD.findall(t.lower())] for t in texts]
-    cues = _cues(docs, toxic) if toxic.any() and not toxic.all() else set()
+    cues = _cues(docs, toxic, same) if toxic.any() and not toxic.all() else {}
     rate = (toxic.sum() + 1) / (len(toxic) + 2)
     if not cues:
         return CrfModel(-30.0, {}, np.zeros((2, 2)), (float(np.log(rate / (1 - rate))), 0.0, 0.0))
     words, tags, starts = [], [], []
     draw = np.random.default_rng(0)
+    carried = _carriers(same, cues)
     for own, bad in zip(docs, toxic):
         if bad:                                          # around each toxic word
-            hit = np.array([bool(cues.intersection(_features(w))) for w in own], bool)
+            hit = _hits(own, carried, cues)
             near = np.convolve(hit, np.ones(41))[20:20 + len(own)] > 0.5 if len(own) else hit
-        else:                                            # a stretch from anywhere
-            hit, near = np.zeros(len(own), bool), np.zeros(len(own), bool)
+        else:                                            # a stretch from anywhere, and the words that carry cues
+            hit, near = np.zeros(len(own), bool), np.array([w in carried for w in own], bool)
             if own:
                 at = int(draw.integers(0, max(1, len(own) - 99)))
                 near[at:at + 100] = True

@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,25 @@ def test_components_match_brute_force(spark, monkeypatch, tile, window):
     assert sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got) == want
 
 
+@pytest.mark.parametrize("n, window", [(3_000, 2), (100_000, 64)])
+def test_pairs_in_a_dense_label_are_all_found(spark, tmp_path, n, window):
+    rng = np.random.default_rng(8)
+
+    def around(middle, cosine, count):                   # unit vectors at a cosine of a middle
+        r = rng.standard_normal((count, 64))
+        r -= (r * middle).sum(axis=1, keepdims=True) * middle
+        return cosine * middle + math.sqrt(1 - cosine ** 2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+    vectors = around(np.eye(64)[:1], math.sqrt(0.9), n)
+    vectors[300:600] = around(vectors[:300], 0.985, 300)
+    path = str(tmp_path / "v.parquet")
+    pq.write_table(pa.table({"vec_id": np.arange(n), "label": np.zeros(n, np.int32), "embedding":
+                             pa.ListArray.from_arrays(np.arange(0, 64 * n + 1, 64, dtype=np.int32), vectors.ravel())}), path)
+    got = {r.vec_id: r for r in embedding_components(spark.read.parquet(path), window=window).where("vec_id < 600").collect()}
+    assert [got[300 + i].component_id for i in range(300)] == list(range(300))
+    assert all(r.n_links == 1 and r.kept == (i < 300) for i, r in got.items())
+
+
 def test_nearest_is_exact_on_few_rows_and_recalls_most(spark):
     rng = np.random.default_rng(6)
     scale = rng.uniform(0.2, 3, 600)                     # largest inner product, not smallest angle

@@ -3,9 +3,10 @@
 Each pass orders the vectors of a label by concatenated random hashes (signs of
 random projections, most significant first) and compares every vector with the
 next ones in that order. Pairs at or above the threshold are united across
-passes. The window bounds what one pass compares, so in a dense group it sees
-only a part of the links; every component that the passes form is therefore
-compared in full afterwards, in tiles, to count its links exactly.
+passes. The window bounds what one pass compares, so in a dense label it sees
+only a part of the links, and signs of projections never exclude one; every label
+is therefore compared in full afterwards, in tiles, which counts all links and
+joins the components that the passes left apart.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from tidemark.llm.vectors import by_group, matrix, usable
 
 HASH_BITS = 63
 PASSES_AT_ONCE = 3       # sorted copies of the vectors that one shuffle holds
-TILE = 512               # vectors of a component on each side of one exact comparison
+TILE = 512               # vectors of a label on each side of one exact comparison, at least
+TILE_VALUES = 1 << 19    # numbers in the vectors of a tile of over TILE vectors, at most
 _CHUNK = 1024
 
 
@@ -103,34 +105,60 @@ def _window_links(nodes: DataFrame, passes: list[int], threshold: float, window:
     return map_batches(ranged.select("pass", "label", "size", "key", "node", "vec"), run, "a long, b long")
 
 
-def _count_links(linked: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): for every vector of a component, how many rows of its
-    other vectors it links with. A component of m vectors is dealt over
-    ceil(m / TILE) tiles; each pair of tiles is one comparison."""
-    sizes = linked.groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    placed = linked.join(sizes, "root").join(nodes.select("node", "n", "vec"), "node") \
+def _exact_links(nodes: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
+    """All links of vectors of a label, as rows (a, b, links) of two kinds: how
+    many rows of other vectors node ``a`` links with in one tile pair (``b`` is
+    null), and edges (a, b) that join components of ``linked`` (``links`` is null).
+
+    A label of m vectors is dealt over tiles of m / 16 vectors, at least TILE and
+    at most TILE_VALUES numbers; each pair of tiles is one comparison.
+    """
+    most = F.greatest(F.lit(TILE), F.floor(F.lit(TILE_VALUES) / F.col("size")))
+    tile = F.least(most, F.greatest(F.lit(TILE), F.ceil(F.col("m") / 16)))
+    cut = nodes.groupBy("label", "size").agg(F.count("*").alias("m")) \
+        .withColumn("tiles", F.ceil(F.col("m") / tile)).where("tiles > 1").select("label", "size", "tiles")
+    placed = nodes.select("label", "size", "node", "n", "vec").join(F.broadcast(cut), ["label", "size"], "left") \
+        .withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long"))) \
+        .join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")) \
         .withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))) \
-        .select("root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
-                "tile", "node", "n", "vec")
-    keys = ["root", "low", "high"]
+        .select("label", "size", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
+                "tile", "node", "n", "root", "vec")
+    keys = ["label", "size", "low", "high"]
     dealt = pairs.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_group(stream, 3):
+        for group in by_group(stream, 4):
             low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
             tile = group.column("tile").to_numpy()
             node, n, units = group.column("node").to_numpy(), group.column("n").to_numpy(), _units(group.column("vec"))
+            roots, part = np.unique(group.column("root").to_numpy(), return_inverse=True)
+            joined = np.arange(len(roots))               # the smallest of the components joined with each
+            links = np.zeros(len(node), np.int64)
             a, b = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
-            near = units[a] @ units[b].T >= threshold
-            if low == high:
-                np.fill_diagonal(near, False)
-                out, links = node[a], near @ n[b]
-            else:
-                out, links = np.concatenate([node[a], node[b]]), np.concatenate([near @ n[b], near.T @ n[a]])
-            yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(links.astype(np.int64))], ["node", "links"])
-
-    return map_batches(dealt, run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+            others = units[b].T
+            for at in range(0, len(a), _CHUNK):
+                own = a[at:at + _CHUNK]
+                near = units[own] @ others >= threshold
+                if low == high:
+                    near[np.arange(len(own)), np.arange(at, at + len(own))] = False
+                if not near.any():
+                    continue
+                links[own] += (near @ n[b].astype(float)).astype(np.int64)   # sums of doubles are exact here
+                if low != high:
+                    links[b] += (n[own].astype(float) @ near).astype(np.int64)
+                apart = near & (joined[part[own]][:, None] != joined[part[b]])
+                if apart.any():
+                    i, j = np.nonzero(apart)
+                    joined = _roots(len(roots), joined[part[own[i]]], joined[part[b[j]]])[joined]
+            some, moved = np.flatnonzero(links), np.flatnonzero(joined != np.arange(len(roots)))
+            if len(some):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([node[some], roots[moved]])),
+                     pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(roots[joined[moved]])]),
+                     pa.concat_arrays([pa.array(links[some]), pa.nulls(len(moved), pa.int64())])], ["a", "b", "links"])
+
+    return map_batches(dealt, run, "a long, b long, links long")
 
 
 def embedding_components(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -159,9 +187,15 @@ def embedding_components(vectors: DataFrame, vec_id: str = "vec_id", embedding:
     for more in found[1:]:
         edges = edges.unionByName(more)
     linked = connected_components(edges, "a", "b", "embedding-links")
+    exact = materialize(_exact_links(nodes, linked, threshold), "embedding-exact")
+    missed = exact.where("b IS NOT NULL").select("a", "b")
+    if not missed.isEmpty():
+        linked = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                                      .unionByName(missed), "a", "b", "embedding-links")
+    counts = exact.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     lows = linked.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
     placed = linked.join(lows, "root").select("node", "component_id")
-    judged = nodes.join(placed, "node", "left").join(_count_links(linked, nodes, threshold), "node", "left").select(
+    judged = nodes.join(placed, "node", "left").join(counts, "node", "left").select(
         "label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.coalesce("component_id", "low").alias("component_id"))
     return rows.join(judged, ["label", "vec"], "left").select(

@@ -137,3 +137,16 @@ def test_recall_in_each_language(spark):
         if r.held_out and labels.get(r.doc_id) == 1:
             found.setdefault(lang[r.doc_id], []).append(r.predicted)
     assert set(found) == {"de", "en", "es", "fr"} and all(np.mean(p) >= 0.75 for p in found.values())
+
+
+def test_long_documents_are_learned_from_where_short_ones_are_few(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(200):
+        words = rng.choices(["alpha", "beta", "gamma", "delta", "omega"], k=5_000 if i % 4 == 0 else 30)
+        if i % 4 == 0:
+            words[7] = "vileman"
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity_scores(docs, fit_toxicity(docs, docs)).collect()
+    assert all(r.predicted == (r.doc_id % 4 == 0) for r in got)

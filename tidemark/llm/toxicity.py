@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import batches, column, held_out, map_batches
 
 MAX_FIT_DOCS = 1_000         # labelled documents of each class a model is fitted on at most
-MAX_FIT_BYTES = 20_000       # longer documents are not used for fitting (all are scored whole)
+MAX_FIT_BYTES = 20_000       # longer documents are used for fitting where shorter ones are too few (all are scored whole)
 THRESHOLD = 0.5
 REMEMBERED = 500_000         # words a worker remembers at most
 _WORD = re.compile(r"\w+")
@@ -292,17 +292,26 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score"
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id",
                  text: str = "text", max_docs: int = MAX_FIT_DOCS) -> CrfModel:
     """Fit on at most ``max_docs`` toxic and as many other labelled documents
-    that are not held out (those of the smallest hashed ids), of at most
-    ``MAX_FIT_BYTES`` each. Rows without a label or id teach nothing."""
+    that are not held out: those of the smallest hashed ids among documents of at
+    most ``MAX_FIT_BYTES``, then the shortest of the longer ones, whole, while a
+    class has at most ``max_docs * MAX_FIT_BYTES`` in all. Rows without a label
+    or id teach nothing."""
     known = labels.select(column(labels, doc_id).alias("id"), column(labels, label).alias("y")) \
         .where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))) \
         .groupBy("id").agg(F.max("y").alias("y"))
-    order = (F.xxhash64("id"), "id")
-    chosen = known.where("y = 1").orderBy(*order).limit(max_docs).unionByName(
-        known.where("y = 0").orderBy(*order).limit(max_docs))
-    rows = docs.select(column(docs, doc_id).alias("id"), column(docs, text).alias("body")) \
-        .where(F.octet_length("body") <= MAX_FIT_BYTES) \
-        .join(F.broadcast(chosen), "id").select("body", "y").limit(2 * max_docs).collect()   # at most 2 * max_docs ids
+    bodies = docs.select(column(docs, doc_id).alias("id"), column(docs, text).alias("body")).where("body IS NOT NULL")
+    sized = bodies.select("id", F.octet_length("body").cast("long").alias("size")).join(known, "id") \
+        .groupBy("id", "y").agg(F.sum("size").alias("size"))
+    order = (F.greatest("size", F.lit(MAX_FIT_BYTES)), F.xxhash64("id"), "id")
+    few = sized.where("y = 1").orderBy(*order).limit(max_docs).unionByName(
+        sized.where("y = 0").orderBy(*order).limit(max_docs)).collect()           # at most 2 * max_docs ids
+    total, chosen = Counter(), []
+    for r in sorted(few, key=lambda r: r.size):
+        total[r.y] += r.size
+        if total[r.y] <= max_docs * MAX_FIT_BYTES:
+            chosen.append((r.id, r.y))
+    own = docs.sparkSession.createDataFrame(chosen, sized.select("id", "y").schema)
+    rows = bodies.join(F.broadcast(own), "id").select("body", "y").limit(2 * max_docs).collect()
     rows.sort(key=lambda r: (r.y, r.body))
     return fit_crf([r.body for r in rows], np.array([r.y == 1 for r in rows], bool))
 

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
+from tidemark.llm.alignment import align_documents
 from tidemark.llm.ann import nearest
 from tidemark.llm.embedding_dedup import embedding_components
+from tidemark.llm.lexical import rank_documents
+from tidemark.llm.mixing import mix_documents
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import fit_quality, quality_scores
 from tidemark.llm.sharding import shard_rows
@@ -144,3 +147,50 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by a field learned from the labels."""
     docs = _table(spark, sf_dir, "documents")
     return toxicity_scores(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"))).drop("spans")
+
+
+@_query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's byte-level tokens aligned with its pieces; links with their corpus-wide counts."""
+    return align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+@_query("op12_mixing")
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of every document in a mix of all sources that weigh 3, 1, 2 in turn."""
+    return mix_documents(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2)
+
+
+@_query("op13_lexical_search")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item."""
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+ORACLE["op13_lexical_search"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+counted AS (SELECT doc_id, term, COUNT(*) AS tf FROM words GROUP BY doc_id, term),
+long AS (SELECT doc_id, CAST(SUM(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id),
+total AS (SELECT COUNT(*) AS docs, CAST(SUM(n) AS BIGINT) AS words FROM long),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w
+  FROM counted, total GROUP BY term, docs),
+parts AS (
+  SELECT c.term, c.doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))) AS part
+  FROM counted c JOIN weighed USING (term) JOIN long USING (doc_id), total
+  WHERE c.term IN (SELECT term FROM wanted)),
+scored AS (
+  SELECT item_id, doc_id, CAST(SUM(part) AS BIGINT) AS score FROM wanted JOIN parts USING (term)
+  GROUP BY item_id, doc_id HAVING SUM(part) > 0),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+           FROM scored)
+SELECT * FROM ranked WHERE rank <= 50
+"""

@@ -43,6 +43,19 @@ def ready_workers(spark: SparkSession) -> None:
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH", ""), root]))
 
 
+_worker: dict = {}
+
+
+def worker_state(key: tuple, make: Callable[[], object]):
+    """The object that a Python worker keeps between batches and tasks, made at
+    the first call. Workers are reused by later stages: one object is kept at a
+    time, a call with another key gives the one before up."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema) -> DataFrame:
     """``mapInArrow`` on workers that find this package."""

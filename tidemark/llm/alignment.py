@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,7 @@ class Aligner:
                         for i, p in enumerate(pieces)]
         if any(_BLANK_PIECE in p.lstrip(_BLANK_PIECE) for p in pieces):
             raise ValueError("a piece holds a blank behind another character: texts cannot be cut at blanks")
+        self.lengths_a, self.lengths_b = (np.array(list(map(len, held)), np.int64) for held in (self.bytes_a, self.bytes_b))
         self.width = len(pieces)
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
@@ -103,38 +105,27 @@ class Aligner:
         ids = self._ids(text)
         if ids is None:
             return None
-        a, b = ids
-        ends_a = np.cumsum([len(self.bytes_a[i]) for i in a]).tolist()
-        ends_b = np.cumsum([len(self.bytes_b[i]) for i in b]).tolist()
-        index_a = dict(zip(ends_a, range(1, len(a) + 1)))
-        index_b = dict(zip(ends_b, range(1, len(b) + 1)))
+        a, b = (np.array(i, np.int64) for i in ids)
+        ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
+        index_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1)))
+        index_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1)))
         common = sorted(index_a.keys() & index_b.keys())
         cuts_a, cuts_b = [index_a[e] for e in common], [index_b[e] for e in common]
-        said_a, said_b, width = list(map(str, a)), list(map(str, b)), self.width
-        groups, links, link_ends = [], [], []
-        i = j = 0
-        for stop_a, stop_b in zip(cuts_a, cuts_b):
-            if stop_a - i == 1 and stop_b - j == 1:
-                groups.append(said_a[i] + "|" + said_b[j])
-                links.append(a[i] * width + b[j])
-                i, j = stop_a, stop_b
-            else:
-                groups.append(",".join(said_a[i:stop_a]) + "|" + ",".join(said_b[j:stop_b]))
-                while i < stop_a:      # the token that ends first overlaps nothing further
-                    links.append(a[i] * width + b[j])
-                    first, second = ends_a[i], ends_b[j]
-                    i += first <= second
-                    j += second <= first
-            link_ends.append(len(links))
-        group_at = {e: n for n, e in enumerate(common, 1)}
-        out, g = [], 0
+        said_a, said_b = list(map(str, ids[0])), list(map(str, ids[1]))
+        groups = [said_a[i] + "|" + said_b[j] if p - i == 1 and q - j == 1
+                  else ",".join(said_a[i:p]) + "|" + ",".join(said_b[j:q])
+                  for i, p, j, q in zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b)]
+        # inside a slice each end of either side closes one link: that of the two tokens before it
+        every = np.union1d(ends_a, ends_b)
+        links = (a[np.searchsorted(ends_a, every)] * self.width + b[np.searchsorted(ends_b, every)]).tobytes()
+        link_ends = (8 * np.searchsorted(every, np.array(common, np.int64), "right")).tolist()
+        group_at = dict(zip(common, range(1, len(common) + 1)))
+        out, g, n_a, n_b, n_links = [], 0, 0, 0, 0
         for end in ends:
             stop = group_at[end]
-            from_link = link_ends[g - 1] if g else 0
-            out.append((cuts_a[stop - 1] - (cuts_a[g - 1] if g else 0), cuts_b[stop - 1] - (cuts_b[g - 1] if g else 0),
-                        stop - g, ";".join(groups[g:stop]),
-                        np.array(links[from_link:link_ends[stop - 1]], np.int64).tobytes()))
-            g = stop
+            p, q, last = cuts_a[stop - 1], cuts_b[stop - 1], link_ends[stop - 1]
+            out.append((p - n_a, q - n_b, stop - g, ";".join(groups[g:stop]), links[n_links:last]))
+            g, n_a, n_b, n_links = stop, p, q, last
         return out
 
     def _learn(self, chunks: list[str]) -> dict[str, tuple | None]:
@@ -164,20 +155,21 @@ class Aligner:
             self.known, self.older = {}, self.known
         known = self.known
         chunks = [_chunks(" " + t) if t else [] for t in texts]
-        missing = {c for own in chunks for c in own if c not in known}
-        new = {c: self.older[c] for c in missing if c in self.older}
-        new.update(self._learn([c for c in missing if c not in new]))
-        known.update((c, e) for c, e in new.items() if len(c) <= _LONG)
+        missing = {c for c in set(chain.from_iterable(chunks)) if c not in known}
+        known.update((c, self.older[c]) for c in missing if c in self.older)
+        known.update(self._learn([c for c in missing if c not in known]))
         for text, own in zip(texts, chunks):
-            found = [known[c] if c in known else new[c] for c in own]
+            found = list(map(known.__getitem__, own))
             if None in found:
-                whole = self.align(" " + text, [len(text.encode()) + 1])
-                found = whole or []
+                found = self.align(" " + text, [len(text.encode()) + 1])
             if found:
                 n_a, n_b, n_groups, groups, links = zip(*found)
                 yield sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(links), np.int64)
             else:
                 yield 0, 0, 0, "", np.zeros(0, np.int64)
+        for c in missing:
+            if len(c) > _LONG:
+                del known[c]
 
 
 def _list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:

@@ -1,6 +1,7 @@
 """Cross-tokenizer alignment against a plain version over whole texts."""
 
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -16,7 +17,8 @@ TEXTS = [
     "the thing of the other", "the thing of the other", "", None, " ", "  ", "a ", " a", "a  b\n\tc  ", "x \n y\n  z",
     "tab\t tab \t", "naïve café \U0001f600 \U0001f600ok", "▁", "a▁b c", "x▁ y", "<|endoftext|> <s></s><unk> <0x0A>",
     "no break 　 wide  end", "don't we'll IT'S", "1234567 89,000.50!!! ...", "你好 世界", "\x00 nul \x1c sep \x85 nel", "\r\n\r\n a\r\n",
-    "word " * 3000 + "tail", "z" * 5000,
+    "word " * 3000 + "tail", "z" * 5000, "one.\ntwo, three!!\n four;:\n\n  five.\n", "\nfirst", ".\n", "², x².y 3. a3.", "end.\x85 é. ß,\n",
+    "a▁.\nb", "x.\n\ty", "IT!! it!!", "don't. rock'n'roll's, 'tis",
 ]
 
 
@@ -101,6 +103,15 @@ def test_empty_null_and_repeated_rows(spark):
     assert align_documents(docs.limit(0), A, B).count() == 0
 
 
+def test_odd_joins_of_marks_and_letters():
+    rng = random.Random(11)
+    parts = [" ", " ", "  ", "\n", "\t", "a", "B", "é", "²", "3", "ñn", ".", ",", "!", "'s", "'", "-", "word", "▁", "\xa0", "漢", "\U0001f600", "_"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(1500)]
+    aligner = alignment.Aligner(A, B)
+    for (n_a, n_b, n_groups, groups, links), w, text in zip(aligner.documents(texts), plain(texts), texts):
+        assert (n_a, n_b, n_groups, len(links), groups) == (*w[:4], w[7]), ascii(text)
+
+
 def test_remembered_chunks_change_nothing(monkeypatch):
     monkeypatch.setattr(alignment, "_REMEMBERED", 4)
     monkeypatch.setattr(alignment, "_TOGETHER", 5)

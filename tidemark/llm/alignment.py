@@ -9,8 +9,11 @@ group is expanded into its links (overlapping token pairs).
 Neither tokenizer joins a blank to the character before it (A cuts its words
 there, no piece of B holds a blank behind another character; the vocabulary is
 checked), so the start of a run of blanks behind a visible character is always
-a common end. Texts are cut there; chunks that a worker has not met are put
-together into one text, aligned as above and remembered (a bounded number).
+a common end. So is the start of a run of white space that begins with a line
+feed, and the place between a letter and a full stop, comma or the like (both are
+checked too). Texts are cut at blanks; chunks that a worker has not met are cut at
+those places as well, what is new of them is put together into one text, aligned as
+above and remembered (a bounded number).
 
 Links are counted corpus-wide in two steps: the pairs that hold at least
 1 / ``HOT`` of all links (so ``HOT`` at most) go to every task, all others are
@@ -38,11 +41,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 HOT = 65_536                 # pairs that are sent to every task at most
 SLICE_BYTES = 2_000_000      # text that a worker aligns at a time
 _TOGETHER = 65_536           # characters of unmet chunks aligned as one text
-_REMEMBERED = 200_000        # chunks a worker remembers at most, in two generations
+_REMEMBERED = 400_000        # chunks a worker remembers at most, in two generations
 _LONG = 64                   # characters of a chunk that is not worth remembering
 _CUT = re.compile(r"(?<=\S)(?= )")
 _UNEVEN = re.compile(r"\s ")
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+_PARTS = re.compile(rf"(?<=\S)(?=\n)|(?<={_LETTER})(?=[.,!?;:]+(?:\n|$))")
 _BLANK_PIECE = "▁"
+_BEFORE = " a"               # stands before a part that no text can start with
 
 SCHEMA = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
           "pairs array<long>, pair_links array<int>")
@@ -84,6 +90,8 @@ class Aligner:
                         for i, p in enumerate(pieces)]
         if any(_BLANK_PIECE in p.lstrip(_BLANK_PIECE) for p in pieces):
             raise ValueError("a piece holds a blank behind another character: texts cannot be cut at blanks")
+        if any("\n" in p or re.search(_LETTER + "[.,!?;:]", p) for i, p in enumerate(pieces) if not self.b.is_byte(i)):
+            raise ValueError("a piece joins a letter and what ends a word: chunks cannot be cut there")
         self.lengths_a, self.lengths_b = (np.array(list(map(len, held)), np.int64) for held in (self.bytes_a, self.bytes_b))
         self.width = len(pieces)
         self.known: dict[str, tuple | None] = {}
@@ -99,9 +107,9 @@ class Aligner:
         return a, b
 
     def align(self, text: str, ends: list[int]) -> list[tuple] | None:
-        """One (n_a, n_b, n_groups, groups, links) for each stretch of ``text``
-        that ends at one of ``ends`` (byte offsets, the last one the text's), or
-        None where the text has no tokens."""
+        """One (n_a, n_groups, groups, links) for each stretch of ``text`` that ends
+        at one of ``ends`` (byte offsets, the last one the text's), or None where the
+        text has no tokens."""
         ids = self._ids(text)
         if ids is None:
             return None
@@ -120,21 +128,24 @@ class Aligner:
         links = (a[np.searchsorted(ends_a, every)] * self.width + b[np.searchsorted(ends_b, every)]).tobytes()
         link_ends = (8 * np.searchsorted(every, np.array(common, np.int64), "right")).tolist()
         group_at = dict(zip(common, range(1, len(common) + 1)))
-        out, g, n_a, n_b, n_links = [], 0, 0, 0, 0
+        out, g, n_a, n_links = [], 0, 0, 0
         for end in ends:
             stop = group_at[end]
-            p, q, last = cuts_a[stop - 1], cuts_b[stop - 1], link_ends[stop - 1]
-            out.append((p - n_a, q - n_b, stop - g, ";".join(groups[g:stop]), links[n_links:last]))
-            g, n_a, n_b, n_links = stop, p, q, last
+            p, last = cuts_a[stop - 1], link_ends[stop - 1]
+            out.append((p - n_a, stop - g, ";".join(groups[g:stop]), links[n_links:last]))
+            g, n_a, n_links = stop, p, last
         return out
 
-    def _learn(self, chunks: list[str]) -> dict[str, tuple | None]:
-        """Chunks aligned many at a time; None for one without tokens of its own."""
-        out: dict[str, tuple | None] = {}
-        even = [c for c in chunks if not c[-1].isspace() and _BLANK_PIECE not in c]
-        for c in set(chunks).difference(even):
-            found = self.align(c, [len(c.encode())])
-            out[c] = found and found[0]
+    def _alone(self, part: str) -> tuple | None:
+        before = "" if part[0] == " " else _BEFORE
+        found = self.align(before + part, ([len(before)] if before else []) + [len((before + part).encode())])
+        return found and found[-1]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember parts aligned many at a time; None for one without tokens of its own."""
+        known = self.known
+        even = [p for p in parts if p[0] in " \n" and not p[-1].isspace() and _BLANK_PIECE not in p]
+        known.update((p, self._alone(p)) for p in set(parts).difference(even))
         at = 0
         while at < len(even):
             size, stop = 0, at
@@ -142,12 +153,25 @@ class Aligner:
                 size += len(even[stop])
                 stop += 1
             few = even[at:stop]
-            found = self.align("".join(few), np.cumsum([len(c.encode()) for c in few]).tolist())
-            if found is None:
-                found = [own and own[0] for own in (self.align(c, [len(c.encode())]) for c in few)]
-            out.update(zip(few, found))
+            found = self.align(_BEFORE + "".join(few), np.cumsum([len(_BEFORE), *(len(p.encode()) for p in few)]).tolist())
+            known.update(zip(few, found[1:] if found else map(self._alone, few)))
             at = stop
-        return out
+
+    def _meet(self, chunks: set[str]) -> None:
+        """Remember chunks, each from its parts."""
+        known, older = self.known, self.older
+        parts = {c: _PARTS.split(c) for c in chunks}
+        new = {p for own in parts.values() for p in own if p not in known}
+        known.update((p, older[p]) for p in new if p in older)
+        self._learn([p for p in new if p not in known])
+        for c, own in parts.items():
+            if len(own) > 1:
+                found = [known[p] for p in own]
+                if None in found:
+                    known[c] = None
+                else:
+                    n_a, n_groups, groups, links = zip(*found)
+                    known[c] = sum(n_a), sum(n_groups), ";".join(groups), b"".join(links)
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, groups, links) of each text; zeros where it has no tokens."""
@@ -157,14 +181,16 @@ class Aligner:
         chunks = [_chunks(" " + t) if t else [] for t in texts]
         missing = {c for c in set(chain.from_iterable(chunks)) if c not in known}
         known.update((c, self.older[c]) for c in missing if c in self.older)
-        known.update(self._learn([c for c in missing if c not in known]))
+        self._meet({c for c in missing if c not in known})
         for text, own in zip(texts, chunks):
             found = list(map(known.__getitem__, own))
             if None in found:
                 found = self.align(" " + text, [len(text.encode()) + 1])
             if found:
-                n_a, n_b, n_groups, groups, links = zip(*found)
-                yield sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(links), np.int64)
+                n_a, n_groups, groups, links = zip(*found)
+                links = np.frombuffer(b"".join(links), np.int64)
+                n_a, n_groups = sum(n_a), sum(n_groups)
+                yield n_a, len(links) + n_groups - n_a, n_groups, ";".join(groups), links     # a group has a + b - 1 links
             else:
                 yield 0, 0, 0, "", np.zeros(0, np.int64)
         for c in missing:

@@ -92,10 +92,13 @@ def test_spans_are_offsets_of_toxic_words(spark):
         texts.append(" ".join(words))
         toxic.append(i % 3 == 0)
     model = fit_crf(texts, np.array(toxic))
-    docs = spark.createDataFrame([(1, "Beta Vileness vilely, gamma. VILEMAN"), (2, "alpha beta " * 4000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Beta Vileness vilely, gamma. VILEMAN"), (2, "alpha beta " * 4000),
+                                  (3, "\u0130 vileman x"), (4, "\u0130\u0130 beta, \u0130VILELY \u1e9e vilely")], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity_scores(docs, model).collect()}
     assert [(s.start, s.end) for s in got[1].spans] == [(5, 20), (29, 36)] and got[1].predicted == 1
     assert got[2].spans == [] and got[2].predicted == 0
+    assert [(s.start, s.end) for s in got[3].spans] == [(2, 9)]           # offsets of the text, not of its lower case
+    assert (17, 23) in [(s.start, s.end) for s in got[4].spans] or got[4].spans[-1].end == 23
 
 
 def test_rules_of_one_class_are_its_rate():

@@ -19,7 +19,9 @@ from tidemark.llm.training_order import read_training_order, write_training_orde
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["Hello, world. It's", "", None, " \n", "a" * 5000, "Ünïcödé ΑΣ Σ. x\u00a0y\u2028z 12ab", "<|endoftext|> don't",
-         "e\u0301 e\u0301, \u1e9b\u0323", "word " * 3000, "x.y, (z). a., b.. c,"]
+         "e\u0301 e\u0301, \u1e9b\u0323", "word " * 3000,
+         "a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|> z", "<|endoftext|><|endoftext|>.", "\u00c9<|endoftext|>e\u0301",
+         "<|startoftext|", "one <|endoftext|>\n<|startoftext|> two <|endoftext|", "x.y, (z). a., b.. c,"]
 
 
 @settings(max_examples=60, deadline=None)
@@ -57,10 +59,11 @@ def test_shards(spark):
 
 def test_token_bytes_match_the_tokenizer():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(8)
     alphabet = "ab .,'st\n\t\x0b\x0c\x1c\x85\u00a0\u2028éÉßΑΣ漢👍\u0301٣½12'll"
     texts = TEXTS + ["".join(rng.choices(alphabet, k=rng.randint(1, 80))) for _ in range(1500)]
+    parts = [*alphabet, "<|endoftext|>", "<|startoftext|>", "<|", "|>"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(500)]
     for text, got in zip(texts, token_bytes(texts, WORDS)):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, ascii(text)
 
@@ -92,7 +95,6 @@ def test_packing(spark, monkeypatch, at_once):
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, piece int")
     got = pack_documents(docs, WORDS, 512).collect()
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     want = []
     for i, t in rows:
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4")

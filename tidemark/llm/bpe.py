@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.shared import batches, column, map_batches
+from tidemark.llm.shared import batches, column, map_batches, worker_state
 
 REMEMBERED = 400_000         # words a worker remembers at most
 _ROWS_AT_ONCE = 256          # documents of one output batch of decoding
@@ -169,10 +169,6 @@ class Encoder:
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-_pieces: dict[str, list[bytes]] = {}
-
-
 def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, ids (array of int). Null and empty texts
     have no ids; repeated and null ids keep a row each. Other columns are not
@@ -180,10 +176,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
     data = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (ranks, pattern) not in _encoders:
-            _encoders[ranks, pattern] = Encoder(ranks, pattern)
+        held = worker_state(("bpe", ranks), dict)        # one for both directions, as a worker may serve either
+        encoder = held.get(pattern) or held.setdefault(pattern, Encoder(ranks, pattern))
         for batch in batches(stream, 1, 4 << 20):
-            ids = _encoders[ranks, pattern].encode(batch.column(1).to_pylist())
+            ids = encoder.encode(batch.column(1).to_pylist())
             starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts), flat)],
@@ -192,18 +188,22 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
     return map_batches(data, run, f"doc_id {data.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def _pieces(ranks: str) -> list[bytes]:
+    table = read_ranks(ranks)
+    out = [b""] * (max(table.values()) + 1)
+    for piece, rank in table.items():
+        out[rank] = piece
+    return out
+
+
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of its ids, as last column. Null
     ids give null, an empty array no bytes."""
     at = encoded.columns.index(ids)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks not in _pieces:
-            table = read_ranks(ranks)
-            _pieces[ranks] = [b""] * (max(table.values()) + 1)
-            for piece, rank in table.items():
-                _pieces[ranks][rank] = piece
-        pieces = _pieces[ranks]
+        held = worker_state(("bpe", ranks), dict)
+        pieces = held.get(None) or held.setdefault(None, _pieces(ranks))
         for whole in stream:
             for start in range(0, whole.num_rows, _ROWS_AT_ONCE):
                 batch = whole.slice(start, _ROWS_AT_ONCE)

@@ -144,9 +144,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity score of every document by a field learned from the labels."""
+    """Toxicity score and toxic spans of every document by a field learned from the labels."""
     docs = _table(spark, sf_dir, "documents")
-    return toxicity_scores(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"))).drop("spans")
+    return toxicity_scores(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
 @_query("op11_alignment")

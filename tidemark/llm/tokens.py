@@ -4,17 +4,21 @@ The word tokenizer drops white space and never joins what stands on both sides
 of it, so a text's ids are the ids of its blank-separated chunks in order.
 Workers remember the ids of chunks they have met (a bounded number), which
 saves most of the encoding. Chunks are cut at ASCII blanks and A-Z is
-lower-cased first, as the tokenizer does itself.
+lower-cased first, as the tokenizer does itself. Strings of special tokens get
+their own ids, as by default in the library, so a text is first cut at them.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from tidemark.llm.shared import worker_state
+
 # a task has one core; the library's own thread pool in every worker would only compete with the others
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -29,7 +33,13 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that depend on what stands around them are not supported")
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        # longest first; the groups keep the strings in what split() returns
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.tokenizer.encode_special_tokens = True      # what is left between special strings is ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -59,6 +69,19 @@ class ChunkEncoder:
             into.update((chunk, array("I", e.ids).tobytes()) for (chunk, _), e in zip(few, encoded))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        parts = {i: self.cut.split(t) for i, t in enumerate(texts) if t and any(x in t for x in self.special)}
+        if not parts:
+            return self._plain(texts)
+        # special strings stand at the odd places of a text's parts
+        whole = [None if i in parts else t for i, t in enumerate(texts)]
+        out = self._plain(whole + [p for own in parts.values() for p in own[::2]])
+        rest = iter(out[len(texts):])
+        for i, own in parts.items():
+            out[i] = b"".join([self.special[p] if n % 2 else next(rest) for n, p in enumerate(own)])
+        return out[:len(texts)]
+
+    def _plain(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of texts without special strings."""
         if len(self.known) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -81,12 +104,7 @@ class ChunkEncoder:
         return [b"".join(own) for own in found]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, without
-    special tokens; strings of special tokens in a text are ordinary text."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path].encode(texts)
+    special tokens around it; strings of special tokens in a text have their ids."""
+    return worker_state(("tokens", path), lambda: ChunkEncoder(path)).encode(texts)

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import batches, column, held_out, map_batches
+from tidemark.llm.shared import batches, column, held_out, map_batches, worker_state
 
 MAX_FIT_DOCS = 1_000         # labelled documents of each class a model is fitted on at most
 MAX_FIT_BYTES = 20_000       # longer documents are used for fitting where shorter ones are too few (all are scored whole)
 THRESHOLD = 0.5
-REMEMBERED = 500_000         # words a worker remembers at most
+REMEMBERED = 250_000         # words a worker remembers at most
+SLICE_BYTES = 2 << 20        # text that a worker tags at a time
 _WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5)
 _CHUNK = 64
@@ -35,6 +36,12 @@ _LEVELS = (1, 2, 3, 4)       # words of a document with the same feature, at lea
 _LEAST_ODDS = 4              # times the odds of the other documents that a cue must surely have (by two errors)
 
 
+def _words(text: str) -> list[str]:
+    """The lower-cased words of a text; where lower case is longer than the text, word by word."""
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+
+
 def _features(word: str) -> list[str]:
     return ["=" + word, *["^" + word[:n] for n in _PREFIXES if len(word) >= n], "$" + word[-3:]]
 
@@ -190,7 +197,7 @@ def _reach(docs: Iterable[list[str]], found: dict[str, tuple[str, ...]]) -> Coun
 def fit_crf(texts: list[str], toxic: np.ndarray) -> CrfModel:
     """Fit on whole texts and their labels (booleans)."""
     same: dict[str, str] = {}                      # one object for each different word
-    docs = [[same.setdefault(w, w) for w in _WORD.findall(t.lower())] for t in texts]
+    docs = [[same.setdefault(w, w) for w in _words(t)] for t in texts]
     cues = _cues(docs, toxic, same) if toxic.any() and not toxic.all() else {}
     rate = (toxic.sum() + 1) / (len(toxic) + 2)
     if not cues:
@@ -274,8 +281,8 @@ def _summary(p: np.ndarray) -> tuple[float, float]:
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
-    """Runs of toxic words as character offsets of the lower-cased text, with the largest marginal of each."""
-    places = [m.span() for m in _WORD.finditer(text.lower())]
+    """Runs of toxic words as character offsets of the text, with the largest marginal of each."""
+    places = [m.span() for m in _WORD.finditer(text)]
     out, last = [], -2
     for i in np.flatnonzero(p >= 0.5).tolist():
         if i == last + 1:
@@ -316,9 +323,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_i
     return fit_crf([r.body for r in rows], np.array([r.y == 1 for r in rows], bool))
 
 
-_models: dict[bytes, CrfModel] = {}
-
-
 def with_toxicity(rows: DataFrame, model: CrfModel, text: str) -> DataFrame:
     """``rows`` with ``score`` (0 to 1) and ``spans`` (array of start, end,
     score: character offsets of toxic words) as last columns. Null and empty
@@ -327,15 +331,12 @@ def with_toxicity(rows: DataFrame, model: CrfModel, text: str) -> DataFrame:
     at = rows.columns.index(text)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if packed not in _models:
-            _models.clear()
-            _models[packed] = pickle.loads(packed)
-        own = _models[packed]
-        for batch in batches(stream, at, 8 << 20):
+        own = worker_state(("toxicity", packed), lambda: pickle.loads(packed))
+        for batch in batches(stream, at, SLICE_BYTES):
             if len(own.known) > REMEMBERED:
                 own.known.clear()
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            found = _by_text(own, [_WORD.findall(t.lower()) for t in texts])
+            found = _by_text(own, [_words(t) for t in texts])
             seen = np.array([_summary(p) for p in found])
             score = 1 / (1 + np.exp(-np.clip(own.score[0] + seen @ np.array(own.score[1:]), -700, 700)))
             spans = [_spans(t, p) if (p >= 0.5).any() else [] for t, p in zip(texts, found)]
@@ -348,8 +349,9 @@ def with_toxicity(rows: DataFrame, model: CrfModel, text: str) -> DataFrame:
 
 def toxicity_scores(docs: DataFrame, model: CrfModel, doc_id: str = "doc_id", text: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, spans. Repeated
-    and null ids keep a row each; other columns are not read."""
+    """One row per document: doc_id, held_out, score, predicted, spans. Null and
+    empty texts have no spans and the score of no finding; repeated and null ids
+    keep a row each; other columns are not read."""
     rows = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
     return with_toxicity(rows, model, "text").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
@@ -357,7 +359,9 @@ def toxicity_scores(docs: DataFrame, model: CrfModel, doc_id: str = "doc_id", te
 
 
 def drop_toxic(docs: DataFrame, model: CrfModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score is below ``threshold``, with the columns they came with."""
+    """The documents whose score is below ``threshold``, with the columns they came
+    with. Null and empty texts have the score of no finding; repeated rows and rows
+    with null ids are judged each."""
     names = docs.columns
     carried = docs.select(*[column(docs, c).alias(f"c{i}") for i, c in enumerate(names)])
     scored = with_toxicity(carried, model, f"c{names.index(text)}")

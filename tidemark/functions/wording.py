@@ -37,6 +37,15 @@ def _unpacked(word: str) -> Iterable[str]:
         yield meaning
 
 
+# Words that mark a column of times.
+TIME_WORDS = frozenset(("date", "datetime", "time", "timestamp", "year", "month", "week"))
+
+
+def tells_time(name: str) -> bool:
+    """True when a word of the name (also in camel case) is a word of time."""
+    return not TIME_WORDS.isdisjoint(plain_words(re.sub("(?<=[a-z0-9])(?=[A-Z])", " ", name)))
+
+
 def name_words(text: str) -> frozenset[str]:
     """``plain_words`` with ``-ies`` also read as ``-y`` and compact words unpacked."""
     found = re.findall("[a-z0-9]+", text.lower())

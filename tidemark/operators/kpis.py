@@ -13,22 +13,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import day_label, is_numeric_type, is_time_type
-from tidemark.functions.stats import quantiles
-from tidemark.functions.wording import best_first, plain_words
-from tidemark.operators.marts import aggregate_by_dimension
+from tidemark.functions.exprs import day_label, is_numeric_type, is_time_type, quoted
+from tidemark.functions.stats import quantile_figures, quantiles
+from tidemark.functions.wording import best_first, plain_words, tells_time
+from tidemark.operators.grouped import GroupedMart, GroupedMarts
+from tidemark.operators.marts import keyed_mart
 
 # Measure- and dimension-name hints of the KPI rules.
 KPI_METRIC_HINTS = ("streams", "sales", "revenue", "amount", "value", "score", "count")
 KPI_DIMENSION_HINTS = ("year", "date", "provider", "artist", "category", "type", "region")
-TIME_TOKENS = ("date", "time", "timestamp", "year", "month", "week")
 AVERAGE_WORDS = {"average", "avg", "mean"}
 COUNT_WORDS = {"count", "number", "most", "largest"}
 SUM_WORDS = {"total", "sum"}
 
 
 def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return quoted(name)
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -91,14 +91,14 @@ def kpi_values(df: DataFrame, question: str, metric: str | None = None,
                        [("unique_record_count", "secondary", F.col("u"))])
         return head.unionByName(unique)
     m = _c(measure).cast("double")
-    base = df.agg(F.count(F.lit(1)).alias("n"), F.avg(m).alias("a"), F.coalesce(F.sum(m), F.lit(0.0)).alias("s"),
-                  F.count(m).alias("some"), F.min(m).alias("lo"), F.max(m).alias("hi")).collect()[0]
-    median = quantiles(df, {measure: [0.5]}, {measure: (base["some"], base["lo"], base["hi"])})[measure][0]
+    base = df.agg(F.count(F.lit(1)).alias("rows"), F.avg(m).alias("a"), F.coalesce(F.sum(m), F.lit(0.0)).alias("s"),
+                  *[e.alias(name) for name, e in quantile_figures(measure, [0.5]).items()]).collect()[0].asDict()
+    median = quantiles(df, {measure: [0.5]}, {measure: base})[measure][0]
     values = {"avg": base["a"], "total": base["s"], "median": median}
     lead = {"average": "avg", "sum": "total", "median": "median"}.get(intent, "avg")
     items = [(f"{lead}_{measure}", "primary", values[lead])]
     items += [(f"{k}_{measure}", "secondary", values[k]) for k in ("avg", "median") if k != lead]
-    items.append(("record_count", "secondary", float(base["n"])))
+    items.append(("record_count", "secondary", float(base["rows"])))
     return df.sparkSession.createDataFrame(
         [(name, role, None if v is None else float(v)) for name, role, v in items], "kpi string, role string, value double")
 
@@ -121,7 +121,7 @@ def kpi_panel(df: DataFrame, limit: int = 6) -> DataFrame:
 def chart_measures(df: DataFrame, question: str | None = None) -> list[str]:
     """Numbers that tell no time; with a question, those it names come first:
     by words of the name that it has, then by where the whole name stands."""
-    measures = [c for c in _numeric(df) if not any(t in c.lower() for t in TIME_TOKENS)]
+    measures = [c for c in _numeric(df) if not tells_time(c)]
     if question is None:
         return measures
     asked = frozenset(re.findall("[0-9a-z]+", question.lower().replace("_", " ")))
@@ -139,31 +139,30 @@ def chart_feeds(df: DataFrame, question: str | None = None,
     """The aggregated tables behind the three suggested charts:
     time_series (first measure by the first time column), category_comparison
     (first measure by the first text column) and dual_metric (first two
-    measures by the first time or text column)."""
+    measures by the first time or text column), all from one scan."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    times = [c for c, t in fields.items()
-             if is_time_type(t) or any(k in c.lower() for k in TIME_TOKENS)]
+    times = [c for c, t in fields.items() if is_time_type(t) or tells_time(c)]
     cats = [c for c, t in fields.items() if not is_numeric_type(t) and not is_time_type(t)]
     measures = chart_measures(df, question)
-    out = {}
+
     def keyed(col):
         return day_label(_c(col)) if is_time_type(fields[col]) else _c(col)
+
+    wanted = []
     if times and measures:
-        t = times[0]
-        src = df.select(keyed(t).alias(t), _c(measures[0]))
-        out["time_series"] = aggregate_by_dimension(src, t, measures[0], aggregation) \
-            .orderBy(_c(t).asc_nulls_last())
+        wanted.append(keyed_mart("time_series", times[0], keyed(times[0]), measures[0], aggregation, order=()))
     if cats and measures:
-        out["category_comparison"] = aggregate_by_dimension(df, cats[0], measures[0], aggregation)
+        wanted.append(keyed_mart("category_comparison", cats[0], _c(cats[0]), measures[0], aggregation))
     if len(measures) >= 2:
         key = times[0] if times else (cats[0] if cats else None)
-        a, b = measures[:2]
         fn = {"sum": lambda x: F.coalesce(F.sum(x), F.lit(0)), "average": F.avg}[aggregation]
         prefix = "total" if aggregation == "sum" else "avg"
-        aggs = [fn(_c(a)).alias(f"{prefix}_{a}"), fn(_c(b)).alias(f"{prefix}_{b}")]
-        out["dual_metric"] = (df.select(keyed(key).alias(key), _c(a), _c(b)).groupBy(_c(key)).agg(*aggs)
-                              .orderBy(_c(key).asc_nulls_last())) if key else df.agg(*aggs)
-    return out
+        wanted.append(GroupedMart("dual_metric", key, keyed(key) if key else None,
+                                  {f"{prefix}_{m}": fn(_c(m)) for m in measures[:2]}))
+    if not wanted:
+        return {}
+    grouped = GroupedMarts(df, wanted)
+    return {m.name: grouped.mart(m.name) for m in wanted}
 
 
 def mart_measures(mart_tables: dict[str, DataFrame]) -> DataFrame:

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.exprs import (
-    day_label, decade_of, field_types, is_numeric_type, is_time_type)
+    day_label, decade_of, field_types, is_numeric_type, is_time_type, nan_to_null, quoted)
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS
 from tidemark.functions.semantic import metric_metadata, metric_name
-from tidemark.functions.stats import quantiles
+from tidemark.functions.stats import quantile_figures, quantiles
+from tidemark.functions.wording import tells_time
+from tidemark.operators.grouped import GroupedMart
 
-TIME_COLUMN_HINTS = ("date", "time", "timestamp", "year", "month", "week")
 AGGREGATIONS = ("average", "sum", "count")
 
 
@@ -32,7 +33,7 @@ def require_columns(df: DataFrame, columns: list[str]) -> None:
 
 
 def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return quoted(name)
 
 
 def _named(expr: Column, source: str | None, aggregation: str) -> Column:
@@ -88,6 +89,30 @@ def aggregate_by_dimension(df: DataFrame, dimension: str, metric: str,
     return mart.orderBy(_order(_c(sort_col), ascending), _c(dimension).asc_nulls_last())
 
 
+def keyed_mart(name: str, key_name: str, key: Column, metric: str, aggregation: str, ordering: str = "highest",
+               order: tuple | None = None, **more) -> GroupedMart:
+    """C1 as one of several marts of a scan (:mod:`tidemark.operators.grouped`):
+    the same figures and order as :func:`aggregate_by_dimension`."""
+    rows, figures = F.count(F.lit(1)), {}
+    figures["record_count"] = rows
+    if metric != "record_count":
+        value = {"average": F.avg(_c(metric)), "sum": F.coalesce(F.sum(_c(metric)), F.lit(0)), "count": rows}.get(aggregation)
+        if value is None:
+            raise ValueError(f"Unsupported aggregation: {aggregation}")
+        figures[metric_name(metric, aggregation)] = value
+    lead = list(figures)[-1]
+    return GroupedMart(name, key_name, key, figures, ((lead, ordering == "lowest"),) if order is None else order,
+                       metadata=figure_metadata(metric, aggregation), **more)
+
+
+def figure_metadata(metric: str | None, *aggregations: str) -> dict[str, dict]:
+    """The metadata of the figures of a metric, and of the row count."""
+    out = {"record_count": metric_metadata("record_count", None, "count")}
+    if metric and metric != "record_count":
+        out.update((metric_name(metric, a), metric_metadata(metric_name(metric, a), metric, a)) for a in aggregations)
+    return out
+
+
 def question_answer_mart(df: DataFrame, dimension: str, metric: str, aggregation: str,
                          ordering: str = "highest") -> DataFrame:
     """The mart that answers the question."""
@@ -175,23 +200,36 @@ def histogram_edges(lo: float, hi: float, bins: int) -> tuple[list[float], list[
     return edges, labels
 
 
-def distribution_mart(df: DataFrame, metric: str, bins: int = 10) -> DataFrame:
+def value_of(metric: str) -> Column:
+    """A metric as a double; NaN is missing."""
+    return nan_to_null(_c(metric).cast("double"))
+
+
+def range_figures(metric: str) -> dict[str, Column]:
+    """What a distribution needs to know of a whole table."""
+    x = value_of(metric)
+    return {"n": F.count(x), "lo": F.min(x), "hi": F.max(x)}
+
+
+def distribution_mart(df: DataFrame, metric: str, bins: int = 10, known: dict | None = None) -> DataFrame:
     """Histogram with n = min(bins, distinct values) equal-width bins.
 
-    Pass 1 (one global aggregate): min, max, non-null count. The distinct values
-    are counted up to ``bins`` only (a limit per task and in all: no more are
-    needed to know n). Pass 2 is one more global
+    Pass 1 (one global aggregate, or ``known`` from one): min, max, non-null
+    count. The distinct values are counted up to ``bins`` only (a limit per task
+    and in all: no more are needed to know n). Pass 2 is one more global
     aggregate with one ``count_if`` per bin, unpivoted to rows, so empty bins
-    appear with 0 and no join or shuffle of rows is needed.
+    appear with 0 and no join or shuffle of rows is needed. NaN is missing; an
+    infinite value has no bin, so it raises.
     """
     require_columns(df, [metric])
-    x = _c(metric).cast("double")
-    stats = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).collect()[0]
-    if stats["n"] == 0:
+    x = value_of(metric)
+    stats = known or df.agg(*[e.alias(n) for n, e in range_figures(metric).items()]).collect()[0].asDict()
+    if not stats["n"]:
         raise ValueError(f"Column {metric} holds no values to bin.")
     lo, hi = stats["lo"], stats["hi"]
+    if math.isinf(lo) or math.isinf(hi):
+        raise ValueError(f"Column {metric} holds infinite values, which no bin of equal width can hold.")
     distinct = df.select(x.alias("x")).where(F.col("x").isNotNull()).distinct().limit(bins).count()
-    spark = df.sparkSession
     if lo == hi or distinct <= 1:
         return df.agg(F.lit(lo).alias("bin_start"), F.lit(hi).alias("bin_end"),
                       F.count(x).alias("record_count"))
@@ -210,21 +248,30 @@ def distribution_mart(df: DataFrame, metric: str, bins: int = 10) -> DataFrame:
 SUMMARY_PROBS = (0.5, 0.05, 0.25, 0.75, 0.95)
 
 
-def summary_stats_mart(df: DataFrame, metric: str, approx_accuracy: int | None = None) -> DataFrame:
+def summary_figures(metric: str) -> dict[str, Column]:
+    """The figures of C8 that one aggregate gives."""
+    x = value_of(metric)
+    return {**range_figures(metric), "mean": F.avg(x), "std": F.stddev_samp(x)}
+
+
+def summary_stats_mart(df: DataFrame, metric: str, approx_accuracy: int | None = None,
+                       known: dict | None = None) -> DataFrame:
     """One row of min, max, mean, median, std (ddof 1, 0 for one value),
     p05/p25/p75/p95 (exact, linear interpolation; or, when
-    ``approx_accuracy`` is given, Spark's ``percentile_approx`` in one pass)."""
+    ``approx_accuracy`` is given, Spark's ``percentile_approx`` in one pass).
+    ``known`` may hold :func:`summary_figures` of a pass before."""
     require_columns(df, [metric])
-    x = _c(metric).cast("double")
-    aggs = [F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std")]
+    figures = {**summary_figures(metric)}
     if approx_accuracy:
-        aggs.append(F.percentile_approx(x, list(SUMMARY_PROBS), approx_accuracy).alias("q"))
-    base = df.agg(*aggs).collect()[0]
-    if base["n"] == 0:
+        figures["q"] = F.percentile_approx(value_of(metric), list(SUMMARY_PROBS), approx_accuracy)
+    else:
+        figures.update(quantile_figures(metric, list(SUMMARY_PROBS)))
+    base = known if known and not approx_accuracy else df.agg(*[e.alias(n) for n, e in figures.items()]).collect()[0].asDict()
+    if not base["n"]:
         raise ValueError(f"Column {metric} holds no values to summarise.")
     q = [float(v) for v in base["q"]] if approx_accuracy else \
-        quantiles(df, {metric: list(SUMMARY_PROBS)}, {metric: (base["n"], base["lo"], base["hi"])})[metric]
+        quantiles(df, {metric: list(SUMMARY_PROBS)},
+                  {metric: base if "brackets" in base else (base["n"], base["lo"], base["hi"])})[metric]
     figures = {"min": base["lo"], "max": base["hi"], "average": base["mean"], "median": q[0],
                "std": base["std"] if base["n"] > 1 else 0.0, "p05": q[1], "p25": q[2], "p75": q[3], "p95": q[4]}
     one = df.sparkSession.createDataFrame([(metric,)], "source_metric_column string")
@@ -234,17 +281,11 @@ def summary_stats_mart(df: DataFrame, metric: str, approx_accuracy: int | None =
 
 # ------------------------------------------------------------------ C9 and G10
 def find_time_column(df: DataFrame) -> str | None:
-    """First column (in order) that is a date/time type or whose name holds
-    a time hint; quality flags and booleans are skipped."""
-    for f in df.schema.fields:
-        lowered = f.name.lower()
-        if lowered in QUALITY_FLAG_COLUMNS or isinstance(f.dataType, T.BooleanType):
-            continue
-        if is_time_type(f.dataType):
-            return f.name
-        if any(h in lowered for h in TIME_COLUMN_HINTS):
-            return f.name
-    return None
+    """The first column that holds dates or times, or whose name says so by
+    a word of its own (``lifetime_value`` does not)."""
+    able = (f for f in df.schema.fields
+            if f.name.lower() not in QUALITY_FLAG_COLUMNS and not isinstance(f.dataType, T.BooleanType))
+    return next((f.name for f in able if is_time_type(f.dataType) or tells_time(f.name)), None)
 
 
 def time_trend_mart(df: DataFrame, metric: str, aggregation: str, ordering: str = "highest",
@@ -308,6 +349,27 @@ def decade_mart(df: DataFrame, column: str, aggregation: str = "average",
 
 
 # ------------------------------------------------------------------ C11, C14
+def correlation_figure(a: str, b: str) -> Column:
+    """Pearson correlation over the rows that hold both values; NULL for a constant."""
+    both = _c(a).isNotNull() & _c(b).isNotNull()
+    xa, xb = F.when(both, _c(a).cast("double")), F.when(both, _c(b).cast("double"))
+    return F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
+
+
+def correlation_pairs(columns: list[str]) -> list[tuple[str, str]]:
+    names = sorted(columns)
+    return [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+
+
+def correlation_rows(one_row: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """The long form of a row of correlations; ``pairs`` names the pair of each column.
+    Pairs without a correlation are left out (S9)."""
+    structs = [F.struct(F.lit(a).alias("left_metric"), F.lit(b).alias("right_metric"), quoted(c).alias("correlation"))
+               for c, (a, b) in pairs.items()]
+    return one_row.select(F.inline(F.array(*structs))).where(
+        F.col("correlation").isNotNull() & ~F.isnan("correlation"))
+
+
 def correlation_mart(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair, long form, left < right.
 
@@ -319,26 +381,14 @@ def correlation_mart(df: DataFrame, columns: list[str]) -> DataFrame:
     available = [c for c in columns if c in df.columns]
     if len(available) < 2:
         raise ValueError("a correlation needs two columns at least")
-    names = sorted(available)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    parts = []
+    pairs = correlation_pairs(available)
+    out = None
     # pairs are computed in batches so one generated aggregate stays compact
     for start in range(0, len(pairs), PAIRS_PER_PASS):
-        aggs, structs = [], []
-        for a, b in pairs[start:start + PAIRS_PER_PASS]:
-            both = _c(a).isNotNull() & _c(b).isNotNull()
-            xa = F.when(both, _c(a).cast("double"))
-            xb = F.when(both, _c(b).cast("double"))
-            key = f"r_{len(aggs)}"
-            aggs.append(F.try_divide(F.covar_samp(xa, xb),
-                                     F.stddev_samp(xa) * F.stddev_samp(xb)).alias(key))
-            structs.append(F.struct(F.lit(a).alias("left_metric"), F.lit(b).alias("right_metric"),
-                                    F.col(key).alias("correlation")))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
+        named = {f"r_{i}": p for i, p in enumerate(pairs[start:start + PAIRS_PER_PASS])}
+        part = correlation_rows(df.agg(*[correlation_figure(*p).alias(c) for c, p in named.items()]), named)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 PAIRS_PER_PASS = 64

@@ -21,8 +21,7 @@ from tidemark.operators.kpis import chart_feeds, kpi_panel, kpi_values, mart_mea
 from tidemark.operators.cleaning import clean
 from tidemark.operators.integrate import coverage, integrate, standardize
 from tidemark.operators.quality import dq_overall, dq_scores, profile
-from tidemark.plans.mart_sets import (
-    available_marts, climate_marts, generic_marts, primary_mart)
+from tidemark.plans.mart_sets import available_marts, primary_mart, wide_marts
 from tidemark.plans.question import resolve
 from tidemark.sources import sinks
 from tidemark.sources.loaders import load_dataset
@@ -98,7 +97,7 @@ def run_datasets(spark: SparkSession, datasets: list[dict], root: str,
     result = integrate(standardized)
     path = sinks.write_integrated(result.wide, root, output_name)
     wide = spark.read.parquet(path)
-    mart_tables = {**generic_marts(wide, aggregations), **climate_marts(wide)}
+    mart_tables = wide_marts(wide, aggregations)
     written = {name: sinks.write_mart(df, root, name)[1] for name, df in mart_tables.items()}
     lead = primary_mart(list(written), question, [d.dataset_name for d in standardized])
     anomalies = detect_anomalies(wide)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults that the library's semantics rely on: UTC session zone (timestamps
 # are compared as UTC wall clock) and ANSI mode (casts are always ``try_*``).
@@ -58,3 +59,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def shared_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written below the shared checkpoint folder and read again: what is
+    built on it does not compute it anew, and a lost executor reads files."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

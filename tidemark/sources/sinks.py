@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.exprs import quoted
 from tidemark.functions.names import normalize_name
+from tidemark.functions.ordering import numbered
 
 ROW_ID = "_row_id"
 
@@ -141,25 +142,25 @@ def value_tuples(df: DataFrame) -> Column:
                     F.lit(")"))
 
 
-def insert_statements(df: DataFrame, table_name: str, batch_size: int = 500) -> DataFrame:
-    """``INSERT`` statements of at most ``batch_size`` rows each.
+def insert_statements(df: DataFrame, table_name: str, batch_size: int = 500,
+                      order_by: list[str] | None = None) -> DataFrame:
+    """(batch, statement): ``INSERT`` statements of ``batch_size`` rows each, the
+    last one of the rest, so ceil(rows / batch_size) of them whatever the layout.
 
-    The batch of a row comes from its position inside its own task
-    (``monotonically_increasing_id`` keeps the task in the high bits), so no
-    window or global numbering is needed; each group holds <= batch_size rows.
+    Rows are numbered in the order of ``order_by`` (ascending, nulls last) and then
+    of their tuple text, which makes the statements the same for the same rows; a
+    statement gathers ``batch_size`` rows at most.
     """
     fields = [f for f in df.schema.fields if f.name != ROW_ID]
-    cols = ", ".join(f'"{f.name}"' for f in fields)
-    values = value_tuples(df)
-    mid = F.monotonically_increasing_id()
-    pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    staged = df.select(values.alias("_v"), mid.alias("_mid")).withColumns(
-        {"_task": F.shiftright(F.col("_mid"), 33), "_batch": F.floor(pos / F.lit(batch_size))})
-    grouped = staged.groupBy("_task", "_batch").agg(
-        F.array_sort(F.collect_list(F.struct("_mid", "_v"))).alias("_rows"))
-    body = F.array_join(F.transform("_rows", lambda r: r["_v"]), ",\n")
-    return grouped.select("_task", "_batch", F.concat(
-        F.lit(f'INSERT INTO "{table_name}" ({cols}) VALUES\n'), body, F.lit(";")).alias("statement"))
+    cols = ", ".join('"' + f.name.replace('"', '""') + '"' for f in fields)
+    keys = [quoted(c).alias(f"key_{i}") for i, c in enumerate(order_by or [])]
+    rows = df.select(*keys, value_tuples(df).alias("row_sql"))
+    order = [F.col(f"key_{i}").asc_nulls_last() for i in range(len(keys))] + [F.col("row_sql")]
+    grouped = numbered(rows, order, "sql-rows").groupBy(F.expr(f"row_number div {int(batch_size)}").alias("batch")).agg(
+        F.array_sort(F.collect_list(F.struct("row_number", "row_sql"))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["row_sql"]), ",\n")
+    head = 'INSERT INTO "' + table_name.replace('"', '""') + f'" ({cols}) VALUES\n'
+    return grouped.select("batch", F.concat(F.lit(head), body, F.lit(";")).alias("statement"))
 
 
 def export_sql_text(marts: dict[str, DataFrame], folder: str, batch_size: int = 500) -> dict[str, str]:
@@ -174,7 +175,7 @@ def export_sql_text(marts: dict[str, DataFrame], folder: str, batch_size: int =
         spark = df.sparkSession
         spark.createDataFrame([(create_table_sql(df, table_name),)], "value string") \
             .coalesce(1).write.mode("overwrite").text(f"{base}/schema")
-        insert_statements(df, table_name, batch_size).select("statement") \
+        insert_statements(df, table_name, batch_size).orderBy("batch").select("statement") \
             .write.mode("overwrite").text(f"{base}/inserts")
         written[name] = base
     return written

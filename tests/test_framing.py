@@ -21,9 +21,9 @@ def test_actions_and_fields(spark):
     rows = frame_anomalies(_report(spark, [("revenue", "iqr", 200), ("qty", "zscore", 50),
                                            ("tax", "iqr", 1)]), 1000).collect()
     by = {r["column"]: r for r in rows}
-    assert "`revenue`" in by["revenue"]["suggested_action"] and "high concentration" in by["revenue"]["suggested_action"]
+    assert "`revenue`" in by["revenue"]["suggested_action"] and "a tenth of the rows or more" in by["revenue"]["suggested_action"]
     assert "zscore" in by["qty"]["suggested_action"]
-    assert "isolated" in by["tax"]["suggested_action"]
+    assert "few values" in by["tax"]["suggested_action"]
     assert by["revenue"]["anomaly_count"] == 200 and by["revenue"]["method"] == "iqr"
 
 

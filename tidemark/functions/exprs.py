@@ -43,8 +43,10 @@ def field_types(df: DataFrame) -> dict[str, T.DataType]:
 
 
 def strip(text: Column) -> Column:
-    """The text without white space at either end."""
-    return F.btrim(text, F.lit(WHITE_SPACE))
+    """The text without white space at either end. Text between two visible ASCII
+    characters, which is most, is not searched."""
+    plain = F.ascii(text).between(33, 126) & F.ascii(F.substring(text, -1, 1)).between(33, 126)
+    return F.when(plain, text).otherwise(F.btrim(text, F.lit(WHITE_SPACE)))
 
 
 def is_blank(text: Column) -> Column:
@@ -57,10 +59,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def number_of(stripped: Column) -> Column:
+    """S10 for text without white space at its ends: pandas-compatible text -> double;
+    anything else (incl. 'nan') -> NULL."""
+    return F.when(stripped.rlike(NUMERIC_TEXT), stripped.try_cast("double"))
+
+
 def parse_number(text: Column) -> Column:
-    """Pandas-compatible text -> double; anything else (incl. 'nan') -> NULL."""
-    t = strip(text)
-    return F.when(t.rlike(NUMERIC_TEXT), t.try_cast("double"))
+    """S10 for any text."""
+    return number_of(strip(text))
 
 
 def is_integer_text(text: Column) -> Column:

@@ -1,16 +1,19 @@
 """Column statistics passes shared by the operators.
 
 * :func:`column_counts` - rows, non-null and exact distinct counts for many
-  columns in two jobs: one ``agg`` for the null counts, and one unpivot to
-  ``(column, value)`` followed by a two-level ``groupBy`` for distinct counts.
-  The first ``groupBy`` runs a map-side partial aggregation, so a value held by
-  a third of all rows is collapsed before the shuffle.
+  columns: one ``agg`` for the null counts, and one unpivot followed by a
+  two-level ``groupBy`` for distinct counts. Whole numbers, dates and booleans
+  are counted as bitmaps of 64 values (``bit_or`` of a word per 64, combined
+  map-side: dense keys need a 64th of the rows), all others as distinct texts.
+  A value held by a third of all rows is collapsed before the shuffle.
 * :func:`quantiles` - exact linear-interpolation quantiles of many columns at
   once by bucket refinement, one algorithm for every size: a pass counts rows
   per value bucket of each open bracket (hash-distributed, combined map-side,
   at most ``BUCKETS`` rows per bracket), and a rank's bracket shrinks to the
   smallest and largest value of its bucket until both are equal. No task ever
-  holds the values themselves.
+  holds the values themselves. Brackets start from min and max, or narrower from
+  KLL sketches taken in the pass that found those (:func:`quantile_figures`); a
+  rank that is not in its sketched bracket goes back to the whole range.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.exprs import quoted
+
 # Value buckets per open bracket and pass.
 BUCKETS = 1024
 
@@ -34,13 +39,36 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+_DAYS = (T.DateType,)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+
+
+def _whole_number(c: Column, dtype: T.DataType) -> Column | None:
+    """The value as a long where the type has at most one value for each, else None."""
+    if isinstance(dtype, _DAYS):
+        return F.unix_date(c).cast("long")
+    return c.cast("long") if isinstance(dtype, _WHOLE) else None
+
+
+def _whole_counts(df: DataFrame, numbers: dict[str, Column]) -> DataFrame:
+    """(column_name, distinct_count) of whole numbers: one word of 64 bits for every
+    64 neighbouring values, the bits of which say which of them occur."""
+    names = list(numbers)
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), x.alias("x")) for i, x in enumerate(numbers.values())])))
+    words = long.where(F.col("x").isNotNull()).select(
+        "c", F.shiftright("x", 6).alias("word"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit")) \
+        .groupBy("c", "word").agg(F.bit_or("bit").alias("bits"))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("c") + 1)
+    return words.groupBy(name.alias("column_name")).agg(F.sum(F.bit_count("bits")).cast("long").alias("distinct_count"))
+
+
 def unpivot_values(df: DataFrame, columns: list[str], keep: list[str] | None = None,
                    name_col: str = "column_name", value_col: str = "value") -> DataFrame:
     """Long form ``(column_name, value-as-text)`` of the non-null cells."""
     types = {f.name: f.dataType for f in df.schema.fields}
     keep = keep or []
     structs = [F.struct(F.lit(c).alias(name_col),
-                        value_text(F.col(f"`{c}`"), types[c]).alias(value_col))
+                        value_text(quoted(c), types[c]).alias(value_col))
                for c in columns]
     long = df.select(*keep, F.inline(F.array(*structs)))
     return long.where(F.col(value_col).isNotNull())
@@ -50,6 +78,13 @@ def distinct_counts_df(df: DataFrame, columns: list[str], approx: bool = False)
     """``(column_name, distinct_count)`` for the given columns (non-null values)."""
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, distinct_count bigint")
+    if not approx:
+        types = {f.name: f.dataType for f in df.schema.fields}
+        numbers = {c: x for c in columns if (x := _whole_number(quoted(c), types[c])) is not None}
+        texts = [c for c in columns if c not in numbers]
+        if numbers:
+            counted = _whole_counts(df, numbers)
+            return counted.unionByName(distinct_counts_df(df, texts)) if texts else counted
     long = unpivot_values(df, columns)
     if approx:
         return long.groupBy("column_name").agg(
@@ -60,7 +95,7 @@ def distinct_counts_df(df: DataFrame, columns: list[str], approx: bool = False)
 
 def non_null_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     """Non-null count per column in one aggregate (no distinct counting)."""
-    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).collect()[0]
+    row = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]).collect()[0]
     return {c: row[f"n{i}"] for i, c in enumerate(columns)}
 
 
@@ -69,7 +104,7 @@ def column_counts(df: DataFrame, columns: list[str] | None = None,
     """Rows plus per-column non-null and distinct counts (two jobs, small results)."""
     columns = list(df.columns if columns is None else columns)
     aggs = [F.count(F.lit(1)).alias("__rows")]
-    aggs += [F.count(F.col(f"`{c}`")).alias(f"nn_{i}") for i, c in enumerate(columns)]
+    aggs += [F.count(quoted(c)).alias(f"nn_{i}") for i, c in enumerate(columns)]
     row = df.agg(*aggs).collect()[0]
     distinct = {r["column_name"]: r["distinct_count"]
                 for r in distinct_counts_df(df, columns, approx_distinct).collect()}
@@ -126,36 +161,93 @@ _LARGEST = 1.7976931348623157e308
 
 
 def _number(column: str) -> Column:
-    x = F.col(f"`{column}`").cast("double")
+    x = quoted(column).cast("double")
     return F.when(~F.isnan(x), x)
 
 
-def numeric_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
-    """(count, min, max) of each column's values (NaN is missing), in one aggregate."""
-    aggs = [e for i, c in enumerate(columns) for e in (
-        F.count(_number(c)).alias(f"n{i}"), F.min(_number(c)).alias(f"lo{i}"), F.max(_number(c)).alias(f"hi{i}"))]
+SKETCH_K = 2048             # size of a KLL sketch: ranks are off by about 0.1 %
+SKETCH_MARGIN = 0.004       # share of the rows that a sketched bracket reaches to either side
+
+
+def quantile_figures(column: str, probs: list[float]) -> dict[str, Column]:
+    """What :func:`quantiles` can start from, for an aggregate over the table:
+    count, min, max and a bracket for each probability, from one KLL sketch."""
+    x = _number(column)
+    sketch = F.kll_sketch_agg_double(x, F.lit(SKETCH_K))
+    at = lambda p: F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(min(max(p, 0.0), 1.0))))
+    return {"n": F.count(x), "lo": F.min(x), "hi": F.max(x), "brackets": F.array(*[
+        F.struct(at(p - SKETCH_MARGIN).alias("lo"), at(p + SKETCH_MARGIN).alias("hi")) for p in probs])}
+
+
+def numeric_bounds(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, dict]:
+    """:func:`quantile_figures` of each column, in one aggregate."""
+    aggs = [e.alias(f"{name}{i}") for i, (c, probs) in enumerate(wanted.items()) for name, e in quantile_figures(c, probs).items()]
     row = df.agg(*aggs).collect()[0]
-    return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+    return {c: {name: row[f"{name}{i}"] for name in ("n", "lo", "hi", "brackets")} for i, c in enumerate(wanted)}
+
+
+def _sketched_ranks(df: DataFrame, c: str, n: int, lo: float, hi: float, probs: list[float], brackets: list) -> dict:
+    """The ranks of each sketched bracket; the rows below it are not known yet (-1)."""
+    out: dict = {}
+    for p, bracket in zip(probs, brackets):
+        at = (c, max(lo, bracket["lo"]), min(hi, bracket["hi"]), 0 if bracket["lo"] <= lo else -1)
+        out.setdefault(at, set()).update(_ranks_for(n, [p]))
+    return out
+
+
+def _counted_below(df: DataFrame, open_ranks: dict, bounds: dict) -> dict:
+    """Sketched brackets narrowed by one exact pass: it counts the rows below each
+    bracket and in its buckets. Ranks that lie outside go back to the whole range."""
+    if not any(below < 0 for *_, below in open_ranks):
+        return open_ranks
+    brackets = list(open_ranks)
+    parts = F.array(*[F.struct(
+        F.lit(i).alias("bracket"), F.when(_number(c) < lo, F.lit(-2)).otherwise(_bucket(_number(c), lo, hi, False)).alias("part"),
+        _number(c).alias("x")) for i, (c, lo, hi, _) in enumerate(brackets)])
+    counted = df.select(F.inline(parts)).where("part is not null").groupBy("bracket", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    narrowed: dict = {}
+    seen: dict[int, int] = {}
+    left = {b: set(ranks) for b, ranks in open_ranks.items()}
+    for row in sorted(counted, key=lambda r: (r["bracket"], r["part"])):
+        key, start = brackets[row["bracket"]], seen.get(row["bracket"], 0)
+        seen[row["bracket"]] = start + row["n"]
+        inside = {r for r in left[key] if start <= r < start + row["n"]} if row["part"] != -2 else set()
+        if inside:
+            narrowed.setdefault((key[0], row["lo"], row["hi"], start), set()).update(inside)
+            left[key] -= inside
+    for (c, *_), ranks in left.items():
+        if ranks:
+            n, lo, hi = bounds[c]
+            narrowed.setdefault((c, lo, hi, 0), set()).update(ranks)
+    return narrowed
 
 
 def quantiles(df: DataFrame, wanted: dict[str, list[float]],
-              bounds: dict[str, tuple[int, float, float]] | None = None) -> dict[str, list[float | None]]:
+              bounds: dict[str, tuple | dict] | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles (pandas ``quantile`` semantics) of
     several columns; all columns and ranks share each pass over the table.
 
-    ``bounds`` may hold (count, min, max) per column when a pass before has
-    them. A pass over equal parts strictly narrows every open bracket, because
-    its smallest and largest value fall into different buckets; every third pass
-    takes parts of the logarithmic scale, which narrows ranges of many
-    magnitudes. The driver reads at most ``BUCKETS + 2`` rows per open bracket
-    and pass."""
-    bounds = bounds or numeric_bounds(df, list(wanted))
+    ``bounds`` may hold (count, min, max) or :func:`quantile_figures` per column
+    when a pass before has them; without it one pass takes them. A pass over equal
+    parts strictly narrows every open bracket, because its smallest and largest
+    value fall into different buckets; every third pass takes parts of the
+    logarithmic scale, which narrows ranges of many magnitudes. The driver reads at
+    most ``BUCKETS + 3`` rows per open bracket and pass."""
+    known = bounds or numeric_bounds(df, wanted)
+    brackets_of = {c: b["brackets"] for c, b in known.items() if isinstance(b, dict)}
+    bounds = {c: (b["n"], b["lo"], b["hi"]) if isinstance(b, dict) else b for c, b in known.items()}
     found: dict[tuple[str, int], float] = {}
     open_ranks: dict[tuple[str, float, float, int], set[int]] = {}      # (column, lo, hi, rows below) -> ranks
     for c, probs in wanted.items():
         n, lo, hi = bounds[c]
-        if n:
+        if n and c in brackets_of:
+            sketched = _sketched_ranks(df, c, n, lo, hi, probs, brackets_of[c])
+            for bracket, ranks in sketched.items():
+                open_ranks.setdefault(bracket, set()).update(ranks)
+        elif n:
             open_ranks[c, lo, hi, 0] = set(_ranks_for(n, probs))
+    open_ranks = _counted_below(df, open_ranks, bounds)
     for turn in itertools.count(1):
         for (c, lo, hi, below), ranks in list(open_ranks.items()):
             if lo == hi:

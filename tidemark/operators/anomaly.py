@@ -15,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import is_numeric_type
-from tidemark.functions.stats import quantiles
+from tidemark.functions.exprs import is_numeric_type, quoted
+from tidemark.functions.stats import quantile_figures, quantiles
 
 ROW_ID = "_row_id"
 
@@ -27,7 +27,7 @@ ZSCORE_THRESHOLD = 3.0
 
 
 def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return quoted(name)
 
 
 @dataclass
@@ -54,20 +54,23 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.name != ROW_ID and is_numeric_type(f.dataType)]
 
 
-def detect_anomalies(df: DataFrame, columns: list[str] | None = None) -> AnomalyResult:
+def detect_anomalies(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None) -> AnomalyResult:
+    """F7-F10. The examples of a column (E4) are its first flagged values in the
+    order of ``order_by`` (columns of ``df``), else in row order."""
     data = df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
     cols = columns or numeric_columns(df)
     # the statistics passes read only the numeric columns; flagged rows come from the full input
     full = data
-    data = data.select(*[_c(c) for c in cols], F.col(ROW_ID))
+    keys = [_c(c).alias(f"__key_{i}") for i, c in enumerate(order_by or [])]
+    data = data.select(*[_c(c) for c in cols], *keys, F.col(ROW_ID))
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
         x = _c(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_pop(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"),
+                 *[e.alias(f"{name}{i}") for name, e in quantile_figures(c, [0.25, 0.75]).items()]]
     stats = data.agg(*aggs).collect()[0]
     eligible = [c for i, c in enumerate(cols) if stats[f"n{i}"] >= MIN_VALUES_FOR_ANALYSIS]
-    bounds = {c: tuple(stats[f"{k}{cols.index(c)}"] for k in ("n", "lo", "hi")) for c in eligible}
+    bounds = {c: {k: stats[f"{k}{cols.index(c)}"] for k in ("n", "lo", "hi", "brackets")} for c in eligible}
     fences = quantiles(data, {c: [0.25, 0.75] for c in eligible}, bounds) if eligible else {}
     candidates = []
     count_aggs = [F.lit(1).alias("_one")]
@@ -93,20 +96,21 @@ def detect_anomalies(df: DataFrame, columns: list[str] | None = None) -> Anomaly
             rules.append(ColumnRule(c, "iqr", iqr_flag[1], F.coalesce(iqr_flag[0], F.lit(False)), counts[f"iqr{i}"]))
         elif z_flag and counts[f"z{i}"] > 0:
             rules.append(ColumnRule(c, "zscore", z_flag[1], F.coalesce(z_flag[0], F.lit(False)), counts[f"z{i}"]))
-    return AnomalyResult(_report(data, rules), _flagged(full, rules), rules, stats["_rows"])
+    order = [f"__key_{i}" for i in range(len(keys))] + [ROW_ID]
+    return AnomalyResult(_report(data, rules, order), _flagged(full, rules), rules, stats["_rows"])
 
 
-def _report(data: DataFrame, rules: list[ColumnRule]) -> DataFrame:
+def _report(data: DataFrame, rules: list[ColumnRule], order: list[str]) -> DataFrame:
     """one row per flagged column, with the first 3 flagged values."""
     spark = data.sparkSession
     schema = "column string, method string, threshold string, anomaly_count bigint"
     base = spark.createDataFrame([(r.column, r.method, r.threshold, r.anomaly_count) for r in rules], schema)
     if not rules:
         return base.withColumn("example_values", F.array().cast("array<double>"))
-    long = data.select(F.col(ROW_ID), F.inline(F.array(*[
+    long = data.select(*order, F.inline(F.array(*[
         F.struct(F.lit(r.column).alias("column"), _c(r.column).cast("double").alias("value"),
                  r.flag.alias("flagged")) for r in rules]))).where("flagged")
-    w = Window.partitionBy("column").orderBy(ROW_ID)
+    w = Window.partitionBy("column").orderBy(*[F.col(c).asc_nulls_last() for c in order])
     first3 = long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 3)
     examples = first3.groupBy("column").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_rn", "value"))), lambda s: s["value"]).alias("example_values"))
@@ -129,9 +133,9 @@ def _flagged(data: DataFrame, rules: list[ColumnRule]) -> DataFrame:
 HIGH_IMPACT = 0.10
 MEDIUM_IMPACT = 0.02
 ADVICE = {
-    "high": "Column `%s`: high concentration of %s-detected outliers. Look at its distribution and source before using it.",
-    "medium": "Column `%s`: moderate number of %s-detected outliers. Decide whether they are real before reporting on it.",
-    "low": "Column `%s`: isolated %s-detected outliers. Totals hardly change; check again as the table grows.",
+    "high": "`%s`: a tenth of the rows or more lie outside the %s limits. Find out where they come from before any figure is built on the column.",
+    "medium": "`%s`: a noticeable share of values lies outside the %s limits. Tell errors from real extremes, then report.",
+    "low": "`%s`: few values lie outside the %s limits. They hardly move a total; look again when the table has grown.",
 }
 
 

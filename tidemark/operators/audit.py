@@ -7,17 +7,20 @@ on the data. Lineage edges carry the measured number of changed cells.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.exprs import quoted
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS
 from tidemark.functions.semantic import parse_metric_name
 
+
 def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return quoted(name)
 
 
 def candidate_pairs(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
@@ -120,6 +123,61 @@ def lineage_edges(result, mart_tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def lineage_paths(edges: DataFrame) -> DataFrame:
+    """every way from a raw column to a mart column, by a recursive query over
+    the edges (:func:`lineage_edges`, best written and read again): ``raw_node``,
+    ``mart_node``, ``steps``, the nodes in between as ``path``, and the blanks and
+    failed casts summed along it. A mart column without a way to raw data has no row."""
+    return edges.sparkSession.sql("""
+        WITH RECURSIVE ways(mart_node, node, steps, blanks_nulled, cast_failures, path) AS (
+          SELECT to_node, from_node, 1, blanks_nulled, cast_failures, concat(from_node, ' > ', to_node)
+          FROM {edges} WHERE to_node LIKE 'mart::%'
+          UNION ALL
+          SELECT w.mart_node, e.from_node, w.steps + 1, w.blanks_nulled + e.blanks_nulled,
+                 w.cast_failures + e.cast_failures, concat(e.from_node, ' > ', w.path)
+          FROM ways w JOIN {edges} e ON e.to_node = w.node)
+        SELECT node AS raw_node, mart_node, steps, path, blanks_nulled, cast_failures
+        FROM ways WHERE node LIKE 'raw::%'""", edges=edges)
+
+
+SCREEN_ENTRIES = 12           # log2 of the hashes that a key sketch keeps
+SCREEN_ERROR = 1e-6           # share of screened pairs whose containment may lie outside its bounds
+
+
+def screen_keys(tables: dict[str, DataFrame], log_entries: int = SCREEN_ENTRIES) -> DataFrame:
+    """D7 before the exact check: for each pair of tables with a column of one
+    name, the estimated keys of both sides and the share of the first side's keys
+    that the second one holds, with the bounds ``low`` and ``high``.
+
+    Every column of every table becomes one theta sketch, in one aggregate per
+    table, so a catalogue is screened without shuffling a key; pairs are compared by
+    their sketches. Where both sketches hold all keys the share is exact (``low`` =
+    ``high``); else the kept keys are a random sample of the first side's, and the
+    bounds are Hoeffding's at ``SCREEN_ERROR``."""
+    pairs = candidate_pairs(tables)
+    if not pairs:
+        raise ValueError("the tables share no column name")
+    owned = {(name, c) for left, right, c in pairs for name in (left, right)}
+    sketches = reduce(DataFrame.unionByName, [
+        df.agg(*[F.theta_sketch_agg(_key_text(df, c), F.lit(log_entries)).alias(f"s{i}") for i, c in enumerate(own)])
+        .select(F.inline(F.array(*[F.struct(F.lit(name).alias("t"), F.lit(c).alias("c"), F.col(f"s{i}").alias("sketch"))
+                                   for i, c in enumerate(own)])))
+        for name, df in tables.items() if (own := [c for c in df.columns if (name, c) in owned])])
+    spark = sketches.sparkSession
+    # one row per pair and one sketch per column: bounded by the catalogue
+    wanted = spark.createDataFrame(pairs, "from_table string, to_table string, column string")
+    sides = wanted.join(F.broadcast(sketches.selectExpr("t as from_table", "c as column", "sketch as a")), ["from_table", "column"]) \
+        .join(F.broadcast(sketches.selectExpr("t as to_table", "c as column", "sketch as b")), ["to_table", "column"])
+    number = lambda sketch: F.theta_sketch_estimate(sketch).cast("double")
+    both = sides.select("from_table", "to_table", "column", number(F.col("a")).alias("from_keys"), number(F.col("b")).alias("to_keys"),
+                        number(F.theta_intersection("a", "b")).alias("shared"))
+    kept = F.least(F.lit(1.0), F.lit(float(1 << log_entries)) / F.greatest("from_keys", "to_keys", F.lit(1.0)))
+    share = F.when(F.col("from_keys") > 0, F.least(F.lit(1.0), F.col("shared") / F.col("from_keys")))
+    slack = F.when(kept < 1, F.sqrt(F.lit(math.log(2 / SCREEN_ERROR) / 2) / (F.col("from_keys") * kept))).otherwise(F.lit(0.0))
+    return both.select("from_table", "to_table", "column", "from_keys", "to_keys", share.alias("contained"),
+                       F.greatest(F.lit(0.0), share - slack).alias("low"), F.least(F.lit(1.0), share + slack).alias("high"))
+
+
 def reconcile(staging: DataFrame, mart: DataFrame, metric: str | None = None,
               tolerance: float = 1e-6) -> DataFrame:
     """a mart's totals against the staging table it came from (row count

@@ -3,7 +3,8 @@
 Passes over the source:
 
 0. for date-named text columns only, their first non-blank value (row order)
-   picks the date format (S11);
+   picks the date format (S11); where no format reads it, a histogram of value
+   shapes leaves only the formats that some value can have;
 1. one global aggregate over the raw columns counts, per text column, blanks,
    values a numeric parser accepts, integer-looking values, and parse
    failures of the chosen date format. The decisions are exact (no sample).
@@ -13,7 +14,8 @@ Passes over the source:
    ``groupBy`` aggregates map-side first, so a duplicated row held by a third
    of the input collapses before the shuffle.
 
-Each pass reads the source with column pruning; nothing is cached.
+Each pass reads the source with column pruning and strips a text cell once;
+nothing is cached.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.exprs import (
-    NUMERIC_CONVERSION_THRESHOLD, is_blank, is_integer_text, nan_to_null, parse_number, strip)
+    INTEGER_TEXT, NUMERIC_CONVERSION_THRESHOLD, NUMERIC_TEXT, nan_to_null, number_of, quoted, strip)
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS, normalized_names
 
 ROW_ID = "_row_id"
@@ -66,25 +68,26 @@ DATE_FORMATS = (
 )
 
 
-def format_shape(fmt: str) -> str:
+def format_shape(fmt: str, folded: bool = False) -> str:
     """A regex that every string the strict parser accepts for ``fmt`` matches
-    (a superset: numeric fields are any digit run). Strings outside it cannot
-    parse, so they are counted as failures without running the parser."""
+    (a superset: a field of one letter is any digit run, others have their width). Strings outside it cannot
+    parse, so they are counted as failures without running the parser. With
+    ``folded`` it matches the shapes of such strings, where letters are ``a``."""
     out, i = ["^"], 0
     while i < len(fmt):
         ch = fmt[i]
         if ch == "'":
             j = fmt.index("'", i + 1)
-            out.append(re.escape(fmt[i + 1:j]))
+            out.append(re.escape(re.sub("[A-Za-z]", "a", fmt[i + 1:j]) if folded else fmt[i + 1:j]))
             i = j + 1
             continue
         j = i
         while j < len(fmt) and fmt[j] == ch:
             j += 1
         if ch in "yMdHhmsS" and not (ch == "M" and j - i > 2):
-            out.append("\\d+")
+            out.append("\\d+" if j - i == 1 else "\\d{4,}" if ch == "y" else f"\\d{{{j - i}}}")
         elif ch == "X":
-            out.append("(Z|[+-]\\d{1,2}(:?\\d{2})?)")
+            out.append(f"({'a' if folded else 'Z'}|[+-]\\d{{1,2}}(:?\\d{{2}})?)")
         elif ch.isalpha():
             out.append("\\S+")
         else:
@@ -94,10 +97,10 @@ def format_shape(fmt: str) -> str:
     return "".join(out)
 
 
-def parses_as(value: Column, fmt: str) -> Column:
-    """True when ``value`` parses with ``fmt`` (shape-guarded, so text of
+def parsed_as(stripped: Column, fmt: str) -> Column:
+    """``stripped`` as a timestamp of ``fmt``, else NULL (shape-guarded, so text of
     another shape never reaches the parser)."""
-    return strip(value).rlike(format_shape(fmt)) & F.try_to_timestamp(strip(value), F.lit(fmt)).isNotNull()
+    return F.when(stripped.rlike(format_shape(fmt)), F.try_to_timestamp(stripped, F.lit(fmt)))
 
 
 def looks_like_date_column(name: str) -> bool:
@@ -115,7 +118,7 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return quoted(name)
 
 
 @dataclass
@@ -169,18 +172,26 @@ class CleanResult:
             for i, c in enumerate(data_cols)])))
 
 
-def _text_value(c: str) -> Column:
-    return F.when(~is_blank(_c(c)), _c(c))
+def _stripped(i: int) -> Column:
+    """The stripped text of the i-th text column, NULL where it is blank."""
+    return F.col(f"__text_{i}")
 
 
-def _first_value_formats(df: DataFrame, date_cols: list[str]) -> dict[str, int | None]:
+def _with_stripped(df: DataFrame, text_cols: list[str]) -> DataFrame:
+    """Strip each text cell once, for every expression above; blank text is NULL
+    there (and stays as it is in its own column)."""
+    return df.select("*", *[F.nullif(strip(_c(c)), F.lit("")).alias(f"__text_{i}") for i, c in enumerate(text_cols)])
+
+
+def _first_value_formats(df: DataFrame, text_cols: list[str], date_cols: list[str]) -> dict[str, int | None]:
     """Index of the first format that reads each date-named column's
     first non-blank value (row order); one job reading only those columns."""
     if not date_cols:
         return {}
-    firsts = df.agg(*[F.min_by(_text_value(c), F.when(_text_value(c).isNotNull(), F.col(ROW_ID)))
-                      .alias(f"f{i}") for i, c in enumerate(date_cols)])
-    row = firsts.select(*[F.try_to_timestamp(strip(F.col(f"f{i}")), F.lit(fmt)).isNotNull().alias(f"ok_{i}_{k}")
+    at = {c: _stripped(text_cols.index(c)) for c in date_cols}
+    firsts = df.agg(*[F.min_by(at[c], F.when(at[c].isNotNull(), F.col(ROW_ID))).alias(f"f{i}")
+                      for i, c in enumerate(date_cols)])
+    row = firsts.select(*[F.try_to_timestamp(F.col(f"f{i}"), F.lit(fmt)).isNotNull().alias(f"ok_{i}_{k}")
                           for i in range(len(date_cols)) for k, fmt in enumerate(DATE_FORMATS)]).collect()[0]
     out = {}
     for i, c in enumerate(date_cols):
@@ -188,26 +199,43 @@ def _first_value_formats(df: DataFrame, date_cols: list[str]) -> dict[str, int |
     return out
 
 
+def value_shapes(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """(column_name, shape, n): how often each shape occurs among the non-null
+    texts of ``cells``. In a shape every digit is 9 and every letter a; a column
+    of dates or numbers has few, and any number of them is counted distributed."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), e.alias("text")) for c, e in cells.items()])))
+    folded = F.regexp_replace(F.translate("text", "012345678", "999999999"), r"\p{L}", "a")
+    return long.where(F.col("text").isNotNull()).groupBy("column_name", folded.alias("shape")).agg(F.count("*").alias("n"))
+
+
+def candidate_formats(shapes: DataFrame) -> dict[str, dict[int, int]]:
+    """Per column, the formats that any of its shapes allows, with the number of
+    values of those shapes: no format can read more. The driver gets one row per column."""
+    fits = [F.sum(F.when(F.col("shape").rlike(format_shape(fmt, folded=True)), F.col("n")).otherwise(0)).alias(f"fit_{k}")
+            for k, fmt in enumerate(DATE_FORMATS)]
+    rows = shapes.groupBy("column_name").agg(*fits).collect()
+    return {r["column_name"]: {k: r[f"fit_{k}"] for k in range(len(DATE_FORMATS)) if r[f"fit_{k}"]} for r in rows}
+
+
 def _stats_pass(df: DataFrame, text_cols: list[str], date_formats: dict[str, list[int]]) -> dict:
     """One aggregate: per text column blanks, values, numeric and integer
     counts, and parse failures for the candidate date formats."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(text_cols):
-        raw = _c(c)
-        blank = is_blank(raw)
-        value = F.when(~blank, raw)
-        number = parse_number(value)
+        value = _stripped(i)
+        number = value.rlike(NUMERIC_TEXT)
         aggs += [
-            F.count_if(blank).alias(f"blank_{i}"),
+            F.count(_c(c)).alias(f"text_{i}"),
             F.count(value).alias(f"nn_{i}"),
-            F.count(number).alias(f"num_{i}"),
-            F.count_if(number.isNotNull() & is_integer_text(value)
-                       & strip(value).try_cast("bigint").isNotNull()).alias(f"int_{i}"),
+            F.count_if(number).alias(f"num_{i}"),
+            F.count_if(F.when(number, value.rlike(INTEGER_TEXT) & value.try_cast("bigint").isNotNull())).alias(f"int_{i}"),
         ]
         for k in date_formats.get(c, []):
-            aggs.append(F.count_if(value.isNotNull() & ~parses_as(value, DATE_FORMATS[k]))
-                        .alias(f"dfail_{i}_{k}"))
-    return df.agg(*aggs).collect()[0].asDict()
+            aggs.append(F.count_if(value.isNotNull() & parsed_as(value, DATE_FORMATS[k]).isNull()).alias(f"dfail_{i}_{k}"))
+    stats = df.agg(*aggs).collect()[0].asDict()
+    for i in range(len(text_cols)):
+        stats[f"blank_{i}"] = stats[f"text_{i}"] - stats[f"nn_{i}"]
+    return stats
 
 
 def clean(df: DataFrame) -> CleanResult:
@@ -221,11 +249,14 @@ def clean(df: DataFrame) -> CleanResult:
     columns = [mapping[raw] for raw in original]
     text_cols = [c for c in columns if isinstance(types[c], T.StringType)]
     date_cols = [c for c in text_cols if looks_like_date_column(c)]
-    # The format is the first one that reads the column's first value;
-    # only when none does, every format is counted and the best one taken.
-    chosen = _first_value_formats(base, date_cols)
-    candidates = {c: ([k] if k is not None else list(range(len(DATE_FORMATS))))
-                  for c, k in chosen.items()}
+    base = _with_stripped(base, text_cols)
+    # The format is the first one that reads the column's first value; only
+    # when none does, the formats that the shapes of its values allow are counted
+    # and the best one taken.
+    chosen = _first_value_formats(base, text_cols, date_cols)
+    unread = [c for c in date_cols if chosen[c] is None]
+    allowed = candidate_formats(value_shapes(base, {c: _stripped(text_cols.index(c)) for c in unread})) if unread else {}
+    candidates = {c: ([k] if k is not None else sorted(allowed.get(c, ())) or [0]) for c, k in chosen.items()}
     stats = _stats_pass(base, text_cols, candidates)
 
     decisions: list[ColumnDecision] = []
@@ -242,35 +273,35 @@ def clean(df: DataFrame) -> CleanResult:
             decisions.append(d)
             continue
         i = text_cols.index(c)
-        value = F.when(~is_blank(_c(c)), _c(c))
+        text = _stripped(i)
+        value = F.when(text.isNotNull(), _c(c))
         d.blanks, d.non_null, d.numeric_ok = stats[f"blank_{i}"], stats[f"nn_{i}"], stats[f"num_{i}"]
         if d.non_null > 0 and d.numeric_ok / d.non_null >= NUMERIC_CONVERSION_THRESHOLD:
-            number = parse_number(value)
+            number = number_of(text)
             if stats[f"int_{i}"] == d.numeric_ok:
                 d.target_type = "bigint"
-                out = F.when(number.isNotNull(), strip(value).try_cast("bigint"))
+                out = text.try_cast("bigint")        # every number of the column is a whole one
             else:
                 d.target_type = "double"
                 out = number
             d.kind = "numeric"
             d.failed = d.non_null - d.numeric_ok
             projected.append(out.alias(c))
-            type_issues.append(value.isNotNull() & number.isNull())
+            type_issues.append(text.isNotNull() & ~text.rlike(NUMERIC_TEXT) if d.failed else F.lit(False))
         elif c in date_cols and d.non_null > 0:
             k = chosen[c]
             if k is None:   # first value matches no format: the format failing least
-                k = min(range(len(DATE_FORMATS)), key=lambda j: stats[f"dfail_{i}_{j}"])
+                k = min(candidates[c], key=lambda j: stats[f"dfail_{i}_{j}"])
             d.date_format = DATE_FORMATS[k]
             d.failed = stats[f"dfail_{i}_{k}"]
-            parsed = F.when(strip(value).rlike(format_shape(d.date_format)),
-                            F.try_to_timestamp(strip(value), F.lit(d.date_format)))
+            parsed = parsed_as(text, d.date_format)
             if d.failed == 0:
                 d.kind, d.target_type = "datetime", "timestamp"
                 projected.append(parsed.alias(c))
             else:
                 d.kind = "date_skipped"
                 projected.append(value.alias(c))
-                date_issues.append(value.isNotNull() & parsed.isNull())
+                date_issues.append(text.isNotNull() & parsed.isNull())
         elif c in date_cols:                       # a date column without a value
             d.kind, d.target_type = "datetime", "timestamp"
             projected.append(F.lit(None).cast("timestamp").alias(c))

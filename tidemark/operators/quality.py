@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, is_numeric_type, strip
+from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, is_numeric_type, quoted, strip
 from tidemark.functions.names import QUALITY_FLAG_COLUMNS
 from tidemark.functions.stats import distinct_counts_df, unpivot_values
 
@@ -21,7 +21,7 @@ ROW_ID = "_row_id"
 
 
 def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return quoted(name)
 
 
 def _unpivot_row(one_row: DataFrame, fields: list[tuple[str, list[tuple[str, Column]]]]) -> DataFrame:
@@ -49,12 +49,12 @@ def _numeric_like(dtype: T.DataType) -> bool:
 
 
 def profile(df: DataFrame, sample_size: int = 5, seed: int = 0,
-            approx_distinct: bool = False) -> DataFrame:
+            approx_distinct: bool = False, key_columns: list[str] | None = None) -> DataFrame:
     """per column dtype, null % (2 decimals), distinct count, samples, and
     min/max for numeric (and boolean) columns.
 
-    Samples (E5) are the ``sample_size`` non-null values with the smallest
-    ``xxhash64(value, row id, seed)``; see ``sample_values``.
+    Samples (E5) are the ``sample_size`` non-null values with the smallest md5 of
+    value, key and seed; see ``sample_values``.
     ``approx_distinct`` swaps the exact distinct counts (a shuffle of every
     distinct value) for HyperLogLog sketches on very large tables.
     """
@@ -77,7 +77,8 @@ def profile(df: DataFrame, sample_size: int = 5, seed: int = 0,
         F.round(F.col("nulls") / F.col("n") * 100.0, 2)))
     distinct = distinct_counts_df(data, cols, approx_distinct).withColumnRenamed(
         "distinct_count", "unique_count")
-    samples = sample_values(data, {c: row[f"nn{i}"] for i, c in enumerate(cols)}, sample_size, seed)
+    samples = sample_values(data, {c: row[f"nn{i}"] for i, c in enumerate(cols)}, sample_size, seed,
+                            key_columns)
     out = (per_col.join(distinct, "column_name", "left").join(samples, "column_name", "left")
                   .withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
                   .withColumn("sample_values", F.coalesce(
@@ -89,21 +90,26 @@ def profile(df: DataFrame, sample_size: int = 5, seed: int = 0,
 SAMPLE_ROOM = 16            # times as many candidates as samples are expected below the hash bound
 
 
-def sample_values(df: DataFrame, counts: dict[str, int], k: int = 5, seed: int = 0) -> DataFrame:
+def sample_values(df: DataFrame, counts: dict[str, int], k: int = 5, seed: int = 0,
+                  key_columns: list[str] | None = None) -> DataFrame:
     """E5: ``(column_name, sample_values)`` - the k non-null values of each
-    column with the smallest ``xxhash64(value, row id, seed)``.
-
-    ``counts`` has the columns and their non-null counts: only cells whose hash
-    lies below a bound that about ``SAMPLE_ROOM * k`` of them pass are compared,
-    so no task sorts its cells. A column with too few below it is read again
-    without a bound. The driver gets at most k values a column."""
+    column with the smallest md5 of the text ``value|key|...|seed``, smallest first.
+
+    The key is the text of ``key_columns``, so that the choice depends on the rows
+    alone and any engine can repeat it, or else the row id. ``counts`` has the
+    columns and their non-null counts: only cells whose hash lies below a bound that
+    about ``SAMPLE_ROOM * k`` of them pass are compared, so no task sorts its
+    cells. A column with too few below it is read again without a bound. The driver
+    gets at most k values a column."""
     spark = df.sparkSession
-    h = F.xxhash64(F.col("value"), F.col(ROW_ID), F.lit(seed))
-    w = Window.partitionBy("column_name").orderBy("_h", ROW_ID)
+    key = F.concat_ws("|", *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in key_columns or [ROW_ID]])
+    keyed = df.withColumn("__key", key)
+    h = F.md5(F.concat_ws("|", "value", "__key", F.lit(str(seed))).cast("binary"))
+    w = Window.partitionBy("column_name").orderBy("_h", "value")
 
-    def picked(cols: list[str], bounds: dict[str, int]) -> dict[str, list[str]]:
+    def picked(cols: list[str], bounds: dict[str, str]) -> dict[str, list[str]]:
         low = F.create_map(*[F.lit(x) for c in cols for x in (c, bounds[c])]) if bounds else None
-        long = unpivot_values(df, cols, keep=[ROW_ID]).withColumn("_h", h)
+        long = unpivot_values(keyed, cols, keep=["__key"]).withColumn("_h", h)
         if bounds:
             long = long.where(F.col("_h") <= low[F.col("column_name")])
         top = long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
@@ -113,8 +119,8 @@ def sample_values(df: DataFrame, counts: dict[str, int], k: int = 5, seed: int =
         return out
 
     cols = [c for c, n in counts.items() if n]
-    span = 1 << 64
-    bounds = {c: -(1 << 63) + min(span - 1, span // counts[c] * SAMPLE_ROOM * k) for c in cols}
+    span = 1 << 128
+    bounds = {c: f"{min(span - 1, span // counts[c] * SAMPLE_ROOM * k):032x}" for c in cols}
     got = picked(cols, bounds) if cols else {}
     short = [c for c in cols if len(got[c]) < min(k, counts[c])]
     if short:
@@ -130,12 +136,16 @@ OUTLIER_SIGMA = 3.0
 OUTLIER_SHARE = 0.05
 MIN_VALUES_FOR_OUTLIERS = 4
 
-_VALUE_CLASSES = (
-    ("int", lambda t: t.rlike(INTEGER_TEXT)),
-    ("float", lambda t: t.rlike(NUMERIC_TEXT) & ~t.rlike(INTEGER_TEXT)),
-    ("bool", lambda t: F.lower(t).isin("true", "false")),
-    ("date", lambda t: F.try_to_timestamp(t).isNotNull() & ~t.rlike(NUMERIC_TEXT)),
-)
+# what a text can be read as; the last one is the rest
+VALUE_CLASSES = ("int", "float", "bool", "date", "other")
+
+
+def value_class(stripped: Column) -> Column:
+    """The class of a text without white space at its ends; NULL for NULL."""
+    number = F.when(stripped.rlike(INTEGER_TEXT), "int").otherwise("float")
+    rest = F.when(F.lower(stripped).isin("true", "false"), "bool").when(
+        F.try_to_timestamp(stripped).isNotNull(), "date").otherwise("other")
+    return F.when(stripped.rlike(NUMERIC_TEXT), number).when(stripped.isNotNull(), rest)
 
 
 def dq_scores(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
@@ -166,10 +176,11 @@ def dq_scores(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
             aggs2.append(F.count_if(dev > F.lit(OUTLIER_SIGMA * sd)).alias(f"out_{i}"))
     for c in text:
         i = cols.index(c)
-        t = strip(_c(c))
-        for name, rule in _VALUE_CLASSES:
-            aggs2.append(F.count_if(rule(t)).alias(f"cls_{name}_{i}"))
-    counts = df.agg(*aggs2)
+        aggs2 += [F.count_if(F.col(f"__class_{i}") == name).alias(f"cls_{name}_{i}") for name in VALUE_CLASSES]
+    # each text cell is stripped once and then classed once, below the aggregate
+    stripped = df.select("*", *[strip(_c(c)).alias(f"__text_{cols.index(c)}") for c in text])
+    classed = stripped.select("*", *[value_class(F.col(f"__text_{cols.index(c)}")).alias(f"__class_{cols.index(c)}") for c in text])
+    counts = classed.agg(*aggs2)
     distinct = distinct_counts_df(df, cols, approx_distinct)
     rows, fields = moments["_rows"], []
     for i, c in enumerate(cols):
@@ -179,9 +190,7 @@ def dq_scores(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
         else:
             outlier = F.lit(False)
         if c in text and nn > 0:
-            class_counts = [F.col(f"cls_{n}_{i}") for n, _ in _VALUE_CLASSES]
-            known = sum(class_counts[1:], class_counts[0])
-            share = F.round(F.greatest(*class_counts, F.lit(nn) - known) * 100.0 / F.lit(nn), 1)
+            share = F.round(F.greatest(*[F.col(f"cls_{n}_{i}") for n in VALUE_CLASSES]) * 100.0 / F.lit(nn), 1)
         else:
             share = F.lit(100.0)
         fields.append((c, [("dtype", F.lit(types[c].simpleString())),

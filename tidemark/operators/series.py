@@ -14,13 +14,13 @@ from pyspark.sql import types as T
 
 from tidemark.functions.exprs import (
     decimal_year_to_date, is_numeric_type, is_time_type, list_cell_items, month_label,
-    parse_number, sentinel_to_null, strip)
+    number_of, parse_number, quoted, sentinel_to_null, strip)
 
 YEAR_NUMERIC_THRESHOLD = 0.8
 
 
 def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return quoted(name)
 
 
 def _as_number(c: Column, dtype: T.DataType) -> Column:
@@ -124,8 +124,7 @@ def indicator_series(df: DataFrame, metric_column: str, country_column: str = "C
     """One country's indicator values renamed to ``year`` / the metric."""
     missing = {country_column, year_column, value_column} - set(df.columns)
     if missing:
-        raise ValueError("world_indicator_series source is missing required columns: "
-                         + ", ".join(sorted(missing)))
+        raise ValueError(f"an indicator series lacks these columns: {', '.join(sorted(missing))}")
     year = _as_number(_c(year_column), df.schema[year_column].dataType)
     value = _as_number(_c(value_column), df.schema[value_column].dataType)
     rest = [c for c in df.columns if c not in (country_column, year_column, value_column)]
@@ -174,17 +173,17 @@ def page_arrays(pages: DataFrame, html_column: str = "html", x_name: str = "char
     keys = key_columns or [c for c in pages.columns if c != html_column]
     def arr(name):
         body = F.regexp_extract(_c(html_column), rf"(?s)var {name} = \[(.*?)\]\s*;?\s*var ", 1)
-        return F.when(body != "", F.filter(F.transform(F.split(body, ","), lambda s: strip(s)), lambda s: s != ""))
+        items = F.filter(F.transform(F.split(body, ","), lambda s: strip(s)), lambda s: s != "")
+        # parsed once: an item that is no number is NULL, which no number is
+        return F.when(body != "", F.transform(items, number_of))
     def unread(name):
-        return F.exists(name, lambda s: parse_number(s).isNull())
+        return F.exists(name, lambda x: x.isNull())
     staged = pages.select(*[_c(k) for k in keys], arr(x_name).alias("_x"), arr(y_name).alias("_y"))
     error = (F.when(F.col("_x").isNull(), F.lit(f"page has no array {x_name}"))
               .when(F.col("_y").isNull(), F.lit(f"page has no array {y_name}"))
               .when(F.size("_x") != F.size("_y"), F.lit("arrays differ in length"))
               .when(unread("_x") | unread("_y"), F.lit("an array item is not a number")))
     staged = staged.withColumn("error", error)
-    for name in ("_x", "_y"):
-        staged = staged.withColumn(name, F.transform(name, lambda s: parse_number(s)))
     pairs = F.when(F.col("error").isNull(), F.arrays_zip(F.col("_x").alias("x"), F.col("_y").alias("y"))) \
              .otherwise(F.array(F.struct(F.lit(None).cast("double").alias("x"),
                                          F.lit(None).cast("double").alias("y"))))
@@ -201,17 +200,24 @@ def page_arrays(pages: DataFrame, html_column: str = "html", x_name: str = "char
 
 
 # ---------------------------------------------------------------------- A15
+def tidy_names(df: DataFrame) -> DataFrame:
+    """Messy headers as trimmed, lower snake names; ``mo`` is ``month``, ``extent`` is
+    ``ice_extent``. Columns that come to one name are one column: the first value of a row."""
+    short = {"mo": "month", "extent": "ice_extent"}
+    same: dict[str, list[str]] = {}
+    for c in df.columns:
+        name = c.strip().lower().replace(" ", "_")
+        same.setdefault(short.get(name, name), []).append(c)
+    return df.select(*[F.coalesce(*map(_c, own)).alias(name) for name, own in same.items()])
+
+
 def monthly_extent(frames: list[DataFrame], sentinel: float = -9999) -> DataFrame:
     """Union of monthly tables (D3) with messy headers -> trimmed, lower
     snake names, ``mo``->``month``, ``extent``->``ice_extent``, numeric casts,
     sentinel -> NULL (B14), rows without an extent dropped, ``yyyy-MM`` label."""
     if not frames:
         raise ValueError("a monthly extent needs at least one monthly table")
-    def tidy(df):
-        names = [c.strip().lower().replace(" ", "_") for c in df.columns]
-        names = ["month" if n == "mo" else "ice_extent" if n == "extent" else n for n in names]
-        return df.toDF(*names)
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [tidy(f) for f in frames])
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [tidy_names(f) for f in frames])
     types = dict((f.name, f.dataType) for f in union.schema.fields)
     numeric = {"year": "bigint", "month": "bigint", "ice_extent": "double", "area": "double"}
     exprs = []
@@ -228,29 +234,24 @@ def monthly_extent(frames: list[DataFrame], sentinel: float = -9999) -> DataFram
 
 
 # ---------------------------------------------------------------------- A17
-RECORD_SCHEMA = T.StructType([
-    T.StructField("country", T.StructType([T.StructField("id", T.StringType()),
-                                           T.StructField("value", T.StringType())])),
-    T.StructField("indicator", T.StructType([T.StructField("id", T.StringType()),
-                                             T.StructField("value", T.StringType())])),
-    T.StructField("date", T.StringType()),
-    T.StructField("value", T.StringType()),          # a number, or a number as text
-])
-
-
 def json_feed_records(feeds: DataFrame, text_column: str = "value") -> DataFrame:
     """``[meta, [records...]]`` JSON text -> one flat row per object
-    record; records that are not objects are skipped."""
+    record; records that are not objects are skipped, as is text that is no JSON.
+
+    The text is parsed once, to a variant; fields are read from it by path. A
+    value may be a number or a number as text."""
     keys = [c for c in feeds.columns if c != text_column]
-    records = F.get(F.from_json(_c(text_column), T.ArrayType(T.StringType())), 1)
-    items = F.from_json(records, T.ArrayType(T.StringType()))
-    exploded = feeds.select(*[_c(k) for k in keys], F.explode(items).alias("_r"))
-    objects = exploded.where(strip(F.col("_r")).startswith("{"))
-    rec = F.from_json("_r", RECORD_SCHEMA)
+    parsed = feeds.select(*[_c(k) for k in keys], F.try_parse_json(_c(text_column)).alias("_v"))
+    exploded = parsed.select(*[_c(k) for k in keys], F.explode(F.try_variant_get("_v", "$[1]", "array<variant>")).alias("_r"))
+    objects = exploded.where(F.schema_of_variant("_r").startswith("OBJECT"))
+
+    def text(path: str) -> Column:
+        return F.try_variant_get("_r", path, "string")
+
     return objects.select(*[_c(k) for k in keys],
-                          rec["country"]["value"].alias("Country Name"),
-                          rec["country"]["id"].alias("Country Code"),
-                          rec["indicator"]["value"].alias("Indicator Name"),
-                          rec["indicator"]["id"].alias("Indicator Code"),
-                          rec["date"].alias("Year"),
-                          parse_number(rec["value"]).alias("Value"))
+                          text("$.country.value").alias("Country Name"),
+                          text("$.country.id").alias("Country Code"),
+                          text("$.indicator.value").alias("Indicator Name"),
+                          text("$.indicator.id").alias("Indicator Code"),
+                          text("$.date").alias("Year"),
+                          parse_number(text("$.value")).alias("Value"))

@@ -17,6 +17,7 @@ from tidemark.functions.exprs import rounded
 from tidemark.operators import marts
 from tidemark.operators.anomaly import ADVICE
 from tidemark.plans.question import answer
+from tidemark.session import shared_table
 from tidemark.sources.tables import readable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -819,6 +820,25 @@ def sql_export(spark, sf):
         orders.select(value_tuples(orders).alias("row_sql")))
 
 
+@register("sql_insert", """
+WITH v AS (
+  SELECT printf('(%d, ''%s'', %s, ''%s'')', o_orderkey, o_orderstatus,
+                CASE WHEN o_orderkey % 3 = 0 THEN 'NULL' ELSE CAST(o_custkey AS VARCHAR) END,
+                strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '.000000+00') AS row_sql, o_orderstatus AS s FROM orders),
+n AS (SELECT row_sql, row_number() OVER (ORDER BY s, row_sql) - 1 AS n FROM v)
+SELECT n // 500 AS batch, 'INSERT INTO "orders" ("order_key", "order_status", "customer", "order_date") VALUES' || chr(10)
+       || string_agg(row_sql, ',' || chr(10) ORDER BY n) || ';' AS statement
+FROM n GROUP BY 1
+""")
+def sql_insert(spark, sf):
+    """The INSERT statements of a whole table, 500 rows each, in the order of a column."""
+    from tidemark.sources.sinks import insert_statements
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("order_status"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("customer"), F.col("o_orderdate").alias("order_date"))
+    return insert_statements(orders, "orders", order_by=["order_status"])
+
+
 # --------------------------------------------------- raw input as it arrives
 @register("clean_whitespace", """
 SELECT DISTINCT o_orderkey AS order_key, o_totalprice AS total_price,
@@ -1175,7 +1195,7 @@ def lineage_audit(spark, sf):
     from tidemark.operators.audit import lineage_edges
     from tidemark.operators.cleaning import clean
     res = clean(dirty_orders(spark, sf))
-    mart = marts.question_answer_mart(res.df, "order_priority", "total_price", "average")
+    mart = marts.question_answer_mart(res.df, "order_priority", "total_price", "average")     # only its columns count here
     return lineage_edges(res, {"mart_question_answer": mart})
 
 
@@ -1191,7 +1211,7 @@ def reconciliation(spark, sf):
     """the catalog mart's totals reconcile with the staging table."""
     from tidemark.operators.audit import reconcile
     from tidemark.operators.cleaning import clean
-    staging = clean(dirty_orders(spark, sf)).df
+    staging = shared_table(clean(dirty_orders(spark, sf)).df, "staging")
     mart = marts.catalog_summary_mart(staging, "order_priority", "total_price")
     out = reconcile(staging, mart, "total_price")
     return out.select("check", F.round("mart_value", 2).alias("mart_value"),
@@ -1228,3 +1248,357 @@ def clean_customer(spark, sf):
     """B3 below the threshold (text kept), bigint vs double, B4 all dates parse."""
     from tidemark.operators.cleaning import clean
     return rounded(clean(dirty_customers(spark, sf)).df)
+
+
+# ------------------------------------------------------------- mart sets from one scan, with their values
+def _as_values(name: str, rows: str, key: str, figures: dict[str, str]) -> str:
+    """SQL of one mart in the long form of ``grouped.mart_values``."""
+    measures = ", ".join(f"'{m}'" for m in figures)
+    values = ", ".join(f"CAST({e} AS DOUBLE)" for e in figures.values())
+    return (f"SELECT '{name}' AS mart, CAST({key} AS VARCHAR) AS key, unnest([{measures}]) AS measure, "
+            f"ROUND(unnest([{values}]), 6) AS value FROM ({rows}) t")
+
+
+def _value_sets(parts: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({p}) u" for p in parts)
+
+
+def _summary_sql(source: str, metric: str, column: str) -> str:
+    return _as_values(f"mart_{metric}_summary_stats" if metric != "total_price" else "mart_summary_stats", f"""
+        SELECT MIN({column}) AS lo, MAX({column}) AS hi, AVG({column}) AS mean, QUANTILE_CONT({column}, 0.5) AS q50,
+               COALESCE(STDDEV_SAMP({column}), 0) AS std, QUANTILE_CONT({column}, 0.05) AS q05,
+               QUANTILE_CONT({column}, 0.25) AS q25, QUANTILE_CONT({column}, 0.75) AS q75,
+               QUANTILE_CONT({column}, 0.95) AS q95 FROM {source}""", f"'{metric}'", {
+        f"min_{metric}": "lo", f"max_{metric}": "hi", f"avg_{metric}": "mean", f"median_{metric}": "q50", f"std_{metric}": "std",
+        f"p05_{metric}": "q05", f"p25_{metric}": "q25", f"p75_{metric}": "q75", f"p95_{metric}": "q95"})
+
+
+_SET_ORDERS_SQL = """
+WITH o AS (
+  SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS priority,
+         CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS v,
+         CAST(year(o_orderdate) AS BIGINT) AS release_year, o_orderstatus AS provider,
+         strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+s AS (SELECT MIN(v) AS lo, MAX(v) AS hi FROM o),
+e AS (SELECT i, CASE WHEN i = 0 THEN lo - (hi - lo) * 0.001 WHEN i = 10 THEN hi ELSE lo + i * ((hi - lo) / 10) END AS edge
+      FROM s CROSS JOIN range(0, 11) r(i))
+"""
+_ANSWER = {"record_count": "n", "avg_total_price": "a"}
+
+
+@register("mart_set_values", _SET_ORDERS_SQL + _value_sets([
+    _as_values("mart_question_answer", "SELECT priority, COUNT(*) AS n, AVG(v) AS a FROM o GROUP BY priority", "priority", _ANSWER),
+    _as_values("mart_top_entities", """
+        SELECT *, row_number() OVER (ORDER BY a DESC, priority NULLS LAST) AS rank
+        FROM (SELECT priority, COUNT(*) AS n, AVG(v) AS a FROM o GROUP BY priority)""", "priority", {"rank": "rank", **_ANSWER}),
+    *[_as_values(name, f"SELECT {key}, {n} AS n, COALESCE(SUM(v), 0) AS t, AVG(v) AS a FROM o GROUP BY {key}", key,
+                 {"record_count": "n", "total_total_price": "t", "avg_total_price": "a"})
+      for name, key, n in (("mart_release_impact", "release_year", "COUNT(v)"),
+                           ("mart_provider_performance", "provider", "COUNT(v)"),
+                           ("mart_catalog_summary", "priority", "COUNT(*)"))],
+    _as_values("mart_time_trend", "SELECT day, COUNT(*) AS n, AVG(v) AS a FROM o GROUP BY day", "day", _ANSWER),
+    _as_values("mart_distribution", """
+        SELECT ROUND(a.edge, 3) AS e0, ROUND(b.edge, 3) AS e1, COUNT(o.v) AS n FROM e a JOIN e b ON b.i = a.i + 1
+        LEFT JOIN o ON o.v > a.edge AND o.v <= b.edge GROUP BY a.i, a.edge, b.edge""", "NULL",
+               {"bin_start": "e0", "bin_end": "e1", "record_count": "n"}),
+    _summary_sql("o", "total_price", "v"),
+]))
+def mart_set_values(spark, sf):
+    """C17: every value of every mart that a question and the columns allow."""
+    from tidemark.operators.grouped import mart_values
+    from tidemark.plans.mart_sets import available_marts
+    from tidemark.plans.question import resolve
+    o = table(spark, sf, "orders")
+    orders = o.select(
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("order_priority"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("total_price"), F.col("o_orderdate").alias("order_date"),
+        F.year("o_orderdate").cast("bigint").alias("release_year"), F.col("o_orderstatus").alias("provider"))
+    spec = resolve(orders, "Which order priorities generate the highest average price?", "total_price", "order_priority")
+    return rounded(mart_values(available_marts(orders, spec)[0]))
+
+
+_CLIMATE = ("temperature_anomaly", "co2", "sea_level")
+_WIDE_SQL = """
+WITH w AS (
+  SELECT CAST(1880 + o_custkey % 140 AS VARCHAR) AS year, AVG(o_totalprice) / 1000 AS temperature_anomaly,
+         CAST(COUNT(*) AS DOUBLE) AS co2,
+         CASE WHEN o_custkey % 140 % 3 <> 0 THEN MAX(o_totalprice) END AS sea_level,
+         CAST(1.5 AS DOUBLE) AS ice_extent, CAST(NULL AS DOUBLE) AS empty
+  FROM orders GROUP BY o_custkey % 140)
+"""
+
+
+def _climate_wide(spark, sf):
+    """A wide yearly table of the climate columns: one constant, one without a value."""
+    year = F.col("o_custkey") % 140
+    return table(spark, sf, "orders").groupBy(year.alias("y")).agg(
+        (F.avg("o_totalprice") / 1000).alias("temperature_anomaly"), F.count("*").cast("double").alias("co2"),
+        F.max("o_totalprice").alias("top")).select(
+        (F.lit(1880) + F.col("y")).cast("string").alias("year"), "temperature_anomaly", "co2",
+        F.when(F.col("y") % 3 != 0, F.col("top")).alias("sea_level"), F.lit(1.5).cast("double").alias("ice_extent"),
+        F.lit(None).cast("double").alias("empty"))
+
+
+def _pairs_sql(name: str, columns: tuple[str, ...]) -> list[str]:
+    names = sorted(columns)
+    return [_as_values(name, f"SELECT CORR({a}, {b}) AS r FROM w", f"'{a}|{b}'", {"correlation": "r"})
+            for i, a in enumerate(names) for b in names[i + 1:]]
+
+
+@register("climate_set_values", _WIDE_SQL + _value_sets([
+    *[_as_values(f"mart_{m}_trend", f"SELECT year, COUNT({m}) AS n, AVG({m}) AS a FROM w GROUP BY year HAVING COUNT({m}) > 0",
+                 "year", {"record_count": "n", f"avg_{m}": "a"}) for m in (*_CLIMATE, "ice_extent")],
+    *[_summary_sql("w", m, m) for m in (*_CLIMATE, "ice_extent")],
+    *_pairs_sql("mart_metric_correlation", _CLIMATE), *_pairs_sql("mart_climate_correlation", _CLIMATE),
+    _as_values("mart_top_warmest_years", """
+        SELECT year, COUNT(temperature_anomaly) AS n, AVG(temperature_anomaly) AS a FROM w GROUP BY year
+        ORDER BY a DESC NULLS LAST, year LIMIT 10""", "year", {"record_count": "n", "avg_temperature_anomaly": "a"}),
+    _as_values("mart_temperature_by_decade", """
+        SELECT CAST(CAST(year AS BIGINT) // 10 * 10 AS BIGINT) AS decade, COUNT(temperature_anomaly) AS n,
+               AVG(temperature_anomaly) AS a FROM w GROUP BY 1""", "decade", {"record_count": "n", "avg_temperature_anomaly": "a"}),
+]))
+def climate_set_values(spark, sf):
+    """Every value of the marts of a wide yearly table."""
+    from tidemark.operators.grouped import mart_values
+    from tidemark.plans.mart_sets import wide_marts
+    return rounded(mart_values(wide_marts(_climate_wide(spark, sf))))
+
+
+@register("correlation_named_set", _WIDE_SQL + " UNION ALL ".join(
+    f"SELECT '{a}' AS left_metric, '{b}' AS right_metric, ROUND(CORR({a}, {b}), 6) AS correlation FROM w"
+    for a, b in (("co2", "sea_level"),)))
+def correlation_named_set(spark, sf):
+    """C14: the correlation of the four named columns, of which this table has
+    three (its temperature column has another name) and one is constant."""
+    return rounded(marts.climate_correlation_mart(_climate_wide(spark, sf)))
+
+
+@register("distribution_missing", """
+WITH x AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_orderkey % 5 <> 0 AND l_linenumber <> 3),
+s AS (SELECT MIN(v) AS lo, MAX(v) AS hi FROM x),
+e AS (SELECT i, CASE WHEN i = 0 THEN lo - (hi - lo) * 0.001 WHEN i = 10 THEN hi ELSE lo + i * ((hi - lo) / 10) END AS edge
+      FROM s CROSS JOIN range(0, 11) r(i))
+SELECT ROUND(a.edge, 3) AS bin_start, ROUND(b.edge, 3) AS bin_end, COUNT(x.v) AS record_count
+FROM e a JOIN e b ON b.i = a.i + 1 LEFT JOIN x ON x.v > a.edge AND x.v <= b.edge GROUP BY a.i, a.edge, b.edge
+""")
+def distribution_missing(spark, sf):
+    """C7 where some values are NaN and some NULL: neither has a bin."""
+    items = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_orderkey") % 5 == 0, F.lit(float("nan"))).when(F.col("l_linenumber") != 3, F.col("l_extendedprice"))
+        .alias("price"))
+    return marts.distribution_mart(items, "price")
+
+
+@register("time_trend_words", """
+SELECT strftime(l_shipdate, '%Y-%m') AS ship_month, COUNT(*) AS record_count, ROUND(AVG(l_extendedprice), 6) AS avg_lifetime_value
+FROM lineitem GROUP BY 1
+""")
+def time_trend_words(spark, sf):
+    """A name tells time by a word of its own, not by letters inside another one."""
+    items = table(spark, sf, "lineitem").select(
+        F.col("l_extendedprice").alias("lifetime_value"), F.col("l_tax").alias("downtime_cost"), F.col("l_quantity").alias("candidates"),
+        F.date_format("l_shipdate", "yyyy-MM").alias("ship_month"))
+    return rounded(marts.time_trend_mart(items, "lifetime_value", "average"))
+
+
+# ------------------------------------------------- checked samples, formats and flags
+def _sample_sql(columns: list[str], table_name: str, key: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{c}' AS column_name, string_agg(v, '; ' ORDER BY h, v) AS samples FROM "
+        f"(SELECT CAST({c} AS VARCHAR) AS v, md5(CAST({c} AS VARCHAR) || '|' || CAST({key} AS VARCHAR) || '|0') AS h "
+        f"FROM {table_name} WHERE {c} IS NOT NULL ORDER BY h, v LIMIT 5))" for c in columns)
+
+
+@register("profile_samples", _sample_sql(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "customer", "c_custkey"))
+def profile_samples(spark, sf):
+    """E5: the sample values of a profile, chosen by an order that any engine can repeat."""
+    from tidemark.operators.quality import profile as prof
+    customers = table(spark, sf, "customer").drop("c_acctbal")
+    return prof(customers, key_columns=["c_custkey"]).select(
+        "column_name", F.array_join("sample_values", "; ").alias("samples"))
+
+
+_TIERS_SQL = """
+WITH v AS (
+  SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_orderkey % 8 = 0 THEN 5000 + l_linenumber ELSE l_quantity END AS often,
+         CASE WHEN l_orderkey % 25 = 1 THEN -900 ELSE l_quantity END AS sometimes,
+         CASE WHEN l_orderkey % 1000 = 7 THEN 4000 + l_linenumber WHEN l_linenumber <> 2 THEN l_quantity END AS rarely FROM lineitem),
+""" + ", ".join(f"""
+q_{c} AS (SELECT QUANTILE_CONT({c}, 0.25) AS q1, QUANTILE_CONT({c}, 0.75) AS q3 FROM v),
+f_{c} AS (SELECT k, n, {c} AS x FROM v, q_{c} WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))"""
+                for c in ("often", "sometimes", "rarely"))
+
+
+@register("anomaly_tiers", _TIERS_SQL + " UNION ALL ".join(f"""
+SELECT * FROM (SELECT '{c}' AS "column", 'iqr' AS method, printf('%.4f to %.4f', q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) AS threshold,
+       (SELECT COUNT(*) FROM f_{c}) AS anomaly_count,
+       (SELECT string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ', ' ORDER BY k, n) FROM (SELECT * FROM f_{c} ORDER BY k, n LIMIT 3)) AS examples,
+       ROUND((SELECT COUNT(*) FROM f_{c}) / (SELECT COUNT(*) FROM v), 4) AS frequency, '{tier}' AS impact,
+       printf('{ADVICE[tier]}', '{c}', 'iqr') AS suggested_action FROM q_{c})"""
+    for c, tier in (("often", "high"), ("sometimes", "medium"), ("rarely", "low"))))
+def anomaly_tiers(spark, sf):
+    """Three columns of three tiers, with their first flagged values."""
+    from tidemark.operators.anomaly import detect_anomalies, frame_anomalies
+    i = table(spark, sf, "lineitem")
+    k, n, x = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity")
+    values = i.select("l_orderkey", "l_linenumber", F.when(k % 8 == 0, 5000 + n).otherwise(x).alias("often"),
+                      F.when(k % 25 == 1, -900).otherwise(x).alias("sometimes"),
+                      F.when(k % 1000 == 7, 4000 + n).when(n != 2, x).alias("rarely"))
+    res = detect_anomalies(values, ["often", "sometimes", "rarely"], order_by=["l_orderkey", "l_linenumber"])
+    framed = frame_anomalies(res.report, res.total_rows)
+    examples = F.array_join(F.transform("example_values", lambda v: v.cast("bigint").cast("string")), ", ")
+    return framed.withColumn("examples", examples).drop("example_values")
+
+
+_FORMATS_SQL = """
+WITH v AS (
+  SELECT CASE o_orderkey % 10 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN '1.5e3' WHEN 2 THEN ' TRUE ' WHEN 3 THEN '2024-02-01'
+              WHEN 4 THEN NULL WHEN 5 THEN '7 ' ELSE o_orderpriority END AS mixed,
+         CASE WHEN o_orderkey % 4 <> 0 THEN '-' || o_custkey END AS whole,
+         CASE WHEN o_orderkey % 16 = 0 THEN 1000.0 WHEN o_orderkey % 16 <> 1 THEN 1.0 END AS far FROM orders)
+"""
+
+
+@register("dq_formats", _FORMATS_SQL + """
+SELECT column_name, non_null_share AS completeness, ROUND(uniq * 100.0 / nn, 1) AS uniqueness, outlier_flag, CAST(100 AS DOUBLE) AS format_score,
+       ROUND(top * 100.0 / nn, 1) AS dominant_class_share,
+       ROUND(non_null_share * 0.4 + ROUND(uniq * 100.0 / nn, 1) * 0.2 + 100.0 * 0.4, 1) AS dq_score
+FROM (
+  SELECT 'mixed' AS column_name, ROUND(COUNT(mixed) * 100.0 / COUNT(*), 1) AS non_null_share, COUNT(DISTINCT mixed) AS uniq,
+         COUNT(mixed) AS nn, false AS outlier_flag,
+         greatest(COUNT(*) FILTER (WHERE regexp_matches(trim(mixed), '^[0-9]+$')), COUNT(*) FILTER (WHERE mixed = '1.5e3'),
+                  COUNT(*) FILTER (WHERE mixed = ' TRUE '), COUNT(*) FILTER (WHERE mixed = '2024-02-01'),
+                  COUNT(*) FILTER (WHERE regexp_matches(mixed, '^[0-9]-'))) AS top FROM v
+  UNION ALL
+  SELECT 'whole', ROUND(COUNT(whole) * 100.0 / COUNT(*), 1), COUNT(DISTINCT whole), COUNT(whole), false, COUNT(whole) FROM v
+  UNION ALL
+  SELECT 'far', ROUND(COUNT(far) * 100.0 / COUNT(*), 1), COUNT(DISTINCT far), COUNT(far),
+         COUNT(*) FILTER (WHERE abs(far - (SELECT AVG(far) FROM v)) > 3 * (SELECT STDDEV_SAMP(far) FROM v)) / COUNT(far) > 0.05, COUNT(far)
+  FROM v)
+""")
+def dq_formats(spark, sf):
+    """missing cells, a column with too many outliers, and text of several classes."""
+    from tidemark.operators.quality import dq_scores
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    r = k % 10
+    return dq_scores(o.select(
+        F.when(r == 0, k.cast("string")).when(r == 1, "1.5e3").when(r == 2, " TRUE ").when(r == 3, "2024-02-01").when(r == 4, None)
+        .when(r == 5, "7 ").otherwise(F.col("o_orderpriority")).alias("mixed"),
+        F.when(k % 4 != 0, F.concat(F.lit("-"), F.col("o_custkey").cast("string"))).alias("whole"),
+        F.when(k % 16 == 0, 1000.0).when(k % 16 != 1, 1.0).alias("far"))).drop("dtype")
+
+
+@register("clean_mixed_dates", """
+SELECT o_orderkey AS order_key,
+       CASE WHEN o_orderkey = (SELECT MIN(o_orderkey) FROM orders) THEN 'soon'
+            WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE strftime(o_orderdate, '%Y/%m/%d') END AS order_date,
+       false AS has_nulls, o_orderkey % 5 = 0 OR o_orderkey = (SELECT MIN(o_orderkey) FROM orders) AS invalid_date_parse,
+       false AS type_conversion_issue
+FROM orders
+""")
+def clean_mixed_dates(spark, sf):
+    """No format reads the first value, so the shapes of all values leave the formats to try."""
+    from tidemark.operators.cleaning import clean
+    orders = table(spark, sf, "orders")
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    k = F.col("o_orderkey")
+    ordered = orders.withColumn("_row_id", k)                      # row order by key: the odd value comes first
+    return clean(ordered.select(
+        k.cast("string").alias("Order Key"),
+        F.when(k == first, "soon").when(k % 5 == 0, F.date_format("o_orderdate", "dd.MM.yyyy"))
+        .otherwise(F.date_format("o_orderdate", "yyyy/MM/dd")).alias("Order Date"), "_row_id")).df
+
+
+@register("clean_first_flags", """
+SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_custkey AS DOUBLE) + 0.5 END AS amount,
+       o_orderkey % 6 = 0 AS has_nulls, false AS invalid_date_parse, o_orderkey % 12 = 0 AS type_conversion_issue
+FROM orders
+""")
+def clean_first_flags(spark, sf):
+    """Copies that are equal once cleaned carry different flags; those of the first row stay."""
+    from tidemark.operators.cleaning import clean
+    orders = table(spark, sf, "orders")
+    k, copy = F.col("o_orderkey"), F.col("copy")
+    rows = orders.select("o_orderkey", "o_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    # of every sixth order one copy is blank and the other is a word, the word first in every twelfth
+    odd = F.when((copy == 0) == (k % 12 == 0), "none at all").otherwise(" ")
+    amount = F.when(k % 6 == 0, odd).otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(".5")))
+    return clean(rows.select(k.cast("string").alias("Order Key"), amount.alias("Amount"), (k * 2 + copy).alias("_row_id"))).df
+
+
+@register("distinct_keys", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_count FROM lineitem"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")))
+def distinct_keys(spark, sf):
+    """exact distinct counts of keys, dates and texts."""
+    from tidemark.functions.stats import distinct_counts_df
+    return distinct_counts_df(table(spark, sf, "lineitem"), [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"])
+
+
+_QUANTILE_COLS = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("quantiles_exact", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS p, ROUND(CAST(QUANTILE_CONT({c}, {p}) AS DOUBLE), 6) AS value FROM lineitem"
+    for c in _QUANTILE_COLS for p in (0.01, 0.5, 0.99)))
+def quantiles_exact(spark, sf):
+    """Exact quantiles of several columns from sketched brackets."""
+    from tidemark.functions.stats import quantiles
+    got = quantiles(table(spark, sf, "lineitem"), {c: [0.01, 0.5, 0.99] for c in _QUANTILE_COLS})
+    return rounded(spark.createDataFrame(
+        [(c, p, float(v)) for c, values in got.items() for p, v in zip((0.01, 0.5, 0.99), values)],
+        "column_name string, p double, value double"))
+
+
+@register("key_screen", """
+SELECT 'lineitem' AS from_table, 'orders' AS to_table, 'orderkey' AS "column",
+       (SELECT COUNT(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)))
+       / (SELECT COUNT(DISTINCT l_orderkey) FROM lineitem) AS contained, true AS within_bounds
+UNION ALL
+SELECT 'orders', 'customer', 'custkey',
+       (SELECT COUNT(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer)))
+       / (SELECT COUNT(DISTINCT o_custkey) FROM orders WHERE o_orderkey % 3 <> 0), true
+""")
+def key_screen(spark, sf):
+    """Sketches of all key columns bound the exact containment of every pair."""
+    from tidemark.operators.audit import key_checks, screen_keys
+    tables = {"lineitem": table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("orderkey")),
+              "orders": table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(
+                  F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey")),
+              "customer": table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"))}
+    exact = key_checks(tables).select("from_table", "to_table", F.col("from_column").alias("column"),
+                                      (1 - F.col("from_keys_missing_in_to") / F.col("from_keys")).alias("exact"))
+    return rounded(screen_keys(tables).join(exact, ["from_table", "to_table", "column"]).select(
+        "from_table", "to_table", "column", F.col("exact").alias("contained"),
+        F.col("exact").between(F.col("low") - 1e-9, F.col("high") + 1e-9).alias("within_bounds")))
+
+
+@register("lineage_paths", _DIRTY_ORDERS_SQL.replace("WITH src", "WITH RECURSIVE src") + """,
+edges AS (
+  SELECT 'raw::Total Price' AS from_node, 'staging::total_price' AS to_node,
+         (SELECT COUNT(*) FROM raw WHERE regexp_matches(c_price, '^\\s*$')) AS blanks, (SELECT COUNT(*) FROM typed WHERE type_issue) AS fails
+  UNION ALL SELECT 'raw::Order Priority', 'staging::order_priority',
+         (SELECT COUNT(*) FROM raw WHERE regexp_matches(c_priority, '^\\s*$')), 0
+  UNION ALL SELECT 'raw::Order Status', 'staging::order_status', 0, 0
+  UNION ALL SELECT 'staging::order_priority', 'mart::by_priority::order_priority', 0, 0
+  UNION ALL SELECT 'staging::total_price', 'mart::by_priority::avg_total_price', 0, 0
+  UNION ALL SELECT 'staging::order_status', 'mart::by_status::order_status', 0, 0
+  UNION ALL SELECT 'staging::total_price', 'mart::by_status::total_total_price', 0, 0),
+ways AS (
+  SELECT to_node AS mart_node, from_node AS node, 1 AS steps, blanks, fails, from_node || ' > ' || to_node AS path
+  FROM edges WHERE to_node LIKE 'mart::%'
+  UNION ALL
+  SELECT w.mart_node, e.from_node, w.steps + 1, w.blanks + e.blanks, w.fails + e.fails, e.from_node || ' > ' || w.path
+  FROM ways w JOIN edges e ON e.to_node = w.node)
+SELECT node AS raw_node, mart_node, steps, path, blanks AS blanks_nulled, fails AS cast_failures FROM ways WHERE node LIKE 'raw::%'
+""")
+def lineage_paths(spark, sf):
+    """from each mart column back to the raw column, with the changes on the way."""
+    from tidemark.operators.audit import lineage_edges, lineage_paths as paths
+    from tidemark.operators.cleaning import clean
+    res = clean(dirty_orders(spark, sf))
+    built = {"by_priority": marts.question_answer_mart(res.df, "order_priority", "total_price", "average"),
+             "by_status": marts.question_answer_mart(res.df, "order_status", "total_price", "sum")}
+    return paths(shared_table(lineage_edges(res, built), "lineage"))

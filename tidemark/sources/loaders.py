@@ -4,13 +4,14 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import series
-from tidemark.sources.readers import path_exists, read_csv
+from tidemark.sources.readers import read_csv
 
 LOG = logging.getLogger(__name__)
 
@@ -40,34 +41,72 @@ def load_page_arrays(spark: SparkSession, path: str, config: dict) -> DataFrame:
     return series.page_arrays(pages, "html", key_columns=["file"])
 
 
+def _listed(spark: SparkSession, folder: str) -> set[str]:
+    """The file names of a folder, from one listing; none where there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+
+
 def monthly_paths(spark: SparkSession, folder: str, version: str = "4.0",
                   fallback: str = "4.0") -> tuple[list[str], list[str], list[str]]:
     """The 12 monthly file names with a version fallback, resolved
-    through the file system listing: (used, fallbacks, skipped)."""
+    through one listing of the folder: (used, fallbacks, skipped)."""
+    there, base = _listed(spark, folder), folder.rstrip("/")
     used, fallbacks, skipped = [], [], []
     for month in range(1, 13):
-        candidates = [f"{folder.rstrip('/')}/N_{month:02d}_extent_v{v}.csv"
-                      for v in ([version] + ([fallback] if fallback != version else []))]
-        found = next((p for p in candidates if path_exists(spark, p)), None)
+        names = [f"N_{month:02d}_extent_v{v}.csv" for v in dict.fromkeys((version, fallback))]
+        found = next((n for n in names if n in there), None)
         if found is None:
-            skipped += candidates
+            skipped += [f"{base}/{n}" for n in names]
             continue
-        if found != candidates[0]:
-            fallbacks.append(found)
-        used.append(found)
+        if found != names[0]:
+            fallbacks.append(f"{base}/{found}")
+        used.append(f"{base}/{found}")
     return used, fallbacks, skipped
 
 
+def read_with_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV files of different headers as one table of text columns, from one scan.
+
+    The first line of each file names its columns; the driver gets those lines (one
+    per file). A column that a file does not have is NULL for its rows."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
+        F.monotonically_increasing_id().alias("row"))
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("head"), F.min("row").alias("row")).collect()
+    names = {h["file"]: [n.strip().strip('"') for n in next(csv.reader([h["head"]]))] for h in heads}
+    widest = max(map(len, names.values()), default=0)
+    # a header's row is the first one of its file, which is known by file and number
+    first = F.create_map(*[F.lit(x) for h in heads for x in (h["file"], h["row"])]) if heads else None
+    body = lines.where((F.trim("value") != "") & ((F.col("block") > 0) | (F.col("row") > first[F.col("file")]))) if heads else lines
+    cells = body.select("file", F.from_csv("value", ", ".join(f"c{i} string" for i in range(widest)),
+                                           {"ignoreLeadingWhiteSpace": "true"}).alias("c")) if widest else body
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file, own in names.items():
+        layouts.setdefault(tuple(own), []).append(file)
+    columns = []
+    for name in dict.fromkeys(n for own in names.values() for n in own):
+        value = F.lit(None).cast("string")
+        for own, files in layouts.items():
+            if name in own:
+                value = F.when(F.col("file").isin(files), F.col(f"c.c{own.index(name)}")).otherwise(value)
+        columns.append(value.alias(name))
+    return cells.select(*columns)
+
+
 def load_monthly_extent(spark: SparkSession, folder: str, config: dict) -> DataFrame:
-    """Union of the available monthly files, cleaned."""
-    used, fallbacks, skipped = monthly_paths(spark, folder, str(config.get("version", "4.0")))
+    """The available monthly files of a folder, or one file by its own path, cleaned."""
+    if folder.lower().endswith(".csv"):
+        used, fallbacks, skipped = [folder], [], []
+    else:
+        used, fallbacks, skipped = monthly_paths(spark, folder, str(config.get("version", "4.0")))
     if fallbacks:
         LOG.warning("Some monthly files required a fallback version: %s", ", ".join(fallbacks))
     if skipped:
         LOG.warning("Missing monthly files were skipped: %s", ", ".join(skipped))
-    frames = [spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
-              .csv(p) for p in used]
-    return series.monthly_extent(frames)
+    return series.monthly_extent([series.tidy_names(read_with_headers(spark, used))] if used else [])
 
 
 def load_indicator(spark: SparkSession, path: str, config: dict) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, drop_nan, parse_number, strip
+from tidemark.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, drop_nan, parse_number, quoted, strip
 from tidemark.functions.names import normalize_name
 
 ROW_ID = "_row_id"
@@ -85,7 +85,7 @@ def type_text_columns(df: DataFrame, columns: list[str] | None = None) -> DataFr
         return df
     aggs = []
     for i, c in enumerate(cols):
-        v = F.col(f"`{c}`")
+        v = quoted(c)
         t = strip(v)
         aggs += [F.count(v).alias(f"n{i}"),
                  F.count_if(t.rlike(INTEGER_TEXT) & t.try_cast("bigint").isNotNull()).alias(f"i{i}"),
@@ -95,11 +95,11 @@ def type_text_columns(df: DataFrame, columns: list[str] | None = None) -> DataFr
     exprs = []
     for c in df.columns:
         if c not in cols:
-            exprs.append(F.col(f"`{c}`"))
+            exprs.append(quoted(c))
             continue
         i = cols.index(c)
         n = row[f"n{i}"]
-        v = F.col(f"`{c}`")
+        v = quoted(c)
         if n > 0 and row[f"i{i}"] == n:
             exprs.append(strip(v).try_cast("bigint").alias(c))
         elif n > 0 and row[f"d{i}"] == n:
@@ -119,7 +119,7 @@ def read_csv(spark: SparkSession, path: str, options: dict | None = None,
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     raw = reader.csv(path)
-    df = raw.select(*[_na_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns],
+    df = raw.select(*[_na_to_null(quoted(c)).alias(c) for c in raw.columns],
                     _row_id().alias(ROW_ID))
     return type_text_columns(df) if typed else df
 

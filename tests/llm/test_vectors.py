@@ -49,21 +49,51 @@ def test_components_match_brute_force(spark, monkeypatch, tile, window):
         root = new
     low = {r: min((rows[i][0] for i in range(n) if root[i] == r and rows[i][0] is not None), default=None) for r in set(root)}
     want = sorted(str((rows[i][0], len(near[i]), low[root[i]], rows[i][0] == low[root[i]])) for i in range(n))
-    got = embedding_components(_frame(spark, rows), window=window).collect()
+    got = embedding_components(_frame(spark, rows), window=window, passes=4).collect()
     assert sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got) == want
 
 
-@pytest.mark.parametrize("n, window", [(3_000, 2), (100_000, 64)])
+def _around(rng, middle, cosine, count):                 # unit vectors at a cosine of a middle
+    r = rng.standard_normal((count, middle.shape[1]))
+    r -= (r * middle).sum(axis=1, keepdims=True) * middle
+    return cosine * middle + math.sqrt(1 - cosine ** 2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+
+def _sparse(spark, n=6000, pairs=400):
+    """Even directions in two labels (texts), with planted pairs close to the threshold."""
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[n - pairs:] = np.concatenate([_around(rng, v[i:i + 1], 0.981, 1) for i in range(pairs)])
+    return spark.createDataFrame([(i, x.tolist(), "ab"[i % 2]) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+
+
+def test_passes_alone_find_the_links_of_even_directions(spark, monkeypatch):
+    table = _sparse(spark)
+    dense, exact = [], embedding_dedup._exact_links
+    monkeypatch.setattr(embedding_dedup, "_exact_links", lambda nodes, d, *more: dense.append(d.count()) or exact(nodes, d, *more))
+    links = {p: sum(r.n_links for r in embedding_components(table, passes=p).collect()) for p in (12,)}
+    assert links[12] >= 0.97 * 800 and sum(dense) <= 60          # pairs at the threshold itself
+    monkeypatch.setattr(embedding_dedup, "MISS", 1.0)            # no exact way: the first pass alone
+    few = sum(r.n_links for r in embedding_components(table, passes=1, window=16).collect())
+    assert 0 < few < 0.9 * 800
+
+
+def test_links_of_a_pass_follow_from_its_bits(spark):
+    table = _sparse(spark, 2000, 100)
+    nodes = table.select(F.xxhash64("label").alias("label"), F.col("embedding").alias("vec"), F.lit(64).cast("long").alias("size"),
+                         F.col("vec_id").alias("node"))
+    seen = embedding_dedup._window_pass(nodes.coalesce(1), 0, 0.98, 32, 5).collect()
+    assert len([r for r in seen if r.kind == 2]) == 2000 and all(-1 <= r.bits <= 65 for r in seen if r.kind == 2)
+    assert {abs(r.a - r.b) for r in seen if r.kind == 0} == {1900}
+
+
+@pytest.mark.parametrize("n, window", [(3_000, 2), (100_000, 256)])
 def test_pairs_in_a_dense_label_are_all_found(spark, tmp_path, n, window):
     rng = np.random.default_rng(8)
 
-    def around(middle, cosine, count):                   # unit vectors at a cosine of a middle
-        r = rng.standard_normal((count, 64))
-        r -= (r * middle).sum(axis=1, keepdims=True) * middle
-        return cosine * middle + math.sqrt(1 - cosine ** 2) * r / np.linalg.norm(r, axis=1, keepdims=True)
-
-    vectors = around(np.eye(64)[:1], math.sqrt(0.9), n)
-    vectors[300:600] = around(vectors[:300], 0.985, 300)
+    vectors = _around(rng, np.eye(64)[:1], math.sqrt(0.9), n)
+    vectors[300:600] = _around(rng, vectors[:300], 0.985, 300)
     path = str(tmp_path / "v.parquet")
     pq.write_table(pa.table({"vec_id": np.arange(n), "label": np.zeros(n, np.int32), "embedding":
                              pa.ListArray.from_arrays(np.arange(0, 64 * n + 1, 64, dtype=np.int32), vectors.ravel())}), path)

@@ -47,11 +47,19 @@ def test_quantiles_with_infinities(spark):
 
 def test_few_scans_for_quantiles(spark, monkeypatch):
     passes = []
-    counted = stats._bucket
-    monkeypatch.setattr(stats, "_bucket", lambda *a: passes.append(1) or counted(*a))
+    narrowed = stats._narrowed
+    monkeypatch.setattr(stats, "_narrowed", lambda *a: passes.append(1) or narrowed(*a))
     df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
-    stats.quantiles(df, {"l_extendedprice": [0.5]})
-    assert len(passes) <= 2                 # beside the pass with the sketch
+    stats.quantiles(df, {"l_extendedprice": [0.25, 0.5], "l_orderkey": [0.75], "l_discount": [0.5]})
+    assert len(passes) == 1                 # beside the pass of the sketches and the one that counts around them
+
+
+def test_brackets_of_many_rows_are_refined_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FEW", 10)
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    values = [r[0] for r in df.select("l_extendedprice").collect()]
+    got = stats.quantiles(df, {"l_extendedprice": [0.1, 0.5]})["l_extendedprice"]
+    assert all(math.isclose(a, b) for a, b in zip(got, np.quantile(values, [0.1, 0.5])))
 
 
 def test_strip_removes_all_white_space(spark):

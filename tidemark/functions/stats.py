@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from tidemark.functions.exprs import quoted
 
 # Value buckets per open bracket and pass.
 BUCKETS = 1024
+# Rows of a bracket that are counted value by value at most.
+FEW = 8192
 
 
 def value_text(c: Column, dtype: T.DataType) -> Column:
@@ -166,7 +170,7 @@ def _number(column: str) -> Column:
 
 
 SKETCH_K = 2048             # size of a KLL sketch: ranks are off by about 0.1 %
-SKETCH_MARGIN = 0.004       # share of the rows that a sketched bracket reaches to either side
+SKETCH_MARGIN = 0.003       # share of the rows that a sketched bracket reaches to either side
 
 
 def quantile_figures(column: str, probs: list[float]) -> dict[str, Column]:
@@ -186,89 +190,92 @@ def numeric_bounds(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, d
     return {c: {name: row[f"{name}{i}"] for name in ("n", "lo", "hi", "brackets")} for i, c in enumerate(wanted)}
 
 
-def _sketched_ranks(df: DataFrame, c: str, n: int, lo: float, hi: float, probs: list[float], brackets: list) -> dict:
-    """The ranks of each sketched bracket; the rows below it are not known yet (-1)."""
-    out: dict = {}
-    for p, bracket in zip(probs, brackets):
-        at = (c, max(lo, bracket["lo"]), min(hi, bracket["hi"]), 0 if bracket["lo"] <= lo else -1)
-        out.setdefault(at, set()).update(_ranks_for(n, [p]))
+@dataclass(frozen=True)
+class _Bracket:
+    """Values of a column between two of them, the rows below them and, where it is known, among them."""
+    column: str
+    lo: float
+    hi: float
+    below: int
+    inside: int | None = None
+
+    def holds(self) -> Column:
+        return _number(self.column).between(F.lit(self.lo), F.lit(self.hi))
+
+
+def _sketched(df: DataFrame, wanted: dict[str, list[float]], known: dict[str, dict]) -> dict[_Bracket, set[int]]:
+    """The sketched brackets and their ranks, by one aggregate that counts the rows
+    below and in each. Ranks outside of it get the whole range."""
+    spans = {(c, max(known[c]["lo"], b["lo"]), min(known[c]["hi"], b["hi"])): set() for c, probs in wanted.items()
+             if known[c]["n"] for b in known[c]["brackets"]}
+    if not spans:
+        return {}
+    counts = df.agg(*[e for i, (c, lo, hi) in enumerate(spans) for e in (
+        F.count_if(_number(c) < lo).alias(f"below{i}"), F.count_if(_number(c).between(lo, hi)).alias(f"inside{i}"))]).collect()[0]
+    found = [_Bracket(*span, counts[f"below{i}"], counts[f"inside{i}"]) for i, span in enumerate(spans)]
+    out: dict[_Bracket, set[int]] = {}
+    for c, probs in wanted.items():
+        n = known[c]["n"]
+        for r in _ranks_for(n, probs) if n else ():
+            fitting = [b for b in found if b.column == c and b.below <= r < b.below + b.inside]
+            best = min(fitting, key=lambda b: b.inside) if fitting else _Bracket(c, known[c]["lo"], known[c]["hi"], 0)
+            out.setdefault(best, set()).add(r)
     return out
 
 
-def _counted_below(df: DataFrame, open_ranks: dict, bounds: dict) -> dict:
-    """Sketched brackets narrowed by one exact pass: it counts the rows below each
-    bracket and in its buckets. Ranks that lie outside go back to the whole range."""
-    if not any(below < 0 for *_, below in open_ranks):
-        return open_ranks
+def _narrowed(df: DataFrame, open_ranks: dict[_Bracket, set[int]], by_size: bool) -> tuple[dict, dict]:
+    """One pass over the rows that lie in any open bracket: ({(column, rank): value}
+    found, the narrower brackets of the other ranks). A bracket of at most ``FEW`` rows
+    is counted value by value, others by bucket."""
     brackets = list(open_ranks)
-    parts = F.array(*[F.struct(
-        F.lit(i).alias("bracket"), F.when(_number(c) < lo, F.lit(-2)).otherwise(_bucket(_number(c), lo, hi, False)).alias("part"),
-        _number(c).alias("x")) for i, (c, lo, hi, _) in enumerate(brackets)])
-    counted = df.select(F.inline(parts)).where("part is not null").groupBy("bracket", "part").agg(
+    parts = []
+    for i, b in enumerate(brackets):
+        x = _number(b.column)
+        few = b.inside is not None and b.inside <= FEW
+        part = F.when(b.holds(), F.lit(0)) if few else _bucket(x, b.lo, b.hi, by_size)
+        parts.append(F.struct(F.lit(i).alias("bracket"), part.alias("part"), (x if few else F.lit(None).cast("double")).alias("value"),
+                              x.alias("x")))
+    held = df.where(reduce(lambda a, b: a | b, [b.holds() for b in dict.fromkeys(brackets)]))
+    counted = held.select(F.inline(F.array(*parts))).where("part is not null").groupBy("bracket", "part", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    narrowed: dict = {}
-    seen: dict[int, int] = {}
-    left = {b: set(ranks) for b, ranks in open_ranks.items()}
-    for row in sorted(counted, key=lambda r: (r["bracket"], r["part"])):
-        key, start = brackets[row["bracket"]], seen.get(row["bracket"], 0)
-        seen[row["bracket"]] = start + row["n"]
-        inside = {r for r in left[key] if start <= r < start + row["n"]} if row["part"] != -2 else set()
-        if inside:
-            narrowed.setdefault((key[0], row["lo"], row["hi"], start), set()).update(inside)
-            left[key] -= inside
-    for (c, *_), ranks in left.items():
-        if ranks:
-            n, lo, hi = bounds[c]
-            narrowed.setdefault((c, lo, hi, 0), set()).update(ranks)
-    return narrowed
+    found, narrower, seen = {}, {}, {}
+    for row in sorted(counted, key=lambda r: (r["bracket"], r["part"], r["lo"])):
+        b = brackets[row["bracket"]]
+        start = seen.get(b, b.below)
+        seen[b] = start + row["n"]
+        for r in open_ranks[b]:
+            if start <= r < start + row["n"]:
+                if row["lo"] == row["hi"]:
+                    found[b.column, r] = row["lo"]
+                else:
+                    narrower.setdefault(_Bracket(b.column, row["lo"], row["hi"], start, row["n"]), set()).add(r)
+    return found, narrower
 
 
 def quantiles(df: DataFrame, wanted: dict[str, list[float]],
-              bounds: dict[str, tuple | dict] | None = None) -> dict[str, list[float | None]]:
+              known: dict[str, dict] | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles (pandas ``quantile`` semantics) of
     several columns; all columns and ranks share each pass over the table.
 
-    ``bounds`` may hold (count, min, max) or :func:`quantile_figures` per column
-    when a pass before has them; without it one pass takes them. A pass over equal
+    ``known`` may hold :func:`quantile_figures` per column when a pass before has
+    them; without it one pass takes them. A pass over equal
     parts strictly narrows every open bracket, because its smallest and largest
     value fall into different buckets; every third pass takes parts of the
-    logarithmic scale, which narrows ranges of many magnitudes. The driver reads at
-    most ``BUCKETS + 3`` rows per open bracket and pass."""
-    known = bounds or numeric_bounds(df, wanted)
-    brackets_of = {c: b["brackets"] for c, b in known.items() if isinstance(b, dict)}
-    bounds = {c: (b["n"], b["lo"], b["hi"]) if isinstance(b, dict) else b for c, b in known.items()}
+    logarithmic scale, which narrows ranges of many magnitudes. Tables of up to some
+    million rows take the pass of the sketches, one that counts around their brackets
+    and one over the rows in them. The driver reads at most ``BUCKETS + 2`` rows, or
+    ``FEW`` values, per open bracket and pass."""
+    known = known or numeric_bounds(df, wanted)
+    open_ranks = _sketched(df, wanted, known)
+    total = {c: b["n"] for c, b in known.items()}
     found: dict[tuple[str, int], float] = {}
-    open_ranks: dict[tuple[str, float, float, int], set[int]] = {}      # (column, lo, hi, rows below) -> ranks
-    for c, probs in wanted.items():
-        n, lo, hi = bounds[c]
-        if n and c in brackets_of:
-            sketched = _sketched_ranks(df, c, n, lo, hi, probs, brackets_of[c])
-            for bracket, ranks in sketched.items():
-                open_ranks.setdefault(bracket, set()).update(ranks)
-        elif n:
-            open_ranks[c, lo, hi, 0] = set(_ranks_for(n, probs))
-    open_ranks = _counted_below(df, open_ranks, bounds)
     for turn in itertools.count(1):
-        for (c, lo, hi, below), ranks in list(open_ranks.items()):
-            if lo == hi:
-                found.update({(c, r): lo for r in ranks})
-                del open_ranks[c, lo, hi, below]
+        closed = [b for b in open_ranks if b.lo == b.hi]
+        for b in closed:
+            found.update({(b.column, r): b.lo for r in open_ranks.pop(b)})
         if not open_ranks:
             break
-        brackets = list(open_ranks)
-        parts = F.array(*[F.struct(F.lit(i).alias("bracket"), _bucket(_number(c), lo, hi, turn % 3 == 0).alias("part"),
-                                   _number(c).alias("x")) for i, (c, lo, hi, _) in enumerate(brackets)])
-        counted = df.select(F.inline(parts)).where("part is not null").groupBy("bracket", "part").agg(
-            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        narrowed: dict[tuple[str, float, float, int], set[int]] = {}
-        seen: dict[int, int] = {}
-        for row in sorted(counted, key=lambda r: (r["bracket"], r["part"])):
-            c, _, _, below = brackets[row["bracket"]]
-            start = seen.get(row["bracket"], below)
-            seen[row["bracket"]] = start + row["n"]
-            inside = {r for r in open_ranks[brackets[row["bracket"]]] if start <= r < start + row["n"]}
-            if inside:
-                narrowed[c, row["lo"], row["hi"], start] = inside
-        open_ranks = narrowed
-    return {c: [_interpolate({r: found[c, r] for r in _ranks_for(bounds[c][0], [p])}, bounds[c][0], p)
-                if bounds[c][0] else None for p in probs] for c, probs in wanted.items()}
+        now, open_ranks = _narrowed(df, open_ranks, turn % 3 == 0)
+        found.update(now)
+    return {c: [_interpolate({r: found[c, r] for r in _ranks_for(total[c], [p])}, total[c], p) if total[c] else None
+                for p in probs] for c, probs in wanted.items()}

@@ -270,8 +270,7 @@ def summary_stats_mart(df: DataFrame, metric: str, approx_accuracy: int | None =
     if not base["n"]:
         raise ValueError(f"Column {metric} holds no values to summarise.")
     q = [float(v) for v in base["q"]] if approx_accuracy else \
-        quantiles(df, {metric: list(SUMMARY_PROBS)},
-                  {metric: base if "brackets" in base else (base["n"], base["lo"], base["hi"])})[metric]
+        quantiles(df, {metric: list(SUMMARY_PROBS)}, {metric: base} if "brackets" in base else None)[metric]
     figures = {"min": base["lo"], "max": base["hi"], "average": base["mean"], "median": q[0],
                "std": base["std"] if base["n"] > 1 else 0.0, "p05": q[1], "p25": q[2], "p75": q[3], "p95": q[4]}
     one = df.sparkSession.createDataFrame([(metric,)], "source_metric_column string")

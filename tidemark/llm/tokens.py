@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -54,9 +55,10 @@ class ChunkEncoder:
         for chunk in chunks:
             text = chunk.decode("utf-8", "replace")
             (letters if text.isalpha() else others).append((chunk, text))
-        for at in range(0, len(letters), _JOINED):
-            few = letters[at:at + _JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in few]), add_special_tokens=False).ids, "<u4")
+        joined = [letters[at:at + _JOINED] for at in range(0, len(letters), _JOINED)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join([t for _, t in few]) for few in joined], add_special_tokens=False)
+        for few, found in zip(joined, encoded):
+            ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(few) and ends[-1] == len(ids):
                 flat, cuts = ids.tobytes(), (4 * ends).tolist()
@@ -86,22 +88,21 @@ class ChunkEncoder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         chunks = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        found = [list(map(known.get, words)) for words in chunks]
-        holes = [[i for i, ids in enumerate(own) if ids is None] for own in found]
-        missing = {words[i] for words, at in zip(chunks, holes) for i in at}
-        new = {c: older[c] for c in missing if c in older}
-        missing.difference_update(new)
+        met = set(chain.from_iterable(chunks)).difference(known)
+        new = {c: older[c] for c in met if c in older}
+        missing = met.difference(new)
         # a full stop or comma behind ASCII letters is a word of its own
         pointed = [c for c in missing if c[-1:] in _POINTS and c[:-1].isalpha()]
         bases = {c[:-1] for c in pointed}.union(_POINTS)
         new.update((c, known[c]) for c in bases if c in known)
         self._encode(missing.union(bases).difference(new, pointed), new)
         new.update([(c, new[c[:-1]] + new[c[-1:]]) for c in pointed])
-        for words, own, at in zip(chunks, found, holes):
-            for i in at:
-                own[i] = new[words[i]]
-        known.update((c, ids) for c, ids in new.items() if len(c) <= _LONG)
-        return [b"".join(own) for own in found]
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, own)) for own in chunks]
+        for c in new:
+            if len(c) > _LONG:
+                del known[c]
+        return out
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:

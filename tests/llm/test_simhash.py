@@ -87,6 +87,33 @@ def test_components_match_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low.values()))
 
 
+def test_a_crowded_anchor_is_dealt_by_its_other_half(spark, monkeypatch):
+    """Fingerprints that share one half and differ in the other: few land in one comparison."""
+    monkeypatch.setattr(simhash, "ANCHOR_BLOCK", 16)
+    rng = np.random.default_rng(7)
+    fps = np.unique(np.uint64(0x12345678) << np.uint64(32) | rng.integers(0, 1 << 32, 300, dtype=np.uint64))
+    near = fps[:40] ^ (np.uint64(1) << rng.integers(0, 32, 40, dtype=np.uint64))
+    all_fps = np.unique(np.concatenate([fps, near]))
+    table = spark.createDataFrame([(int(f),) for f in all_fps.view(np.int64)], "fp long")
+    sizes, compare = [], simhash._compare
+
+    def counted(groups, bits):
+        if "slice" in groups.columns:
+            sizes.append(groups.groupBy(*groups.columns[:-1]).count().agg({"count": "max"}).first()[0])
+        return compare(groups, bits)
+
+    monkeypatch.setattr(simhash, "_compare", counted)
+    edges = {(r.a, r.b) for r in simhash._links(table, 3, 2).collect()}
+    linked = connected_components(spark.createDataFrame(list(edges), "a long, b long"), "a", "b", "crowded")
+    roots = {r.node: r.root for r in linked.collect()}
+    want = _components(all_fps.tolist(), 3)
+    groups = {}
+    for f, label in zip(all_fps.view(np.int64).tolist(), want):
+        groups.setdefault(label, set()).add(roots.get(f, f))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+    assert sizes and sizes[0] <= 40
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(docs).collect() == [] and drop_near_duplicates(docs).collect() == []

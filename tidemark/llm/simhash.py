@@ -201,10 +201,12 @@ def _edge_batch(edges: np.ndarray) -> pa.RecordBatch:
 def _links(distinct_fps: DataFrame, max_bits: int, segments: int) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints the bit distance connects.
 
-    An anchor's fingerprints are counted where they already lie together (the
-    window spills). Anchors of at most ``ANCHOR_BLOCK`` are compared there;
-    larger ones are split once more by value of each of ``max_bits + 1`` slices
-    of the whole fingerprint, of which two linked ones share at least one.
+    Anchors are counted by a map-side combined aggregate. Those of at most
+    ``ANCHOR_BLOCK`` fingerprints are compared as they are (a window over those few
+    drops anchors of a single one). Of a larger one, which
+    nearly fixes its own segment, each other segment is cut into ``max_bits + 1``
+    slices, of which two linked fingerprints share at least one, and the
+    fingerprints are dealt by the values of those.
     """
     def replicate(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -218,16 +220,20 @@ def _links(distinct_fps: DataFrame, max_bits: int, segments: int) -> DataFrame:
                          pa.array(part[at].view(np.int64))], ["segment", "anchor", "fp"])
 
     dealt = map_batches(distinct_fps.select("fp"), replicate, "segment long, anchor long, fp long")
-    counted = dealt.withColumn("n", F.expr("count(*) over (partition by segment, anchor)"))
-    small = _compare(counted.where(f"n between 2 and {ANCHOR_BLOCK}").select("segment", "anchor", "fp"), max_bits)
-    slices = max_bits + 1
-    width = -(-BITS // slices)
-    cut = F.expr(f"transform(sequence(0, {slices - 1}), i -> named_struct('slice', i, 'value', "
-                 f"shiftrightunsigned(fp, i * {width}) & {(1 << width) - 1}L))")
-    large = counted.where(f"n > {ANCHOR_BLOCK}").select("segment", "anchor", "fp", F.inline(cut)) \
-        .select("segment", "anchor", F.col("slice").cast("long").alias("slice"), F.col("value").cast("long"), "fp") \
-        .repartition("segment", "anchor", "slice", "value") \
-        .sortWithinPartitions("segment", "anchor", "slice", "value")
+    sizes = dealt.groupBy("segment", "anchor").agg(F.count("*").alias("n"))
+    crowded = materialize(sizes.where(f"n > {ANCHOR_BLOCK}").select("segment", "anchor"), "simhash-crowded")
+    shared = dealt.join(crowded, ["segment", "anchor"], "left_anti") \
+        .withColumn("n", F.expr("count(*) over (partition by segment, anchor)")).where("n > 1")
+    small = _compare(shared.select("segment", "anchor", "fp"), max_bits)
+    slices, length = max_bits + 1, BITS // segments
+    places = [(s, i, lo, min(lo + -(-length // slices), length)) for s in range(segments)
+              for i, lo in enumerate(range(0, length, -(-length // slices)))]
+    cut = F.array(*[F.struct(F.lit(s).cast("long").alias("of"), F.lit(i).cast("long").alias("slice"), F.expr(
+        f"shiftrightunsigned(fp, {s * length + lo}) & {(1 << (hi - lo)) - 1}L").alias("value")) for s, i, lo, hi in places])
+    keys = ["segment", "anchor", "of", "slice", "value"]
+    large = dealt.join(crowded, ["segment", "anchor"], "left_semi").select("segment", "anchor", "fp", F.inline(cut)) \
+        .where(F.lit(segments == 1) | (F.col("of") != F.col("segment"))) \
+        .select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
     return small.unionByName(_compare(large, max_bits))
 
 

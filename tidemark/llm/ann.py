@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import column, map_batches, materialize
-from tidemark.llm.vectors import by_group, matrix, norm, usable
+from tidemark.llm.vectors import matrix, norm, runs, usable
 
 TABLES = 12
 BLOCK = 4096             # rows of a bucket that one task holds at once
@@ -133,21 +133,23 @@ def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         .sortWithinPartitions(*key, "asks")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_of, m = None, None
-        for group in by_group(stream, 5):
-            at = tuple(group.column(i)[0].as_py() for i in range(4))
-            if not group.column("asks")[0].as_py():
-                rows_of, m, held_at = group, matrix(group.column("vec")), at
+        held, held_at, m = [], None, None                   # a block's rows; its queries come behind them, batch by batch
+        for (*at, asks), part in runs(stream, 5):
+            if not asks:
+                if at != held_at:
+                    held, held_at, m = [], at, None
+                held.append(part)
                 continue
-            if rows_of is None or held_at != at:
+            if held_at != at:
                 continue                                    # a probed bucket without rows
-            row, ids = rows_of.column("row").to_numpy(), rows_of.column("id").to_numpy(zero_copy_only=False)
-            order = np.where(pa.compute.is_null(rows_of.column("id")).to_numpy(), np.iinfo(np.int64).max, ids) \
-                .astype(np.int64) if rows_of.column("id").null_count else ids
-            for start in range(0, group.num_rows, 256):
-                part = group.slice(start, 256)
-                scores = matrix(part.column("vec")) @ m.T
-                own = part.column("row").to_numpy()
+            if m is None:
+                block = pa.Table.from_batches(held)
+                m, row, block_ids = matrix(block.column("vec")), block.column("row").to_numpy(), block.column("id").combine_chunks()
+                order = block_ids.fill_null(np.iinfo(np.int64).max).to_numpy() if block_ids.null_count else block_ids.to_numpy()
+            for start in range(0, part.num_rows, 256):
+                few = part.slice(start, 256)
+                scores = matrix(few.column("vec")) @ m.T
+                own = few.column("row").to_numpy()
                 scores[own[:, None] == row[None, :]] = -np.inf
                 picked = [_nearest(s, order, k) for s in scores]
                 count = [len(p) for p in picked]
@@ -156,8 +158,8 @@ def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 value = scores[asker, flat]
                 real = value > -np.inf
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[asker][real]), part.column("id").combine_chunks().take(pa.array(asker[real])),
-                     pa.array(row[flat][real]), rows_of.column("id").combine_chunks().take(pa.array(flat[real])),
+                    [pa.array(own[asker][real]), few.column("id").take(pa.array(asker[real])),
+                     pa.array(row[flat][real]), block_ids.take(pa.array(flat[real])),
                      pa.array(value[real])], ["query_row", "query_id", "row", "id", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()

@@ -28,22 +28,28 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
-def by_group(stream: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """One table for each run of equal values in the first ``keys`` (long)
-    columns of a stream that is sorted by them. Holds one run and one batch."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def runs(stream: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(values, rows) for each stretch of equal values in the first ``keys`` (long)
+    columns of each batch; a run that goes over batches comes in parts."""
     for batch in stream:
         if not batch.num_rows:
             continue
         values = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], axis=1)
         cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            key = tuple(values[s])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(s, e - s))
-            last = key
+            yield tuple(values[s].tolist()), batch.slice(s, e - s)
+
+
+def by_group(stream: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """One table for each run of equal values in the first ``keys`` (long)
+    columns of a stream that is sorted by them. Holds one run and one batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for key, part in runs(stream, keys):
+        if held and key != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(part)
+        last = key
     if held:
         yield pa.Table.from_batches(held)

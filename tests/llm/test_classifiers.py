@@ -1,11 +1,12 @@
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from tidemark.llm import queries
+from tidemark.llm import quality, queries
 from tidemark.llm.quality import fit_quality, fit_rules, keep_quality, quality_scores
 from tidemark.llm.toxicity import CrfModel, _by_text, _summary, drop_toxic, fit_crf, fit_toxicity, marginals, toxicity_scores
 
@@ -66,6 +67,67 @@ def test_marginals_of_long_texts_equal_a_plain_pass():
     assert np.allclose(marginals(emission, starts, change)[0], want)
 
 
+def _plain_statistics(text):
+    """The statistics of one text, counted character by character."""
+    text = text or ""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    some, n = max(len(text), 1), max(len(words), 1)
+    share = lambda marks: sum(c in marks for c in text) / some
+    return {"q_chars": len(text), "q_n": len(words), "q_word_length": len(text) / n, "q_distinct": len(set(words)) / n,
+            "q_symbols": share(quality._SYMBOLS), "q_upper": share(quality._UPPER), "q_digits": share("0123456789"),
+            "q_exclaim": share("!"), "q_bars": share("|"), "q_stops": share("."), "q_commas": share(","), "q_lines": share("\n")}
+
+
+def test_rule_scores_match_plain_python(spark):
+    rng = random.Random(12)
+    parts = ["word", "Word", "ÀÉ", "ß", "\U0001f600", " ", "  ", "\n", "\t", "\x0b", "\u00a0", "!", "!!", "|", ".", ",", "#$%", "12", "\x00", "e\u0301"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(400)] + [None, "", " ", "a" * 50_000, "x y " * 20_000]
+    rows = [(i if i % 9 else None, t, rng.random()) for i, t in enumerate(texts)] + [(1, "Word."), (1, "Word.")]
+    docs = spark.createDataFrame([(*r[:2], 0.5, "q") for r in rows], "doc_id long, text string, q_chars double, score string")
+    x = np.array([list(_plain_statistics(t).values()) for _, t, *_ in rows], float)
+    y = (x[:, 10] + 3 * x[:, 5] + 0.2 * np.sin(x[:, 0]) > 0.1).astype(float)
+    model = fit_rules(x, y, list(_plain_statistics("")))
+    assert len(model.rules) > 3
+
+    def plain_score(text):
+        found = _plain_statistics(text)
+        total = model.intercept
+        for weight, conditions in model.rules:
+            total += weight * all((found[name] > cut) == above for name, above, cut in conditions)
+        return 1 / (1 + np.exp(-total))
+
+    got = sorted((str(r.doc_id), round(r.score, 9), r.held_out, r.predicted) for r in quality_scores(docs, model).collect())
+    want = sorted((str(i), round(float(plain_score(t)), 9), zlib.crc32(str("" if i is None else i).encode()) % 5 == 0,
+                   int(plain_score(t) >= 0.3)) for i, t, *_ in rows)
+    assert got == want
+    kept = keep_quality(docs, model)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t, *_ in rows if plain_score(t) >= 0.3)
+
+
+def test_toxicity_score_is_the_logistic_of_its_marginals(spark):
+    """Whole scores recomputed from exact marginals by enumeration of all tag sequences."""
+    change = np.array([[0.3, -0.8], [-0.2, 0.6]])
+    model = CrfModel(-1.5, {"=vile": 2.5, "^vil": 0.7, "$ile": 0.4, "=fine": -0.6}, change, (-2.0, 1.1, 0.8))
+    texts = ["", None, "fine", "vile", "A vile, VILELY fine day", "x vile vile y", "fine fine \u0130 vilex"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def plain(text):
+        words = [w.lower() for w in re.findall(r"\w+", text or "")]
+        emission = [model.bias + sum(model.weights.get(f, 0) for f in {f"={w}", f"^{w[:3]}" if len(w) >= 3 else "", f"^{w[:4]}" if len(w) >= 4 else "",
+                                                                       f"^{w[:5]}" if len(w) >= 5 else "", f"${w[-3:]}"}) for w in words]
+        total, hit = 0.0, np.zeros(len(words))
+        for tags in itertools.product((0, 1), repeat=len(words)):
+            weight = np.exp(sum(e * t for e, t in zip(emission, tags)) + sum(change[a, b] for a, b in zip(tags, tags[1:])))
+            total += weight
+            hit += weight * np.array(tags)
+        p = hit / total
+        top = min(max(p.max(initial=0.0), 1e-9), 1 - 1e-9)
+        return 1 / (1 + np.exp(-(-2.0 + 1.1 * np.log(top / (1 - top)) + 0.8 * np.log1p((p >= 0.5).sum()))))
+
+    got = {r.doc_id: r.score for r in toxicity_scores(docs, model).collect()}
+    assert all(got[i] == pytest.approx(plain(t), abs=1e-9) for i, t in enumerate(texts))
+
+
 def _odd_docs(spark, kind="long"):
     rows = [(1, "a fine text here."), (1, "a fine text here."), (None, "x"), (2, None), (3, ""), (4, "word " * 60_000)]
     return spark.createDataFrame([(i, t, "s", 1.0) for i, t in rows], f"doc_id {kind}, text string, spans string, score double")

@@ -1,4 +1,8 @@
+import zlib
+
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemark.llm.packing import lower_bound
@@ -36,3 +40,37 @@ def test_every_stage_against_brute_force(spark):
     packed = stages["packing"](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     assert len({r.sequence_id for r in packed}) <= 1 + lower_bound(np.array([r.length for r in packed]), 2048)
+
+
+def test_run_over_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and very long texts, null ids, extra columns with names that the stages use."""
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = [r for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0 and quality = 1").collect()][:3]
+    texts = {r.doc_id: r.text for r in given.where(given.doc_id.isin([r.doc_id for r in clean])).collect()}
+    one, two, three = texts.values()
+    odd = [(None, one, "en", "s", 1), (900001, None, None, None, None), (900002, "", "en", "s", 0), (900003, two, "en", "s", 2),
+           (900003, two, "en", "s", 2), (900004, (three + " ") * 400, "en", "s", 3)]
+    rows = given.unionByName(spark.createDataFrame(odd, given.schema))
+    extra = rows.selectExpr("*", "'x' as score", "1.5 as fp", "doc_id as k_row", "'y' as spans", "2 as q_chars", "0 as length")
+    folder = str(tmp_path)
+    extra.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    packed = corpus_pipeline.run(spark, folder).collect()
+    pieces = {}
+    for r in packed:
+        pieces.setdefault(r.doc_id, []).append(r)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    kept = {i: t for i, t in [*((r.doc_id, r.text) for r in given.collect()), *((r[0], r[1]) for r in odd)] if i in pieces}
+    for i, own in pieces.items():
+        ids = np.array(tokenizer.encode(kept[i] or "", add_special_tokens=False).ids + [0], "<u4")
+        assert [(r.start, r.length, r.ids_crc32) for r in sorted(own, key=lambda r: r.piece)] == [
+            (s, len(ids[s:s + 2048]), zlib.crc32(ids[s:s + 2048].tobytes())) for s in range(0, len(ids), 2048)]
+    # copies of kept documents leave one each: ids that repeat, and the null id behind the smallest one
+    assert None not in pieces and 900003 not in pieces
+    assert sum(i in pieces for i in texts) == 3
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

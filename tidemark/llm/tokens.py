@@ -13,9 +13,10 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from tidemark.llm.shared import worker_state
@@ -83,12 +84,15 @@ class ChunkEncoder:
         return out[:len(texts)]
 
     def _plain(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of texts without special strings."""
+        """Ids of texts without special strings. Arrow cuts the texts and numbers their
+        different chunks; the ids of those are then gathered in the order of the texts."""
         if len(self.known) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        chunks = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        met = set(chain.from_iterable(chunks)).difference(known)
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+        coded = parts.values.dictionary_encode()
+        chunks = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        met = set(chunks).difference(known)
         new = {c: older[c] for c in met if c in older}
         missing = met.difference(new)
         # a full stop or comma behind ASCII letters is a word of its own
@@ -98,11 +102,18 @@ class ChunkEncoder:
         self._encode(missing.union(bases).difference(new, pointed), new)
         new.update([(c, new[c[:-1]] + new[c[-1:]]) for c in pointed])
         known.update(new)
-        out = [b"".join(map(known.__getitem__, own)) for own in chunks]
+        ids = list(map(known.__getitem__, chunks))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        tokens = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], counts)]
+        cuts = ends[parts.offsets.to_numpy()].tolist()
         for c in new:
             if len(c) > _LONG:
                 del known[c]
-        return out
+        return [tokens[s:e].tobytes() for s, e in zip(cuts, cuts[1:])]
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:

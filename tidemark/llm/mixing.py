@@ -33,6 +33,7 @@ CAP = 2                    # copies of a document at most
 BUCKET_DOCS = 1024         # documents of a hash bucket, on average
 MOST_BUCKETS = 65_536      # hash buckets of one size of a source at most
 _STEPS = 80                # Newton steps at most
+_STEPS_AT_ONCE = 4         # steps of one job; its result is written
 _CLOSE = 0.5               # words off the target that end the steps, or this share of it where that is more
 _CLOSE_SHARE = 1e-10
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -87,10 +88,9 @@ def balanced(classes: DataFrame, goals: DataFrame, base: float, cap: int) -> Dat
         F.lit(None).cast("double").alias("high"), F.lit(False).alias("done")), "mixing-dual")
     x = F.col("size") / F.col("scale")
     free = F.lit(float(base)) * F.exp(F.col("dual") * x)
-    for _ in range(_STEPS):
-        if not state.where(~F.col("done")).count():
-            break
-        sums = classes.join(state.where(~F.col("done")), "source_no").groupBy("source_no").agg(
+
+    def step(state: DataFrame) -> DataFrame:
+        sums = state.join(classes, "source_no", "left").groupBy(*state.columns).agg(
             _exact(words * F.least(free, F.lit(float(cap)))).alias("taken"),
             _exact(F.when(free < cap, words * x * free).otherwise(0.0)).alias("slope"))
         over = F.col("taken") - F.col("target")
@@ -100,16 +100,22 @@ def balanced(classes: DataFrame, goals: DataFrame, base: float, cap: int) -> Dat
         # outside the bracket: its middle, or a step of at most 4 where one side is not known yet
         wide = F.when(over < 0, F.least(newton, F.col("dual") + 4)).otherwise(F.greatest(newton, F.col("dual") - 4))
         middle = (F.col("low") + F.col("high")) / 2
-        step = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(),
-                      F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(middle)) \
+        moved = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(),
+                       F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(middle)) \
             .otherwise(F.coalesce(wide, F.col("dual") + F.when(over < 0, 4.0).otherwise(-4.0)))
-        moved = state.join(sums, "source_no", "left") \
-            .withColumn("ends", F.col("done") | (F.abs(over) <= F.greatest(F.lit(_CLOSE), F.col("target") * _CLOSE_SHARE)) | F.col("taken").isNull()) \
-            .withColumn("low", F.when(F.col("ends"), F.col("low")).otherwise(low)) \
-            .withColumn("high", F.when(F.col("ends"), F.col("high")).otherwise(high)) \
-            .withColumn("dual", F.when(F.col("ends"), F.col("dual")).otherwise(step))
-        state = materialize(moved.select("source_no", "target", "scale", "dual", "low", "high", F.col("ends").alias("done")),
-                            "mixing-dual")
+        close = F.abs(over) <= F.greatest(F.lit(_CLOSE), F.col("target") * _CLOSE_SHARE)
+        ended = sums.withColumn("ends", F.col("done") | close | F.col("taken").isNull())
+        kept = lambda now, was: F.when(F.col("ends"), F.col(was)).otherwise(now)
+        bracketed = ended.withColumn("low", kept(low, "low")).withColumn("high", kept(high, "high"))
+        return bracketed.select("source_no", "target", "scale", kept(moved, "dual").alias("dual"), "low", "high",
+                                F.col("ends").alias("done"))
+
+    for _ in range(_STEPS // _STEPS_AT_ONCE):
+        if not state.where(~F.col("done")).limit(1).count():
+            break
+        for _ in range(_STEPS_AT_ONCE):
+            state = step(state)
+        state = materialize(state, "mixing-dual")
     full = goals.select("source_no", F.when(F.col("target") > 0, float(cap)).otherwise(0.0).alias("flat"))
     rated = classes.join(full, "source_no").join(state.select("source_no", "scale", "dual"), "source_no", "left")
     return rated.select("source_no", "size", "n", F.when(F.col("dual").isNull(), F.col("flat"))

@@ -119,5 +119,5 @@ def test_remembered_chunks_change_nothing(monkeypatch):
     want = plain(TEXTS)
     for _ in range(2):
         for text, w in zip(TEXTS, want):
-            n_a, n_b, n_groups, groups, links = next(aligner.documents([text]))
+            n_a, n_b, n_groups, groups, links = aligner.documents([text])[0]
             assert (n_a, n_b, n_groups, len(links), groups) == (*w[:4], w[7])

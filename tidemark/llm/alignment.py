@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -39,7 +40,7 @@ from tidemark.llm.shared import batches, column, map_batches, materialize, worke
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 HOT = 65_536                 # pairs that are sent to every task at most
-SLICE_BYTES = 2_000_000      # text that a worker aligns at a time
+SLICE_BYTES = 3_000_000      # text that a worker aligns at a time
 _TOGETHER = 65_536           # characters of unmet chunks aligned as one text
 _REMEMBERED = 400_000        # chunks a worker remembers at most, in two generations
 _LONG = 64                   # characters of a chunk that is not worth remembering
@@ -173,29 +174,61 @@ class Aligner:
                     n_a, n_groups, groups, links = zip(*found)
                     known[c] = sum(n_a), sum(n_groups), ";".join(groups), b"".join(links)
 
-    def documents(self, texts: list[str | None]) -> Iterator[tuple]:
-        """(n_a, n_b, n_groups, groups, links) of each text; zeros where it has no tokens."""
+    def documents(self, texts: list[str | None]) -> list[tuple]:
+        """(n_a, n_b, n_groups, groups, links) of each text; zeros where it has no
+        tokens. Arrow cuts most texts and numbers their different chunks; what those
+        hold is then gathered in the order of the texts."""
         if len(self.known) > _REMEMBERED // 2:
             self.known, self.older = {}, self.known
-        known = self.known
-        chunks = [_chunks(" " + t) if t else [] for t in texts]
-        missing = {c for c in set(chain.from_iterable(chunks)) if c not in known}
-        known.update((c, self.older[c]) for c in missing if c in self.older)
-        self._meet({c for c in missing if c not in known})
-        for text, own in zip(texts, chunks):
-            found = list(map(known.__getitem__, own))
-            if None in found:
-                found = self.align(" " + text, [len(text.encode()) + 1])
-            if found:
+        known, older = self.known, self.older
+        even = [i for i, t in enumerate(texts) if t and t[-1] != " " and not _UNEVEN.search(" " + t)]
+        words = pc.split_pattern(pa.array([texts[i] for i in even], pa.string()), " ")
+        coded = words.values.dictionary_encode()
+        met = [" " + w for w in coded.dictionary.to_pylist()]
+        odd = {i: _chunks(" " + t) for i, t in enumerate(texts) if t and i not in set(even)}
+        missing = set(chain(met, *odd.values())).difference(known)
+        known.update((c, older[c]) for c in missing if c in older)
+        self._meet(missing.difference(known))
+        out: list[tuple] = [(0, 0, 0, "", np.zeros(0, np.int64))] * len(texts)
+        for i, chunks in odd.items():
+            found = list(map(known.__getitem__, chunks))
+            if None not in found:
                 n_a, n_groups, groups, links = zip(*found)
-                links = np.frombuffer(b"".join(links), np.int64)
-                n_a, n_groups = sum(n_a), sum(n_groups)
-                yield n_a, len(links) + n_groups - n_a, n_groups, ";".join(groups), links     # a group has a + b - 1 links
+                out[i] = self._document(sum(n_a), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(links), np.int64))
             else:
-                yield 0, 0, 0, "", np.zeros(0, np.int64)
+                out[i] = self._whole(texts[i])
+        if even:
+            found = [known[c] or (-1, 0, "", b"") for c in met]
+            n_a, n_groups, groups, links = zip(*found)
+            n_a, n_groups = np.array(n_a), np.array(n_groups)
+            sizes = np.fromiter(map(len, links), np.int64, len(links)) // 8
+            flat, starts = np.frombuffer(b"".join(links), np.int64), np.cumsum(sizes) - sizes
+            at, cuts = coded.indices.to_numpy(), words.offsets.to_numpy()
+            own = sizes[at]
+            ends = np.concatenate([[0], np.cumsum(own)])
+            links = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], own)]
+            said = pc.binary_join(pa.ListArray.from_arrays(words.offsets, pa.array(groups, pa.string()).take(coded.indices)), ";")
+            bad = np.add.reduceat(n_a[at] < 0, cuts[:-1])
+            a, g = np.add.reduceat(n_a[at], cuts[:-1]).tolist(), np.add.reduceat(n_groups[at], cuts[:-1]).tolist()
+            span = ends[cuts].tolist()
+            for n, (i, text) in enumerate(zip(even, said.to_pylist())):
+                out[i] = self._whole(texts[i]) if bad[n] else self._document(a[n], g[n], text, links[span[n]:span[n + 1]])
         for c in missing:
             if len(c) > _LONG:
                 del known[c]
+        return out
+
+    @staticmethod
+    def _document(n_a: int, n_groups: int, groups: str, links: np.ndarray) -> tuple:
+        return n_a, len(links) + n_groups - n_a, n_groups, groups, links        # a group has a + b - 1 links
+
+    def _whole(self, text: str) -> tuple:
+        """A text that a chunk without tokens of its own does not settle, aligned at once."""
+        found = self.align(" " + text, [len(text.encode()) + 1])
+        if found is None:
+            return 0, 0, 0, "", np.zeros(0, np.int64)
+        n_a, n_groups, groups, links = found[0]
+        return self._document(n_a, n_groups, groups, np.frombuffer(links, np.int64))
 
 
 def _list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:

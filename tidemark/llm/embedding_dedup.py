@@ -7,10 +7,10 @@ next ones in that order. Pairs at or above the threshold are united across passe
 A pass also tells how sure it is. Two vectors at the threshold agree in a hash bit
 with a known probability r; a vector whose window ended at a neighbour with L equal
 leading bits has met every other vector with more than L of them, so the pass finds
-each of its links with probability r^(L+1) at least. Passes go on while vectors are
-left whose links may have been missed with more than ``MISS``, and end early for
-those that more passes would not help: there the neighbourhood is so dense that
-windows end too early. Only these dense vectors are compared with their whole
+each of its links with probability r^(L+1) at least. Passes go on while many vectors
+are left whose links may have been missed with more than ``MISS`` and that more
+passes would decide. The vectors left then lie where the neighbourhood is so dense
+that windows end too early; only these dense vectors are compared with their whole
 label, in exact tiles.
 """
 
@@ -31,8 +31,9 @@ from tidemark.llm.vectors import by_group, matrix, usable
 HASH_BITS = 63
 MISS = 0.02              # probability of a missed link that makes a vector go on, and in the end compared exactly
 TILE = 512               # vectors of a label on each side of one exact comparison, at least
-TILE_VALUES = 1 << 19    # numbers in the vectors of a tile of over TILE vectors, at most
-_CHUNK = 1024
+TILE_VALUES = 1 << 18    # numbers in the vectors of a tile of over TILE vectors, at most
+OPEN_SHARE = 0.1         # share of the vectors that a further pass must be able to decide; fewer are compared exactly
+_CHUNK = 512
 _UNKNOWN = HASH_BITS + 1     # leading bits of a window that a partition's border cut off: the pass tells nothing
 _CUT = HASH_BITS + 2         # the window ended at a linked vector: the passes cannot tell all links
 
@@ -231,7 +232,7 @@ def _fingerprint(vec) -> list:
 
 def _passes(nodes: DataFrame, threshold: float, passes: int, window: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(what the passes found and told, node and miss of every vector): passes
-    go on while they still decide vectors. The driver sees one row a pass."""
+    go on while they still decide many vectors. The driver sees one row a pass."""
     agree = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
     found = F.when(F.col("bits") == _UNKNOWN, 0.0).when(F.col("bits") < 0, 1.0).otherwise(F.pow(F.lit(agree), F.col("bits") + 1))
     # the logarithm of the probability that a link of the vector was missed; a cut window is never sure
@@ -243,8 +244,9 @@ def _passes(nodes: DataFrame, threshold: float, passes: int, window: int, seed:
         told = seen.where("kind = 2").groupBy(F.col("a").alias("node")).agg(F.sum(missed).alias("missed"), F.count("*").alias("turns"))
         # as many passes again would not make them sure: dense
         going = (F.col("missed") > math.log(MISS)) & (F.col("missed") / F.col("turns") * passes <= math.log(MISS))
-        if p + 1 == passes or not told.where(going).limit(1).count():
-            break
+        left = told.agg(F.count("*").alias("all"), F.count_if(going).alias("going")).first()
+        if p + 1 == passes or left.going <= OPEN_SHARE * left["all"]:
+            break                                        # a few vectors meet their label exactly at the cost of a pass
         labels = nodes.join(told.where(going), "node").select("label", "size").distinct()
         rows = nodes.join(labels, ["label", "size"], "left_semi")
     return seen, told

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import batches, column, map_batches, materialize
-from tidemark.llm.tokens import token_bytes
+from tidemark.llm.tokens import SLICE_BYTES, token_bytes
 from tidemark.llm.vectors import by_group
 
 PIECES_AT_ONCE = 20_000      # pieces that one partition packs, about
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str = "doc_id
     data = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, 1, 8 << 20):
+        for batch in batches(stream, 1, SLICE_BYTES):
             at, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(token_bytes(batch.column(1).to_pylist(), tokenizer)):
                 ids += _END

@@ -25,6 +25,7 @@ from tidemark.llm.shared import worker_state
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 REMEMBERED = 1_000_000       # chunks a worker remembers at most, in two generations
+SLICE_BYTES = 2 << 20        # text to encode at a time; the arrays of a slice are several times its size
 _LONG = 64                   # bytes of a chunk that is not worth remembering
 _POINTS = (b".", b",")
 _JOINED = 1_000              # chunks of letters encoded as one text
@@ -108,7 +109,9 @@ class ChunkEncoder:
         at = coded.indices.to_numpy()
         counts = sizes[at]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        tokens = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], counts)]
+        place = np.repeat(starts[at] - ends[:-1], counts)
+        place += np.arange(len(place))
+        tokens = flat[place]
         cuts = ends[parts.offsets.to_numpy()].tolist()
         for c in new:
             if len(c) > _LONG:

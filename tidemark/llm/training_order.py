@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.feistel import permuted
 from tidemark.llm.numbering import numbered
 from tidemark.llm.shared import batches, column, map_batches, ready_workers
-from tidemark.llm.tokens import token_bytes
+from tidemark.llm.tokens import SLICE_BYTES, token_bytes
 
 _AT_ONCE = 256               # sequences of one output batch
 
@@ -55,7 +55,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, doc_id:
                 part.clear()
             return batch
 
-        for batch in batches(stream, 1, 8 << 20):
+        for batch in batches(stream, 1, SLICE_BYTES):
             id_kind = batch.schema.field(0).type
             for owner, own in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), tokenizer)):
                 body = np.frombuffer(own, "<u4").astype(kind).tobytes() + end

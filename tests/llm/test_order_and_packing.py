@@ -10,11 +10,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing
+from tidemark.llm import packing, tokens
 from tidemark.llm.feistel import permuted
 from tidemark.llm.packing import best_fit_decreasing, lower_bound, pack_documents
 from tidemark.llm.sharding import shard_rows
-from tidemark.llm.tokens import token_bytes
+from tidemark.llm.tokens import ChunkEncoder, token_bytes
 from tidemark.llm.training_order import read_training_order, write_training_order
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,53 @@ def test_token_bytes_match_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, ascii(text)
 
 
+class _Seen:
+    """The tokenizer of an encoder; ``texts`` lists what went through all of its rules."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_go_to_the_model_alone():
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefstlz\u00df\u00e4\u00e9\u00f1\u00ff", k=rng.randint(3, 12))) for _ in range(3000)]
+    texts = [" ".join([w + rng.choice(["", ".", ",", ")", "...", "?!", " -"]) for w in words[at:at + 100]])
+             for at in range(0, len(words), 100)]
+    encoder = ChunkEncoder(WORDS)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.tokenizer = _Seen(encoder.tokenizer)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    assert sum(map(len, encoder.tokenizer.texts)) < 50          # a few runs of marks; the words were 25,000 letters before
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_marks_behind_words_match_the_tokenizer(plain):
+    encoder = ChunkEncoder(WORDS)
+    assert encoder.plain
+    encoder.plain = plain
+    rng = random.Random(11)
+    parts = [*map(chr, range(33, 127)), *"a\u00df\u00e9\u00f1\u00f7\u00d7\u00c9\u00ff\u0130\u03a3\u0301\u0338\u200d\u00b7\u3002\U0001f44d\u0000\u00aa",
+             "'s", "'ll", "don't", "...", "caf\u00e9", "b.", "<|endoftext|>", " ", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(3000)] + [x + y for x in parts for y in parts]
+    tokenizer = Tokenizer.from_file(WORDS)
+    for text, got in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_words_after_the_cache_turns_over(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    encoder, tokenizer, rng = ChunkEncoder(WORDS), Tokenizer.from_file(WORDS), random.Random(12)
+    for _ in range(200):
+        texts = [" ".join(["".join(rng.choices("ab\u00e9x1.", k=rng.choice([1, 2, 3, 70]))) for _ in range(6)]) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [
+            tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert max(map(len, encoder.known), default=0) <= 64
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=60))
 def test_best_fit_is_a_packing_above_the_bound(lengths):

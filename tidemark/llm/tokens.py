@@ -27,7 +27,7 @@ from tidemark.llm.shared import worker_state
 # a task has one core; the library's own thread pool in every worker would only compete with the others
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 1_000_000       # chunks a worker remembers at most, in two generations
+REMEMBERED = 500_000         # chunks a worker remembers at most, in two generations
 SLICE_BYTES = 2 << 20        # text to encode at a time; the arrays of a slice are several times its size
 _LONG = 64                   # bytes of a chunk that is not worth remembering
 _WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")         # in UTF-8: a-z and U+00DF to U+00FF but U+00F7
